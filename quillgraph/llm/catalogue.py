@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
-from quillgraph.llm import bpe
+from quillgraph.llm import archive, bpe, exact, quality
 
 QUERIES = {
+    "op1_warc_archives": archive.op1_warc_archives,
+    "op6_exact_dedup": exact.op6_exact_dedup,
     "op7_bpe_round_trip": bpe.op7_bpe_round_trip,
+    "op10_quality_rules": quality.op10_quality_rules,
 }
 ORACLES: dict[str, str] = {}

@@ -17,8 +17,8 @@ from pyspark.sql import functions as F
 #: Largest number of rows of a narrow table that may be broadcast; beyond it a shuffle join is used.
 BROADCAST_ROWS = 200_000
 
-#: Null ids join and group as this value, which no table uses.
-NULL_ID = -(2**63)
+#: Null ids join, group and order as this value, which no table uses: the greatest, so that nulls come last.
+NULL_ID = 2**63 - 1
 
 SPACE = " \t\n\x0b\x0c\r"
 
@@ -101,6 +101,11 @@ def id_key(col: str | Column) -> Column:
     return F.coalesce((F.col(col) if isinstance(col, str) else col).cast("long"), F.lit(NULL_ID))
 
 
+def real_id(col: str | Column) -> Column:
+    """The id behind an id_key."""
+    return F.nullif(F.col(col) if isinstance(col, str) else col, F.lit(NULL_ID))
+
+
 def word_count(text: Column) -> Column:
-    """Number of words of a text, natively: starts of runs outside the six separators."""
-    return F.expr("0L") + F.regexp_count(F.coalesce(text, F.lit("")), F.lit("[^\\x20\\x09-\\x0D]+")).cast("long")
+    """Number of words of a text, natively: runs outside the six separators."""
+    return F.regexp_count(F.coalesce(text, F.lit("")), F.lit("[^\\x20\\x09-\\x0D]++")).cast("long")
