@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
-from quillgraph.llm import archive, bpe, exact, quality
+from quillgraph.llm import archive, bpe, exact, mixing, pii, quality, secrets
 
 QUERIES = {
     "op1_warc_archives": archive.op1_warc_archives,
+    "op2_pii_disclosure": pii.op2_pii_disclosure,
+    "op4_source_mix": mixing.op4_source_mix,
     "op6_exact_dedup": exact.op6_exact_dedup,
     "op7_bpe_round_trip": bpe.op7_bpe_round_trip,
+    "op9_secret_scan": secrets.op9_secret_scan,
     "op10_quality_rules": quality.op10_quality_rules,
 }
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op4_source_mix": mixing.OP4_SQL,
+}
