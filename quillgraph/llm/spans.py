@@ -10,54 +10,64 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is computed once, however often the body names it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def prefix_sums(lens: Column) -> Column:
     """Sums of the elements before each one.  Blocks of 256 keep the work near linear on long arrays."""
     block = 256
-    n = F.size(lens)
-    add = lambda a, x: a + x
-    total = lambda part: F.aggregate(part, F.lit(0).cast("long"), add)
-    blocks = F.when(n > 0, F.transform(F.sequence(F.lit(0), F.floor((n - 1) / block).cast("int")), lambda k: total(F.slice(lens, k * block + 1, block)))).otherwise(F.array().cast("array<bigint>"))
-    inner = lambda i: total(F.slice(lens, (i - i % block) + 1, i % block))
-    outer = lambda i: total(F.slice(blocks, 1, F.floor(i / block).cast("int")))
-    short = F.transform(F.sequence(F.lit(0), n - 1), lambda i: total(F.slice(lens, 1, i)))
-    long = F.transform(F.sequence(F.lit(0), n - 1), lambda i: outer(i) + inner(i))
-    return F.when(n == 0, F.array().cast("array<bigint>")).when(n <= block, short).otherwise(long)
-
-
-def with_spans(df, name: str, text: str, pattern: str, may_match: Column, ok: Callable[[Column, Column], Column] | None = None, group: int | None = None, context: int = 0):
+    none = F.array().cast("array<bigint>")
+    total = lambda part: F.aggregate(part, F.lit(0).cast("long"), lambda a, x: a + x)
+
+    def short(lens: Column) -> Column:
+        return F.transform(lens, lambda _, i: total(F.slice(lens, 1, i)))
+
+    def long(lens: Column) -> Column:
+        blocks = F.transform(F.sequence(F.lit(0), F.floor((F.size(lens) - 1) / block).cast("int")), lambda k: total(F.slice(lens, k * block + 1, block)))
+        starts = let(blocks, lambda b: F.transform(b, lambda _, k: total(F.slice(b, 1, k))))
+        return let(starts, lambda s: F.transform(lens, lambda _, i: F.get(s, F.floor(i / block).cast("int")) + total(F.slice(lens, (i - i % block) + 1, i % block))))
+
+    return let(lens, lambda x: F.when(F.size(x) == 0, none).when(F.size(x) <= block, short(x)).otherwise(long(x)))
+
+
+def with_spans(df: DataFrame, name: str, text: str, pattern: str, may_match: Column, ok: Callable[[Column, Column], Column] | None = None, group: int | None = None, context: int = 0) -> DataFrame:
     """Adds ``name``: the spans of ``pattern`` in ``text``, leftmost and non-overlapping.
 
-    Each is a struct of start, end, value, and with ``context`` also ``left`` and ``right``: up to that many
-    code points (and one more, to tell cut words) beside it, up to the neighbouring matches.
+    Each is a struct of start, end, value, grp, and with ``context`` also ``left`` and ``right``: up to that
+    many code points (and one more, to tell cut words) beside it, up to the neighbouring matches.
     ``may_match`` is a cheap necessary condition.  ``ok(value, group)`` keeps a match or drops it without
     a retry.
     """
     none = F.array().cast("array<string>")
-    m, g, p = f"__{name}_m", f"__{name}_g", f"__{name}_p"
+    m = f"__{name}_m"
     df = df.withColumn(m, F.when(may_match, F.regexp_extract_all(F.col(text), F.lit(pattern), F.lit(0))).otherwise(none))
-    some = F.size(m) > 0
-    df = df.withColumn(p, F.when(some, F.split(F.col(text), pattern, -1)).otherwise(none))
-    df = df.withColumn(g, F.when(some, F.regexp_extract_all(F.col(text), F.lit(pattern), F.lit(group))).otherwise(none) if group else F.col(m))
-    sizes = F.zip_with(F.slice(F.col(p), 1, F.size(m)), F.col(m), lambda a, b: (F.length(a) + F.length(b)).cast("long"))
-    df = df.withColumn(f"__{name}_s", F.when(some, prefix_sums(sizes)).otherwise(F.array().cast("array<bigint>")))
-
-    def struct(i: Column) -> Column:
-        value, piece = F.get(F.col(m), i), F.get(F.col(p), i)
-        start = F.get(F.col(f"__{name}_s"), i) + F.length(piece)
-        fields = [start.alias("start"), (start + F.length(value)).alias("end"), value.alias("value"), F.get(F.col(g), i).alias("grp")]
+    groups = F.regexp_extract_all(F.col(text), F.lit(pattern), F.lit(group)) if group else F.col(m)
+
+    def spans(pieces: Column) -> Column:
+        before = F.slice(pieces, 1, F.size(m))
+        sums = prefix_sums(F.zip_with(before, F.col(m), lambda a, b: (F.length(a) + F.length(b)).cast("long")))
+        rows = F.arrays_zip(F.col(m).alias("m"), groups.alias("g"), sums.alias("s"), before.alias("p"), F.slice(pieces, 2, F.size(m)).alias("q"))
+        return F.transform(rows, struct)
+
+    def struct(z: Column) -> Column:
+        at, value, piece = (z[i] for i in ("s", "m", "p"))
+        start = at + F.length(piece)
+        fields = [start.alias("start"), (start + F.length(value)).alias("end"), value.alias("value"), z["g"].alias("grp")]
         if context:
-            fields += [F.right(piece, F.lit(context + 1)).alias("left"), F.left(F.get(F.col(p), i + 1), F.lit(context + 1)).alias("right")]
+            fields += [F.right(piece, F.lit(context + 1)).alias("left"), F.left(z["q"], F.lit(context + 1)).alias("right")]
         return F.struct(*fields)
 
     empty = "array<struct<start:bigint,end:bigint,value:string,grp:string" + (",left:string,right:string" if context else "") + ">>"
-    spans = F.when(some, F.transform(F.sequence(F.lit(0), F.size(m) - 1), struct)).otherwise(F.array().cast(empty))
+    found = F.when(F.size(m) > 0, let(F.split(F.col(text), pattern, -1), spans)).otherwise(F.array().cast(empty))
     if ok is not None:
-        spans = F.filter(spans, lambda s: ok(s["value"], s["grp"]))
-    return df.withColumn(name, spans).drop(m, g, p, f"__{name}_s")
+        found = F.filter(found, lambda s: ok(s["value"], s["grp"]))
+    return df.withColumn(name, found).drop(m)
 
 
 def tagged(spans: Column, order: int, kind: str) -> Column:
