@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
-from quillgraph.llm import archive, bpe, exact, mixing, pii, quality, secrets
+from quillgraph.llm import archive, bpe, exact, lines, mixing, neardup, pii, quality, secrets
 
 QUERIES = {
     "op1_warc_archives": archive.op1_warc_archives,
     "op2_pii_disclosure": pii.op2_pii_disclosure,
     "op4_source_mix": mixing.op4_source_mix,
+    "op5_line_dedup": lines.op5_line_dedup,
     "op6_exact_dedup": exact.op6_exact_dedup,
     "op7_bpe_round_trip": bpe.op7_bpe_round_trip,
+    "op8_near_duplicates": neardup.op8_near_duplicates,
     "op9_secret_scan": secrets.op9_secret_scan,
     "op10_quality_rules": quality.op10_quality_rules,
 }
