@@ -20,6 +20,8 @@ Null texts have no lines.  Rows that agree in id and text are one document: thei
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -46,27 +48,43 @@ def line_key() -> list[Column]:
     return [F.xxhash64("line").alias("k0"), F.xxhash64(F.lit(77), "line", F.length("line")).alias("k1")]
 
 
-def _segment(length: Column, edits: int, i: int) -> tuple[Column, Column]:
-    """Start and length of segment i of a string; lengths differ by one at most."""
-    size = lambda j: F.floor((length + j) / (edits + 1)).cast("int")
-    start = sum((size(j) for j in range(i)), F.lit(0))
-    return start, size(i)
+def _entries(edits: int, probe: bool) -> list[tuple[int, int, int]]:
+    """(delta, i, shift): segment i of a line shorter by delta, looked for with that shift.
+
+    The shift is bounded by the edits on either side of the segment.
+    """
+    return [
+        (delta, i, shift)
+        for delta in (range(edits + 1) if probe else [0])
+        for i in range(edits + 1)
+        for shift in (range(max(-i, delta - (edits - i)), min(i, delta + (edits - i)) + 1) if probe else [0])
+    ]
+
+
+def _place(edits: int, delta: int, i: int, shift: int) -> tuple[str, str]:
+    """SQL of start and size of an entry in a string ``s`` of length ``n``; segments differ by one at most."""
+    size = lambda j: f"((n - {delta} + {j}) div {edits + 1})"
+    return " + ".join([*(size(j) for j in range(i)), f"{shift}"]), size(i)
+
 
+def _keys(edits: int, probe: bool) -> Column:
+    """Array of a key per entry; null where the entry isn't within the string.  Plain generated code."""
+    out = []
+    for delta, i, shift in _entries(edits, probe):
+        start, size = _place(edits, delta, i, shift)
+        key = f"xxhash64(g, {i}, n - {delta}, substring(s, int({start} + 1), int({size})))"
+        inside = [f"n > {delta}"] * (delta > 0) + [f"{start} >= 0"] * (shift < 0) + [f"{start} + {size} <= n"] * (shift > delta)
+        out.append(f"if({' and '.join(inside)}, {key}, null)" if inside else key)
+    return F.expr(f"array({', '.join(out)})")
 
-def _entries(edits: int, probe: bool, s: str = "s", group: str = "g") -> Column:
-    """Array of (key, start, size): the segments to index, or the substrings to look up."""
-    n, out = F.length(s), []
-    for delta in range(edits + 1) if probe else [0]:
-        for i in range(edits + 1):
-            start, size = _segment(n - delta, edits, i)
-            # the match's shift is bounded by the edits on either side of the segment
-            shifts = range(max(-i, delta - (edits - i)), min(i, delta + (edits - i)) + 1) if probe else [0]
-            for shift in shifts:
-                at = start + shift
-                key = F.xxhash64(group, F.lit(i), n - delta, F.substring(s, at + 1, size))
-                fits = (at >= 0) & (at + size <= n) & (n - delta > 0)
-                out.append(F.when(fits, F.struct(key.alias("key"), at.alias("start"), size.alias("size"))))
-    return F.filter(F.array(*out), lambda x: x.isNotNull())
+
+def _without(edits: int, probe: bool) -> Column:
+    """``s`` without the part that entry number ``e`` names."""
+    out = "null"
+    for k, (delta, i, shift) in enumerate(_entries(edits, probe)):
+        start, size = _place(edits, delta, i, shift)
+        out = f"if(e = {k}, concat(substring(s, 1, int({start})), substring(s, int({start} + {size} + 1))), {out})"
+    return F.expr(out)
 
 
 def near_candidates(lines: DataFrame, edits: int = EDITS) -> DataFrame:
@@ -74,77 +92,88 @@ def near_candidates(lines: DataFrame, edits: int = EDITS) -> DataFrame:
 
     ``lines`` has lid and line, no two equal.
     """
-    both = lines.select(F.lit(0).cast("long").alias("g"), "lid", F.col("line").alias("s"))
-    index_rows = probe_rows = both
+    rows = {probe: lines.select(F.lit(0).cast("long").alias("g"), "lid", F.col("line").alias("s"), F.length("line").alias("n")) for probe in (False, True)}
     pairs = None
     for depth in range(DEPTH + 1):
-        index = index_rows.select("lid", "s", F.explode(_entries(edits, False)).alias("e"))
-        probe = probe_rows.select("lid", "s", F.explode(_entries(edits, True)).alias("e"))
-        left, right = (x.select(F.col("e.key").alias("key"), F.col("lid").alias(n)) for x, n in ((index, "a"), (probe, "b")))
-        hot = None
-        if depth < DEPTH:
-            hot = Table(left.groupBy("key").agg(F.count("*").alias("m")).where(F.col("m") > HOT).select("key"), "line-hot")
-            if not hot.rows():
-                hot = None
-        if hot is not None:
-            left, right = (x.join(hot.small(), "key", "left_anti") for x in (left, right))
-        met = left.join(right, "key").where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-        pairs = met if pairs is None else pairs.unionByName(met)
-        if hot is None:
+        met = {probe: rows[probe].select("lid", F.posexplode(_keys(edits, probe)).alias("e", "key")).where("key is not null") for probe in rows}
+        hot = Table(met[False].groupBy("key").agg(F.count("*").alias("m")).where(F.col("m") > HOT).select("key"), "line-hot") if depth < DEPTH else None
+        more = hot is not None and hot.rows() > 0
+        a, b = (met[probe].select("key", F.col("lid").alias(n)) for probe, n in ((False, "a"), (True, "b")))
+        if more:
+            a, b = (x.join(hot.small(), "key", "left_anti") for x in (a, b))
+        both = a.join(b, "key").where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+        pairs = both if pairs is None else pairs.unionByName(both)
+        if not more:
             break
-        rest = F.concat(F.substring("s", F.lit(1), F.col("e.start")), F.substring("s", F.col("e.start") + F.col("e.size") + 1, F.length("s")))
-        on = lambda x: x.select("lid", F.col("e.key").alias("key"), rest.alias("s")).join(hot.small(), "key", "left_semi").select(F.col("key").alias("g"), "lid", "s").distinct()  # noqa: B023, E731
-        index_rows, probe_rows = Table(on(index), "line-index").df(), Table(on(probe), "line-probe").df()
+        for probe in rows:
+            again = rows[probe].select("lid", "s", "n", F.posexplode(_keys(edits, probe)).alias("e", "key")).join(hot.small(), "key", "left_semi")
+            cut = again.select(F.col("key").alias("g"), "lid", _without(edits, probe).alias("s")).distinct()
+            rows[probe] = Table(cut.withColumn("n", F.length("s")), "line-rest").df()
     return pairs.distinct()
 
 
+def _common(x: str, y: str, side: Callable[[str, Column], Column]) -> Column:
+    """Code points that the two strings share at one side, by halving steps of whole comparisons."""
+
+    def step(n: Column, more: Column) -> Column:
+        to = n + more
+        return F.when((to <= F.least(F.length(x), F.length(y))) & (side(x, to) == side(y, to)), to).otherwise(n)
+
+    return F.aggregate(F.array(*(F.lit(1 << k) for k in range(24, -1, -1))), F.lit(0), step)
+
+
 def within(df: DataFrame, long: str, short: str, edits: int = EDITS) -> DataFrame:
     """The rows whose strings, the first the longer by at most ``edits``, are within ``edits`` edits.
 
-    A column of the distance table is a word that holds the cells of its band: bit k of column j is row
-    j - edits + k.  ``vp`` and ``vn`` say where a cell is one above or one below the cell over it.  The
-    distance is followed down the band's lowest diagonal to the last row and then along that row.
+    What the strings share at both ends is taken off first.  Of the rest, a column of the distance table
+    is a word that holds the cells of its band: bit k of column j is row j - edits + k.  ``vp`` and ``vn``
+    say where a cell is one above or one below the cell over it.  The distance is followed down the
+    band's lowest diagonal to the last row and then along that row; rows beyond help are not worked on.
     """
     width = 2 * edits + 1
     ones = (1 << width) - 1
     lit = lambda x: F.lit(x).cast("int")
     inv = lambda x: x.bitwiseXOR(lit(ones))
     half = lambda x: F.shiftright(x, 1)
-    m, n = F.length(long), F.length(short)
-    df = df.withColumns({"__p": F.split(long, ""), "__m": m, "__give_up": 2 * edits + n - m})
-
-    def masks(p: Column) -> Column:
-        """Per character of the shorter string, where the band's rows hold it."""
-
-        def bit(c: Column, j: Column, k: int) -> Column:
-            row = j + (k - edits)
-            return F.when((row >= 0) & (F.get(p, row) == c), lit(1 << k)).otherwise(lit(0))
-
-        return F.transform(F.split(short, ""), lambda c, j: sum((bit(c, j, k) for k in range(width)), lit(0)))
-
-    def step(acc: Column, x: Column) -> Column:
-        vp, vn, d, j = (acc[k] for k in ("vp", "vn", "d", "j"))
-        carried = (x.bitwiseAND(vp) + vp).bitwiseAND(lit(ones))
-        d0 = carried.bitwiseXOR(vp).bitwiseOR(x).bitwiseOR(vn)
-
-        def after(d0: Column) -> Column:
-            hp, hn = vn.bitwiseOR(inv(d0.bitwiseOR(vp))), d0.bitwiseAND(vp)
-            last = F.col("__m") - edits  # from this column on, the last row is within the band
-            place = width - 2 - (j - last)
-            at = lambda v: F.call_function("shiftright", v, place).bitwiseAND(lit(1))
-            down = d + (lit(1) - F.shiftright(d0, width - 1))
-            return F.struct(
-                hn.bitwiseOR(inv(half(d0).bitwiseOR(hp))).alias("vp"),
-                half(d0).bitwiseAND(hp).alias("vn"),
-                F.when(j < last, down).otherwise(d + at(hp) - at(hn)).cast("int").alias("d"),
-                (j + 1).cast("int").alias("j"),
-            )
-
-        return F.when(d > F.col("__give_up"), acc).otherwise(let(d0, after))
+    df = df.withColumn("__head", _common(long, short, F.left))
+    df = df.withColumns({"__x": F.expr(f"substring({long}, __head + 1)"), "__y": F.expr(f"substring({short}, __head + 1)")})
+    df = df.withColumn("__tail", _common("__x", "__y", F.right))
+    df = df.withColumns({c: F.expr(f"left({c}, length({c}) - __tail)") for c in ("__x", "__y")})
+    df = df.withColumns({"__p": F.split("__x", ""), "__m": F.length("__x"), "__n": F.length("__y")})
+
+    def masks(p: Column, c: Column, j: Column) -> Column:
+        """Which of the band's rows hold the character."""
+        bit = lambda k: F.when((j + (k - edits) >= 0) & (F.get(p, j + (k - edits)) == c), lit(1 << k)).otherwise(lit(0))
+        return sum((bit(k) for k in range(width)), lit(0))
+
+    def step(p: Column):
+        def run(acc: Column, c: Column) -> Column:
+            vp, vn, d, j = (acc[k] for k in ("vp", "vn", "d", "j"))
+
+            def diagonal(x: Column) -> Column:
+                carried = (x.bitwiseAND(vp) + vp).bitwiseAND(lit(ones))
+                return carried.bitwiseXOR(vp).bitwiseOR(x).bitwiseOR(vn)
+
+            def after(d0: Column) -> Column:
+                hp, hn = vn.bitwiseOR(inv(d0.bitwiseOR(vp))), d0.bitwiseAND(vp)
+                last = F.col("__m") - edits  # from this column on, the last row is within the band
+                at = lambda v: F.call_function("shiftright", v, width - 2 - (j - last)).bitwiseAND(lit(1))
+                down = d + (lit(1) - F.shiftright(d0, width - 1))
+                return F.struct(
+                    hn.bitwiseOR(inv(half(d0).bitwiseOR(hp))).alias("vp"),
+                    half(d0).bitwiseAND(hp).alias("vn"),
+                    F.when(j < last, down).otherwise(d + at(hp) - at(hn)).cast("int").alias("d"),
+                    (j + 1).cast("int").alias("j"),
+                )
+
+            return F.when(d > 2 * edits + F.col("__n") - F.col("__m"), acc).otherwise(let(let(masks(p, c, j), diagonal), after))
+
+        return run
 
     start = F.struct(lit(ones ^ ((1 << edits) - 1)).alias("vp"), lit(0).alias("vn"), lit(edits).alias("d"), lit(0).alias("j"))
-    end = F.aggregate(let(F.col("__p"), masks), start, step)
-    return df.where(end["d"] <= edits).drop("__p", "__m", "__give_up")
+    end = let(F.col("__p"), lambda p: F.aggregate(F.split("__y", ""), start, step(p)))
+    near = (F.col("__m") <= edits) | F.when(F.col("__n") > 0, end["d"] <= edits).otherwise(F.lit(False))
+    return df.where(near).drop("__head", "__tail", "__x", "__y", "__p", "__m", "__n")
 
 
 def near_links(lines: Table, edits: int = EDITS) -> DataFrame:

@@ -8,9 +8,9 @@ confirmed on the sets themselves.
 
 Copies cost nothing: documents with equal sets are one class, and only classes are compared.  A bucket of
 m classes gives m - 1 candidates, each class with the bucket's first document.  After these are confirmed
-and joined into components, buckets that still hold several components are searched again for pairs
-across components, in blocks of sketches, so no link between different texts is lost and no bucket is
-capped.  With 24 bands of 5 samples a pair at similarity 0.85 shares no bucket with probability 8e-7.
+and joined into components, buckets that still hold several components are searched again for links between them: small
+ones pair by pair, and large ones as families whose members are all compared in blocks, by an inverted
+index of their full sets.  So no link between different texts is lost, and no bucket is capped.  With 24 bands of 5 samples a pair at similarity 0.85 shares no bucket with probability 8e-7.
 
 A text with fewer words than a shingle is one shingle; a null text or one without words has an empty set
 and links with nothing.  Rows with equal texts share their component.  A null id comes last in order.
@@ -36,8 +36,8 @@ by_value(__name__)
 SIGMAS = 6
 #: Members of a bucket compared within a join; larger buckets are compared in blocks.
 SMALL_BUCKET = 32
-#: Sketches of a block.
-BLOCK = 1024
+#: Documents of a block, and their shingles, on average at most.
+BLOCK, BLOCK_SHINGLES = 512, 1_000_000
 #: Partners confirmed in one task with the document they share.
 PARTNERS = 64
 #: Words whose hashes a worker remembers.
@@ -174,29 +174,39 @@ def _verified(spec: Spec):
     """Cogrouped map: the shared document's text against those of its partners, on full sets of shingles."""
 
     def run(partners: pa.Table, shared: pa.Table) -> pa.Table:
-        def full(raw: bytes, d0: int, d1: int):
-            words = raw.lower().split()
-            if set_digest(shingle_hashes(words, spec.words)) != (d0, d1):
-                return None  # another row with the same id
+        def full(raw: pa.BinaryScalar) -> set:
+            words = raw.as_buffer().to_pybytes().lower().split()
             width = min(spec.words, len(words))
             return set(zip(*(words[i:] for i in range(width)), strict=False))
 
         out: list[tuple[int, int]] = []
-        hubs = (full(*x) for x in zip(*(shared.column(c).to_pylist() for c in ("raw", "d0", "d1")), strict=True))
-        hub = next((h for h in hubs if h is not None), None)
-        if hub is not None:
-            for batch in partners.to_batches(max_chunksize=16):
-                for a, b, raw, d0, d1 in zip(*(batch.column(batch.schema.get_field_index(c)).to_pylist() for c in ("a", "b", "raw", "d0", "d1")), strict=True):
-                    other = full(raw, d0, d1)
-                    if other is not None:
-                        both = len(hub & other)
-                        if spec.under * both >= spec.over * (len(hub) + len(other) - both):
-                            out.append((a, b))
+        hub = full(shared.column("raw")[0])
+        for a, b, raw in zip(partners.column("a").to_pylist(), partners.column("b").to_pylist(), partners.column("raw"), strict=True):
+            other = full(raw)
+            both = len(hub & other)
+            if spec.under * both >= spec.over * (len(hub) + len(other) - both):
+                out.append((a, b))
         return pa.table({"a": pa.array([x[0] for x in out], pa.int64()), "b": pa.array([x[1] for x in out], pa.int64())})
 
     return run
 
 
+def _texts(docs: DataFrame, need: Table, spec: Spec) -> DataFrame:
+    """cid, raw: the text of each class in ``need`` (cid, rep, d0, d1); one row each.
+
+    Rows that share an id with the class's document but have another set are told by their digest.
+    """
+    found = docs.join(need.small().select("cid", "rep", "d0", "d1"), F.col("id") == F.col("rep")).select("cid", "raw", "d0", "d1")
+
+    def right(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            raws, d0, d1 = (batch.column(i).to_pylist() for i in (1, 2, 3))
+            ok = [set_digest(shingle_hashes(r.lower().split(), spec.words)) == (x, y) for r, x, y in zip(raws, d0, d1, strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column(i).filter(pa.array(ok, pa.bool_())) for i in (0, 1)], names=["cid", "raw"])
+
+    return found.mapInArrow(right, "cid long, raw binary").dropDuplicates(["cid"])
+
+
 def confirm(pairs: Table, classes: Table, docs: DataFrame, spec: Spec) -> Table:
     """a, b of the pairs that are links by their full sets.
 
@@ -205,53 +215,85 @@ def confirm(pairs: Table, classes: Table, docs: DataFrame, spec: Spec) -> Table:
     """
     wanted = pairs.df().select(F.explode(F.array("a", "b")).alias("cid")).distinct()
     need = Table(classes.df().select("cid", "rep", "d0", "d1").join(wanted, "cid", "left_semi"), "near-wanted")
-    texts = Table(docs.join(need.small(), F.col("id") == F.col("rep")).select("cid", "d0", "d1", "raw"), "near-texts")
+    texts = Table(_texts(docs, need, spec), "near-texts")
     many = Table(pairs.df().groupBy("a").agg(F.count("*").alias("deg")).where(F.col("deg") > PARTNERS), "near-hubs")
     salt = F.pmod(F.xxhash64("b"), F.ceil(F.coalesce("deg", F.lit(1)) / PARTNERS))
     dealt = Table(pairs.df().join(many.small(), "a", "left").select("a", "b", salt.cast("long").alias("salt")), "near-dealt")
-    partners = dealt.df().join(texts.df(), F.col("b") == F.col("cid")).select("a", "salt", "b", "d0", "d1", "raw")
-    shared = dealt.df().select("a", "salt").distinct().join(texts.df(), F.col("a") == F.col("cid")).select("a", "salt", "d0", "d1", "raw")
+    partners = dealt.df().join(texts.df(), F.col("b") == F.col("cid")).select("a", "salt", "b", "raw")
+    shared = dealt.df().select("a", "salt").distinct().join(texts.df(), F.col("a") == F.col("cid")).select("a", "salt", "raw")
     links = partners.groupBy("a", "salt").cogroup(shared.groupBy("a", "salt")).applyInArrow(_verified(spec), "a long, b long")
     return Table(links, "near-links")
 
 
-def _across(most: int):
-    """Grouped map over a block pair of a large bucket: pairs across components with near sketches."""
+def _merges(spec: Spec):
+    """Grouped map over two blocks of a family: links that join components, by full sets of hashes.
+
+    An inverted index of the second block's shingles gives a document's intersections with all of that
+    block at once.  Only links that join two components are emitted, so the output is below the members.
+    """
 
     def run(key: tuple, rows: pa.Table) -> pa.Table:
         i, j = key[1].as_py(), key[2].as_py()
         block, cid, label = (rows.column(c).to_numpy() for c in ("block", "cid", "label"))
-        odd = np.stack(rows.column("odd").to_numpy(zero_copy_only=False)).view(np.uint64)
+        sets = [shingle_hashes(raw.as_buffer().to_pybytes().lower().split(), spec.words) for raw in rows.column("raw")]
+        size = np.array([len(x) for x in sets], np.int64)
         at, to = np.flatnonzero(block == i), np.flatnonzero(block == j)
+        owners = np.repeat(np.arange(len(to)), size[to])
+        flat = np.concatenate([sets[k] for k in to]) if len(to) else np.zeros(0, np.uint64)
+        order = np.argsort(flat, kind="stable")
+        owners = owners[order]
+        known, start, times = np.unique(flat[order], return_index=True, return_counts=True)
+        parent: dict[int, int] = {}
+
+        def root(x: int) -> int:
+            while parent.setdefault(x, x) != x:
+                parent[x] = x = parent[parent[x]]
+            return x
+
         left, right = [], []
-        for x in at:
-            near = np.bitwise_count(odd[to] ^ odd[x]).sum(axis=1) <= most
-            near &= (label[to] != label[x]) & ((cid[to] > cid[x]) if i == j else True)
-            left.append(np.full(int(near.sum()), cid[x]))
-            right.append(cid[to[near]])
-        a = np.concatenate(left) if left else np.zeros(0, np.int64)
-        b = np.concatenate(right) if right else np.zeros(0, np.int64)
-        return pa.table({"a": pa.array(np.minimum(a, b), pa.int64()), "b": pa.array(np.maximum(a, b), pa.int64())})
+        for x in at if len(known) else []:
+            place = np.minimum(np.searchsorted(known, sets[x]), len(known) - 1)
+            place = place[known[place] == sets[x]]
+            lists, lengths = start[place], times[place]
+            index = np.repeat(lists - np.r_[0, np.cumsum(lengths)[:-1]], lengths) + np.arange(lengths.sum()) if len(place) else np.zeros(0, np.int64)
+            both = np.bincount(owners[index], minlength=len(to))
+            linked = spec.under * both >= spec.over * (size[x] + size[to] - both)
+            for other, y in zip(*np.unique(label[to[linked]], return_index=True), strict=True):
+                a, b = root(int(label[x])), root(int(other))
+                if a != b:
+                    parent[a] = b
+                    left.append(int(cid[x]))
+                    right.append(int(cid[to[np.flatnonzero(linked)[y]]]))
+        return pa.table({"a": pa.array(left, pa.int64()), "b": pa.array(right, pa.int64())})
 
     return run
 
 
-def _rest(members: Table, classes: Table, labels: Table, spec: Spec) -> DataFrame:
-    """a, b: candidates across components in buckets that hold more than one component."""
+def _rest(members: Table, classes: Table, labels: Table, docs: DataFrame, spec: Spec) -> tuple[DataFrame, DataFrame]:
+    """Candidates in small buckets, and links in large ones, across the components that share a bucket.
+
+    Small buckets give their pairs.  Large ones that share members are one family; all of its members are
+    compared with each other in blocks, once, whatever number of buckets they meet in.
+    """
     labelled = members.df().join(labels.small(), F.col("cid") == F.col("node"), "left").select("bucket", "cid", F.coalesce("label", "cid").alias("label"))
     labelled = Table(labelled, "near-labelled")
-    mixed = labelled.df().groupBy("bucket").agg(F.count("*").alias("m"), F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi and m > 2").select("bucket", "m")
+    mixed = labelled.df().groupBy("bucket").agg(F.count("*").alias("m"), F.min("label").alias("lo"), F.max("label").alias("hi"), F.min("cid").alias("hub")).where("lo <> hi and m > 2").select("bucket", "m", "hub")
     mixed = Table(mixed, "near-mixed")
-    sketches = classes.df().select("cid", "odd")
-    open_ = Table(labelled.df().join(mixed.small(), "bucket").join(sketches, "cid"), "near-open")
-    small = open_.df().where(F.col("m") <= SMALL_BUCKET)
+    open_ = Table(labelled.df().join(mixed.small(), "bucket"), "near-open")
+    small = open_.df().where(F.col("m") <= SMALL_BUCKET).join(classes.df().select("cid", "odd"), "cid")
     other = small.select("bucket", F.col("cid").alias("b"), F.col("label").alias("lb"), F.col("odd").alias("ob"))
-    pairs = small.join(other, "bucket").where("cid < b and label <> lb").where(_differing("odd", "ob") <= spec.most_bits()).select(F.col("cid").alias("a"), "b")
-    blocks = F.ceil(F.col("m") / BLOCK).cast("int")
-    large = open_.df().where(F.col("m") > SMALL_BUCKET).withColumn("blocks", blocks).withColumn("block", F.pmod(F.hash("cid"), F.col("blocks")))
-    dealt = large.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select("bucket", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "cid", "label", "odd")
-    far = dealt.groupBy("bucket", "i", "j").applyInArrow(_across(spec.most_bits()), "a long, b long")
-    return pairs.unionByName(far).distinct()
+    pairs = small.join(other, "bucket").where("cid < b and label <> lb").where(_differing("odd", "ob") <= spec.most_bits()).select(F.col("cid").alias("a"), "b").distinct()
+
+    large = open_.df().where(F.col("m") > SMALL_BUCKET)
+    family = components(large.select(F.col("cid").alias("a"), F.col("hub").alias("b")))
+    named = family.df().select(F.col("node").alias("cid"), F.col("label").alias("family"))
+    inside = Table(large.select("cid", "label").distinct().join(named, "cid").join(classes.df().select("cid", "rep", "d0", "d1", "n"), "cid"), "near-inside")
+    blocks = inside.df().groupBy("family").agg(F.greatest(F.ceil(F.count("*") / BLOCK), F.ceil(F.sum("n") / BLOCK_SHINGLES)).cast("int").alias("blocks"))
+    dealt = inside.df().join(Table(blocks, "near-families").small(), "family").withColumn("block", F.pmod(F.hash("cid"), F.col("blocks")))
+    texts = Table(_texts(docs, inside, spec).select("cid", "raw"), "near-family-texts")
+    sent = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select("family", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "cid", "label")
+    far = sent.join(texts.df(), "cid").groupBy("family", "i", "j").applyInArrow(_merges(spec), "a long, b long")
+    return pairs, far
 
 
 def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", spec: Spec = Spec()) -> DataFrame:  # noqa: B008
@@ -271,11 +313,13 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     links = confirm(Table(near, "near-candidates"), classes, docs, spec)
     labels = components(links.df())
     seen = star.df().select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    rest = Table(_rest(members, classes, labels, spec).join(seen, ["a", "b"], "left_anti"), "near-rest")
-    if rest.rows():
-        more = confirm(rest, classes, docs, spec)
-        if more.rows():
-            labels = components(links.df().unionByName(more.df()))
+    pairs, far = _rest(members, classes, labels, docs, spec)
+    pairs = Table(pairs.join(seen, ["a", "b"], "left_anti"), "near-rest")
+    far = Table(far, "near-far")
+    more = confirm(pairs, classes, docs, spec) if pairs.rows() else None
+    if far.rows() or more is not None and more.rows():
+        every = links.df().unionByName(far.df())
+        labels = components(every.unionByName(more.df()) if more is not None else every)
     named = classes.df().join(labels.small(), F.col("cid") == F.col("node"), "left").select("d0", "d1", "rep", F.coalesce("label", "cid").alias("label"))
     named = Table(named, "near-named")
     lowest = Table(named.df().groupBy("label").agg(F.min("rep").alias("component")), "near-lowest")

@@ -74,6 +74,7 @@ def test_against_brute_force(spark, prose):
 def test_large_buckets_are_compared_in_blocks(spark, prose, monkeypatch):
     monkeypatch.setattr(neardup, "SMALL_BUCKET", 2)
     monkeypatch.setattr(neardup, "BLOCK", 8)
+    monkeypatch.setattr(neardup, "BLOCK_SHINGLES", 900)
     monkeypatch.setattr(neardup, "PARTNERS", 4)
     r = random.Random(6)
     text, rows = prose(80, 5), []
