@@ -44,7 +44,8 @@ class Spec:
     width: int = 16
     context: int = 1
     rounds: int = 2
-    batch: int = 4096
+    passes: int = 2
+    batch: int = 1024
     noise: int = 256
     per_token: float = 8.0
     rate: float = 0.1
@@ -174,13 +175,13 @@ class Model:
         return out
 
     def train(self, history: np.ndarray, target: np.ndarray, seed: int) -> None:
-        """One pass of noise-contrastive estimation over all tokens; equal pairs count by their number."""
+        """Noise-contrastive estimation over all tokens; equal pairs are one row that counts by its number."""
         spec, rng = self.spec, np.random.default_rng(seed)
         key = history[:, -1].astype(np.int64)
         for i in range(spec.context - 2, -1, -1):
             key = key * len(self.b) + history[:, i]
         _, first, times = np.unique(key * len(self.b) + target, return_index=True, return_counts=True)
-        mixed = rng.permutation(len(first))
+        mixed = np.concatenate([rng.permutation(len(first)) for _ in range(spec.passes)])
         first, times = first[mixed], times[mixed].astype(np.float32)
         cdf = np.cumsum(self.noise)
         log_k = np.log(spec.per_token * self.noise).astype(np.float32)

@@ -75,7 +75,7 @@ def test_scores_beat_the_unigram_on_held_out_text(spark):
     r = random.Random(4)
     rows = [(i, chain(r, 150)) for i in range(400)]
     df = spark.createDataFrame(rows, "doc_id long, text string").repartition(2)
-    spec = lm.Spec(classes=100, batch=256, noise=64, rounds=4)
+    spec = lm.Spec(classes=100, batch=64, noise=64, rounds=4, passes=10)
     got = [x for x in lm.score(df, spec=spec).collect() if x.held_out]
     assert len(got) > 10
     assert sum(x.score for x in got) > sum(x.base_score for x in got) * 0.9
