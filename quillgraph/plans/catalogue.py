@@ -1,6 +1,603 @@
-"""Query catalogue of the graph operators."""
+"""Query catalogue of the graph operators: each a DataFrame query, and SQL for the same rows.
+
+Doubles are rounded in both; every order is total.
+"""
 
 from __future__ import annotations
 
-QUERIES: dict = {}
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from quillgraph.functions import text, web
+from quillgraph.functions.terms import LABEL, OWL, RDF_TYPE, RDFS, Namespaces, triple, union
+from quillgraph.operators import align, build, embed, extract, graph, rules
+from quillgraph.plans import rag
+from quillgraph.plans.sparql import compile_query
+from quillgraph.plans.views import ENTITIES, RELATIONS, TE, C, E, P, T, edge_view, entities, read, relations, slug_sql, triple_view
+from quillgraph.sources import files, rdf
+
+Query = Callable[[SparkSession, str], DataFrame]
+QUERIES: dict[str, Query] = {}
 ORACLES: dict[str, str] = {}
+
+
+def query(sql: str | None = None) -> Callable[[Query], Query]:
+    def add(f: Query) -> Query:
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLES[f.__name__] = sql
+        return f
+
+    return add
+
+
+def words_sql(x: str) -> str:
+    return f"regexp_split_to_array({x}, '[^a-z0-9]+')"
+
+
+# pattern queries
+
+
+@query(f"WITH {T} SELECT a.s, b.p, b.o FROM t a JOIN t b ON a.s = b.s WHERE a.p = '{LABEL}' AND contains(lower(a.o), '00001') ORDER BY 1, 2, 3 LIMIT 30")
+def label_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return compile_query(rag.label_query("00001"), triple_view(spark, sf_dir))
+
+
+@query(f"WITH {T} SELECT s, p, o FROM t WHERE regexp_matches(s, 'NATION|region', 'i') ORDER BY 1, 2, 3 LIMIT 30")
+def iri_regex_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return compile_query(rag.iri_query("NATION|region"), triple_view(spark, sf_dir))
+
+
+@query(f"""WITH {T}, v AS (SELECT unnest(['{E}nation/1', '{E}nation/7', '{E}region/2', '{E}nowhere/1']) AS s)
+SELECT t.s, t.o AS name, r.o AS region FROM v JOIN t USING (s) LEFT JOIN t r ON r.s = v.s AND r.p = '{P}partOf' WHERE t.p = '{LABEL}'""")
+def sparql_optional_values(spark: SparkSession, sf_dir: str) -> DataFrame:
+    text_ = f"""PREFIX e: <{E}> PREFIX p: <{P}>
+    SELECT ?s ?name ?region WHERE {{ VALUES ?s {{ e:nation\\/1 e:nation\\/7 <{E}region/2> <{E}nowhere/1> }}
+      ?s <{LABEL}> ?name . OPTIONAL {{ ?s p:partOf ?region }} }}"""
+    return compile_query(text_, triple_view(spark, sf_dir))
+
+
+@query(f"""WITH {T} SELECT a.o AS nation, b.o AS region FROM t a JOIN t ta ON ta.s = a.s AND ta.p = '{RDF_TYPE}' AND ta.o = '{C}Nation'
+CROSS JOIN t b JOIN t tb ON tb.s = b.s AND tb.p = '{RDF_TYPE}' AND tb.o = '{C}Region'
+WHERE a.p = '{LABEL}' AND b.p = '{LABEL}' AND contains(lower(a.o), substr(lower(b.o), 4, 3))""")
+def sparql_theta_contains(spark: SparkSession, sf_dir: str) -> DataFrame:
+    text_ = f"""PREFIX c: <{C}> PREFIX rdfs: <{RDFS}>
+    SELECT ?nation ?region WHERE {{ ?a a c:Nation ; rdfs:label ?nation . ?b a c:Region ; rdfs:label ?region .
+      FILTER(CONTAINS(LCASE(?nation), SUBSTR(LCASE(?region), 4, 3))) }}"""
+    return compile_query(text_, triple_view(spark, sf_dir))
+
+
+@query(f"WITH {T} SELECT o AS nation, count(*)::DOUBLE::VARCHAR AS n FROM t WHERE p = '{P}locatedIn' AND s LIKE '{E}customer/%' GROUP BY o HAVING count(*) > 2 ORDER BY count(*) DESC, o LIMIT 10")
+def sparql_group_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    text_ = f"""SELECT ?nation (COUNT(?c) AS ?n) WHERE {{ ?c <{P}locatedIn> ?nation . FILTER(STRSTARTS(STR(?c), "{E}customer/")) }}
+    GROUP BY ?nation HAVING (COUNT(?c) > 2) ORDER BY DESC(?n) ?nation LIMIT 10"""
+    return compile_query(text_, triple_view(spark, sf_dir)).withColumn("n", F.format_string("%.1f", F.col("n").cast("double")))
+
+
+@query(f"""WITH {T}, u AS (SELECT s FROM t WHERE p = '{RDF_TYPE}' AND o = '{C}Supplier' UNION SELECT s FROM t WHERE p = '{RDF_TYPE}' AND o = '{C}Nation')
+SELECT u.s FROM u WHERE NOT EXISTS (SELECT 1 FROM t WHERE t.s = u.s AND t.p = '{P}locatedIn' AND t.o = '{E}nation/3')""")
+def sparql_union_minus(spark: SparkSession, sf_dir: str) -> DataFrame:
+    text_ = f"SELECT DISTINCT ?s WHERE {{ {{ ?s a <{C}Supplier> }} UNION {{ ?s a <{C}Nation> }} MINUS {{ ?s <{P}locatedIn> <{E}nation/3> }} }}"
+    return compile_query(text_, triple_view(spark, sf_dir))
+
+
+@query(f"WITH {T} SELECT count(*) > 0 AS answer FROM t WHERE p = '{P}supplies' AND s = '{E}supplier/1'")
+def sparql_ask(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return compile_query(f"ASK {{ <{E}supplier/1> <{P}supplies> ?x }}", triple_view(spark, sf_dir))
+
+
+# pages and texts
+
+
+@query(r"SELECT doc_id, len(regexp_extract_all(text, '[^\s]+'))::BIGINT AS word_count FROM documents WHERE len(regexp_extract_all(text, '[^\s]+')) >= 250")
+def page_word_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return read(spark, sf_dir, "documents").select("doc_id", text.word_count("text").alias("word_count")).where("word_count >= 250")
+
+
+@query(r"SELECT count(*) FILTER (WHERE n >= 250)::BIGINT AS saved, count(*) FILTER (WHERE n < 250)::BIGINT AS skipped FROM (SELECT len(regexp_extract_all(coalesce(text, ''), '[^\s]+')) AS n FROM documents)")
+def page_saved_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    n = text.word_count("text")
+    return read(spark, sf_dir, "documents").agg(F.count_if(n >= 250).alias("saved"), F.count_if(n < 250).alias("skipped"))
+
+
+_PLAIN = r"""regexp_replace(regexp_replace(regexp_replace(regexp_replace(html, '<!--.*?-->', ' ', 'gs'), '<script\b[^>]*>.*?</script\s*>', ' ', 'gis'), '<style\b[^>]*>.*?</style\s*>', ' ', 'gis'), '<[^>]*>', ' ', 'gs')"""
+_UNESCAPED = _PLAIN
+for _name, _char in (("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "''"), ("&amp;", "&")):
+    _UNESCAPED = f"replace({_UNESCAPED}, '{_name}', '{_char}')"
+
+
+@query(rf"SELECT page_id, trim(regexp_replace({_UNESCAPED}, '\s+', ' ', 'g')) AS text FROM pages")
+def page_clean_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return read(spark, sf_dir, "pages").select("page_id", web.visible_text("html").alias("text"))
+
+
+@query(r"""SELECT page_id, nullif(trim(regexp_extract(html, '<title[^>]*>(.*?)</title>', 1, 'is')), '') AS title,
+nullif(regexp_extract(html, '<html[^>]*\blang=["'']?([A-Za-z-]+)', 1, 'is'), '') AS language, nullif(regexp_extract(url, '^[a-z]+://([^/?#]+)', 1), '') AS hostname FROM pages""")
+def page_metadata(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return read(spark, sf_dir, "pages").select("page_id", web.title("html").alias("title"), web.language("html").alias("language"), web.hostname("url").alias("hostname"))
+
+
+@query()
+def page_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents of pages by the main extractor, or else the baseline; approximate, so without an oracle."""
+    body, method = web.extracted("html")
+    docs = read(spark, sf_dir, "pages").select("page_id", "url", body.alias("text"), method.alias("extraction_method"))
+    return docs.withColumn("word_count", text.word_count("text")).where("extraction_method <> 'none'")
+
+
+@query(f"""SELECT DISTINCT x AS text, {slug_sql('x')} AS slug, '{E}' || {slug_sql('x')} AS iri FROM (
+SELECT c_name AS x FROM customer UNION ALL SELECT p_name FROM part UNION ALL SELECT substr(text, 1, 40) FROM documents)""")
+def entity_slugs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    names = read(spark, sf_dir, "customer").select(F.col("c_name").alias("text")).unionByName(read(spark, sf_dir, "part").select(F.col("p_name").alias("text"))).unionByName(read(spark, sf_dir, "documents").select(F.substring("text", 1, 40).alias("text")))
+    return names.distinct().select("text", text.slug("text").alias("slug"), Namespaces().entity("text").alias("iri"))
+
+
+_CAMEL = "lower({0}[1]) || array_to_string(list_transform({0}[2:], lambda w: upper(w[1]) || lower(w[2:])), '')"
+
+
+@query(f"""WITH x AS (SELECT DISTINCT p_type AS text FROM part UNION SELECT event_type FROM events UNION SELECT unnest(['be', 'be_in', '___', 'serve_to the_THING', 'go'])),
+w AS (SELECT text, list_filter(regexp_split_to_array(text, '[^A-Za-z0-9]+'), lambda z: z <> '') AS w FROM x),
+c AS (SELECT text, CASE WHEN len(w) = 0 THEN 'relatedTo' ELSE {_CAMEL.format('w')} END AS plain FROM w)
+SELECT text, plain, CASE WHEN plain IN ('be', 'have', 'do', 'get', 'make', 'go') THEN plain || 'Relation' ELSE plain END AS property FROM c""")
+def predicate_camel(spark: SparkSession, sf_dir: str) -> DataFrame:
+    extra = spark.createDataFrame([(x,) for x in ("be", "be_in", "___", "serve_to the_THING", "go")], "text string")
+    rows = read(spark, sf_dir, "part").select(F.col("p_type").alias("text")).unionByName(read(spark, sf_dir, "events").select(F.col("event_type").alias("text"))).unionByName(extra).distinct()
+    return rows.select("text", text.camel_case("text", False).alias("plain"), text.camel_case("text").alias("property"))
+
+
+@query("""SELECT page_id, CASE WHEN contains(url, '#') THEN string_split(url, '#')[-1] ELSE string_split(rtrim(url, '/'), '/')[-1] END AS stripped,
+CASE WHEN contains(url, '#') THEN string_split(url, '#')[-1] ELSE string_split(url, '/')[-1] END AS plain FROM pages""")
+def local_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return read(spark, sf_dir, "pages").select("page_id", text.local_name("url", True).alias("stripped"), text.local_name("url").alias("plain"))
+
+
+_EDGE = text.EDGE_CHARS.replace("'", "''")
+
+
+def _entity(x: str) -> str:
+    return rf"trim(regexp_replace({x}, '\s+', ' ', 'g'), '{_EDGE}')"
+
+
+@query(rf"SELECT conv_id, turn, {_entity('text')} AS entity, trim(regexp_replace(lower(text), '\s+', ' ', 'g')) AS plain FROM conversations")
+def text_normalize(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return read(spark, sf_dir, "conversations").select("conv_id", "turn", text.normalize_entity("text").alias("entity"), text.normalize("text").alias("plain"))
+
+
+@query(rf"""WITH w AS (SELECT DISTINCT unnest(string_split(substr(text, 1, 60), ' ')) AS x FROM documents UNION SELECT unnest(['Film', '(tv)', 'x', '...', 'Dunkirk'])),
+n AS (SELECT x, {_entity('x')} AS n FROM w)
+SELECT x AS text, length(n) > 1 AND lower(n) NOT IN ('film', 'series', 'television', 'movie', 'tv', 'season', 'episode') AS valid FROM n""")
+def valid_entities(spark: SparkSession, sf_dir: str) -> DataFrame:
+    extra = spark.createDataFrame([(x,) for x in ("Film", "(tv)", "x", "...", "Dunkirk")], "text string")
+    words = read(spark, sf_dir, "documents").select(F.explode(F.split(F.substring("text", 1, 60), " ")).alias("text")).unionByName(extra).distinct()
+    return words.select("text", text.valid_entity("text").alias("valid"))
+
+
+@query(f"""WITH b AS (SELECT item_id, list_distinct(list_filter({words_sql('lower(text)')}, lambda z: z <> '')) AS w FROM benchmark)
+SELECT a.item_id, len(list_intersect(a.w, b.w))::INT AS overlap, len(a.w)::INT AS own FROM b a JOIN b ON b.item_id = a.item_id + 1""")
+def token_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
+    b = read(spark, sf_dir, "benchmark").select("item_id", text.token_set(F.lower("text")).alias("w"))
+    nxt = b.select((F.col("item_id") - 1).alias("item_id"), F.col("w").alias("v"))
+    return b.join(nxt, "item_id").select("item_id", F.size(F.array_intersect("w", "v")).alias("overlap"), F.size("w").alias("own"))
+
+
+@query("SELECT page_id, 'Q' || page_id AS qid FROM pages")
+def qids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return read(spark, sf_dir, "pages").select("page_id", text.qid(F.concat(F.lit("http://www.wikidata.org/entity/Q"), F.col("page_id").cast("string"))).alias("qid"))
+
+
+# extraction
+
+_MENTIONS = rf"""sents AS (SELECT doc_id, unnest(string_split(regexp_replace(coalesce(text, ''), '([.!?])\s+', '\1' || chr(10), 'g'), chr(10))) AS sentence, generate_subscripts(string_split(regexp_replace(coalesce(text, ''), '([.!?])\s+', '\1' || chr(10), 'g'), chr(10)), 1) AS sent FROM documents),
+found AS (SELECT doc_id, sent, sentence, unnest(regexp_extract_all(sentence, '[A-Z][a-z]+(?: [A-Z][a-z]+)*|\b(?:1[89]|20)[0-9]{{2}}\b')) AS x, generate_subscripts(regexp_extract_all(sentence, '[A-Z][a-z]+(?: [A-Z][a-z]+)*|\b(?:1[89]|20)[0-9]{{2}}\b'), 1) AS i FROM sents),
+typed AS (SELECT *, CASE WHEN regexp_matches(x, '^[0-9]') THEN 'DATE' WHEN contains(x, ' ') THEN 'PERSON' ELSE 'ORG' END AS entity_type, {_entity('x')} AS entity_normalized FROM found)"""
+
+
+@query(f"""WITH {_MENTIONS} SELECT doc_id AS doc, entity_normalized, entity_type, count(*)::BIGINT AS mention_count, arg_min({_entity('sentence')}, sent * 100000 + i) AS example_sentence
+FROM typed WHERE length(entity_normalized) > 1 AND lower(entity_normalized) NOT IN ('film', 'series', 'television', 'movie', 'tv', 'season', 'episode') GROUP BY 1, 2, 3""")
+def mention_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract.mention_aggregates(extract.regex_entities(read(spark, sf_dir, "documents")))
+
+
+@query("""SELECT user_id, event_id, next_id FROM (SELECT user_id, event_id, event_type, ts, lead(event_id) OVER w AS next_id, lead(event_type) OVER w AS next_type, lead(ts) OVER w AS next_ts FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id))
+WHERE next_type <> event_type AND epoch(next_ts) - epoch(ts) <= 86400""")
+def adjacent_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    w = Window.partitionBy("user_id").orderBy("ts", "event_id")
+    nxt = lambda c: F.lead(c).over(w)
+    rows = read(spark, sf_dir, "events").select("user_id", "event_id", "event_type", "ts", nxt("event_id").alias("next_id"), nxt("event_type").alias("next_type"), nxt("ts").alias("next_ts"))
+    gap = F.unix_micros(F.col("next_ts").cast("timestamp")) - F.unix_micros(F.col("ts").cast("timestamp"))
+    return rows.where((F.col("next_type") != F.col("event_type")) & (gap <= 86_400_000_000)).select("user_id", "event_id", "next_id")
+
+
+@query("""SELECT source_url, subject, predicate, object, confidence FROM (
+SELECT o_custkey AS source_url, l_suppkey AS subject, l_returnflag AS predicate, l_linestatus AS object, l_discount AS confidence,
+row_number() OVER (PARTITION BY o_custkey, l_suppkey, l_returnflag, l_linestatus ORDER BY l_discount DESC, l_orderkey * 10 + l_linenumber) AS n FROM orders JOIN lineitem ON o_orderkey = l_orderkey) WHERE n = 1""")
+def relation_dedupe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = read(spark, sf_dir, "orders").join(read(spark, sf_dir, "lineitem"), F.col("o_orderkey") == F.col("l_orderkey"))
+    rel = rows.select(F.col("o_custkey").alias("source_url"), F.col("l_suppkey").alias("subject"), F.col("l_returnflag").alias("predicate"), F.col("l_linestatus").alias("object"), F.col("l_discount").alias("confidence"), (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("pos"))
+    return extract.dedupe_relations(rel).drop("pos")
+
+
+# building
+
+
+@query("""SELECT nation, arg_max(segment, n * 1000000000 - first) AS segment, sum(n)::BIGINT AS customers FROM (
+SELECT c_nationkey AS nation, c_mktsegment AS segment, count(*) AS n, min(c_custkey) AS first FROM customer GROUP BY 1, 2) GROUP BY 1""")
+def entity_meta_mode(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = read(spark, sf_dir, "customer").select(F.col("c_nationkey").alias("nation"), F.col("c_mktsegment").alias("segment"), "c_custkey")
+    return build.most_common(c, ["nation"], "segment", "c_custkey").join(c.groupBy("nation").agg(F.count("*").alias("customers")), "nation")
+
+
+_KB = f"""{ENTITIES}, {RELATIONS},
+every AS (SELECT text, class, n FROM ents UNION ALL SELECT s, sc, 0 FROM rels UNION ALL SELECT o, oc, 0 FROM rels),
+meta AS (SELECT text, sum(n)::BIGINT AS n FROM every WHERE trim(text) <> '' GROUP BY 1),
+kb AS (
+ SELECT '{E}' || {slug_sql('text')} AS s, '{LABEL}' AS p, text AS o FROM meta
+ UNION SELECT '{E}' || {slug_sql('text')}, '{C}mentionCount', n::VARCHAR FROM meta
+ UNION SELECT '{E}' || {slug_sql('text')}, '{RDF_TYPE}', '{OWL}NamedIndividual' FROM meta
+ UNION SELECT '{E}' || {slug_sql('text')}, '{RDF_TYPE}', '{C}' || class FROM every
+ UNION SELECT '{E}' || {slug_sql('s')}, '{P}' || p, '{E}' || {slug_sql('o')} FROM kept)"""
+
+
+@query(f"WITH {_KB} SELECT s, p, o FROM kb")
+def kb_build_triples(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return build.kb_triples(entities(spark, sf_dir), relations(spark, sf_dir)).select("s", "p", "o")
+
+
+@query(f"""WITH {_KB} SELECT (SELECT count(*) FROM kb) AS triples, (SELECT count(*) FROM meta) AS entities, (SELECT count(DISTINCT p) FROM kept) AS relations,
+(SELECT count(*) FROM (SELECT DISTINCT s, p, o FROM kept)) AS relations_kept, (SELECT count(*) FROM rels) - (SELECT count(*) FROM kept) AS relations_filtered""")
+def kb_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ents, rels = entities(spark, sf_dir), relations(spark, sf_dir)
+    clean = build.clean_relations(rels)
+    return build.kb_stats(build.kb_triples(ents, rels), build.entity_meta(ents, clean), clean)
+
+
+@query(f"""WITH {RELATIONS}, d AS (SELECT p, sc, count(*) AS n, min(pos) AS f FROM kept GROUP BY 1, 2), r AS (SELECT p, oc, count(*) AS n, min(pos) AS f FROM kept GROUP BY 1, 2)
+SELECT '{P}' || p AS property, (SELECT sc FROM d WHERE d.p = x.p ORDER BY n DESC, f LIMIT 1) AS domain, (SELECT oc FROM r WHERE r.p = x.p ORDER BY n DESC, f LIMIT 1) AS range FROM (SELECT DISTINCT p FROM kept) x""")
+def ontology_domain_range(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return build.domain_range(build.clean_relations(relations(spark, sf_dir)))
+
+
+@query()
+def ontology_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return build.ontology(build.clean_relations(relations(spark, sf_dir))).select("s", "p", "o")
+
+
+# alignment
+
+
+def _candidates(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Nations as entities; as candidates the nations of the same region, in order of key."""
+    n, r = read(spark, sf_dir, "nation"), read(spark, sf_dir, "region")
+    other = n.select(F.col("n_nationkey").alias("k"), F.col("n_name").alias("label"), F.col("n_regionkey").alias("rk")).join(r, F.col("rk") == F.col("r_regionkey"))
+    pairs = n.join(other, F.col("n_regionkey") == F.col("rk")).withColumn("pos", F.row_number().over(Window.partitionBy("n_nationkey").orderBy("k")) - 1)
+    cands = pairs.select(F.col("n_name").alias("entity"), "pos", F.concat(F.lit("Q"), F.col("k").cast("string")).alias("id"), F.concat(F.lit("http://www.wikidata.org/entity/Q"), F.col("k").cast("string")).alias("uri"), "label", F.concat(F.when(F.col("k") % 2 == 0, "country in ").otherwise("land in "), F.col("r_name")).alias("description"), F.when(F.col("k") % 3 != 0, F.col("label")).alias("match_text"))
+    return n.select(F.col("n_name").alias("entity"), F.lit("GPE").alias("entity_type")), cands
+
+
+def _norm(x: str) -> str:
+    return rf"coalesce(trim(regexp_replace(lower({x}), '\s+', ' ', 'g')), '')"
+
+
+def _set(x: str) -> str:
+    return f"list_distinct(list_filter({words_sql(x)}, lambda z: z <> ''))"
+
+
+_LINKS = f"""cand AS (SELECT n.n_name AS entity, row_number() OVER (PARTITION BY n.n_nationkey ORDER BY m.n_nationkey) - 1 AS pos, m.n_nationkey AS k, m.n_name AS label,
+  CASE WHEN m.n_nationkey % 2 = 0 THEN 'country in ' ELSE 'land in ' END || r_name AS description, CASE WHEN m.n_nationkey % 3 <> 0 THEN m.n_name END AS match
+  FROM nation n JOIN nation m ON n.n_regionkey = m.n_regionkey JOIN region ON m.n_regionkey = r_regionkey),
+cn AS (SELECT *, max(CASE WHEN pos = 1 THEN label END) OVER (PARTITION BY entity) AS second, {_norm('entity')} AS e, {_norm('label')} AS l, {_norm('description')} AS d, {_norm('match')} AS m FROM cand),
+ch AS (SELECT *, len(list_intersect({_set('e')}, {_set('l')})) AS ov, greatest(len({_set('e')}), 1) AS own,
+  list_filter(['city', 'country', 'state', 'location', 'place'], lambda h: contains(d, h))[1] AS hint FROM cn),
+cs AS (SELECT *, least(greatest(0.05::DOUBLE + CASE WHEN l = e THEN 0.60::DOUBLE WHEN l <> '' AND e <> '' AND (contains(l, e) OR contains(e, l)) THEN 0.40::DOUBLE WHEN ov > 0 THEN 0.25::DOUBLE * (ov::DOUBLE / own) ELSE 0::DOUBLE END
+  + CASE WHEN m <> '' AND m = e THEN 0.10::DOUBLE ELSE 0::DOUBLE END + CASE WHEN hint IS NOT NULL THEN 0.15::DOUBLE ELSE 0::DOUBLE END - CASE WHEN coalesce(second, '') <> '' AND {_norm('second')} = l THEN 0.05::DOUBLE ELSE 0::DOUBLE END, 0), 0.99::DOUBLE) AS score FROM ch),
+links AS (SELECT entity, 'Q' || k AS id, label, round(score, 4) AS confidence, score >= 0.72 AS matched FROM (SELECT *, row_number() OVER (PARTITION BY entity ORDER BY score DESC, pos) AS n FROM cs) WHERE n = 1)"""
+
+
+@query(f"WITH {_LINKS} SELECT entity AS private_entity, id AS wikidata_id, label AS wikidata_label, confidence, matched FROM links")
+def entity_link_best(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return align.link_entities(*_candidates(spark, sf_dir)).select("private_entity", "wikidata_id", "wikidata_label", "confidence", "matched")
+
+
+def _properties(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Event types and words of part types as predicates; part types and event types as properties."""
+    types = read(spark, sf_dir, "part").select("p_type").distinct()
+    events = read(spark, sf_dir, "events").select(F.col("event_type").alias("label")).distinct()
+    predicates = events.select(F.col("label").alias("predicate")).unionByName(types.select(F.lower(F.replace("p_type", F.lit(" "), F.lit("_"))).alias("predicate"))).unionByName(spark.createDataFrame([("be_in",), ("view_of",)], "predicate string"))
+    labels = types.select(F.col("p_type").alias("label")).unionByName(events)
+    props = labels.select(F.row_number().over(Window.orderBy("label")).alias("pos"), F.concat(F.lit("http://www.wikidata.org/entity/P"), F.md5("label").substr(1, 6)).alias("property"), "label", F.concat(F.lit("about "), F.lower("label")).alias("description"))
+    return predicates, props
+
+
+_STOP = "[" + ", ".join(f"'{w}'" for w in text.PROPERTY_STOPWORDS) + "]"
+_PLINKS = f"""props AS (SELECT label, row_number() OVER (ORDER BY label) AS pos, 'http://www.wikidata.org/entity/P' || substr(md5(label), 1, 6) AS property, 'about ' || lower(label) AS description FROM (SELECT DISTINCT p_type AS label FROM part UNION ALL SELECT DISTINCT event_type FROM events)),
+preds AS (SELECT DISTINCT predicate FROM (SELECT event_type AS predicate FROM events UNION ALL SELECT lower(replace(p_type, ' ', '_')) FROM part UNION ALL SELECT unnest(['be_in', 'view_of']))),
+pw AS (SELECT predicate, list_filter({words_sql('lower(predicate)')}, lambda z: z <> '') AS w FROM preds),
+pt AS (SELECT predicate, w, list_filter(w, lambda z: NOT list_contains({_STOP}, z)) AS k FROM pw),
+term AS (SELECT predicate, array_to_string(w, ' ') AS plain, list_distinct(w) AS own, list_filter(k, lambda z: length(z) = list_max(list_transform(k, lambda q: length(q))))[1] AS term FROM pt),
+met AS (SELECT *, {_norm('label')} AS l, {_norm('description')} AS d FROM term JOIN props ON contains(lower(label), term)),
+ps AS (SELECT *, least(greatest(0.05::DOUBLE + CASE WHEN l = plain AND plain <> '' THEN 0.70::DOUBLE ELSE 0.35::DOUBLE * (len(list_intersect(own, {_set('l')}))::DOUBLE / greatest(len(own), 1)) END
+  + CASE WHEN contains(l, term) THEN 0.15::DOUBLE ELSE 0::DOUBLE END + CASE WHEN len(list_filter(own, lambda z: contains(d, z))) > 0 THEN 0.10::DOUBLE ELSE 0::DOUBLE END, 0), 0.99::DOUBLE) AS score FROM met),
+best AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY predicate ORDER BY score DESC, pos) AS n FROM ps) WHERE n = 1),
+plinks AS (SELECT t.predicate, coalesce(property, '') AS property, round(coalesce(score, 0), 4) AS confidence, coalesce(score >= 0.75, false) AS matched FROM term t LEFT JOIN best b ON b.predicate = t.predicate)"""
+
+
+@query(f"WITH {_PLINKS} SELECT predicate AS private_predicate, property AS wikidata_property, confidence, matched FROM plinks")
+def property_link_best(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return align.link_predicates(*_properties(spark, sf_dir)).select("private_predicate", "wikidata_property", "confidence", "matched")
+
+
+@query(f"""WITH {_LINKS}, {_PLINKS}, pc AS (SELECT *, list_filter(regexp_split_to_array(predicate, '[^A-Za-z0-9]+'), lambda z: z <> '') AS w FROM plinks WHERE matched AND property <> '')
+SELECT '{E}' || {slug_sql('entity')} AS s, '{OWL}sameAs' AS p, 'http://www.wikidata.org/entity/' || id AS o FROM links WHERE matched
+UNION SELECT '{P}' || {_CAMEL.format('w')}, '{OWL}equivalentProperty', property FROM pc""")
+def alignment_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return align.alignment_graph(align.link_entities(*_candidates(spark, sf_dir)), align.link_predicates(*_properties(spark, sf_dir))).select("s", "p", "o")
+
+
+@query(f"WITH {_LINKS} SELECT id AS qid FROM links WHERE matched AND confidence >= 0.8 GROUP BY id")
+def seed_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return files.seed_ids(align.link_entities(*_candidates(spark, sf_dir)), 0.8).select("qid")
+
+
+# the graph
+
+
+@query(f"""WITH {TE}, seeds AS (SELECT '{E}supplier/' || s_suppkey AS node FROM supplier WHERE s_suppkey % 10 = 1),
+one AS (SELECT e.* FROM e JOIN seeds ON h = node), two AS (SELECT e.* FROM e WHERE h IN (SELECT t FROM one) AND h NOT IN (SELECT node FROM seeds))
+SELECT * FROM one UNION SELECT * FROM two""")
+def expand_two_hops(spark: SparkSession, sf_dir: str) -> DataFrame:
+    seeds = read(spark, sf_dir, "supplier").where("s_suppkey % 10 = 1").select(F.concat(F.lit(E + "supplier/"), F.col("s_suppkey").cast("string")).alias("node"))
+    edges = edge_view(spark, sf_dir)
+    return graph.expand(edges.limit(0), edges, seeds, depth=2, target=None, per_node=None)[0]
+
+
+def _mixed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The triple view with blank nodes, blocked predicates and literals mixed in."""
+    c = read(spark, sf_dir, "customer")
+    s = F.concat(F.lit(E + "customer/"), F.col("c_custkey").cast("string"))
+    return union(
+        triple_view(spark, sf_dir),
+        c.where("c_custkey % 5 = 0").select(*triple(F.concat(F.lit("_:b"), F.col("c_custkey").cast("string")), P + "knows", s)),
+        c.where("c_custkey % 7 = 0").select(*triple(s, "http://www.w3.org/2004/02/skos/core#altLabel", F.concat(F.lit(E), F.col("c_mktsegment")))),
+        c.where("c_custkey % 3 = 0").select(*triple(s, P + "knows", F.concat(F.lit("_:b"), F.col("c_custkey").cast("string")), "bnode")),
+    )
+
+
+_MIXED = f"""{T}, mixed AS (SELECT s, p, o, k FROM t UNION SELECT '_:b' || c_custkey, '{P}knows', '{E}customer/' || c_custkey, 'iri' FROM customer WHERE c_custkey % 5 = 0
+UNION SELECT '{E}customer/' || c_custkey, 'http://www.w3.org/2004/02/skos/core#altLabel', '{E}' || c_mktsegment, 'iri' FROM customer WHERE c_custkey % 7 = 0
+UNION SELECT '{E}customer/' || c_custkey, '{P}knows', '_:b' || c_custkey, 'bnode' FROM customer WHERE c_custkey % 3 = 0),
+reasons AS (SELECT *, CASE WHEN s LIKE '_:%' THEN 'non_uri_subject' WHEN k = 'literal' THEN 'literal_object' WHEN k <> 'iri' THEN 'non_uri_object'
+ WHEN {' OR '.join(f"contains(p, '{b}')" for b in text.BLOCKED_PREDICATES)} THEN 'blocked_predicate' WHEN p = '{RDF_TYPE}' THEN 'rdf_type' END AS reason FROM mixed)"""
+
+
+@query(f"WITH {_MIXED} SELECT reason, count(*) AS n FROM reasons WHERE reason IS NOT NULL GROUP BY 1")
+def drop_reasons(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return graph.drop_histogram(_mixed(spark, sf_dir), keep_types=False)
+
+
+@query(f"WITH {_MIXED} SELECT DISTINCT s AS h, p AS r, o AS t FROM reasons WHERE reason IS NULL")
+def clean_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return graph.clean(_mixed(spark, sf_dir), keep_types=False)
+
+
+def _sparse(spark: SparkSession, sf_dir: str) -> DataFrame:
+    line = read(spark, sf_dir, "lineitem").where("l_quantity >= 49 and l_discount >= 0.095")
+    return line.select((F.col("l_suppkey") * 2).alias("a"), (F.col("l_partkey") * 2 + 1).alias("b"))
+
+
+_COMPONENTS = """WITH RECURSIVE ed AS (SELECT DISTINCT l_suppkey * 2 AS a, l_partkey * 2 + 1 AS b FROM lineitem WHERE l_quantity >= 49 AND l_discount >= 0.095),
+ways AS (SELECT a, b FROM ed UNION SELECT b, a FROM ed), reach AS (SELECT a AS node, a AS other FROM ways UNION SELECT reach.node, ways.b FROM reach JOIN ways ON reach.other = ways.a),
+labels AS (SELECT node, min(other) AS component FROM reach GROUP BY 1)"""
+
+
+@query(f"{_COMPONENTS} SELECT node, component FROM labels")
+def component_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return graph.components(_sparse(spark, sf_dir))
+
+
+@query(f"{_COMPONENTS}, big AS (SELECT component, count(*) AS n FROM labels GROUP BY 1 ORDER BY n DESC, component LIMIT 1) SELECT node FROM labels JOIN big USING (component)")
+def largest_component(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return graph.largest_component(graph.components(_sparse(spark, sf_dir)))
+
+
+@query(f"{_COMPONENTS}, big AS (SELECT component, count(*) AS n FROM labels GROUP BY 1 ORDER BY n DESC, component LIMIT 1), nodes AS (SELECT node FROM labels JOIN big USING (component)) SELECT a AS h, 'linked' AS r, b AS t FROM ed WHERE a IN (FROM nodes) AND b IN (FROM nodes)")
+def component_subgraph(spark: SparkSession, sf_dir: str) -> DataFrame:
+    edges = _sparse(spark, sf_dir).distinct()
+    return graph.keep_component(edges.select(F.col("a").alias("h"), F.lit("linked").alias("r"), F.col("b").alias("t")), graph.largest_component(graph.components(edges)))
+
+
+@query(f"WITH {TE} SELECT node, count(*) AS degree FROM (SELECT h AS node FROM e UNION ALL SELECT t FROM e) GROUP BY 1 ORDER BY degree DESC, node LIMIT 10")
+def degree_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return graph.degrees(edge_view(spark, sf_dir)).orderBy(F.desc("degree"), "node").limit(10)
+
+
+_SPLIT = f"""{TE}, k AS (SELECT h, r, t, md5('42|' || h || '|' || r || '|' || t) AS k FROM e),
+ends AS (SELECT 'e' || h AS what, k FROM k UNION ALL SELECT 'e' || t, k FROM k UNION ALL SELECT 'r' || r, k FROM k),
+anchors AS (SELECT DISTINCT k FROM (SELECT what, min(k) AS k FROM ends GROUP BY 1)),
+free AS (SELECT k.*, row_number() OVER (ORDER BY k.k) AS place, (SELECT count(*) FROM k) AS n FROM k WHERE k.k NOT IN (SELECT k FROM anchors)),
+parts AS (SELECT h, r, t, CASE WHEN place <= floor(n * 0.1::DOUBLE) THEN 'valid' WHEN place <= floor(n * 0.1::DOUBLE) * 2 THEN 'test' ELSE 'train' END AS split FROM free
+UNION ALL SELECT h, r, t, 'train' FROM k WHERE k IN (SELECT k FROM anchors))"""
+
+
+@query(f"WITH {_SPLIT} SELECT h, r, t, split FROM parts")
+def split_assignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return graph.split(edge_view(spark, sf_dir))
+
+
+@query(f"""WITH {_SPLIT}, en AS (SELECT split, count(DISTINCT x) AS entities FROM (SELECT split, h AS x FROM parts UNION ALL SELECT split, t FROM parts) GROUP BY 1)
+SELECT split, count(*) AS triples, any_value(entities) AS entities, count(DISTINCT r) AS relations FROM parts JOIN en USING (split) GROUP BY split""")
+def split_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return graph.split_stats(graph.split(edge_view(spark, sf_dir)))
+
+
+@query(f"WITH {TE} SELECT h, r, t FROM e ORDER BY md5('7|' || h || '|' || r || '|' || t), h, r, t LIMIT 500")
+def sample_triples(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return graph.sample(edge_view(spark, sf_dir), 500, seed=7)
+
+
+@query(f"WITH {TE}, n AS (SELECT h AS label FROM e UNION SELECT t FROM e) SELECT label, row_number() OVER (ORDER BY label) - 1 AS id FROM n")
+def entity_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return graph.entity_ids(edge_view(spark, sf_dir))
+
+
+@query(f"""WITH {TE}, n AS (SELECT h AS label FROM e UNION SELECT t FROM e), i AS (SELECT label, row_number() OVER (ORDER BY label) - 1 AS id FROM n), j AS (SELECT r AS label, row_number() OVER (ORDER BY r) - 1 AS id FROM (SELECT DISTINCT r FROM e))
+SELECT a.id AS h, j.id AS r, b.id AS t FROM e JOIN i a ON a.label = h JOIN j ON j.label = r JOIN i b ON b.label = t""")
+def encoded_triples(spark: SparkSession, sf_dir: str) -> DataFrame:
+    edges = edge_view(spark, sf_dir)
+    return graph.encode(edges, graph.entity_ids(edges), graph.relation_ids(edges))
+
+
+@query(f"WITH {T} SELECT p, k AS o_kind, count(*) AS n FROM t GROUP BY 1, 2")
+def ntriples_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The view written as N-Triples lines and parsed again."""
+    again = rdf.parse_ntriples(rdf.to_ntriples(triple_view(spark, sf_dir)))
+    return again.groupBy("p", "o_kind").agg(F.count("*").alias("n"))
+
+
+@query(f"WITH {T} SELECT count(*) AS triples, count(DISTINCT s) AS subjects, count(DISTINCT p) AS predicates FROM (SELECT DISTINCT s, p, o, k FROM t)")
+def graph_union(spark: SparkSession, sf_dir: str) -> DataFrame:
+    view = triple_view(spark, sf_dir)
+    both = union(view, view.where(F.col("p") == RDF_TYPE))
+    return both.agg(F.count("*").alias("triples"), F.countDistinct("s").alias("subjects"), F.countDistinct("p").alias("predicates"))
+
+
+@query(f"""WITH {T}, s AS (SELECT * FROM (SELECT DISTINCT 'predicate' AS kind, p AS value FROM t ORDER BY value LIMIT 120)
+UNION ALL SELECT * FROM (SELECT DISTINCT 'class', o FROM t WHERE p = '{RDF_TYPE}' AND k = 'iri' ORDER BY o LIMIT 80)
+UNION ALL SELECT * FROM (SELECT 'sample', s || ' ' || p || ' ' || o AS v FROM t ORDER BY v LIMIT 25)) SELECT * FROM s""")
+def schema_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    parts = rag.schema_summary(triple_view(spark, sf_dir))
+    named = [parts[k].select(F.lit(n).alias("kind"), "value") for k, n in (("predicates", "predicate"), ("classes", "class"), ("samples", "sample"))]
+    return named[0].unionByName(named[1]).unionByName(named[2])
+
+
+# rules
+
+_AGE = P + "balance"
+
+
+def _people(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The view's customers and suppliers below one class, with a number each."""
+    c, s = read(spark, sf_dir, "customer"), read(spark, sf_dir, "supplier")
+    row = spark.range(1)
+    return union(
+        triple_view(spark, sf_dir).where((F.col("p") == RDF_TYPE) & F.col("o").isin(C + "Customer", C + "Supplier", C + "Part")),
+        c.select(*triple(F.concat(F.lit(E + "customer/"), F.col("c_custkey").cast("string")), _AGE, F.col("c_acctbal"), "literal")),
+        s.select(*triple(F.concat(F.lit(E + "supplier/"), F.col("s_suppkey").cast("string")), _AGE, F.col("s_acctbal"), "literal")),
+        *(row.select(*triple(F.lit(C + a), RDFS + "subClassOf", F.lit(C + b))) for a, b in (("Customer", "Party"), ("Supplier", "Party"), ("Party", "Agent"))),
+    )
+
+
+@query(f"SELECT '{E}customer/' || c_custkey AS s, c_acctbal AS value FROM customer WHERE c_acctbal > 5000 UNION ALL SELECT '{E}supplier/' || s_suppkey, s_acctbal FROM supplier WHERE s_acctbal > 5000")
+def rule_old_entities(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rules.old_individuals(_people(spark, sf_dir), C + "Agent", _AGE, 5000)
+
+
+@query(f"SELECT '{E}customer/' || c_custkey AS s, '{C}Rich' AS o FROM customer WHERE c_acctbal > 5000 UNION ALL SELECT '{E}supplier/' || s_suppkey, '{C}Rich' FROM supplier WHERE s_acctbal > 5000")
+def swrl_rule(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rule = rules.parse_rule("Agent(?p), balance(?p, ?a), greaterThan(?a, 5000) -> Rich(?p)", {"Agent": C + "Agent", "balance": _AGE, "Rich": C + "Rich"})
+    return rules.apply_rule(_people(spark, sf_dir), rule).select("s", "o")
+
+
+@query(f"""WITH RECURSIVE ed AS (SELECT '{E}nation/' || n_nationkey AS a, '{E}region/' || n_regionkey AS b FROM nation UNION SELECT '{E}supplier/' || s_suppkey, '{E}nation/' || s_nationkey FROM supplier UNION SELECT '{E}region/' || r_regionkey, '{E}world' FROM region),
+reach AS (SELECT a, b FROM ed UNION SELECT reach.a, ed.b FROM reach JOIN ed ON reach.b = ed.a) SELECT a, b FROM reach""")
+def class_closure(spark: SparkSession, sf_dir: str) -> DataFrame:
+    n, s, r = (read(spark, sf_dir, t) for t in ("nation", "supplier", "region"))
+    key = lambda folder, c: F.concat(F.lit(f"{E}{folder}/"), F.col(c).cast("string"))
+    edges = n.select(key("nation", "n_nationkey").alias("a"), key("region", "n_regionkey").alias("b")).unionByName(s.select(key("supplier", "s_suppkey").alias("a"), key("nation", "s_nationkey").alias("b"))).unionByName(r.select(key("region", "r_regionkey").alias("a"), F.lit(E + "world").alias("b")))
+    return rules.closure(edges)
+
+
+@query(f"""WITH RECURSIVE base AS (SELECT '{E}nation/' || n_nationkey AS a, '{E}region/' || n_regionkey AS b FROM nation UNION SELECT '{E}region/' || r_regionkey, '{E}world' FROM region),
+reach AS (SELECT a, b FROM base UNION SELECT reach.a, base.b FROM reach JOIN base ON reach.b = base.a)
+SELECT a AS s, '{P}within' AS p, b AS o FROM reach UNION SELECT b, '{P}hosts', a FROM reach""")
+def property_closure(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A transitive property, its subproperty and its inverse."""
+    n, r, row = read(spark, sf_dir, "nation"), read(spark, sf_dir, "region"), spark.range(1)
+    key = lambda folder, c: F.concat(F.lit(f"{E}{folder}/"), F.col(c).cast("string"))
+    facts = union(
+        n.select(*triple(key("nation", "n_nationkey"), P + "directlyWithin", key("region", "n_regionkey"))),
+        r.select(*triple(key("region", "r_regionkey"), P + "within", F.lit(E + "world"))),
+        row.select(*triple(F.lit(P + "directlyWithin"), RDFS + "subPropertyOf", F.lit(P + "within"))),
+        row.select(*triple(F.lit(P + "within"), RDF_TYPE, F.lit(OWL + "TransitiveProperty"))),
+        row.select(*triple(F.lit(P + "within"), OWL + "inverseOf", F.lit(P + "hosts"))),
+    )
+    return rules.entail(facts).where(F.col("p").isin(P + "within", P + "hosts")).select("s", "p", "o")
+
+
+# embeddings
+
+
+def _emb(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return read(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("v"), "label")
+
+
+_COS = "list_cosine_similarity({0}.embedding::DOUBLE[], {1}.embedding::DOUBLE[])"
+
+
+@query(f"""SELECT query, id, round(sim, 6) AS similarity, n::INT AS rank FROM (SELECT q.vec_id AS query, x.vec_id AS id, {_COS.format('x', 'q')} AS sim,
+row_number() OVER (PARTITION BY q.vec_id ORDER BY round({_COS.format('x', 'q')}, 6) DESC, x.vec_id) AS n FROM embeddings q JOIN embeddings x ON x.vec_id <> q.vec_id WHERE q.vec_id % 50 = 0) WHERE n <= 10""")
+def cosine_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    emb = _emb(spark, sf_dir)
+    q = emb.where("id % 50 = 0").select(F.col("id").alias("query"), F.col("v").alias("qv"))
+    # a fiftieth of the rows against all: Spark broadcasts the smaller side if it may
+    sims = emb.join(q, F.col("id") != F.col("query")).select("query", "id", F.round(text.cosine("v", "qv"), 6).alias("similarity"))
+    w = Window.partitionBy("query").orderBy(F.desc("similarity"), "id")
+    return sims.withColumn("rank", F.row_number().over(w)).where("rank <= 10")
+
+
+def _ranked(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tests link every fiftieth vector with the next of its label; what is known are those links of all."""
+    emb = _emb(spark, sf_dir)
+    links = emb.select(F.col("id").alias("h"), F.lit(0).alias("r"), F.lead("id").over(Window.partitionBy("label").orderBy("id")).alias("t")).where("t is not null")
+    tests = links.where("h % 50 = 0").select(F.col("h").alias("case"), "h", "r", "t")
+    pairs = embed.corrupted(tests, emb.select("id"), links, lambda h, r, t: F.struct(h.alias("h"), t.alias("t")))
+    a, b = emb.select(F.col("id").alias("__h"), F.col("v").alias("va")), emb.select(F.col("id").alias("__t"), F.col("v").alias("vb"))
+    scored = pairs.join(a, F.col("value.h") == F.col("__h")).join(b, F.col("value.t") == F.col("__t"))
+    return embed.ranks(scored.select("case", "side", "truth", "cand", F.round(text.cosine("va", "vb"), 6).alias("value")))
+
+
+_RANKS = f"""links AS (SELECT * FROM (SELECT vec_id AS h, lead(vec_id) OVER (PARTITION BY label ORDER BY vec_id) AS t FROM embeddings) WHERE t IS NOT NULL),
+cases AS (SELECT h AS c, 'head' AS side, h AS truth, h, t FROM links WHERE h % 50 = 0 UNION ALL SELECT h, 'tail', t, h, t FROM links WHERE h % 50 = 0),
+pairs AS (SELECT c, side, truth, x.vec_id AS cand, CASE WHEN side = 'head' THEN x.vec_id ELSE h END AS h, CASE WHEN side = 'tail' THEN x.vec_id ELSE t END AS t FROM cases CROSS JOIN embeddings x),
+open AS (SELECT p.* FROM pairs p WHERE cand = truth OR NOT EXISTS (SELECT 1 FROM links l WHERE l.h = p.h AND l.t = p.t)),
+scored AS (SELECT c, side, truth, cand, round({_COS.format('a', 'b')}, 6) AS v FROM open JOIN embeddings a ON a.vec_id = h JOIN embeddings b ON b.vec_id = t),
+own AS (SELECT c, side, v AS own FROM scored WHERE cand = truth),
+ranked AS (SELECT c AS "case", side, ((count(*) FILTER (WHERE v > own)) + 1 + (count(*) FILTER (WHERE v >= own)))::DOUBLE / 2 AS rank, count(*) AS candidates FROM scored JOIN own USING (c, side) GROUP BY 1, 2)"""
+
+
+@query(f'WITH {_RANKS} SELECT "case", side, rank, candidates FROM ranked')
+def filtered_ranks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _ranked(spark, sf_dir)
+
+
+@query(f"""WITH {_RANKS}, every AS (SELECT side, rank, candidates FROM ranked UNION ALL SELECT 'both', rank, candidates FROM ranked)
+SELECT side, count(*) AS n, round(avg(1 / rank), 6) AS mrr, round(avg((rank <= 1)::INT), 6) AS hits_1, round(avg((rank <= 3)::INT), 6) AS hits_3, round(avg((rank <= 5)::INT), 6) AS hits_5, round(avg((rank <= 10)::INT), 6) AS hits_10,
+round(avg(rank), 6) AS mean_rank, round(median(rank), 6) AS median_rank, round(1 - (avg(rank) - 1) / (avg((candidates + 1) / 2) - 1), 6) AS adjusted_rank_index FROM every GROUP BY side""")
+def rank_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = embed.metrics(_ranked(spark, sf_dir))
+    return out.select("side", "n", *(F.round(c, 6).alias(c) for c in out.columns[2:]))
+
+
+@query(f"""WITH {T}, types AS (SELECT s AS node, min(o) AS type FROM t WHERE p = '{RDF_TYPE}' GROUP BY 1),
+chosen AS (SELECT node, type FROM types ORDER BY md5('42|' || node), node LIMIT 1200),
+common AS (SELECT type FROM (SELECT type, count(*) AS n FROM chosen GROUP BY 1 ORDER BY n DESC, type LIMIT 3))
+SELECT node, CASE WHEN type IN (FROM common) THEN type ELSE 'Other' END AS type FROM chosen""")
+def type_sample_top(spark: SparkSession, sf_dir: str) -> DataFrame:
+    view = triple_view(spark, sf_dir)
+    return embed.type_sample(view.select(F.col("s").alias("node")).distinct(), embed.type_labels(view, RDF_TYPE), top=3)
+
+
+@query()
+def train_transe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Losses by epoch of a small model on the geography of the view; numbers depend on the random draws."""
+    edges = edge_view(spark, sf_dir).where(F.col("r").isin(P + "partOf", P + "locatedIn"))
+    ids, rel = graph.entity_ids(edges), graph.relation_ids(edges)
+    _, losses = embed.train(graph.encode(edges, ids, rel), ids.count(), rel.count(), dim=16, epochs=3)
+    return spark.createDataFrame([(i, float(x)) for i, x in enumerate(losses)], "epoch int, loss double")
+
+
+@query()
+def rag_answer(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Questions without a model: the fallback queries answer."""
+    return rag.evaluate(triple_view(spark, sf_dir), ["What is Customer#000000001?", "Who is nation?", "Tell me about region 1"])
