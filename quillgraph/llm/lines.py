@@ -112,51 +112,56 @@ def near_candidates(lines: DataFrame, edits: int = EDITS) -> DataFrame:
     return pairs.distinct()
 
 
-def _common(x: str, y: str, side: Callable[[str, Column], Column]) -> Column:
+def _common(x: Column, y: Column, side: Callable[[Column, Column], Column]) -> Column:
     """Code points that the two strings share at one side, by halving steps of whole comparisons."""
 
     def step(n: Column, more: Column) -> Column:
         to = n + more
-        return F.when((to <= F.least(F.length(x), F.length(y))) & (side(x, to) == side(y, to)), to).otherwise(n)
+        return F.when((to <= F.length(x)) & (to <= F.length(y)) & (side(x, to) == side(y, to)), to).otherwise(n)
 
     return F.aggregate(F.array(*(F.lit(1 << k) for k in range(24, -1, -1))), F.lit(0), step)
 
 
-def within(df: DataFrame, long: str, short: str, edits: int = EDITS) -> DataFrame:
-    """The rows whose strings, the first the longer by at most ``edits``, are within ``edits`` edits.
+def within(x: Column, y: Column, edits: int = EDITS) -> Column:
+    """Whether two strings, the first the longer by at most ``edits``, are within ``edits`` edits.
 
     What the strings share at both ends is taken off first.  Of the rest, a column of the distance table
     is a word that holds the cells of its band: bit k of column j is row j - edits + k.  ``vp`` and ``vn``
     say where a cell is one above or one below the cell over it.  The distance is followed down the
-    band's lowest diagonal to the last row and then along that row; rows beyond help are not worked on.
+    band's lowest diagonal to the last row and then along that row; columns beyond help are not worked on.
     """
     width = 2 * edits + 1
     ones = (1 << width) - 1
-    lit = lambda x: F.lit(x).cast("int")
-    inv = lambda x: x.bitwiseXOR(lit(ones))
-    half = lambda x: F.shiftright(x, 1)
-    df = df.withColumn("__head", _common(long, short, F.left))
-    df = df.withColumns({"__x": F.expr(f"substring({long}, __head + 1)"), "__y": F.expr(f"substring({short}, __head + 1)")})
-    df = df.withColumn("__tail", _common("__x", "__y", F.right))
-    df = df.withColumns({c: F.expr(f"left({c}, length({c}) - __tail)") for c in ("__x", "__y")})
-    df = df.withColumns({"__p": F.split("__x", ""), "__m": F.length("__x"), "__n": F.length("__y")})
-
-    def masks(p: Column, c: Column, j: Column) -> Column:
-        """Which of the band's rows hold the character."""
-        bit = lambda k: F.when((j + (k - edits) >= 0) & (F.get(p, j + (k - edits)) == c), lit(1 << k)).otherwise(lit(0))
-        return sum((bit(k) for k in range(width)), lit(0))
-
-    def step(p: Column):
-        def run(acc: Column, c: Column) -> Column:
+    lit = lambda v: F.lit(v).cast("int")
+    inv = lambda v: v.bitwiseXOR(lit(ones))
+    half = lambda v: F.shiftright(v, 1)
+    pair = lambda a, b: F.struct(a.alias("x"), b.alias("y"))
+
+    def without_head(z: Column) -> Column:
+        return let(_common(z["x"], z["y"], F.left), lambda n: pair(F.substring(z["x"], n + 1, F.length(z["x"])), F.substring(z["y"], n + 1, F.length(z["y"]))))
+
+    def without_tail(z: Column) -> Column:
+        return let(_common(z["x"], z["y"], F.right), lambda n: pair(F.left(z["x"], F.length(z["x"]) - n), F.left(z["y"], F.length(z["y"]) - n)))
+
+    def banded(z: Column) -> Column:
+        """z: p (characters of the longer), t (of the shorter), m and n (their numbers)."""
+        p, m, n = z["p"], z["m"], z["n"]
+
+        def mask(c: Column, j: Column) -> Column:
+            """Which of the band's rows hold the character."""
+            bit = lambda k: F.when((j + (k - edits) >= 0) & (F.get(p, j + (k - edits)) == c), lit(1 << k)).otherwise(lit(0))
+            return sum((bit(k) for k in range(width)), lit(0))
+
+        def step(acc: Column, c: Column) -> Column:
             vp, vn, d, j = (acc[k] for k in ("vp", "vn", "d", "j"))
 
-            def diagonal(x: Column) -> Column:
-                carried = (x.bitwiseAND(vp) + vp).bitwiseAND(lit(ones))
-                return carried.bitwiseXOR(vp).bitwiseOR(x).bitwiseOR(vn)
+            def diagonal(v: Column) -> Column:
+                carried = (v.bitwiseAND(vp) + vp).bitwiseAND(lit(ones))
+                return carried.bitwiseXOR(vp).bitwiseOR(v).bitwiseOR(vn)
 
             def after(d0: Column) -> Column:
                 hp, hn = vn.bitwiseOR(inv(d0.bitwiseOR(vp))), d0.bitwiseAND(vp)
-                last = F.col("__m") - edits  # from this column on, the last row is within the band
+                last = m - edits  # from this column on, the last row is within the band
                 at = lambda v: F.call_function("shiftright", v, width - 2 - (j - last)).bitwiseAND(lit(1))
                 down = d + (lit(1) - F.shiftright(d0, width - 1))
                 return F.struct(
@@ -166,14 +171,17 @@ def within(df: DataFrame, long: str, short: str, edits: int = EDITS) -> DataFram
                     (j + 1).cast("int").alias("j"),
                 )
 
-            return F.when(d > 2 * edits + F.col("__n") - F.col("__m"), acc).otherwise(let(let(masks(p, c, j), diagonal), after))
+            return F.when(d > 2 * edits + n - m, acc).otherwise(let(let(mask(c, j), diagonal), after))
+
+        start = F.struct(lit(ones ^ ((1 << edits) - 1)).alias("vp"), lit(0).alias("vn"), lit(edits).alias("d"), lit(0).alias("j"))
+        return F.when(m <= edits, F.lit(True)).otherwise(F.aggregate(z["t"], start, step)["d"] <= edits)
 
-        return run
+    def split(z: Column) -> Column:
+        none = F.array().cast("array<string>")
+        chars = lambda v: F.when(F.length(v) > 0, F.split(v, "")).otherwise(none)
+        return F.struct(chars(z["x"]).alias("p"), chars(z["y"]).alias("t"), F.length(z["x"]).alias("m"), F.length(z["y"]).alias("n"))
 
-    start = F.struct(lit(ones ^ ((1 << edits) - 1)).alias("vp"), lit(0).alias("vn"), lit(edits).alias("d"), lit(0).alias("j"))
-    end = let(F.col("__p"), lambda p: F.aggregate(F.split("__y", ""), start, step(p)))
-    near = (F.col("__m") <= edits) | F.when(F.col("__n") > 0, end["d"] <= edits).otherwise(F.lit(False))
-    return df.where(near).drop("__head", "__tail", "__x", "__y", "__p", "__m", "__n")
+    return let(let(let(let(pair(x, y), without_head), without_tail), split), banded)
 
 
 def near_links(lines: Table, edits: int = EDITS) -> DataFrame:
@@ -183,8 +191,8 @@ def near_links(lines: Table, edits: int = EDITS) -> DataFrame:
     texts = Table(lines.df().select("lid", "line").join(wanted.small(), "lid", "left_semi"), "line-texts").df()
     both = pairs.df().join(texts.select(F.col("lid").alias("a"), F.col("line").alias("x")), "a").join(texts.select(F.col("lid").alias("b"), F.col("line").alias("y")), "b")
     swap = F.length("x") < F.length("y")
-    both = both.select("a", "b", F.when(swap, F.col("y")).otherwise(F.col("x")).alias("x"), F.when(swap, F.col("x")).otherwise(F.col("y")).alias("y"))
-    return within(both.where(F.length("x") - F.length("y") <= edits), "x", "y", edits).select("a", "b")
+    longer, shorter = F.when(swap, F.col("y")).otherwise(F.col("x")), F.when(swap, F.col("x")).otherwise(F.col("y"))
+    return both.where((F.abs(F.length("x") - F.length("y")) <= edits) & within(longer, shorter, edits)).select("a", "b")
 
 
 def removals(df: DataFrame, text_col: str = "text", id_col: str = "doc_id", edits: int = EDITS, min_chars: int = MIN_CHARS) -> DataFrame:

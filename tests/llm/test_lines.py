@@ -3,6 +3,7 @@ import re
 from collections import defaultdict
 
 import pytest
+from pyspark.sql import functions as F
 
 from quillgraph.llm import lines
 from quillgraph.llm.common import Table
@@ -42,7 +43,7 @@ def test_banded_distance(spark, edits):
         a, b = (a, b) if len(a) >= len(b) else (b, a)
         if len(a) - len(b) <= edits and b:
             rows.append((len(rows), a, b))
-    got = {x.i for x in lines.within(spark.createDataFrame(rows, "i int, x string, y string"), "x", "y", edits).collect()}
+    got = {x.i for x in spark.createDataFrame(rows, "i int, x string, y string").where(lines.within(F.col("x"), F.col("y"), edits)).collect()}
     assert got == {i for i, a, b in rows if distance(a, b) <= edits}
 
 
