@@ -300,7 +300,7 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     """One row per input row: id, n_shingles, component_id, kept."""
     docs = df.select(id_key(id_col).alias("id"), utf8(text_col).alias("raw"))
     rows = Table(docs.mapInArrow(_sketched(spec), SKETCH_SCHEMA), "near-rows")
-    distinct = rows.df().where("n > 0").groupBy("d0", "d1").agg(F.min("id").alias("rep"), F.first("bands").alias("bands"), F.first("odd").alias("odd"))
+    distinct = rows.df().where("n > 0").groupBy("d0", "d1").agg(F.min("id").alias("rep"), F.min("n").alias("n"), F.first("bands").alias("bands"), F.first("odd").alias("odd"))
     classes = Table(distinct.withColumn("cid", F.monotonically_increasing_id()), "near-classes")  # writing settles the numbers
     keys = classes.df().select("cid", "rep", F.explode("bands").alias("bucket"))
     shared = Table(keys.groupBy("bucket").agg(F.count("*").alias("m")).where("m > 1").select("bucket"), "near-buckets")
