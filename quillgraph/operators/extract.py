@@ -48,7 +48,8 @@ def token_entities(tokens: DataFrame, entities: DataFrame) -> DataFrame:
     """
     spans = entities.select("doc", "sent", F.col("start").alias("e_start"), F.col("end").alias("e_end"), F.col("text").alias("e_text"), F.col("label").alias("e_label"))
     t = tokens.select("doc", "sent", "i", "head")
-    own = t.join(spans, (t.doc == spans.doc) & (t.sent == spans.sent) & (t.i >= spans.e_start) & (t.i < spans.e_end), "left").select(t.doc, t.sent, t.i, t.head, F.when(F.col("e_start").isNotNull(), F.struct("e_start", "e_text", "e_label")).alias("e"))
+    inside = (t["doc"] == spans["doc"]) & (t["sent"] == spans["sent"]) & (t["i"] >= spans["e_start"]) & (t["i"] < spans["e_end"])
+    own = t.join(spans, inside, "left").select(t["doc"], t["sent"], t["i"], t["head"], F.when(F.col("e_start").isNotNull(), F.struct("e_start", "e_text", "e_label")).alias("e"))
     current = own
     for _ in range(6):  # depth 64; parsers' trees are far lower
         up = current.select("doc", "sent", F.col("i").alias("head"), F.col("head").alias("above"), F.col("e").alias("above_e"))

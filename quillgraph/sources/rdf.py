@@ -303,7 +303,7 @@ def _parsed(kind: str):
 
 def _read_files(spark: SparkSession, paths: str | list[str], kind: str) -> DataFrame:
     files = spark.read.format("binaryFile").load(paths)
-    return files.select("path", F.decode("content", F.lit("UTF-8")).alias("text")).mapInPandas(_parsed(kind), TRIPLES).distinct()
+    return files.select("path", F.col("content").cast("string").alias("text")).mapInPandas(_parsed(kind), TRIPLES).distinct()
 
 
 def read_turtle(spark: SparkSession, paths: str | list[str]) -> DataFrame:
