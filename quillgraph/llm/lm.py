@@ -44,11 +44,12 @@ class Spec:
     width: int = 16
     context: int = 1
     rounds: int = 2
-    passes: int = 2
+    passes: int = 1
     batch: int = 1024
     noise: int = 256
     per_token: float = 8.0
     rate: float = 0.1
+    slow: float = 0.01
     seed: int = 5
 
 
@@ -182,10 +183,12 @@ class Model:
             key = key * len(self.b) + history[:, i]
         _, first, times = np.unique(key * len(self.b) + target, return_index=True, return_counts=True)
         mixed = np.concatenate([rng.permutation(len(first)) for _ in range(spec.passes)])
-        first, times = first[mixed], times[mixed].astype(np.float32)
+        share = spec.batch * times.mean()
+        first, times = first[mixed], (times[mixed] / share).astype(np.float32)
         cdf = np.cumsum(self.noise)
         log_k = np.log(spec.per_token * self.noise).astype(np.float32)
-        past = {"q": np.full(len(self.b), 1e-2, np.float32), "r": np.full(len(self.b), 1e-2, np.float32), "b": np.full(len(self.b), 1e-2, np.float32), "c": np.full(spec.context, 1e-2, np.float32)}
+        # squared gradients so far, by row; biases start at the unigram and move slowly
+        past = {k: np.full(len(getattr(self, k)), 1e-8, np.float32) for k in ("q", "r", "b", "c")}
         sigmoid = lambda x: 1 / (1 + np.exp(-np.clip(x, -30, 30)))
 
         def move(name: str, at: np.ndarray, grad: np.ndarray) -> None:
@@ -195,12 +198,11 @@ class Model:
             total = np.add.reduceat(grad[order], start, axis=0)
             size = total * total if total.ndim == 1 else np.mean(total * total, axis=1)
             past[name][rows] += size
-            step = spec.rate / np.sqrt(past[name][rows])
+            step = spec.rate * (spec.slow if name == "b" else 1.0) / np.sqrt(past[name][rows])
             getattr(self, name)[rows] -= total * (step if total.ndim == 1 else step[:, None])
 
         for i in range(0, len(first), spec.batch):
             h, t, w = history[first[i : i + spec.batch]], target[first[i : i + spec.batch]], times[i : i + spec.batch]
-            w = w / w.sum()
             fake = np.minimum(np.searchsorted(cdf, rng.random(spec.noise) * cdf[-1]), len(self.b) - 1)
             v, rt, rn = self.contexts(h), self.r[t], self.r[fake]
             real = (sigmoid(np.einsum("ij,ij->i", v, rt) + self.b[t] - log_k[t]) - 1) * w
