@@ -62,6 +62,13 @@ def delete_path(spark: SparkSession, path: str) -> None:
     hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(hadoop, True)
 
 
+def slices(batches, rows: int = 256):
+    """Record batches in smaller pieces, so that a worker unpacks few texts at a time."""
+    for batch in batches:
+        for i in range(0, batch.num_rows, rows):
+            yield batch.slice(i, rows)
+
+
 class Table:
     """A table written once to the shared folder: lineage ends here, and lost executors cost nothing."""
 

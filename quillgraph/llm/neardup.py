@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillgraph.llm.common import Table, by_value, id_key, real_id, table, utf8, worker_cache
+from quillgraph.llm.common import Table, by_value, id_key, real_id, slices, table, utf8, worker_cache
 from quillgraph.llm.components import components
 
 by_value(__name__)
@@ -41,7 +41,7 @@ BLOCK, BLOCK_SHINGLES = 512, 1_000_000
 #: Partners confirmed in one task with the document they share.
 PARTNERS = 64
 #: Words whose hashes a worker remembers.
-MEMORY = 500_000
+MEMORY = 100_000
 
 
 @dataclass(frozen=True)
@@ -149,7 +149,7 @@ SKETCH_SCHEMA = "id long, n long, d0 long, d1 long, bands array<long>, odd array
 def _sketched(spec: Spec):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         make = Sketcher(spec)
-        for batch in batches:
+        for batch in slices(batches):
             rows = []
             for key, raw in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 x = shingle_hashes(raw.lower().split(), spec.words)
@@ -199,7 +199,7 @@ def _texts(docs: DataFrame, need: Table, spec: Spec) -> DataFrame:
     found = docs.join(need.small().select("cid", "rep", "d0", "d1"), F.col("id") == F.col("rep")).select("cid", "raw", "d0", "d1")
 
     def right(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             raws, d0, d1 = (batch.column(i).to_pylist() for i in (1, 2, 3))
             ok = [set_digest(shingle_hashes(r.lower().split(), spec.words)) == (x, y) for r, x, y in zip(raws, d0, d1, strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column(i).filter(pa.array(ok, pa.bool_())) for i in (0, 1)], names=["cid", "raw"])
