@@ -19,5 +19,9 @@ QUERIES = {
     "pipeline": corpus_pipeline.run,
 }
 ORACLES: dict[str, str] = {
+    "op1_warc_archives": archive.OP1_SQL,
     "op4_source_mix": mixing.OP4_SQL,
+    "op6_exact_dedup": exact.OP6_SQL,
+    "op8_near_duplicates": neardup.OP8_SQL,
+    "op10_quality_rules": quality.OP10_SQL,
 }

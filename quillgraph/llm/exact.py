@@ -189,3 +189,11 @@ def deduplicate(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
 def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Contract query: one row per document, dropped ones too."""
     return deduplicate(table(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id")
+
+
+OP6_SQL = r"""
+WITH d AS (SELECT doc_id, length(coalesce(text, '')) AS points, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]', '', 'g') AS plain FROM documents),
+k AS (SELECT *, sha256(plain) AS text_sha256, count(*) OVER (PARTITION BY plain) AS group_size,
+      first_value(doc_id) OVER (PARTITION BY plain ORDER BY points DESC, doc_id) AS keep_id FROM d)
+SELECT doc_id, keep_id, group_size::BIGINT AS group_size, doc_id = keep_id AS kept, text_sha256 FROM k
+"""
