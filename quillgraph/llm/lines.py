@@ -11,9 +11,10 @@ more than the edits left.  Segments are indexed by length, number and content, t
 few substrings that can match, and candidates are verified by a banded bit-parallel edit distance: one
 machine word holds the 2 * EDITS + 1 cells of a column's band.
 
-Equal lines are one row before the join.  A segment that more than ``HOT`` lines share is not joined: the
-lines that meet in it go on without it, as shorter strings under the same bound, and are cut again, until
-the parts that tell them apart decide.  Nothing is capped: after ``DEPTH`` such rounds the rest is joined.
+Equal lines are one row before the join.  Lines that share a busy segment must agree in a sketch that no
+pair within the bound can fail.  A segment that more than ``HOT`` lines share is not joined: the lines that
+meet in it go on without it, as shorter strings under the same bound, and are cut again, until the parts
+that tell them apart decide.  Nothing is capped: after ``DEPTH`` such rounds the rest is joined.
 
 Null texts have no lines.  Rows that agree in id and text are one document: their lines stay together.
 """
@@ -29,7 +30,8 @@ from quillgraph.llm.common import NULL_ID, Table, id_key, table
 from quillgraph.llm.spans import let
 
 EDITS, MIN_CHARS = 2, 24
-HOT, DEPTH = 64, 6
+#: Lines that share a segment: up to BUSY they are joined as they are, beyond HOT the segment is refined.
+BUSY, HOT, DEPTH = 4, 2048, 8
 
 
 def document_key(id_col: str, text: Column) -> list[Column]:
@@ -87,29 +89,73 @@ def _without(edits: int, probe: bool) -> Column:
     return F.expr(out)
 
 
+def _parities(s: str) -> Column:
+    """Two words of 64 bits: parities of the counts of a string's characters and of its bigrams.
+
+    An edit changes at most two bits of the first and four of the second, so strings within ``edits`` edits
+    differ in no more than that many times ``edits`` bits.
+    """
+    flip = lambda word, place: word.bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("long"), place.cast("int")))
+    zero = F.lit(0).cast("long")
+
+    def both(chars: Column) -> Column:
+        single = F.aggregate(chars, zero, lambda w, c: flip(w, F.ascii(c) % 64))
+        pairs = F.zip_with(chars, F.slice(chars, 2, F.greatest(F.size(chars), F.lit(1))), lambda x, y: F.pmod(F.xxhash64(x, y), F.lit(64)))
+        return F.struct(single.alias("one"), F.aggregate(pairs, zero, flip).alias("two"))
+
+    return let(F.split(s, ""), both)
+
+
 def near_candidates(lines: DataFrame, edits: int = EDITS) -> DataFrame:
     """a, b: pairs of line numbers that share a segment as lines within ``edits`` edits do.
 
-    ``lines`` has lid and line, no two equal.
+    ``lines`` has lid and line, no two equal.  A segment that few lines share is joined as it is.  Where
+    more share one, what meets must also agree in the parities of its characters and bigrams, a necessary
+    condition, before it is a pair.  A segment that more than ``HOT`` lines share is not joined: its lines
+    go on without it and are cut again.
     """
-    rows = {probe: lines.select(F.lit(0).cast("long").alias("g"), "lid", F.col("line").alias("s"), F.length("line").alias("n")) for probe in (False, True)}
-    pairs = None
+    # the null test, which the joins imply for one side alone, keeps both uses of the probes one exchange
+    cut = lines.where("lid is not null").select(F.lit(0).cast("long").alias("g"), "lid", F.col("line").alias("s"), F.length("line").alias("n"))
+    rows = {False: cut, True: cut}
+    pairs = []
     for depth in range(DEPTH + 1):
-        met = {probe: rows[probe].select("lid", F.posexplode(_keys(edits, probe)).alias("e", "key")).where("key is not null") for probe in rows}
-        hot = Table(met[False].groupBy("key").agg(F.count("*").alias("m")).where(F.col("m") > HOT).select("key"), "line-hot") if depth < DEPTH else None
-        more = hot is not None and hot.rows() > 0
-        a, b = (met[probe].select("key", F.col("lid").alias(n)) for probe, n in ((False, "a"), (True, "b")))
-        if more:
-            a, b = (x.join(hot.small(), "key", "left_anti") for x in (a, b))
-        both = a.join(b, "key").where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-        pairs = both if pairs is None else pairs.unionByName(both)
-        if not more:
+        keyed = {probe: rows[probe].select("lid", F.explode(_keys(edits, probe)).alias("key")).where("key is not null") for probe in rows}
+        index = Table(keyed[False], "line-index")
+        busy = Table(index.df().groupBy("key").agg(F.count("*").alias("m")).where(F.col("m") > BUSY), "line-busy")
+        # the probes are dealt by key once, for both joins: the second asks for no broadcast, so that it shares
+        a = index.df().join(busy.small(), "key", "left_anti").select("key", F.col("lid").alias("a"))
+        probe = keyed[True]
+        few = a.join(probe.hint("merge"), "key").where("a <> lid").select("a", F.col("lid").alias("b"), F.lit(None).cast("long").alias("key"))
+        hits = probe.join(busy.df().select("key").hint("merge"), "key", "left_semi").select(F.lit(None).cast("long").alias("a"), F.col("lid").alias("b"), "key") if busy.rows() else None
+        met = Table(few.unionByName(hits) if hits is not None else few, "line-met")
+        pairs.append(met.df().where("key is null").select("a", "b"))
+        if hits is None:
+            break
+        most = HOT if depth < DEPTH else 1 << 62
+        held = index.df().join(busy.small(), "key").select("key", "m", F.col("lid").alias("a"))
+        asked = met.df().where("key is not null").join(busy.small(), "key").select("key", "m", "b")
+        some = {False: held.withColumnRenamed("a", "lid"), True: asked.withColumnRenamed("b", "lid")}
+        known = {}
+        for probe_side, df in some.items():
+            wanted = Table(df.where(F.col("m") <= most).select("lid").distinct(), "line-some")
+            known[probe_side] = Table(lines.join(wanted.small(), "lid", "left_semi").select("lid", _parities("line").alias("w")), "line-parities")
+        x = some[False].where(F.col("m") <= most).join(known[False].df(), "lid").select("key", F.col("lid").alias("a"), F.col("w.one").alias("a1"), F.col("w.two").alias("a2"))
+        y = some[True].where(F.col("m") <= most).join(known[True].df(), "lid").select("key", F.col("lid").alias("b"), F.col("w.one").alias("b1"), F.col("w.two").alias("b2"))
+        near = (F.bit_count(F.col("a1").bitwiseXOR(F.col("b1"))) <= 2 * edits) & (F.bit_count(F.col("a2").bitwiseXOR(F.col("b2"))) <= 4 * edits)
+        pairs.append(x.join(y, "key").where((F.col("a") != F.col("b")) & near).select("a", "b"))
+        hot = Table(busy.df().where(F.col("m") > most).select("key"), "line-hot")
+        if not hot.rows():
             break
-        for probe in rows:
-            again = rows[probe].select("lid", "s", "n", F.posexplode(_keys(edits, probe)).alias("e", "key")).join(hot.small(), "key", "left_semi")
-            cut = again.select(F.col("key").alias("g"), "lid", _without(edits, probe).alias("s")).distinct()
-            rows[probe] = Table(cut.withColumn("n", F.length("s")), "line-rest").df()
-    return pairs.distinct()
+        for side, df in some.items():
+            # a line has a row per group that it is in; its key tells which of them an entry came from
+            mine = rows[side].join(Table(df.where(F.col("m") > most).select("lid").distinct(), "line-mine").small(), "lid", "left_semi")
+            again = mine.select("lid", "s", "n", F.posexplode(_keys(edits, side)).alias("e", "key")).join(hot.small(), "key", "left_semi")
+            rest = again.select(F.col("key").alias("g"), "lid", _without(edits, side).alias("s")).distinct()
+            rows[side] = Table(rest.withColumn("n", F.length("s")), "line-rest").df()
+    out = pairs[0]
+    for more in pairs[1:]:
+        out = out.unionByName(more)
+    return out.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
 def _common(x: Column, y: Column, side: Callable[[Column, Column], Column]) -> Column:
