@@ -37,7 +37,7 @@ def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids of each document, packed, with digests of the ids and of the text that they decode to."""
-    return bpe.encode_table(docs, "text", ("doc_id", "lang", "source")).drop("decoded")
+    return bpe.encode_table(docs, "text", ("doc_id", "lang", "source"), keep_text=False)
 
 
 STAGES = [

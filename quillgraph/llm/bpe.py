@@ -20,15 +20,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillgraph.llm.common import by_value, table, utf8, worker_cache
+from quillgraph.llm.common import by_value, slices, table, utf8, worker_cache
 
 by_value(__name__)
 
 #: Fixed: the pre-tokenizer's pattern (published with the vocabulary).
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
-#: Pre-tokens remembered by a worker before its memory is emptied; it bounds memory, not results.
-MEMORY = 400_000
+#: Pre-tokens of a worker's younger memory; when it is full it becomes the older one.  It bounds memory, not results.
+MEMORY = 100_000
 
 
 def byte_letters() -> dict[str, int]:
@@ -46,6 +46,7 @@ class Encoder(dict):
         import regex
 
         super().__init__()
+        self.old: dict[str, bytes] = {}
         spec_json = json.loads(spec)
         model, letters = spec_json["model"], byte_letters()
         to_bytes = lambda token: bytes(letters[c] for c in token)
@@ -126,13 +127,16 @@ class Encoder(dict):
         return out[::-1]
 
     def __missing__(self, piece: str) -> bytes:
-        if len(self) >= MEMORY:
-            self.clear()
-        if len(self.pairs) >= 4 * MEMORY:
-            self.pairs.clear()
-        packed = self.packed
-        got = b"".join([packed[i] for i in self.tokens(piece.encode())])
+        got = self.old.get(piece)
+        if got is None:
+            packed = self.packed
+            got = b"".join([packed[i] for i in self.tokens(piece.encode())])
         if len(piece) < 64:
+            if len(self) >= MEMORY:
+                self.old = dict(self)
+                self.clear()
+            if len(self.pairs) >= 3 * MEMORY:
+                self.pairs.clear()
             self[piece] = got
         return got
 
@@ -176,11 +180,11 @@ def tokenizer_spec(path: str | None = None) -> str:
         return f.read()
 
 
-def _round_trip(spec, columns: list[pa.Field], keep_ids: bool):
+def _round_trip(spec, columns: list[pa.Field], keep_ids: bool, keep_text: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = encoder(spec.value)
         hexed = lambda b: hashlib.sha256(b).hexdigest()
-        for batch in batches:
+        for batch in slices(batches):
             ids, texts = [], []
             for raw in batch.column(batch.num_columns - 1).to_pylist():
                 packed = bpe.encode(raw.decode("utf-8", "replace"))
@@ -190,18 +194,21 @@ def _round_trip(spec, columns: list[pa.Field], keep_ids: bool):
             arrays += [pa.array([len(x) // 4 for x in ids], pa.int64()), pa.array(map(hexed, ids), pa.string()), pa.array(map(hexed, texts), pa.string())]
             names = [c.name for c in columns] + ["n_tokens", "ids_sha256", "decoded_sha256"]
             if keep_ids:
-                arrays += [pa.array(ids, pa.binary()), pa.array([x.decode() for x in texts], pa.string())]
-                names += ["token_ids", "decoded"]
+                arrays.append(pa.array(ids, pa.binary()))
+                names.append("token_ids")
+            if keep_text:
+                arrays.append(pa.array([x.decode() for x in texts], pa.string()))
+                names.append("decoded")
             yield pa.RecordBatch.from_arrays(arrays, names=names)
 
     return run
 
 
-def encode_table(df: DataFrame, text_col: str = "text", keep: tuple[str, ...] = (), spec_path: str | None = None, keep_ids: bool = True) -> DataFrame:
+def encode_table(df: DataFrame, text_col: str = "text", keep: tuple[str, ...] = (), spec_path: str | None = None, keep_ids: bool = True, keep_text: bool = True) -> DataFrame:
     """Encode and decode every text.
 
     Returns the columns in ``keep`` and n_tokens, ids_sha256, decoded_sha256; with ``keep_ids`` also
-    token_ids (packed little-endian unsigned 32-bit) and decoded.  One map over the rows, no shuffle.
+    token_ids (packed little-endian unsigned 32-bit), with ``keep_text`` decoded.  One map over the rows, no shuffle.
     """
     from pyspark.sql import types as T
     from pyspark.sql.pandas.types import to_arrow_type
@@ -210,13 +217,15 @@ def encode_table(df: DataFrame, text_col: str = "text", keep: tuple[str, ...] =
     fields = [df.schema[c] for c in keep]
     out = [*fields, T.StructField("n_tokens", T.LongType()), T.StructField("ids_sha256", T.StringType()), T.StructField("decoded_sha256", T.StringType())]
     if keep_ids:
-        out += [T.StructField("token_ids", T.BinaryType()), T.StructField("decoded", T.StringType())]
+        out.append(T.StructField("token_ids", T.BinaryType()))
+    if keep_text:
+        out.append(T.StructField("decoded", T.StringType()))
     rows = df.select(*keep, utf8(text_col).alias("__utf8"))
     columns = [pa.field(f.name, to_arrow_type(f.dataType)) for f in fields]
-    return rows.mapInArrow(_round_trip(spec, columns, keep_ids), T.StructType(out))
+    return rows.mapInArrow(_round_trip(spec, columns, keep_ids, keep_text), T.StructType(out))
 
 
 def op7_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Contract query: one row per document with digests of its ids and of the decoded text."""
     docs = table(spark, sf_dir, "documents")
-    return encode_table(docs, "text", ("doc_id",), keep_ids=False).select(F.col("doc_id").cast("long").alias("doc_id"), "n_tokens", "ids_sha256", "decoded_sha256")
+    return encode_table(docs, "text", ("doc_id",), keep_ids=False, keep_text=False).select(F.col("doc_id").cast("long").alias("doc_id"), "n_tokens", "ids_sha256", "decoded_sha256")

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillgraph.llm.common import SPACE, Table, by_value, id_key, real_id, table, utf8
+from quillgraph.llm.common import SPACE, Table, by_value, id_key, real_id, slices, table, utf8
 
 by_value(__name__)
 
@@ -95,7 +95,7 @@ def normalise(raw: bytes) -> bytes:
 
 def _fingerprinted(with_bytes: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             raws = batch.column(1).to_pylist()
             plain = [normalise(x) for x in raws]
             digests = [hashlib.sha256(x) for x in plain]

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from quillgraph.llm.common import Table, by_value, id_key, real_id, table, utf8
+from quillgraph.llm.common import Table, by_value, id_key, real_id, slices, table, utf8
 
 by_value(__name__)
 
@@ -99,7 +99,7 @@ def _blocks(size: int):
         from pyspark import TaskContext
 
         block, held_bytes, docs = TaskContext.get().partitionId() << 32, 0, []
-        for batch in batches:
+        for batch in slices(batches):
             for key, held, raw in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
                 docs.append((key, held, [*raw.lower().split(), END]))
                 held_bytes += len(raw) + 64

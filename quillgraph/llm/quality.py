@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_type
 
-from quillgraph.llm.common import SPACE, by_value, table, utf8
+from quillgraph.llm.common import SPACE, by_value, slices, table, utf8
 
 by_value(__name__)
 
@@ -120,7 +120,7 @@ def measure(raw: bytes) -> tuple[int, ...]:
 
 def _measured(columns: list[pa.Field]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             rows = [measure(x) for x in batch.column(batch.num_columns - 1).to_pylist()]
             values = zip(*rows, strict=True) if rows else [()] * len(MEASURES)
             yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(len(columns))), *(pa.array(v, pa.int64()) for v in values)], names=[*(c.name for c in columns), *MEASURES])
