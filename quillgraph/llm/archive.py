@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillgraph.llm.common import NULL_ID, Table, by_value, id_key, new_path, real_id, table, utf8
+from quillgraph.llm.common import NULL_ID, Table, by_value, id_key, new_path, real_id, small_batches, table, utf8
 
 by_value(__name__)
 
@@ -286,6 +286,7 @@ def write_archives(df: DataFrame, path: str, key_col: str, url_col: str, payload
     so what joins the payloads is small, and where it isn't, both sides shuffle by digest and Spark may
     split a hot one.  Spark's own text writer commits the files, so a lost executor's task is just rerun.
     """
+    small_batches(df.sparkSession)
     rows = df.select(id_key(key_col).alias("key"), F.col(url_col).cast("string").alias("url"), utf8(payload_col).alias("payload"))
     rows = rows.withColumn("sha1", F.sha1("payload"))
     repeated = Table(

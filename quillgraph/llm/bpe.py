@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillgraph.llm.common import by_value, slices, table, utf8, worker_cache
+from quillgraph.llm.common import by_value, slices, small_batches, table, utf8, worker_cache
 
 by_value(__name__)
 
@@ -28,7 +28,7 @@ by_value(__name__)
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
 #: Pre-tokens of a worker's younger memory; when it is full it becomes the older one.  It bounds memory, not results.
-MEMORY = 100_000
+MEMORY = 50_000
 
 
 def byte_letters() -> dict[str, int]:
@@ -213,6 +213,7 @@ def encode_table(df: DataFrame, text_col: str = "text", keep: tuple[str, ...] =
     from pyspark.sql import types as T
     from pyspark.sql.pandas.types import to_arrow_type
 
+    small_batches(df.sparkSession)
     spec = df.sparkSession.sparkContext.broadcast(tokenizer_spec(spec_path))  # one file of fixed size
     fields = [df.schema[c] for c in keep]
     out = [*fields, T.StructField("n_tokens", T.LongType()), T.StructField("ids_sha256", T.StringType()), T.StructField("decoded_sha256", T.StringType())]

@@ -69,6 +69,17 @@ def slices(batches, rows: int = 256):
             yield batch.slice(i, rows)
 
 
+#: Rows of a record batch that goes to a Python worker, at most.
+BATCH_ROWS = 1000
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Bounds the session's record batches: texts are long, and both sides of the pipe hold whole batches."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(key, "10000")) <= BATCH_ROWS:
+        spark.conf.set(key, BATCH_ROWS)
+
+
 class Table:
     """A table written once to the shared folder: lineage ends here, and lost executors cost nothing."""
 

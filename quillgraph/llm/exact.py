@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillgraph.llm.common import SPACE, Table, by_value, id_key, real_id, slices, table, utf8
+from quillgraph.llm.common import SPACE, Table, by_value, id_key, real_id, slices, small_batches, table, utf8
 
 by_value(__name__)
 
@@ -152,6 +152,7 @@ def deduplicate(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
     Shuffles: the filters (8 bytes a row), the narrow rows of repeated texts, and the bytes of repeated
     texts after combining; unique texts never move.
     """
+    small_batches(df.sparkSession)
     source = df.select(id_key(id_col).alias("id"), utf8(text_col).alias("raw"))
     narrow = Table(source.mapInArrow(_fingerprinted(False), "id long, points long, print long, sha string"), "exact-rows")
     repeated = Table(repeated_fingerprints(narrow.df(), narrow.rows()), "exact-prints")

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from quillgraph.llm.common import Table, by_value, id_key, real_id, slices, table, utf8
+from quillgraph.llm.common import Table, by_value, id_key, real_id, slices, small_batches, table, utf8
 
 by_value(__name__)
 
@@ -319,6 +319,7 @@ def held_out(id_col: str):
 def score(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", spec: Spec = Spec(), block_bytes: int = BLOCK_BYTES) -> DataFrame:  # noqa: B008
     """One row per input row: id, held_out, n_tokens, n_known, train_tokens, base_score, score."""
     spark = df.sparkSession
+    small_batches(spark)
     source = df.select(id_key(id_col).alias("id"), held_out(id_col).alias("held"), utf8(text_col).alias("raw"))
     blocks = Table(source.mapInArrow(_blocks(block_bytes), BLOCK_SCHEMA), "lm-blocks")
     docs = blocks.df().where("ids is not null").select("block", "id", "held", "n", "ids")

@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillgraph.llm.common import Table, by_value, id_key, real_id, slices, table, utf8, worker_cache
+from quillgraph.llm.common import Table, by_value, id_key, real_id, slices, small_batches, table, utf8, worker_cache
 from quillgraph.llm.components import components
 
 by_value(__name__)
@@ -41,7 +41,7 @@ BLOCK, BLOCK_SHINGLES = 512, 1_000_000
 #: Partners confirmed in one task with the document they share.
 PARTNERS = 64
 #: Words whose hashes a worker remembers.
-MEMORY = 100_000
+MEMORY = 50_000
 
 
 @dataclass(frozen=True)
@@ -298,6 +298,7 @@ def _rest(members: Table, classes: Table, labels: Table, docs: DataFrame, spec:
 
 def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", spec: Spec = Spec()) -> DataFrame:  # noqa: B008
     """One row per input row: id, n_shingles, component_id, kept."""
+    small_batches(df.sparkSession)
     docs = df.select(id_key(id_col).alias("id"), utf8(text_col).alias("raw"))
     rows = Table(docs.mapInArrow(_sketched(spec), SKETCH_SCHEMA), "near-rows")
     distinct = rows.df().where("n > 0").groupBy("d0", "d1").agg(F.min("id").alias("rep"), F.min("n").alias("n"), F.first("bands").alias("bands"), F.first("odd").alias("odd"))

@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_type
 
-from quillgraph.llm.common import SPACE, by_value, slices, table, utf8
+from quillgraph.llm.common import SPACE, by_value, slices, small_batches, table, utf8
 
 by_value(__name__)
 
@@ -130,6 +130,7 @@ def _measured(columns: list[pa.Field]):
 
 def ledger(df: DataFrame, text_col: str = "text", keep: tuple[str, ...] = (), rules: tuple[Rule, ...] = RULES) -> DataFrame:
     """One row per document: the columns in ``keep`` (prefixed ``in_`` where they clash), measurements, failures."""
+    small_batches(df.sparkSession)
     safe = {c: f"in_{c}" if c in (*MEASURES, "failures") else c for c in keep}
     fields = [T.StructField(safe[c], df.schema[c].dataType) for c in keep]
     rows = df.select(*(F.col(c).alias(safe[c]) for c in keep), utf8(text_col).alias("__utf8"))
