@@ -1,13 +1,13 @@
 """Information-theoretic sanitisation of personal data, with built-in expressions alone.
 
 Protected entities are the values that the base patterns find (mail addresses, IP addresses, card and
-phone numbers).  A term near an entity can reveal it as well: over the corpus, with n documents,
-n(e) that hold the entity, n(t) that hold the term and n(e,t) with the term beside the entity,
+phone numbers).  A term of the same document can reveal it as well: over the corpus, with n documents,
+n(e) that hold the entity, n(t) that hold the term and n(e,t) that hold both, however far apart,
 PMI(e,t) = log2(n(e,t) n / (n(e) n(t))) is the information that the term gives about the entity, and
 IC(e) = log2(n / n(e)) all there is.  From two joint documents up, a term that discloses at least
-``GENERALISE`` of IC(e) is generalised, at least ``REMOVE`` removed.  Documents without an entity are left
-alone.  Terms are runs of three letters or more, lower-cased; "beside" is within ``CONTEXT`` code points and
-not beyond the next entity of that kind.
+``GENERALISE`` of IC(e) is generalised, at least ``REMOVE`` removed, wherever it stands in a document that
+holds the entity.  Documents without an entity are left alone.  Terms are runs of three letters or more,
+lower-cased.
 
 n, n(e), n(t), n(e,t) are counted over all documents.  Null and empty texts hold nothing.  Repeated rows
 count as documents of their own.
@@ -18,8 +18,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillgraph.llm.common import Table, table
-from quillgraph.llm.spans import NO_TAGGED, joined, prefix_sums, tagged, with_spans
+from quillgraph.llm.common import BROADCAST_ROWS, Table, table
+from quillgraph.llm.spans import NO_TAGGED, joined, tagged, with_spans
 
 KINDS = ("email", "ip", "card", "phone")
 
@@ -30,7 +30,6 @@ CARD = r"[0-9](?:[\x20-]?[0-9])++"
 PHONE = r"\+[0-9][\x20().0-9-]+[0-9]"
 TERM = r"\p{L}{3,}+"
 
-CONTEXT = 60
 GENERALISE, REMOVE = 0.8, 0.95
 #: Documents in which term and entity must meet.
 SUPPORT = 2
@@ -65,14 +64,14 @@ def _phone_ok(value: Column, _: Column) -> Column:
     return F.length(digits(value)).between(9, 15)
 
 
-def find(df: DataFrame, text_col: str = "text", id_col: str = "doc_id", context: int = CONTEXT) -> DataFrame:
-    """id, text, and per kind the base spans with what stands beside them."""
+def find(df: DataFrame, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
+    """id, text, and per kind the base spans."""
     df = df.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
     number = F.col("text").rlike("[0-9]")
-    df = with_spans(df, "email", "text", EMAIL, F.contains("text", F.lit("@")), context=context)
-    df = with_spans(df, "ip", "text", IP, number, _ip_ok, context=context)
-    df = with_spans(df, "card", "text", CARD, number, _card_ok, context=context)
-    return with_spans(df, "phone", "text", PHONE, F.contains("text", F.lit("+")), _phone_ok, context=context)
+    df = with_spans(df, "email", "text", EMAIL, F.contains("text", F.lit("@")))
+    df = with_spans(df, "ip", "text", IP, number, _ip_ok)
+    df = with_spans(df, "card", "text", CARD, number, _card_ok)
+    return with_spans(df, "phone", "text", PHONE, F.contains("text", F.lit("+")), _phone_ok)
 
 
 def _entity(kind: str, value: Column) -> Column:
@@ -80,66 +79,60 @@ def _entity(kind: str, value: Column) -> Column:
     return F.concat(F.lit(kind + ":"), plain)
 
 
-def beside(found: DataFrame, context: int = CONTEXT) -> DataFrame:
-    """rid, entity, term, start, end: the terms beside each entity, with places in the text."""
-    no, cut = F.lit(False), lambda part: F.length(part) > context
-
-    def left(kind: str):
-        return lambda s: F.struct(_entity(kind, s["value"]).alias("entity"), s["left"].alias("part"), (s["start"] - F.length(s["left"])).alias("at"), cut(s["left"]).alias("cut_first"), no.alias("cut_last"))
-
-    def right(kind: str):
-        return lambda s: F.struct(_entity(kind, s["value"]).alias("entity"), s["right"].alias("part"), s["end"].alias("at"), no.alias("cut_first"), cut(s["right"]).alias("cut_last"))
-
-    sides = [F.transform(k, side(k)) for k in KINDS for side in (left, right)]
-    some = found.where(F.greatest(*(F.size(k) for k in KINDS)) > 0)
-    parts = some.select("rid", F.explode(F.concat(*sides)).alias("c")).select("rid", "c.*")
-    parts = parts.withColumns({"words": F.regexp_extract_all("part", F.lit(TERM), F.lit(0)), "gaps": F.split("part", TERM, -1)}).where(F.size("words") > 0)
-    sizes = F.zip_with(F.slice("gaps", 1, F.size("words")), F.col("words"), lambda a, b: (F.length(a) + F.length(b)).cast("long"))
-    parts = parts.withColumn("sums", prefix_sums(sizes))
-    terms = parts.select("rid", "entity", "at", "part", "cut_first", "cut_last", "gaps", "sums", F.posexplode("words").alias("i", "word"))
-    start = F.get("sums", F.col("i")) + F.length(F.get("gaps", F.col("i")))
-    terms = terms.withColumn("from", start).withColumn("to", start + F.length("word"))
-    whole = ~((F.col("cut_first") & (F.col("from") == 0)) | (F.col("cut_last") & (F.col("to") == F.length("part"))))
-    return terms.where(whole).select("rid", "entity", F.lower("word").alias("term"), (F.col("at") + F.col("from")).alias("start"), (F.col("at") + F.col("to")).alias("end"))
+def terms_of(text: Column) -> Column:
+    """The distinct terms of a text."""
+    return F.array_distinct(F.transform(F.regexp_extract_all(text, F.lit(TERM), F.lit(0)), F.lower))
 
 
 def term_counts(df: DataFrame, text_col: str = "text") -> DataFrame:
     """term, n_t: documents that hold each term, over all documents; combined before the shuffle."""
-    words = F.array_distinct(F.regexp_extract_all(F.lower(F.coalesce(F.col(text_col).cast("string"), F.lit(""))), F.lit(TERM), F.lit(0)))
-    return df.select(F.explode(words).alias("term")).groupBy("term").agg(F.count("*").alias("n_t"))
+    return df.select(F.explode(terms_of(F.coalesce(F.col(text_col).cast("string"), F.lit("")))).alias("term")).groupBy("term").agg(F.count("*").alias("n_t"))
+
+
+def met(held: Table) -> DataFrame:
+    """rid, entity, term: every term of a document with every entity that it holds."""
+    return held.df().select("rid", "terms", F.explode("entities").alias("entity")).select("rid", "entity", F.explode("terms").alias("term"))
 
 
-def disclosures(found: Table, terms: Table, df: DataFrame, text_col: str, context: int, generalise: float) -> DataFrame:
+def disclosures(held: Table, n: int, n_e: Table, df: DataFrame, text_col: str, generalise: float) -> DataFrame:
     """entity, term, share: the pairs whose term discloses at least ``generalise`` of the entity."""
-    entity = lambda kind: lambda s: _entity(kind, s["value"])
-    n = found.rows()
-    held = F.array_distinct(F.concat(*(F.transform(k, entity(k)) for k in KINDS)))
-    n_e = Table(found.df().select(F.explode(held).alias("entity")).groupBy("entity").agg(F.count("*").alias("n_e")), "pii-entities")
-    pairs = Table(terms.df().select("rid", "entity", "term").distinct().groupBy("entity", "term").agg(F.count("*").alias("n_et")).where(F.col("n_et") >= SUPPORT), "pii-pairs")
+    pairs = Table(met(held).groupBy("entity", "term").agg(F.count("*").alias("n_et")).where(F.col("n_et") >= SUPPORT), "pii-pairs")
     near = Table(pairs.df().select("term").distinct(), "pii-terms")
     n_t = Table(term_counts(df, text_col).join(near.small(), "term", "left_semi"), "pii-counts")
     pmi = F.log2(F.col("n_et") * F.lit(float(n)) / (F.col("n_e") * F.col("n_t")))
     ic = F.log2(F.lit(float(n)) / F.col("n_e"))
-    return pairs.df().join(n_t.small(), "term").join(n_e.small(), "entity").where(ic > 0).select("entity", "term", (pmi / ic).alias("share")).where(F.col("share") >= generalise)
+    return pairs.df().join(n_t.small(), "term").join(n_e.small(), "entity").select("entity", "term", (pmi / ic).alias("share")).where(F.col("share") >= generalise)
 
 
-def analyse(df: DataFrame, text_col: str = "text", id_col: str = "doc_id", context: int = CONTEXT, generalise: float = GENERALISE, remove: float = REMOVE, keep_text: bool = False) -> DataFrame:
+def analyse(df: DataFrame, text_col: str = "text", id_col: str = "doc_id", generalise: float = GENERALISE, remove: float = REMOVE, keep_text: bool = False) -> DataFrame:
     """id, the base spans by kind, ``added`` (tagged spans of disclosing terms) and, if asked for, the text.
 
-    Everything after the search is on the few places beside entities; a hot entity or term is a sum
-    combined before the shuffle, and joins are against written tables, which Spark may split.
+    Entities of fewer than ``SUPPORT`` documents, or of all, can't be disclosed and go before terms are paired.
+    A hot entity or term is a sum combined before the shuffle, and joins are against written tables, which
+    Spark may split.
     """
-    found = find(df, text_col, id_col, context).withColumn("rid", F.monotonically_increasing_id())
-    found = Table(found if keep_text else found.drop("text"), "pii-found")  # writing settles the row numbers
-    terms = Table(beside(found.df(), context), "pii-beside")
-    risky = Table(disclosures(found, terms, df, text_col, context, generalise), "pii-risky")
-    hits = terms.df().join(risky.small(), ["entity", "term"]).groupBy("rid", "start", "end").agg(F.max("share").alias("share"))
+    entity = lambda kind: lambda s: _entity(kind, s["value"])
+    found = find(df, text_col, id_col).withColumn("rid", F.monotonically_increasing_id())
+    found = found.withColumn("entities", F.array_distinct(F.concat(*(F.transform(k, entity(k)) for k in KINDS))))
+    text = F.col("text") if keep_text else F.when(F.size("entities") > 0, F.col("text"))
+    found = Table(found.withColumn("text", text), "pii-found")  # writing settles the row numbers
+    n = found.rows()
+    every = found.df().select("rid", F.explode("entities").alias("entity"))
+    n_e = Table(every.groupBy("entity").agg(F.count("*").alias("n_e")).where((F.col("n_e") >= SUPPORT) & (F.col("n_e") < n)), "pii-entities")
+    known = Table(every.join(n_e.small(), "entity").groupBy("rid").agg(F.collect_list("entity").alias("entities")), "pii-known")
+    held = Table(found.df().select("rid", "text").join(known.small(BROADCAST_ROWS // 10), "rid").select("rid", "entities", terms_of(F.col("text")).alias("terms")), "pii-held")
+    risky = Table(disclosures(held, n, n_e, df, text_col, generalise), "pii-risky")
+    hits = Table(met(held).join(risky.small(), ["entity", "term"]).groupBy("rid", "term").agg(F.max("share").alias("share")), "pii-hits")
+    hit = Table(hits.df().select("rid").distinct(), "pii-hit")
+    words = with_spans(found.df().select("rid", "text").join(hit.small(), "rid", "left_semi"), "word", "text", TERM, F.lit(True)).select("rid", F.explode("word").alias("w"))
+    places = Table(words.select("rid", F.lower("w.value").alias("term"), "w.start", "w.end").join(hits.small(), ["rid", "term"]).select("rid", "start", "end", "share"), "pii-places")
     kind = F.when(F.col("share") >= remove, F.lit("removed")).otherwise(F.lit("generalised"))
     added = Table(
-        hits.groupBy("rid").agg(F.collect_list(F.struct(F.col("start"), F.lit(len(KINDS)).alias("order"), kind.alias("kind"), F.col("end"))).alias("added")),
+        places.df().groupBy("rid").agg(F.collect_list(F.struct(F.col("start"), F.lit(len(KINDS)).alias("order"), kind.alias("kind"), F.col("end"))).alias("added")),
         "pii-added",
     )
-    out = found.df().join(added.small(), "rid", "left").withColumn("added", F.coalesce("added", F.array().cast(NO_TAGGED)))
+    few = BROADCAST_ROWS if places.rows() <= BROADCAST_ROWS else 0
+    out = found.df().drop("entities", *([] if keep_text else ["text"])).join(added.small(few), "rid", "left").withColumn("added", F.coalesce("added", F.array().cast(NO_TAGGED)))
     base = base_spans()
     clear = F.filter("added", lambda a: ~F.exists(base, lambda b: (b["start"] < a["end"]) & (a["start"] < b["end"])))
     return out.withColumn("added", clear)

@@ -36,13 +36,11 @@ def prefix_sums(lens: Column) -> Column:
     return let(lens, lambda x: F.when(F.size(x) == 0, none).when(F.size(x) <= block, short(x)).otherwise(long(x)))
 
 
-def with_spans(df: DataFrame, name: str, text: str, pattern: str, may_match: Column, ok: Callable[[Column, Column], Column] | None = None, group: int | None = None, context: int = 0) -> DataFrame:
+def with_spans(df: DataFrame, name: str, text: str, pattern: str, may_match: Column, ok: Callable[[Column, Column], Column] | None = None, group: int | None = None) -> DataFrame:
     """Adds ``name``: the spans of ``pattern`` in ``text``, leftmost and non-overlapping.
 
-    Each is a struct of start, end, value, grp, and with ``context`` also ``left`` and ``right``: up to that
-    many code points (and one more, to tell cut words) beside it, up to the neighbouring matches.
-    ``may_match`` is a cheap necessary condition.  ``ok(value, group)`` keeps a match or drops it without
-    a retry.
+    Each is a struct of start, end, value, grp.  ``may_match`` is a cheap necessary condition.
+    ``ok(value, group)`` keeps a match or drops it without a retry.
     """
     none = F.array().cast("array<string>")
     m = f"__{name}_m"
@@ -52,18 +50,15 @@ def with_spans(df: DataFrame, name: str, text: str, pattern: str, may_match: Col
     def spans(pieces: Column) -> Column:
         before = F.slice(pieces, 1, F.size(m))
         sums = prefix_sums(F.zip_with(before, F.col(m), lambda a, b: (F.length(a) + F.length(b)).cast("long")))
-        rows = F.arrays_zip(F.col(m).alias("m"), groups.alias("g"), sums.alias("s"), before.alias("p"), F.slice(pieces, 2, F.size(m)).alias("q"))
+        rows = F.arrays_zip(F.col(m).alias("m"), groups.alias("g"), sums.alias("s"), before.alias("p"))
         return F.transform(rows, struct)
 
     def struct(z: Column) -> Column:
         at, value, piece = (z[i] for i in ("s", "m", "p"))
         start = at + F.length(piece)
-        fields = [start.alias("start"), (start + F.length(value)).alias("end"), value.alias("value"), z["g"].alias("grp")]
-        if context:
-            fields += [F.right(piece, F.lit(context + 1)).alias("left"), F.left(z["q"], F.lit(context + 1)).alias("right")]
-        return F.struct(*fields)
+        return F.struct(start.alias("start"), (start + F.length(value)).alias("end"), value.alias("value"), z["g"].alias("grp"))
 
-    empty = "array<struct<start:bigint,end:bigint,value:string,grp:string" + (",left:string,right:string" if context else "") + ">>"
+    empty = "array<struct<start:bigint,end:bigint,value:string,grp:string>>"
     found = F.when(F.size(m) > 0, let(F.split(F.col(text), pattern, -1), spans)).otherwise(F.array().cast(empty))
     if ok is not None:
         found = F.filter(found, lambda s: ok(s["value"], s["grp"]))
