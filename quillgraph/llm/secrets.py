@@ -2,21 +2,22 @@
 
 Base spans (assignments, access keys, long hexadecimal strings) stand by themselves.  Weak candidates are
 parts of a credential that mean nothing alone: account identifiers, endpoints, and opaque values.  Each is
-reported only if the parts that complete it lie within its scope, the interval of ``SCOPE`` code points to
-both sides of its start:
+reported only if the parts that complete it lie within its scope of ``SCOPE`` code points to both sides.
+Distances are from the earlier part to the later one's start; of the earlier one's own length no more than
+``LEAD`` code points count, so that a long value doesn't use up the scope:
 
 * an identifier needs a secret (an assignment, a hexadecimal string or an opaque value),
 * an opaque value needs an identifier or an access key,
 * an endpoint needs both a secret and an identifier or access key.
 
-The interval join puts parts into buckets of a scope's width.  A bucket keeps, per role, only its first and
-last start, so a probe into its own bucket and the two beside it is exact, and no pairs are made however
-many parts a document holds.  Null and empty texts hold nothing; repeated rows are scanned each.
+The interval join is a running maximum: in a document, per role and in order of start, the furthest reach of
+the parts that start up to a candidate's scope.  No pairs are made however many parts a document holds.
+Null and empty texts hold nothing; repeated rows are scanned each.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quillgraph.llm.common import Table, table
@@ -33,10 +34,10 @@ ASSIGN = r"""(?i)(password|passwd|secret|token|api_?key)["']?\x20*+[:=]\x20*+["'
 ACCESS = r"AKIA[A-Z0-9]{16,}+"
 HEX = r"[0-9a-f]{24,}+"
 IDENT = r"""(?i)(?<![A-Za-z0-9_])(?:client_?id|app_?id|account(?:_?id)?|user(?:_?name|_?id)?|login|access_?key_?id)["']?\x20*+[:=]\x20*+["']?[A-Za-z0-9_.@-]{3,}+"""
-OPAQUE = r"(?<![A-Za-z0-9+/_-])(?=[A-Za-z0-9+/_-]{0,128}[0-9])(?=[A-Za-z0-9+/_-]{0,128}[A-Z])(?=[A-Za-z0-9+/_-]{0,128}[a-z])[A-Za-z0-9+/_-]{20,}+={0,2}+"
+OPAQUE = r"(?<![A-Za-z0-9+/_-])(?=[A-Za-z+/_-]*+[0-9])(?=[a-z0-9+/_-]*+[A-Z])(?=[A-Z0-9+/_-]*+[a-z])[A-Za-z0-9+/_-]{20,}+={0,2}+"
 ENDPOINT = r"(?i)(?:https?|ftp|jdbc:[a-z]++|postgres(?:ql)?|mysql|mongodb|redis|amqps?)://[A-Za-z0-9.@:_-]++"
 
-SCOPE = 200
+SCOPE, LEAD = 200, 32
 
 
 def find(df: DataFrame, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
@@ -60,15 +61,16 @@ def linked(found: DataFrame, scope: int = SCOPE) -> DataFrame:
     every = F.concat(*(F.transform(k, part(k)) for k in (*KINDS, *WEAK)))
     weak = sum((F.size(k) for k in WEAK), F.lit(0))
     parts = found.where((weak > 0) & (F.size(every) > 1)).select("rid", F.explode(every).alias("p")).select("rid", "p.*")
-    parts = parts.withColumn("bucket", F.floor(F.col("start") / scope))
+    parts = parts.withColumn("reach", F.greatest("start", F.col("end") - LEAD))
     role = F.create_map(*(F.lit(x) for kv in ROLES.items() for x in kv))
-    index = parts.withColumn("role", role[F.col("kind")]).where("role is not null").groupBy("rid", "bucket", "role").agg(F.min("start").alias("first"), F.max("start").alias("last"))
     needs = F.create_map(*(x for k, v in NEEDS.items() for x in (F.lit(k), F.array(*map(F.lit, v)))))
-    asked = parts.where(F.col("kind").isin(*WEAK)).withColumn("needs", needs[F.col("kind")])
-    probes = asked.select("rid", "kind", "start", "end", "needs", F.explode("needs").alias("role"), F.array(F.col("bucket") - 1, F.col("bucket"), F.col("bucket") + 1).alias("near")).withColumn("bucket", F.explode("near")).drop("near")
     # a candidate never completes itself: its own role is not among those it needs
-    inside = (F.col("first").between(F.col("start") - scope, F.col("start") + scope)) | (F.col("last").between(F.col("start") - scope, F.col("start") + scope))
-    met = probes.join(index, ["rid", "bucket", "role"]).where(inside).groupBy("rid", "kind", "start", "end", F.size("needs").alias("n")).agg(F.countDistinct("role").alias("met"))
+    asked = parts.where(F.col("kind").isin(*WEAK)).withColumn("needs", needs[F.col("kind")]).select("*", F.explode("needs").alias("role"))
+    given = parts.withColumn("role", role[F.col("kind")]).where("role is not null").select("rid", "role", F.col("start").alias("at"), F.col("reach").alias("far"))
+    both = given.unionByName(asked.withColumn("at", F.col("reach") + scope), allowMissingColumns=True)
+    # the default frame takes in the parts that start at the very end of the scope
+    both = both.withColumn("furthest", F.max("far").over(Window.partitionBy("rid", "role").orderBy("at")))
+    met = both.where(F.col("kind").isNotNull() & (F.col("furthest") >= F.col("start") - scope)).groupBy("rid", "kind", "start", "end", F.size("needs").alias("n")).agg(F.countDistinct("role").alias("met"))
     order = F.create_map(*(x for i, k in enumerate(WEAK) for x in (F.lit(k), F.lit(len(KINDS) + i))))
     return met.where("met = n").groupBy("rid").agg(F.collect_list(F.struct("start", order[F.col("kind")].alias("order"), "kind", "end")).alias("added"))
 
