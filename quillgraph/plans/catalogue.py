@@ -590,10 +590,10 @@ def type_sample_top(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def train_transe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Losses by epoch of a small model on the geography of the view; numbers depend on the random draws."""
-    edges = edge_view(spark, sf_dir).where(F.col("r").isin(P + "partOf", P + "locatedIn"))
+    """Losses by epoch of a model of the whole edge view; numbers depend on the random draws."""
+    edges = edge_view(spark, sf_dir)
     ids, rel = graph.entity_ids(edges), graph.relation_ids(edges)
-    _, losses = embed.train(graph.encode(edges, ids, rel), ids.count(), rel.count(), dim=16, epochs=3)
+    _, losses = embed.train(graph.encode(edges, ids, rel), ids.count(), rel.count())
     return spark.createDataFrame([(i, float(x)) for i, x in enumerate(losses)], "epoch int, loss double")
 
 
