@@ -28,7 +28,9 @@ by_value(__name__)
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
 #: Pre-tokens of a worker's younger memory; when it is full it becomes the older one.  It bounds memory, not results.
-MEMORY = 50_000
+MEMORY = 200_000
+#: Token pairs whose compatibility a worker remembers.
+PAIRS = 300_000
 
 
 def byte_letters() -> dict[str, int]:
@@ -135,7 +137,7 @@ class Encoder(dict):
             if len(self) >= MEMORY:
                 self.old = dict(self)
                 self.clear()
-            if len(self.pairs) >= 3 * MEMORY:
+            if len(self.pairs) >= PAIRS:
                 self.pairs.clear()
             self[piece] = got
         return got
