@@ -1,22 +1,26 @@
 """Line deduplication, exact and within a few edits, with built-in expressions alone.
 
-Lines are parts of a text between newlines; those with at least ``MIN_CHARS`` code points and a word take part.
-Of equal lines the first occurrence (by document id, null last, then place) stays.  Of lines within
-``EDITS`` edits of each other the one whose first occurrence comes first stays: a line goes if any line
-within that distance occurs before it, so what stays never depends on the order of the work.
+Lines are parts of a text between newlines; all with a word take part.  Of equal lines, however short, the
+first occurrence (by document id, null last, then place) stays.  Of lines within a few edits of each other
+the one whose first occurrence comes first stays: a line goes if any line within that distance occurs before
+it, so what stays never depends on the order of the work.  The distance is an edit per ``PER_EDIT`` code
+points of the shorter line, ``EDITS`` at most: below ``PER_EDIT`` code points lines must be equal.
 
 The near pairs come from a segment-partition join.  A line of length l is cut into EDITS + 1 segments; by the
 pigeonhole principle a line within EDITS edits holds one of them unchanged, at a place that differs by no
 more than the edits left.  Segments are indexed by length, number and content, the other line probes the
 few substrings that can match, and candidates are verified by a banded bit-parallel edit distance: one
-machine word holds the 2 * EDITS + 1 cells of a column's band.
+machine word holds the 2 * EDITS + 1 cells of a column's band.  Segments are taken from the line in four
+bytes a code point, where a place is a byte offset.
 
 Equal lines are one row before the join.  Lines that share a busy segment must agree in a sketch that no
 pair within the bound can fail.  A segment that more than ``HOT`` lines share is not joined: the lines that
 meet in it go on without it, as shorter strings under the same bound, and are cut again, until the parts
 that tell them apart decide.  Nothing is capped: after ``DEPTH`` such rounds the rest is joined.
 
-Null texts have no lines.  Rows that agree in id and text are one document: their lines stay together.
+Null texts have no lines, empty ones a line without a word; a null id orders last.  Rows that agree in id and
+text are one document: their lines stay together.  Very long texts and lines are worked on whole.  An empty
+table gives an empty result, and extra columns are carried whatever their names.
 """
 
 from __future__ import annotations
@@ -29,7 +33,8 @@ from pyspark.sql import functions as F
 from quillgraph.llm.common import NULL_ID, Table, id_key, table
 from quillgraph.llm.spans import let
 
-EDITS, MIN_CHARS = 2, 24
+EDITS, PER_EDIT = 2, 12
+WORD = "[^\\x20\\x09-\\x0D]"
 #: Lines that share a segment: up to BUSY they are joined as they are, beyond HOT the segment is refined.
 BUSY, HOT, DEPTH = 4, 2048, 8
 
@@ -38,11 +43,11 @@ def document_key(id_col: str, text: Column) -> list[Column]:
     return [id_key(id_col).alias("id"), F.xxhash64(F.coalesce(text, F.lit(""))).alias("h")]
 
 
-def occurrences(df: DataFrame, text_col: str, id_col: str, min_chars: int) -> DataFrame:
-    """id, h, place, line: the lines that take part."""
+def occurrences(df: DataFrame, text_col: str, id_col: str) -> DataFrame:
+    """id, h, place, line: the lines with a word."""
     text = F.col(text_col).cast("string")
     lines = df.select(*document_key(id_col, text), F.posexplode(F.split(text, "\n")).alias("place", "line"))
-    return lines.where((F.length("line") >= min_chars) & F.col("line").rlike("[^\\x20\\x09-\\x0D]"))
+    return lines.where(F.col("line").rlike(WORD))
 
 
 def line_key() -> list[Column]:
@@ -70,16 +75,24 @@ def _place(edits: int, delta: int, i: int, shift: int) -> tuple[str, str]:
 
 
 def _keys(edits: int, probe: bool) -> Column:
-    """Array of a key per entry; null where the entry isn't within the string.  Plain generated code."""
+    """Array of a key per entry; null where the entry isn't within the string.  Plain generated code.
+
+    ``u`` is the string in UTF-32, so that no entry is searched for by counting characters.
+    """
     out = []
     for delta, i, shift in _entries(edits, probe):
         start, size = _place(edits, delta, i, shift)
-        key = f"xxhash64(g, {i}, n - {delta}, substring(s, int({start} + 1), int({size})))"
+        key = f"xxhash64(g, {i}, n - {delta}, substring(u, int(4 * ({start}) + 1), int(4 * {size})))"
         inside = [f"n > {delta}"] * (delta > 0) + [f"{start} >= 0"] * (shift < 0) + [f"{start} + {size} <= n"] * (shift > delta)
         out.append(f"if({' and '.join(inside)}, {key}, null)" if inside else key)
     return F.expr(f"array({', '.join(out)})")
 
 
+def _keyed(rows: DataFrame, edits: int, probe: bool, *more: str) -> DataFrame:
+    """``rows`` (g, lid, s, n) with the array of keys."""
+    return rows.select("g", "lid", *more, "n", F.encode("s", "UTF-32").alias("u")).select("lid", *more, "n", _keys(edits, probe).alias("keys"))
+
+
 def _without(edits: int, probe: bool) -> Column:
     """``s`` without the part that entry number ``e`` names."""
     out = "null"
@@ -119,7 +132,7 @@ def near_candidates(lines: DataFrame, edits: int = EDITS) -> DataFrame:
     rows = {False: cut, True: cut}
     pairs = []
     for depth in range(DEPTH + 1):
-        keyed = {probe: rows[probe].select("lid", F.explode(_keys(edits, probe)).alias("key")).where("key is not null") for probe in rows}
+        keyed = {probe: _keyed(rows[probe], edits, probe).select("lid", F.explode("keys").alias("key")).where("key is not null") for probe in rows}
         index = Table(keyed[False], "line-index")
         busy = Table(index.df().groupBy("key").agg(F.count("*").alias("m")).where(F.col("m") > BUSY), "line-busy")
         # the probes are dealt by key once, for both joins: the second asks for no broadcast, so that it shares
@@ -149,7 +162,7 @@ def near_candidates(lines: DataFrame, edits: int = EDITS) -> DataFrame:
         for side, df in some.items():
             # a line has a row per group that it is in; its key tells which of them an entry came from
             mine = rows[side].join(Table(df.where(F.col("m") > most).select("lid").distinct(), "line-mine").small(), "lid", "left_semi")
-            again = mine.select("lid", "s", "n", F.posexplode(_keys(edits, side)).alias("e", "key")).join(hot.small(), "key", "left_semi")
+            again = _keyed(mine, edits, side, "s").select("lid", "s", "n", F.posexplode("keys").alias("e", "key")).join(hot.small(), "key", "left_semi")
             rest = again.select(F.col("key").alias("g"), "lid", _without(edits, side).alias("s")).distinct()
             rows[side] = Table(rest.withColumn("n", F.length("s")), "line-rest").df()
     out = pairs[0]
@@ -230,27 +243,37 @@ def within(x: Column, y: Column, edits: int = EDITS) -> Column:
     return let(let(let(let(pair(x, y), without_head), without_tail), split), banded)
 
 
-def near_links(lines: Table, edits: int = EDITS) -> DataFrame:
-    """a, b: line numbers of distinct lines within ``edits`` edits; verified one pair at a time."""
-    pairs = Table(near_candidates(lines.df(), edits), "line-pairs")
+def near(x: Column, y: Column, edits: int = EDITS, per_edit: int = PER_EDIT) -> Column:
+    """Whether two lines are within the edits that the shorter one's length allows."""
+    swap = F.length(x) < F.length(y)
+    longer, shorter = F.when(swap, y).otherwise(x), F.when(swap, x).otherwise(y)
+    apart, least = F.abs(F.length(x) - F.length(y)), F.least(F.length(x), F.length(y))
+    out = F.when((least >= edits * per_edit) & (apart <= edits), within(longer, shorter, edits))
+    for e in range(edits - 1, 0, -1):
+        out = out.when((least >= e * per_edit) & (least < (e + 1) * per_edit) & (apart <= e), within(longer, shorter, e))
+    return out.otherwise(F.lit(False))
+
+
+def near_links(lines: Table, edits: int = EDITS, per_edit: int = PER_EDIT) -> DataFrame:
+    """a, b: line numbers of distinct lines within the edits allowed; verified one pair at a time."""
+    long_enough = lines.df().where(F.length("line") >= max(per_edit, edits + 1))
+    pairs = Table(near_candidates(long_enough, edits), "line-pairs")
     wanted = Table(pairs.df().select(F.explode(F.array("a", "b")).alias("lid")).distinct(), "line-wanted")
     texts = Table(lines.df().select("lid", "line").join(wanted.small(), "lid", "left_semi"), "line-texts").df()
     both = pairs.df().join(texts.select(F.col("lid").alias("a"), F.col("line").alias("x")), "a").join(texts.select(F.col("lid").alias("b"), F.col("line").alias("y")), "b")
-    swap = F.length("x") < F.length("y")
-    longer, shorter = F.when(swap, F.col("y")).otherwise(F.col("x")), F.when(swap, F.col("x")).otherwise(F.col("y"))
-    return both.where((F.abs(F.length("x") - F.length("y")) <= edits) & within(longer, shorter, edits)).select("a", "b")
+    return both.where(near(F.col("x"), F.col("y"), edits, per_edit)).select("a", "b")
 
 
-def removals(df: DataFrame, text_col: str = "text", id_col: str = "doc_id", edits: int = EDITS, min_chars: int = MIN_CHARS) -> DataFrame:
+def removals(df: DataFrame, text_col: str = "text", id_col: str = "doc_id", edits: int = EDITS, per_edit: int = PER_EDIT) -> DataFrame:
     """id, h, exact, near: per document that loses lines, their places (from 0).
 
-    Shuffles: the lines once, combined by content first; four to fifteen longs a distinct line for the
-    segments; then only keys of lines that repeat.
+    Shuffles: the lines once, combined by content first; three to twelve pairs of longs a distinct line for
+    the segments; then only keys of lines that repeat.
     """
-    placed = occurrences(df, text_col, id_col, min_chars)
+    placed = occurrences(df, text_col, id_col)
     once = placed.groupBy(*line_key()).agg(F.min(F.struct("id", "h", "place")).alias("first"), F.count("*").alias("n"), F.first("line").alias("line"))
     lines = Table(once.withColumn("lid", F.monotonically_increasing_id()), "lines")  # writing settles the numbers
-    links = Table(near_links(lines, edits), "line-links")
+    links = Table(near_links(lines, edits, per_edit), "line-links")
     # a line goes if a linked one first occurs before it
     place = lines.df().select("lid", "first")
     a, b = (place.select(F.col("lid").alias(x), F.col("first").alias(f"f{x}")) for x in ("a", "b"))
@@ -263,21 +286,20 @@ def removals(df: DataFrame, text_col: str = "text", id_col: str = "doc_id", edit
     return hit.select("id", "h", "place", "near").distinct().groupBy("id", "h").agg(places(~F.col("near")).alias("exact"), places(F.col("near")).alias("near"))
 
 
-def remove_lines(df: DataFrame, text_col: str = "text", id_col: str = "doc_id", edits: int = EDITS, min_chars: int = MIN_CHARS) -> DataFrame:
+def remove_lines(df: DataFrame, text_col: str = "text", id_col: str = "doc_id", edits: int = EDITS, per_edit: int = PER_EDIT) -> DataFrame:
     """The input with its repeated lines removed; documents that lose their last words go.
 
     Only the documents that lose lines are joined if their number is within the broadcast bound.
     """
-    gone = Table(removals(df, text_col, id_col, edits, min_chars).select(F.col("id").alias("__id"), F.col("h").alias("__h"), F.concat("exact", "near").alias("__gone")), "line-removals")
-    text = F.col(text_col).cast("string")
-    key = [c.alias(n) for c, n in zip(document_key(id_col, text), ("__i", "__g"), strict=True)]
-    joined = df.select("*", *key).join(gone.small(), (F.col("__i") == F.col("__id")) & (F.col("__g") == F.col("__h")), "left")
+    gone = Table(removals(df, text_col, id_col, edits, per_edit).select("id", "h", F.concat("exact", "near").alias("gone")), "line-removals")
+    rows = df.select(F.struct(*(F.col(f"`{c}`") for c in df.columns)).alias("row"), *document_key(id_col, F.col(text_col).cast("string")))
+    text = F.col("row")[text_col].cast("string")
     # places as a map, so that the filter is linear in the lines
-    flags = F.map_from_arrays(F.array_distinct(F.col("__gone")), F.transform(F.array_distinct(F.col("__gone")), lambda _: F.lit(True)))
+    flags = F.map_from_arrays(F.array_distinct(F.col("gone")), F.transform(F.array_distinct(F.col("gone")), lambda _: F.lit(True)))
     left = let(flags, lambda g: F.filter(F.split(text, "\n"), lambda x, i: F.try_element_at(g, i).isNull()))
-    clean = F.when(F.col("__gone").isNull(), text).otherwise(F.array_join(left, "\n"))
-    out = joined.withColumn("__clean", clean).where(F.col("__gone").isNull() | F.col("__clean").rlike("[^\\x20\\x09-\\x0D]"))
-    return out.select(*(F.col("__clean").alias(c) if c == text_col else F.col(f"`{c}`") for c in df.columns))
+    clean = F.when(F.col("gone").isNull(), text).otherwise(F.array_join(left, "\n"))
+    out = rows.join(gone.small(), ["id", "h"], "left").withColumn("clean", clean).where(F.col("gone").isNull() | F.col("clean").rlike(WORD))
+    return out.select(*((F.col("clean") if c == text_col else F.col("row")[c]).alias(c) for c in df.columns))
 
 
 def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -285,7 +307,7 @@ def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     gone = Table(removals(docs), "line-removals")
     text = F.col("text").cast("string")
-    lines = F.filter(F.split(text, "\n"), lambda x: (F.length(x) >= MIN_CHARS) & x.rlike("[^\\x20\\x09-\\x0D]"))
+    lines = F.filter(F.split(text, "\n"), lambda x: x.rlike(WORD))
     rows = docs.select(*document_key("doc_id", text), F.coalesce(F.size(lines), F.lit(0)).cast("long").alias("n_lines"))
     out = rows.join(gone.small(), ["id", "h"], "left")
     size = lambda c: F.coalesce(F.array_size(c), F.lit(0)).cast("long")

@@ -47,8 +47,14 @@ def test_banded_distance(spark, edits):
     assert got == {i for i, a, b in rows if distance(a, b) <= edits}
 
 
-def links(texts, edits):
-    return {(i, j) for i, a in enumerate(texts) for j in range(i + 1, len(texts)) if abs(len(a) - len(texts[j])) <= edits and distance(a, texts[j]) <= edits}
+def near(a, b, edits, per_edit):
+    """Within an edit for every ``per_edit`` code points of the shorter one, ``edits`` at most."""
+    most = min(edits, min(len(a), len(b)) // per_edit)
+    return abs(len(a) - len(b)) <= most and most > 0 and distance(a, b) <= most
+
+
+def links(texts, edits, per_edit):
+    return {(i, j) for i, a in enumerate(texts) for j in range(i + 1, len(texts)) if near(a, texts[j], edits, per_edit)}
 
 
 @pytest.mark.parametrize("edits,hot", [(1, 64), (2, 64), (2, 3), (3, 2)])
@@ -63,23 +69,23 @@ def test_links_against_brute_force(spark, monkeypatch, edits, hot):
     pool += [f"item number {r.randrange(10**4):05d} of the same template, sold at once" for _ in range(60)]
     pool = sorted(set(pool))
     table = Table(spark.createDataFrame(list(enumerate(pool)), "lid long, line string"), "t")
-    got = {(x.a, x.b) for x in lines.near_links(table, edits).collect()}
-    assert got == links(pool, edits)
+    got = {(x.a, x.b) for x in lines.near_links(table, edits, 24 // edits).collect()}
+    assert got == links(pool, edits, 24 // edits)
 
 
-def brute(rows, edits=lines.EDITS, least=lines.MIN_CHARS):
+def brute(rows, edits=lines.EDITS, per_edit=lines.PER_EDIT):
     seen = defaultdict(list)
     for i, t in rows:
         for p, x in enumerate((t or "").split("\n") if t is not None else []):
-            if len(x) >= least and re.search(r"[^\x20\x09-\x0D]", x):
+            if re.search(r"[^\x20\x09-\x0D]", x):
                 seen[x].append(((i is None, i or 0), p))
     first = {x: min(v) for x, v in seen.items()}
-    near = {x for x in first for y in first if x != y and first[y] < first[x] and abs(len(x) - len(y)) <= edits and distance(x, y) <= edits}
+    close = {x for x in first for y in first if x != y and first[y] < first[x] and near(x, y, edits, per_edit)}
     out = []
     for i, t in rows:
         own = [(p, x) for p, x in enumerate(t.split("\n")) if x in first] if t is not None else []
-        n = [p for p, x in own if x in near]
-        e = [p for p, x in own if x not in near and first[x] != ((i is None, i or 0), p)]
+        n = [p for p, x in own if x in close]
+        e = [p for p, x in own if x not in close and first[x] != ((i is None, i or 0), p)]
         out.append((i, len(own), len(e), len(n), ",".join(map(str, sorted(e + n)))))
     return sorted(out, key=str)
 
@@ -90,6 +96,8 @@ def test_query_and_removal(spark, save, prose):
     rows = []
     for i in range(80):
         parts = [r.choice(pool) if r.random() < 0.5 else edit(r.choice(pool), r, r.randint(1, 3), "aeiou") for _ in range(r.randint(0, 6))]
+        if r.random() < 0.5:
+            parts += [edit(prose(3, 500 + r.randrange(9))[:18], r, r.randint(0, 2)) for _ in range(3)] + [r.choice("ab|")]
         rows.append((i, "\n".join(parts + ["short", ""])))
     rows += [(200, None), (201, ""), (None, pool[0] + "\n" + prose(9, 77)), (202, pool[1]), (203, "é" * 30), (204, "é" * 29 + "e")]
     df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
