@@ -74,23 +74,30 @@ def _place(edits: int, delta: int, i: int, shift: int) -> tuple[str, str]:
     return " + ".join([*(size(j) for j in range(i)), f"{shift}"]), size(i)
 
 
-def _keys(edits: int, probe: bool) -> Column:
-    """Array of a key per entry; null where the entry isn't within the string.  Plain generated code.
+def _keyed(rows: DataFrame, edits: int, probe: bool, *more: str) -> DataFrame:
+    """``rows`` (g, lid, s, n) with ``keys``: a key per entry, null where the entry isn't within the string.
 
-    ``u`` is the string in UTF-32, so that no entry is searched for by counting characters.
+    Plain generated code, small enough to be compiled: the string is in UTF-32 (``u``), so that no entry is
+    searched for by counting characters, and sizes of segments in bytes (``z0`` and so on for the lengths
+    n - edits, ..., n + edits over the number of segments) and hashes of group and length are columns.
     """
+    entries = _entries(edits, probe)
+    sizes = [F.expr(f"int(4 * ((n + {m}) div {edits + 1}))").alias(f"z{m + edits}") for m in range(-edits if probe else 0, edits + 1)]
+    lengths = [F.expr(f"xxhash64(g, n - {delta})").alias(f"h{delta}") for delta in sorted({e[0] for e in entries})]
+    base = rows.select("lid", *more, "n", F.encode("s", "UTF-32").alias("u"), F.expr("4 * n").alias("bytes"), *sizes, *lengths)
     out = []
-    for delta, i, shift in _entries(edits, probe):
-        start, size = _place(edits, delta, i, shift)
-        key = f"xxhash64(g, {i}, n - {delta}, substring(u, int(4 * ({start}) + 1), int(4 * {size})))"
-        inside = [f"n > {delta}"] * (delta > 0) + [f"{start} >= 0"] * (shift < 0) + [f"{start} + {size} <= n"] * (shift > delta)
+    for delta, i, shift in entries:
+        size = lambda j: f"z{j - delta + edits}"  # noqa: B023, E731
+        start = " + ".join([*map(size, range(i)), str(4 * shift + 1)])
+        key = f"xxhash64(h{delta}, {i}, substring(u, {start}, {size(i)}))"
+        inside = [f"n > {delta}"] * (delta > 0) + [f"{start} > 0"] * (shift < 0) + [f"{start} + {size(i)} <= bytes + 1"] * (shift > delta)
         out.append(f"if({' and '.join(inside)}, {key}, null)" if inside else key)
-    return F.expr(f"array({', '.join(out)})")
+    return base.select("lid", *more, "n", F.expr(f"array({', '.join(out)})").alias("keys"))
 
 
-def _keyed(rows: DataFrame, edits: int, probe: bool, *more: str) -> DataFrame:
-    """``rows`` (g, lid, s, n) with the array of keys."""
-    return rows.select("g", "lid", *more, "n", F.encode("s", "UTF-32").alias("u")).select("lid", *more, "n", _keys(edits, probe).alias("keys"))
+def _exploded(keyed: DataFrame) -> DataFrame:
+    """lid, key.  The outer form keeps Spark from testing the array's size, which would make all keys twice."""
+    return keyed.select("lid", F.explode_outer("keys").alias("key")).where("key is not null")
 
 
 def _without(edits: int, probe: bool) -> Column:
@@ -132,7 +139,7 @@ def near_candidates(lines: DataFrame, edits: int = EDITS) -> DataFrame:
     rows = {False: cut, True: cut}
     pairs = []
     for depth in range(DEPTH + 1):
-        keyed = {probe: _keyed(rows[probe], edits, probe).select("lid", F.explode("keys").alias("key")).where("key is not null") for probe in rows}
+        keyed = {probe: _exploded(_keyed(rows[probe], edits, probe)) for probe in rows}
         index = Table(keyed[False], "line-index")
         busy = Table(index.df().groupBy("key").agg(F.count("*").alias("m")).where(F.col("m") > BUSY), "line-busy")
         # the probes are dealt by key once, for both joins: the second asks for no broadcast, so that it shares
@@ -162,7 +169,7 @@ def near_candidates(lines: DataFrame, edits: int = EDITS) -> DataFrame:
         for side, df in some.items():
             # a line has a row per group that it is in; its key tells which of them an entry came from
             mine = rows[side].join(Table(df.where(F.col("m") > most).select("lid").distinct(), "line-mine").small(), "lid", "left_semi")
-            again = _keyed(mine, edits, side, "s").select("lid", "s", "n", F.posexplode("keys").alias("e", "key")).join(hot.small(), "key", "left_semi")
+            again = _keyed(mine, edits, side, "s").select("lid", "s", "n", F.posexplode_outer("keys").alias("e", "key")).join(hot.small(), "key", "left_semi")
             rest = again.select(F.col("key").alias("g"), "lid", _without(edits, side).alias("s")).distinct()
             rows[side] = Table(rest.withColumn("n", F.length("s")), "line-rest").df()
     out = pairs[0]
