@@ -8,12 +8,18 @@ confirmed on the sets themselves.
 
 Copies cost nothing: documents with equal sets are one class, and only classes are compared.  A bucket of
 m classes gives m - 1 candidates, each class with the bucket's first document.  After these are confirmed
-and joined into components, buckets that still hold several components are searched again for links between them: small
-ones pair by pair, and large ones as families whose members are all compared in blocks, by an inverted
-index of their full sets.  So no link between different texts is lost, and no bucket is capped.  With 24 bands of 5 samples a pair at similarity 0.85 shares no bucket with probability 8e-7.
-
-A text with fewer words than a shingle is one shingle; a null text or one without words has an empty set
-and links with nothing.  Rows with equal texts share their component.  A null id comes last in order.
+and joined into components, buckets that still hold several components are searched again for links between
+them: small ones pair by pair, and large ones as families.  A family's odd sketches are compared in blocks,
+and only members that have a possible partner in another component are compared further, block by block, by
+an inverted index of their full sets.  So no link between different texts is lost, and no bucket is capped.
+With 24 bands of 5 samples a pair at similarity 0.85 shares no bucket with probability 8e-7.
+
+Equal sets are told by 128 bits of their shingles' 64-bit hashes, and families compare sets of these hashes;
+pairs are confirmed on the words themselves.  A text with fewer words than a shingle is one shingle; a null
+text or one without words has an empty set and links with nothing.  Rows with equal texts share their
+component.  Of a component the smallest id stands for it, a null id last, and of equal ids the smaller
+digest of the text.  Very long texts are worked on whole, an empty table gives an empty result, and extra
+columns are carried whatever their names.
 """
 
 from __future__ import annotations
@@ -36,8 +42,8 @@ by_value(__name__)
 SIGMAS = 6
 #: Members of a bucket compared within a join; larger buckets are compared in blocks.
 SMALL_BUCKET = 32
-#: Documents of a block, and their shingles, on average at most.
-BLOCK, BLOCK_SHINGLES = 512, 1_000_000
+#: Documents of a block, and their shingles, on average at most; documents of a block of sketches.
+BLOCK, BLOCK_SHINGLES, SKETCH_BLOCK = 512, 1_000_000, 8192
 #: Partners confirmed in one task with the document they share.
 PARTNERS = 64
 #: Words whose hashes a worker remembers.
@@ -143,7 +149,7 @@ def set_digest(x: np.ndarray) -> tuple[int, int]:
     return int.from_bytes(raw[:8], "little", signed=True), int.from_bytes(raw[8:], "little", signed=True)
 
 
-SKETCH_SCHEMA = "id long, n long, d0 long, d1 long, bands array<long>, odd array<long>"
+SKETCH_SCHEMA = "id long, t0 long, t1 long, n long, d0 long, d1 long, bands array<long>, odd array<long>"
 
 
 def _sketched(spec: Spec):
@@ -151,20 +157,27 @@ def _sketched(spec: Spec):
         make = Sketcher(spec)
         for batch in slices(batches):
             rows = []
-            for key, raw in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            for raw in batch.column(3).to_pylist():
                 x = shingle_hashes(raw.lower().split(), spec.words)
                 if not len(x):
-                    rows.append((key, 0, None, None, None, None))
+                    rows.append((0, None, None, None, None))
                     continue
                 s = make.samples(x)
-                rows.append((key, len(x), *set_digest(x), make.bands(s), make.odd(s)))
-            columns = list(zip(*rows, strict=True)) if rows else [()] * 6
-            kinds = [pa.int64()] * 4 + [pa.list_(pa.int64())] * 2
-            yield pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(columns, kinds, strict=True)], names=["id", "n", "d0", "d1", "bands", "odd"])
+                rows.append((len(x), *set_digest(x), make.bands(s), make.odd(s)))
+            columns = list(zip(*rows, strict=True)) if rows else [()] * 5
+            kinds = [pa.int64()] * 3 + [pa.list_(pa.int64())] * 2
+            arrays = [batch.column(i) for i in range(3)] + [pa.array(list(c), k) for c, k in zip(columns, kinds, strict=True)]
+            yield pa.RecordBatch.from_arrays(arrays, names=["id", "t0", "t1", "n", "d0", "d1", "bands", "odd"])
 
     return run
 
 
+def document_key(id_col: str, text_col: str) -> list[Column]:
+    """id, t0, t1: the id's key and 128 bits of the text, which tell rows that share an id."""
+    raw = utf8(text_col)
+    return [id_key(id_col).alias("id"), F.xxhash64(raw).alias("t0"), F.xxhash64(F.lit(77), raw, F.length(raw)).alias("t1")]
+
+
 def _differing(a: str, b: str) -> Column:
     """Population count of the XOR of two odd sketches."""
     return F.aggregate(F.zip_with(a, b, lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x)
@@ -191,20 +204,10 @@ def _verified(spec: Spec):
     return run
 
 
-def _texts(docs: DataFrame, need: Table, spec: Spec) -> DataFrame:
-    """cid, raw: the text of each class in ``need`` (cid, rep, d0, d1); one row each.
-
-    Rows that share an id with the class's document but have another set are told by their digest.
-    """
-    found = docs.join(need.small().select("cid", "rep", "d0", "d1"), F.col("id") == F.col("rep")).select("cid", "raw", "d0", "d1")
-
-    def right(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches):
-            raws, d0, d1 = (batch.column(i).to_pylist() for i in (1, 2, 3))
-            ok = [set_digest(shingle_hashes(r.lower().split(), spec.words)) == (x, y) for r, x, y in zip(raws, d0, d1, strict=True)]
-            yield pa.RecordBatch.from_arrays([batch.column(i).filter(pa.array(ok, pa.bool_())) for i in (0, 1)], names=["cid", "raw"])
-
-    return found.mapInArrow(right, "cid long, raw binary").dropDuplicates(["cid"])
+def _texts(docs: DataFrame, need: Table) -> DataFrame:
+    """cid, raw: the text of each class in ``need`` (cid, rep); one row each."""
+    want = need.small().select("cid", F.col("rep.id").alias("id"), F.col("rep.t0").alias("t0"), F.col("rep.t1").alias("t1"))
+    return docs.join(want, ["id", "t0", "t1"]).select("cid", "raw").dropDuplicates(["cid"])
 
 
 def confirm(pairs: Table, classes: Table, docs: DataFrame, spec: Spec) -> Table:
@@ -214,8 +217,8 @@ def confirm(pairs: Table, classes: Table, docs: DataFrame, spec: Spec) -> Table:
     many tasks as hold PARTNERS of them each, so no task gathers an unbounded group.
     """
     wanted = pairs.df().select(F.explode(F.array("a", "b")).alias("cid")).distinct()
-    need = Table(classes.df().select("cid", "rep", "d0", "d1").join(wanted, "cid", "left_semi"), "near-wanted")
-    texts = Table(_texts(docs, need, spec), "near-texts")
+    need = Table(classes.df().select("cid", "rep").join(wanted, "cid", "left_semi"), "near-wanted")
+    texts = Table(_texts(docs, need), "near-texts")
     many = Table(pairs.df().groupBy("a").agg(F.count("*").alias("deg")).where(F.col("deg") > PARTNERS), "near-hubs")
     salt = F.pmod(F.xxhash64("b"), F.ceil(F.coalesce("deg", F.lit(1)) / PARTNERS))
     dealt = Table(pairs.df().join(many.small(), "a", "left").select("a", "b", salt.cast("long").alias("salt")), "near-dealt")
@@ -269,12 +272,65 @@ def _merges(spec: Spec):
     return run
 
 
-def _rest(members: Table, classes: Table, labels: Table, docs: DataFrame, spec: Spec) -> tuple[DataFrame, DataFrame]:
-    """Candidates in small buckets, and links in large ones, across the components that share a bucket.
+def _possible(most: int):
+    """Grouped map over two blocks of a family's sketches: members of which smaller blocks have to be compared.
+
+    A member counts for a pair of blocks if the other block has one of another component whose sketch is near.
+    """
+
+    def run(key: tuple, rows: pa.Table) -> pa.Table:
+        i, j = key[1].as_py(), key[2].as_py()
+        wide, block, cid, label = (rows.column(c).to_numpy() for c in ("wide", "block", "cid", "label"))
+        odd = np.array(rows.column("odd").to_pylist(), np.int64).reshape(len(cid), -1).view(np.uint64)
+        parts = [{b: np.flatnonzero((wide == w) & (block == b)) for b in np.unique(block[wide == w])} for w in (i, j)]
+        found: dict[tuple[int, int], set] = {}
+        for x, left in parts[0].items():
+            for y, right in parts[1].items():
+                if i == j and x > y:
+                    continue
+                other = label[left][:, None] != label[right][None, :]
+                if not other.any():
+                    continue
+                apart = np.zeros(other.shape, np.int64)
+                for k in range(odd.shape[1]):
+                    apart += np.bitwise_count(odd[left, k][:, None] ^ odd[right, k][None, :])
+                near = other & (apart <= most)
+                if near.any():
+                    found.setdefault((min(x, y), max(x, y)), set()).update(left[near.any(axis=1)].tolist(), right[near.any(axis=0)].tolist())
+        out = [(key[0].as_py(), int(x), int(y), int(block[k]), int(cid[k]), int(label[k])) for (x, y), members in found.items() for k in sorted(members)]
+        kinds = (pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.int64())
+        names = ("family", "i", "j", "block", "cid", "label")
+        return pa.table({name: pa.array([r[k] for r in out], kind) for k, (name, kind) in enumerate(zip(names, kinds, strict=True))})
+
+    return run
+
+
+def _families(large: DataFrame, classes: Table, docs: DataFrame, spec: Spec) -> DataFrame:
+    """a, b: links between components of the members (bucket, cid, label, hub) of large buckets.
 
-    Small buckets give their pairs.  Large ones that share members are one family; all of its members are
-    compared with each other in blocks, once, whatever number of buckets they meet in.
+    Buckets that share members are one family, whose members are compared once, whatever number of buckets
+    they meet in.  Its sketches meet first, in wide blocks of small rows; texts go only to the pairs of
+    blocks in which they have a possible partner.
     """
+    family = components(large.select(F.col("cid").alias("a"), F.col("hub").alias("b")))
+    named = family.df().select(F.col("node").alias("cid"), F.col("label").alias("family"))
+    inside = Table(large.select("cid", "label").distinct().join(named, "cid").join(classes.df().select("cid", "rep", "n", "odd"), "cid"), "near-inside")
+    sizes = inside.df().groupBy("family").agg(F.count("*").alias("m"), F.sum("n").alias("total"))
+    blocks = sizes.select("family", F.greatest(F.ceil(F.col("m") / BLOCK), F.ceil(F.col("total") / BLOCK_SHINGLES)).cast("int").alias("blocks"), F.ceil(F.col("m") / SKETCH_BLOCK).cast("int").alias("wides"))
+    dealt = inside.df().join(Table(blocks, "near-families").small(), "family").withColumn("block", F.pmod(F.hash("cid"), F.col("blocks")))
+    dealt = dealt.withColumn("wide", F.floor(F.col("block") * F.col("wides") / F.col("blocks")).cast("int"))
+    both = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("wides") - 1)))
+    sent = both.select("family", F.least("wide", "other").alias("i"), F.greatest("wide", "other").alias("j"), "wide", "block", "cid", "label", "odd")
+    possible = Table(sent.groupBy("family", "i", "j").applyInArrow(_possible(spec.most_bits()), "family long, i int, j int, block int, cid long, label long"), "near-possible")
+    if not possible.rows():
+        return possible.df().select(F.col("cid").alias("a"), F.col("label").alias("b"))
+    need = Table(inside.df().select("cid", "rep").join(possible.df().select("cid").distinct(), "cid", "left_semi"), "near-family-wanted")
+    texts = Table(_texts(docs, need), "near-family-texts")
+    return possible.df().join(texts.df(), "cid").groupBy("family", "i", "j").applyInArrow(_merges(spec), "a long, b long")
+
+
+def _rest(members: Table, classes: Table, labels: Table, docs: DataFrame, spec: Spec) -> tuple[Table, Table | None]:
+    """Candidates in small buckets, and links in large ones if there are such, across the components that share a bucket."""
     labelled = members.df().join(labels.small(), F.col("cid") == F.col("node"), "left").select("bucket", "cid", F.coalesce("label", "cid").alias("label"))
     labelled = Table(labelled, "near-labelled")
     mixed = labelled.df().groupBy("bucket").agg(F.count("*").alias("m"), F.min("label").alias("lo"), F.max("label").alias("hi"), F.min("cid").alias("hub")).where("lo <> hi and m > 2").select("bucket", "m", "hub")
@@ -283,25 +339,21 @@ def _rest(members: Table, classes: Table, labels: Table, docs: DataFrame, spec:
     small = open_.df().where(F.col("m") <= SMALL_BUCKET).join(classes.df().select("cid", "odd"), "cid")
     other = small.select("bucket", F.col("cid").alias("b"), F.col("label").alias("lb"), F.col("odd").alias("ob"))
     pairs = small.join(other, "bucket").where("cid < b and label <> lb").where(_differing("odd", "ob") <= spec.most_bits()).select(F.col("cid").alias("a"), "b").distinct()
-
     large = open_.df().where(F.col("m") > SMALL_BUCKET)
-    family = components(large.select(F.col("cid").alias("a"), F.col("hub").alias("b")))
-    named = family.df().select(F.col("node").alias("cid"), F.col("label").alias("family"))
-    inside = Table(large.select("cid", "label").distinct().join(named, "cid").join(classes.df().select("cid", "rep", "d0", "d1", "n"), "cid"), "near-inside")
-    blocks = inside.df().groupBy("family").agg(F.greatest(F.ceil(F.count("*") / BLOCK), F.ceil(F.sum("n") / BLOCK_SHINGLES)).cast("int").alias("blocks"))
-    dealt = inside.df().join(Table(blocks, "near-families").small(), "family").withColumn("block", F.pmod(F.hash("cid"), F.col("blocks")))
-    texts = Table(_texts(docs, inside, spec).select("cid", "raw"), "near-family-texts")
-    sent = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select("family", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "cid", "label")
-    far = sent.join(texts.df(), "cid").groupBy("family", "i", "j").applyInArrow(_merges(spec), "a long, b long")
-    return pairs, far
+    far = None if large.isEmpty() else Table(_families(large, classes, docs, spec), "near-far")
+    return Table(pairs, "near-rest"), far
 
 
-def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", spec: Spec = Spec()) -> DataFrame:  # noqa: B008
-    """One row per input row: id, n_shingles, component_id, kept."""
+def _classes(df: DataFrame, id_col: str, text_col: str, spec: Spec) -> tuple[Table, Table]:
+    """The rows (id, t0, t1, n, d0, d1), and the classes of equal sets (d0, d1, rep, m, label).
+
+    ``rep`` is the first document of a class, ``m`` its rows, ``label`` one class of its component.
+    """
     small_batches(df.sparkSession)
-    docs = df.select(id_key(id_col).alias("id"), utf8(text_col).alias("raw"))
+    docs = df.select(*document_key(id_col, text_col), utf8(text_col).alias("raw"))
     rows = Table(docs.mapInArrow(_sketched(spec), SKETCH_SCHEMA), "near-rows")
-    distinct = rows.df().where("n > 0").groupBy("d0", "d1").agg(F.min("id").alias("rep"), F.min("n").alias("n"), F.first("bands").alias("bands"), F.first("odd").alias("odd"))
+    grouped = rows.df().where("n > 0").groupBy("d0", "d1")
+    distinct = grouped.agg(F.min(F.struct("id", "t0", "t1")).alias("rep"), F.count("*").alias("m"), F.min("n").alias("n"), F.first("bands").alias("bands"), F.first("odd").alias("odd"))
     classes = Table(distinct.withColumn("cid", F.monotonically_increasing_id()), "near-classes")  # writing settles the numbers
     keys = classes.df().select("cid", "rep", F.explode("bands").alias("bucket"))
     shared = Table(keys.groupBy("bucket").agg(F.count("*").alias("m")).where("m > 1").select("bucket"), "near-buckets")
@@ -313,17 +365,24 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     near = star.df().join(sketch("a", "oa"), "a").join(sketch("b", "ob"), "b").where(_differing("oa", "ob") <= spec.most_bits()).select("a", "b")
     links = confirm(Table(near, "near-candidates"), classes, docs, spec)
     labels = components(links.df())
-    seen = star.df().select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
     pairs, far = _rest(members, classes, labels, docs, spec)
-    pairs = Table(pairs.join(seen, ["a", "b"], "left_anti"), "near-rest")
-    far = Table(far, "near-far")
-    more = confirm(pairs, classes, docs, spec) if pairs.rows() else None
-    if far.rows() or more is not None and more.rows():
-        every = links.df().unionByName(far.df())
-        labels = components(every.unionByName(more.df()) if more is not None else every)
-    named = classes.df().join(labels.small(), F.col("cid") == F.col("node"), "left").select("d0", "d1", "rep", F.coalesce("label", "cid").alias("label"))
-    named = Table(named, "near-named")
-    lowest = Table(named.df().groupBy("label").agg(F.min("rep").alias("component")), "near-lowest")
+    if pairs.rows():
+        seen = star.df().select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+        pairs = Table(pairs.df().join(seen, ["a", "b"], "left_anti"), "near-unseen")
+    more = [t for t in (confirm(pairs, classes, docs, spec) if pairs.rows() else None, far) if t is not None and t.rows()]
+    if more:
+        every = links.df()
+        for t in more:
+            every = every.unionByName(t.df())
+        labels = components(every)
+    named = classes.df().join(labels.small(), F.col("cid") == F.col("node"), "left").select("d0", "d1", "rep", "m", F.coalesce("label", "cid").alias("label"))
+    return rows, Table(named, "near-named")
+
+
+def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", spec: Spec = Spec()) -> DataFrame:  # noqa: B008
+    """One row per input row: id, n_shingles, component_id, kept."""
+    rows, named = _classes(df, id_col, text_col, spec)
+    lowest = Table(named.df().groupBy("label").agg(F.min("rep.id").alias("component")), "near-lowest")
     where = Table(named.df().join(lowest.small(), "label").select("d0", "d1", "component"), "near-where")
     out = rows.df().select("id", "n", "d0", "d1").join(where.small(), ["d0", "d1"], "left")
     component = F.coalesce("component", "id")
@@ -331,9 +390,24 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
 
 def keep_one(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", spec: Spec = Spec(words=5, over=80, bands=30, rows=4)) -> DataFrame:  # noqa: B008
-    """The input without documents that another of their component stands for; rows without an id stay."""
-    gone = Table(near_duplicates(df, id_col, text_col, spec).where("not kept and id is not null").select(F.col("id").alias("__gone")).distinct(), "near-gone")
-    return df.join(gone.small(), F.col(id_col) == F.col("__gone"), "left_anti")
+    """The input with one row of each component: the first by id, then by the text's digest.
+
+    Rows without words stay, however often.  Rows that share an id are told by their texts; of rows equal in
+    both, of which at most one stays, any may.  Only components of two rows or more are looked at.
+    """
+    rows, named = _classes(df, id_col, text_col, spec)
+    keepers = named.df().groupBy("label").agg(F.min("rep").alias("keep"), F.sum("m").alias("members")).where("members > 1").select("label", "keep")
+    where = Table(named.df().join(Table(keepers, "near-keepers").small(), "label").select("d0", "d1", "keep"), "near-where")
+    key = ["id", "t0", "t1"]
+    inside = Table(rows.df().select(*key, "d0", "d1").join(where.small(), ["d0", "d1"]).groupBy(*key).agg(F.first("keep").alias("keep"), F.count("*").alias("times")), "near-inside")
+    gone = Table(inside.df().where(F.struct(*key) != F.col("keep")).select(*key), "near-gone")
+    twice = Table(inside.df().where((F.struct(*key) == F.col("keep")) & (F.col("times") > 1)).select(*key), "near-twice")
+    every = df.select(F.struct(*(F.col(f"`{c}`") for c in df.columns)).alias("row"), *document_key(id_col, text_col))
+    left = every.join(gone.small(), key, "left_anti")
+    if twice.rows():
+        again = left.join(twice.small(), key, "left_semi").groupBy(*key).agg(F.first("row").alias("row"))
+        left = left.join(twice.small(), key, "left_anti").select("row").unionByName(again.select("row"))
+    return left.select(*(F.col("row")[c].alias(c) for c in df.columns))
 
 
 def op8_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:

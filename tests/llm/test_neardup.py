@@ -132,3 +132,39 @@ def test_odd_and_empty(spark, save, odd_docs, empty_docs):
     assert neardup.near_duplicates(empty_docs).count() == 0
     kept = neardup.keep_one(odd_docs)
     assert kept.columns == odd_docs.columns and kept.count() > 0
+
+
+def test_keep_one_tells_rows_that_share_an_id(spark, prose):
+    a, b, c, d = (prose(40, i) for i in range(4))
+    rows = [(3, a), (5, a), (5, b), (7, c), (7, c), (None, d), (None, d), (None, b + " end"), (9, ""), (9, ""), (None, None), (None, None), (2, c + " more"), (2, "word")]
+    df = spark.createDataFrame([(*r, {"k": 1}) for r in rows], "doc_id long, text string, keep map<string,int>").repartition(3)
+    got = sorted(((x.doc_id, x.text) for x in neardup.keep_one(df).collect()), key=str)
+    want = [(3, a), (5, b), (None, d), (9, ""), (9, ""), (None, None), (None, None), (2, c + " more"), (2, "word")]
+    assert got == sorted(want, key=str)
+
+
+def test_keep_one_keeps_one_of_each_component(spark, prose):
+    r = random.Random(8)
+    rows = [(i, edited(prose(80, i % 30), r, r.randint(0, 3))) for i in range(200)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    got = {x.doc_id for x in neardup.keep_one(df).collect()}
+    assert got == {x[0] for x in brute(rows, 5, 80) if x[3]}
+
+
+def test_a_chain_in_order_takes_few_rounds(spark, monkeypatch):
+    from quillgraph.llm import components as module
+
+    rounds = []
+    monkeypatch.setattr(module, "_ranked", lambda node, k, f=module._ranked: rounds.append(k) or f(node, k))
+    edges = spark.range(10_000).selectExpr("id as a", "id + 1 as b")
+    labels = components(edges)
+    assert max(rounds) < 20
+    assert labels.df().select("label").distinct().count() == 1 and labels.rows() == 10_001
+
+
+def test_wide_blocks_of_sketches(spark, prose, monkeypatch):
+    for name, value in (("SMALL_BUCKET", 2), ("BLOCK", 4), ("SKETCH_BLOCK", 16)):
+        monkeypatch.setattr(neardup, name, value)
+    r = random.Random(9)
+    rows = [(i, edited(prose(60, 77), r, r.randint(0, 8))) for i in range(150)]
+    assert run(spark, rows) == brute(rows)
