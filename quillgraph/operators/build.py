@@ -29,14 +29,27 @@ def clean_relations(relations: DataFrame, min_confidence: float = 0.5) -> DataFr
 
 
 def entity_meta(entities: DataFrame, relations: DataFrame) -> DataFrame:
-    """text, mentions, types: every entity of either table.
+    """text, label, mentions, classes: every entity of either table.
 
-    Entities known from relations alone, confident or not, have no mentions.
+    An entity row is named by its normalised form, or else by its text; a row with neither goes.  A null or
+    zero count is one mention; entities known from relations alone, confident or not, have none.  The label
+    is the most common text, of equals the first seen, entity rows before relations.  An entity has the
+    classes of all its types, ``Thing`` only where no row names a type or a type has no class of its own.
     """
-    named = entities.where(F.coalesce(strip("entity_normalized"), F.lit("")) != "").select(strip("entity_normalized").alias("text"), F.col("entity_type").alias("type"), F.coalesce(F.col("mention_count").cast("long"), F.lit(0)).alias("n"))
-    side = lambda t, k: relations.where(F.col(t) != "").select(F.col(t).alias("text"), F.col(k).alias("type"), F.lit(0).cast("long").alias("n"))
-    every = named.unionByName(side("s", "s_type")).unionByName(side("o", "o_type"))
-    return every.groupBy("text").agg(F.sum("n").alias("mentions"), F.array_sort(F.collect_set(class_of("type"))).alias("classes"))
+    clean = lambda c: F.coalesce(strip(c), F.lit(""))
+    rows = entities.withColumn("pos", F.monotonically_increasing_id()) if "pos" not in entities.columns else entities
+    plain = clean("entity_text") if "entity_text" in entities.columns else F.lit("")
+    named = rows.select(F.coalesce(F.nullif(clean("entity_normalized"), F.lit("")), plain).alias("text"), plain.alias("plain"), clean("entity_type").alias("type"), F.col("mention_count").cast("long").alias("n"), F.lit(0).alias("table"), "pos")
+    named = named.select("text", F.coalesce(F.nullif("plain", F.lit("")), "text").alias("label"), "type", F.coalesce(F.nullif("n", F.lit(0)), F.lit(1)).alias("n"), F.struct("table", "pos", F.lit(0).alias("side")).alias("at"))
+
+    def side(name: str, i: int) -> DataFrame:
+        return relations.select(F.col(name).alias("text"), F.col(name).alias("label"), F.col(f"{name}_type").alias("type"), F.lit(0).cast("long").alias("n"), F.struct(F.lit(1).alias("table"), "pos", F.lit(i).alias("side")).alias("at"))
+
+    every = named.unionByName(side("s", 0)).unionByName(side("o", 1)).where("text <> ''")
+    by_label = every.groupBy("text", "label").agg(F.count("*").alias("times"), F.min("at").alias("at"), F.sum("n").alias("n"), F.collect_set(F.when(F.col("type") != "", class_of("type"))).alias("classes"))
+    order = F.struct("times", (-F.col("at.table")).alias("t"), (-F.col("at.pos")).alias("p"), (-F.col("at.side")).alias("s"))
+    meta = by_label.groupBy("text").agg(F.max_by("label", order).alias("label"), F.sum("n").alias("mentions"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("classes")))).alias("classes"))
+    return meta.withColumn("classes", F.when(F.size("classes") == 0, F.array(F.lit("Thing"))).otherwise(F.col("classes")))
 
 
 def kb_triples(entities: DataFrame, relations: DataFrame, ns: Namespaces = Namespaces(), min_confidence: float = 0.5) -> DataFrame:  # noqa: B008
@@ -46,7 +59,7 @@ def kb_triples(entities: DataFrame, relations: DataFrame, ns: Namespaces = Names
     s = ns.entity("text")
     kept = rel.where("kept")
     return union(
-        meta.select(*triple(s, LABEL, F.col("text"), "literal")),
+        meta.select(*triple(s, LABEL, F.col("label"), "literal")),
         meta.select(*triple(s, ns.base + "ontology/mentionCount", F.col("mentions"), "literal", XSD + "integer")),
         meta.select(*triple(s, RDF_TYPE, F.lit(OWL + "NamedIndividual"))),
         meta.select(F.explode("classes").alias("class"), "text").select(*triple(s, RDF_TYPE, ns.cls("class"))),
@@ -54,10 +67,17 @@ def kb_triples(entities: DataFrame, relations: DataFrame, ns: Namespaces = Names
     )
 
 
+def first_seen(relations: DataFrame) -> DataFrame:
+    """pos, p, domain, range: of kept relations that agree in the texts of their parts the first, with its classes."""
+    first = relations.where("kept").groupBy("s", "p", "o").agg(F.min(F.struct("pos", "s_type", "o_type")).alias("row"))
+    return first.select(F.col("row.pos").alias("pos"), "p", class_of("row.s_type").alias("domain"), class_of("row.o_type").alias("range"))
+
+
 def domain_range(relations: DataFrame, ns: Namespaces = Namespaces()) -> DataFrame:  # noqa: B008
-    """property, domain, range: most common classes of the two sides of kept relations."""
-    kept = relations.where("kept").select("pos", ns.prop("p").alias("property"), class_of("s_type").alias("domain"), class_of("o_type").alias("range"))
-    return most_common(kept, ["property"], "domain", "pos").join(most_common(kept, ["property"], "range", "pos"), "property", "full")
+    """predicate, property, domain, range: most common classes of the two sides, each triple of texts once."""
+    rows = first_seen(relations)
+    both = most_common(rows, ["p"], "domain", "pos").join(most_common(rows, ["p"], "range", "pos"), "p")
+    return both.select(F.col("p").alias("predicate"), ns.prop("p").alias("property"), "domain", "range")
 
 
 def ontology_shell(spark: SparkSession, ns: Namespaces = Namespaces()) -> DataFrame:  # noqa: B008
@@ -71,20 +91,20 @@ def ontology_shell(spark: SparkSession, ns: Namespaces = Namespaces()) -> DataFr
 
 
 def ontology(relations: DataFrame, ns: Namespaces = Namespaces()) -> DataFrame:  # noqa: B008
-    """The shell and, per property, type, label, and domain and range unless they are ``Thing``."""
+    """The shell and, per predicate, its property's type, label (the predicate's text), domain and range unless ``Thing``."""
     props = domain_range(relations, ns)
     p = F.col("property")
     return union(
         ontology_shell(relations.sparkSession, ns),
         props.select(*triple(p, RDF_TYPE, F.lit(OWL + "ObjectProperty"))),
-        props.select(*triple(p, LABEL, F.substring_index(p, "/", -1), "literal")),
+        props.select(*triple(p, LABEL, F.col("predicate"), "literal")),
         props.where("domain <> 'Thing'").select(*triple(p, RDFS + "domain", ns.cls("domain"))),
         props.where("range <> 'Thing'").select(*triple(p, RDFS + "range", ns.cls("range"))),
     )
 
 
 def kb_stats(graph: DataFrame, meta: DataFrame, relations: DataFrame) -> DataFrame:
-    """One row: triples, entities, distinct predicates of kept relations, kept relations, filtered ones."""
-    text_key = relations.where("kept").select("s", "p", "o").distinct().agg(F.count("*").alias("relations_kept"), F.countDistinct("p").alias("relations"))
+    """One row: triples, entities, distinct properties of kept relations, kept relations, filtered ones."""
+    text_key = relations.where("kept").select("s", "p", "o").distinct().agg(F.count("*").alias("relations_kept"), F.countDistinct(Namespaces().prop("p")).alias("relations"))
     dropped = relations.agg(F.count_if(~F.col("kept")).alias("relations_filtered"))
     return graph.agg(F.count("*").alias("triples")).join(meta.agg(F.count("*").alias("entities"))).join(text_key).join(dropped)

@@ -15,7 +15,7 @@ from quillgraph.functions.terms import LABEL, OWL, RDF_TYPE, RDFS, Namespaces, t
 from quillgraph.operators import align, build, embed, extract, graph, rules
 from quillgraph.plans import rag
 from quillgraph.plans.sparql import compile_query
-from quillgraph.plans.views import ENTITIES, RELATIONS, TE, C, E, P, T, edge_view, entities, read, relations, slug_sql, triple_view
+from quillgraph.plans.views import ENTITIES, RELATIONS, TE, C, E, P, T, class_sql, edge_view, entities, read, relations, slug_sql, triple_view
 from quillgraph.sources import files, rdf
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -230,14 +230,19 @@ def entity_meta_mode(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _KB = f"""{ENTITIES}, {RELATIONS},
-every AS (SELECT text, class, n FROM ents UNION ALL SELECT s, sc, 0 FROM rels UNION ALL SELECT o, oc, 0 FROM rels),
-meta AS (SELECT text, sum(n)::BIGINT AS n FROM every WHERE trim(text) <> '' GROUP BY 1),
+named AS (SELECT coalesce(nullif(trim(form), ''), trim(plain)) AS text, trim(plain) AS plain, type, coalesce(nullif(n, 0), 1) AS n, pos FROM ents),
+every AS (SELECT text, coalesce(nullif(plain, ''), text) AS label, type, n, pos AS seen_at FROM named
+  UNION ALL SELECT s, s, st, 0, 1000000000000000 + 2 * pos FROM rels UNION ALL SELECT o, o, ot, 0, 1000000000000001 + 2 * pos FROM rels),
+seen AS (SELECT * FROM every WHERE text <> ''),
+labels AS (SELECT text, label, row_number() OVER (PARTITION BY text ORDER BY count(*) DESC, min(seen_at)) AS rank FROM seen GROUP BY 1, 2),
+meta AS (SELECT text, l.label, sum(n)::BIGINT AS n, max(type) = '' AS untyped FROM seen JOIN labels l USING (text) WHERE l.rank = 1 GROUP BY 1, 2),
 kb AS (
- SELECT '{E}' || {slug_sql('text')} AS s, '{LABEL}' AS p, text AS o FROM meta
+ SELECT '{E}' || {slug_sql('text')} AS s, '{LABEL}' AS p, label AS o FROM meta
  UNION SELECT '{E}' || {slug_sql('text')}, '{C}mentionCount', n::VARCHAR FROM meta
  UNION SELECT '{E}' || {slug_sql('text')}, '{RDF_TYPE}', '{OWL}NamedIndividual' FROM meta
- UNION SELECT '{E}' || {slug_sql('text')}, '{RDF_TYPE}', '{C}' || class FROM every
- UNION SELECT '{E}' || {slug_sql('s')}, '{P}' || p, '{E}' || {slug_sql('o')} FROM kept)"""
+ UNION SELECT '{E}' || {slug_sql('text')}, '{RDF_TYPE}', '{C}' || {class_sql('type')} FROM seen WHERE trim(type) <> ''
+ UNION SELECT '{E}' || {slug_sql('text')}, '{RDF_TYPE}', '{C}Thing' FROM meta WHERE untyped
+ UNION SELECT '{E}' || {slug_sql('s')}, '{P}' || property, '{E}' || {slug_sql('o')} FROM kept)"""
 
 
 @query(f"WITH {_KB} SELECT s, p, o FROM kb")
@@ -245,21 +250,34 @@ def kb_build_triples(spark: SparkSession, sf_dir: str) -> DataFrame:
     return build.kb_triples(entities(spark, sf_dir), relations(spark, sf_dir)).select("s", "p", "o")
 
 
-@query(f"""WITH {_KB} SELECT (SELECT count(*) FROM kb) AS triples, (SELECT count(*) FROM meta) AS entities, (SELECT count(DISTINCT p) FROM kept) AS relations,
-(SELECT count(*) FROM (SELECT DISTINCT s, p, o FROM kept)) AS relations_kept, (SELECT count(*) FROM rels) - (SELECT count(*) FROM kept) AS relations_filtered""")
+@query(f"""WITH {_KB} SELECT (SELECT count(*) FROM kb) AS triples, (SELECT count(*) FROM meta) AS entities, (SELECT count(DISTINCT property) FROM kept) AS relations,
+(SELECT count(*) FROM first) AS relations_kept, (SELECT count(*) FROM rels) - (SELECT count(*) FROM kept) AS relations_filtered""")
 def kb_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     ents, rels = entities(spark, sf_dir), relations(spark, sf_dir)
     clean = build.clean_relations(rels)
     return build.kb_stats(build.kb_triples(ents, rels), build.entity_meta(ents, clean), clean)
 
 
-@query(f"""WITH {RELATIONS}, d AS (SELECT p, sc, count(*) AS n, min(pos) AS f FROM kept GROUP BY 1, 2), r AS (SELECT p, oc, count(*) AS n, min(pos) AS f FROM kept GROUP BY 1, 2)
-SELECT '{P}' || p AS property, (SELECT sc FROM d WHERE d.p = x.p ORDER BY n DESC, f LIMIT 1) AS domain, (SELECT oc FROM r WHERE r.p = x.p ORDER BY n DESC, f LIMIT 1) AS range FROM (SELECT DISTINCT p FROM kept) x""")
+_MODES = f"""{RELATIONS}, d AS (SELECT p, {class_sql('st')} AS class, count(*) AS n, min(pos) AS f FROM first GROUP BY 1, 2), r AS (SELECT p, {class_sql('ot')} AS class, count(*) AS n, min(pos) AS f FROM first GROUP BY 1, 2),
+props AS (SELECT x.p AS predicate, '{P}' || x.property AS property, (SELECT class FROM d WHERE d.p = x.p ORDER BY n DESC, f LIMIT 1) AS domain, (SELECT class FROM r WHERE r.p = x.p ORDER BY n DESC, f LIMIT 1) AS range FROM (SELECT DISTINCT p, property FROM kept) x)"""
+
+
+@query(f"WITH {_MODES} SELECT predicate, property, domain, range FROM props")
 def ontology_domain_range(spark: SparkSession, sf_dir: str) -> DataFrame:
     return build.domain_range(build.clean_relations(relations(spark, sf_dir)))
 
 
-@query()
+_SHELL = ", ".join(f"('{name}', {repr(parent) if parent else 'NULL'})" for name, parent in text.CLASS_PARENTS.items())
+
+
+@query(f"""WITH {_MODES}, shell(name, parent) AS (VALUES {_SHELL})
+SELECT '{C}' || name AS s, '{RDF_TYPE}' AS p, '{OWL}Class' AS o FROM shell
+UNION SELECT '{C}' || name, '{LABEL}', name FROM shell
+UNION SELECT '{C}' || name, '{RDFS}subClassOf', '{C}' || parent FROM shell WHERE parent IS NOT NULL
+UNION SELECT property, '{RDF_TYPE}', '{OWL}ObjectProperty' FROM props
+UNION SELECT property, '{LABEL}', predicate FROM props
+UNION SELECT property, '{RDFS}domain', '{C}' || domain FROM props WHERE domain <> 'Thing'
+UNION SELECT property, '{RDFS}range', '{C}' || range FROM props WHERE range <> 'Thing'""")
 def ontology_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
     return build.ontology(build.clean_relations(relations(spark, sf_dir))).select("s", "p", "o")
 
