@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from quillgraph.functions import text, web
 from quillgraph.functions.terms import LABEL, OWL, RDF_TYPE, RDFS, Namespaces, triple, union
 from quillgraph.operators import align, build, embed, extract, graph, rules
+from quillgraph.operators.stage import cut
 from quillgraph.plans import rag
 from quillgraph.plans.sparql import compile_query
 from quillgraph.plans.views import ENTITIES, RELATIONS, TE, C, E, P, T, class_sql, edge_view, entities, read, relations, slug_sql, triple_view
@@ -615,6 +616,18 @@ def train_transe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.createDataFrame([(i, float(x)) for i, x in enumerate(losses)], "epoch int, loss double")
 
 
+@query()
+def transe_run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A run of the sweep: 20,000 sampled triples, split, trained with the defaults, and its filtered ranks' metrics."""
+    edges = cut(graph.sample(edge_view(spark, sf_dir), 20_000), "run")
+    parts = cut(graph.split(edges), "run-split")
+    train = parts.where("split = 'train'")
+    ids, rel = cut(graph.entity_ids(train), "run-ids"), cut(graph.relation_ids(train), "run-relations")
+    p, _ = embed.train(graph.encode(train, ids, rel), ids.count(), rel.count())
+    test = graph.encode(parts.where("split = 'test'"), ids, rel).withColumn("case", F.monotonically_increasing_id())
+    return embed.metrics(embed.model_ranks(p, cut(test, "run-test"), graph.encode(parts, ids, rel)))
+
+
 @query()
 def rag_answer(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Questions without a model: the fallback queries answer."""

@@ -198,6 +198,42 @@ def test_training_lowers_the_loss(spark, model):
     assert embed.sizes([5, 0, 99, 20], 20) == [5, 20]
 
 
+@pytest.mark.parametrize("model", ["TransE", "ComplEx"])
+def test_model_ranks_against_all_pairs(spark, model):
+    import numpy as np
+
+    rng = np.random.default_rng(4)
+    rows = sorted({tuple(x) for x in np.stack([rng.integers(0, 30, 200), rng.integers(0, 3, 200), rng.integers(0, 30, 200)], 1).tolist()})
+    p = embed.Parameters(model, 30, 3, 6, 1)
+    p.e, p.r = np.round(p.e), np.round(p.r)  # ties
+    known = spark.createDataFrame(rows, "h long, r long, t long")
+    cases = [(i, *rows[i]) for i in range(0, len(rows), 7)]
+    got = {(x["case"], x.side): (x["rank"], x.candidates) for x in embed.model_ranks(p, spark.createDataFrame(cases, "`case` long, h long, r long, t long").repartition(2), known).collect()}
+    for i, h, r, t in cases:
+        for side in ("head", "tail"):
+            old = h if side == "head" else t
+            put = lambda c: (c, r, t) if side == "head" else (h, r, c)  # noqa: B023, E731
+            cands = [c for c in range(30) if c == old or put(c) not in set(rows)]
+            value = {c: float(p.score(*(np.array([x]) for x in put(c)))[0]) for c in cands}
+            own = value[old]
+            assert got[i, side] == ((sum(v > own for v in value.values()) + 1 + sum(v >= own for v in value.values())) / 2, len(cands))
+
+
+def test_blocks_train_side_by_side(spark):
+    rows = [(i, i % 2, (i + 1 + i % 2) % 20) for i in range(20)] * 5
+    df = spark.createDataFrame(rows, "h int, r int, t int")
+    _, losses = embed.train(df, 20, 2, "TransE", dim=8, epochs=8, batch=20, rate=0.05, negatives=4, workers=3)
+    assert len(losses) == 8 and losses[-1] < losses[0]
+
+
+def test_a_chain_in_order_takes_few_rounds(spark, monkeypatch):
+    cuts = []
+    monkeypatch.setattr(graph, "cut", lambda df, name, f=graph.cut: cuts.append(name) or f(df, name))
+    labels = graph.components(spark.range(10_000).selectExpr("id as a", "id + 1 as b"))
+    assert cuts.count("step") < 20
+    assert labels.where("component <> 0").count() == 0 and labels.count() == 10_001
+
+
 def test_relation_dedupe(spark):
     rows = [("u1", "A", "direct", "B", 0.45, 1), ("u1", "A", "direct", "B", 0.85, 2), ("u2", "A", "direct", "B", 0.45, 3)]
     df = spark.createDataFrame(rows, "source_url string, subject string, predicate string, object string, confidence double, pos int")
