@@ -1,30 +1,41 @@
-"""Language-model scores: a log-bilinear model trained in numpy with noise-contrastive estimation.
-
-The corpus is cut into blocks of some megabytes of text.  A block numbers its own words, most frequent
-first, so texts become small integers once and every later step is array work.  Word counts over all
-training documents come back to each block as one number per word of the block; no task ever holds the
-whole vocabulary, and a word has one row per block, however frequent it is.
-
-The model predicts the next token's class.  Classes are the most frequent words (``classes``, a parameter),
-the end of text, and one class for all other words, within which the smoothed unigram decides; so the
-probabilities of all words sum to one.  A context of n words has the vector sum of c_i * q(w_i), a class
-the vector r and bias b, and its score is the scalar product plus bias.  Training contrasts seen tokens
-with draws from the unigram; biases start as its logarithms, so training starts at the unigram model.
-Blocks train on all their training tokens, and weighted means of their parameters start the next round.
-Batched matrix products over the distinct contexts give the normalisers, so scores are exact logarithms
-of normalised probabilities.
-
-Null and empty texts are the end token alone.  A null id is hashed as the empty text.
+"""Language-model scores: a hierarchical log-bilinear model trained in numpy with noise-contrastive estimation.
+
+Words are numbered within blocks of some megabytes of text, so texts become small integers once and every
+later step is array work.  Counts over all training documents come back to each block as one number per word
+of the block; no task holds the whole vocabulary, and a word has one row per block, however frequent it is.
+
+Every word has a class.  The most frequent words, as many as the square root of the vocabulary's size, are
+classes of their own, so is the end of text, and as many classes again take the other words by their last
+three bytes; within these the smoothed unigram decides, one unseen word included.  So the classes grow with
+the corpus, words that were never seen have one too, and the probabilities of all words sum to one.
+
+Classes are dealt into groups of about as many classes as there are groups.  A context of n words has the
+vector sum of c_i * q(w_i); a group and a class within its group each have a vector and a bias, and the score
+is the scalar product plus bias.  P(class) is P(group) times P(class within the group), both normalised over
+all their outcomes by batched matrix products, so scores are exact logarithms of normalised probabilities.
+
+Training contrasts what was seen with noise: at the groups with the unigram's expectation over all of them,
+within a group with draws from its unigram.  Biases start as logarithms of the unigram.  Training documents
+are dealt into blocks by a hash of id and text, whatever partitions they came in, and every training token is
+used once a pass: a round takes its share of each block's tokens from the common parameters, and a row's mean
+over the blocks, weighted by how often each of them used the row, starts the next.  Sums over blocks may
+differ in their last bits with the order of the work, and scores with them.
+
+Null and empty texts are the end token alone.  A null id is hashed as the empty text.  Repeated rows are
+documents of their own, very long texts are worked on whole, an empty table gives an empty result, and only
+id and text are read, whatever other columns are called.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from dataclasses import asdict, dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+import pyarrow.compute as pc
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillgraph.llm.common import Table, by_value, id_key, real_id, slices, small_batches, table, utf8
@@ -33,20 +44,23 @@ by_value(__name__)
 
 #: The end token among words; no word holds a space.
 END = b" "
-BLOCK_BYTES = 16 << 20
+#: Bytes of text of a block that numbers its words; words of a counting task and tokens of a training block, on average at most.
+BLOCK_BYTES, COUNT_ROWS, BLOCK_TOKENS = 16 << 20, 500_000, 1 << 21
+#: Floats of a row in which parameters are summed.
+PART = 1 << 14
 
 
 @dataclass(frozen=True)
 class Spec:
-    """Sizes of the model and of its training."""
+    """Sizes of the model and of its training; ``scale`` times the vocabulary's root is each kind's number of classes."""
 
-    classes: int = 4096
+    scale: float = 1.0
     width: int = 16
-    context: int = 1
+    context: int = 3
     rounds: int = 2
     passes: int = 1
-    batch: int = 1024
-    noise: int = 256
+    batch: int = 8192
+    noise: int = 16
     per_token: float = 8.0
     rate: float = 0.1
     slow: float = 0.01
@@ -64,66 +78,113 @@ def unpack(raw: bytes, n: int) -> np.ndarray:
     return np.ascontiguousarray(np.frombuffer(flat, np.uint8).reshape(4, n).T).view("<u4").ravel().astype(np.int64)
 
 
+def _sorted(values: np.ndarray) -> np.ndarray:
+    """Stable order of small numbers; two bytes each sort by radix."""
+    return np.argsort(values.astype(np.uint16) if not len(values) or values.max() < 1 << 16 else values, kind="stable")
+
+
 BLOCK_SCHEMA = "block long, id long, held boolean, n int, ids binary, word binary, lid int, seen long"
 
 
 def _blocks(size: int):
     """Map over partitions: documents as local ids, and each block's words with their training counts."""
 
-    def flush(block: int, docs: list) -> Iterator[pa.RecordBatch]:
-        from collections import Counter
-
-        held_words: Counter = Counter()
-        seen: Counter = Counter()
-        for _, held, words in docs:
-            (held_words if held else seen).update(words)
-        order = [w for w, _ in seen.most_common()]
-        order += [w for w in held_words if w not in seen]
-        number = dict(zip(order, range(len(order)), strict=True))
-        look = number.__getitem__
-        packed = [pack(np.fromiter(map(look, words), np.int64, len(words))) for _, _, words in docs]
-        names = ["block", "id", "held", "n", "ids", "word", "lid", "seen"]
+    def flush(block: int, parts: list) -> Iterator[pa.RecordBatch]:
+        ids, held = (np.concatenate([p.column(i).to_numpy(zero_copy_only=False) for p in parts]) for i in (0, 1))
+        raw = pa.concat_arrays([p.column(2) for p in parts]).view(pa.string())
+        # Arrow's ASCII functions work on bytes: A-Z, and the six separators
+        split = pc.ascii_split_whitespace(pc.ascii_lower(raw))
+        words = split.flatten()
+        real = pc.greater(pc.binary_length(words), 0).to_numpy(zero_copy_only=False)  # a space at a text's end leaves an empty part
+        offsets = split.offsets.to_numpy() - split.offsets[0].as_py()
+        starts = np.r_[0, np.cumsum(real)][offsets]
+        encoded = words.filter(pa.array(real)).dictionary_encode()
+        names = [*encoded.dictionary.view(pa.binary()).to_pylist(), END]
+        n = np.diff(starts) + 1
+        ends = np.cumsum(n)
+        tokens = np.full(ends[-1], len(names) - 1, np.int64)
+        place = np.ones(len(tokens), bool)
+        place[ends - 1] = False
+        tokens[place] = encoded.indices.to_numpy()
+        seen = np.bincount(tokens[~np.repeat(held, n)], minlength=len(names))
+        order = np.argsort(-seen, kind="stable")
+        number = np.empty(len(names), np.int64)
+        number[order] = np.arange(len(names))
+        tokens = number[tokens]
         kinds = [pa.int64(), pa.int64(), pa.bool_(), pa.int32(), pa.binary(), pa.binary(), pa.int32(), pa.int64()]
-        for i in range(0, len(docs), 5000):
-            part = docs[i : i + 5000]
-            n = len(part)
-            columns = [[block] * n, [d[0] for d in part], [d[1] for d in part], [len(d[2]) for d in part], packed[i : i + n], [None] * n, [None] * n, [None] * n]
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=names)
-        for i in range(0, len(order), 100_000):
-            part = order[i : i + 100_000]
-            n = len(part)
-            none = [pa.nulls(n, k) for k in kinds[1:5]]
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(n, block)), *none, pa.array(part, pa.binary()), pa.array(np.arange(i, i + n), pa.int32()), pa.array([seen[w] for w in part], pa.int64())], names=names)
+        columns = [c.partition(" ")[0] for c in BLOCK_SCHEMA.split(", ")]
+        packed = [pack(tokens[e - k : e]) for e, k in zip(ends.tolist(), n.tolist(), strict=True)]
+        for i in range(0, len(n), 5000):
+            k = len(n[i : i + 5000])
+            docs = [pa.array(np.full(k, block)), pa.array(ids[i : i + k]), pa.array(held[i : i + k]), pa.array(n[i : i + k], pa.int32()), pa.array(packed[i : i + k], pa.binary())]
+            yield pa.RecordBatch.from_arrays([*docs, *(pa.nulls(k, t) for t in kinds[5:])], names=columns)
+        for i in range(0, len(names), 100_000):
+            at = order[i : i + 100_000]
+            k = len(at)
+            own = [pa.array([names[j] for j in at.tolist()], pa.binary()), pa.array(np.arange(i, i + k), pa.int32()), pa.array(seen[at], pa.int64())]
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(k, block)), *(pa.nulls(k, t) for t in kinds[1:5]), *own], names=columns)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        block, held_bytes, docs = TaskContext.get().partitionId() << 32, 0, []
+        block, have, parts = TaskContext.get().partitionId() << 32, 0, []
         for batch in slices(batches):
-            for key, held, raw in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
-                docs.append((key, held, [*raw.lower().split(), END]))
-                held_bytes += len(raw) + 64
-                if held_bytes >= size:
-                    yield from flush(block, docs)
-                    block, held_bytes, docs = block + 1, 0, []
-        if docs:
-            yield from flush(block, docs)
+            if batch.num_rows:
+                parts.append(batch)
+                have += batch.nbytes
+            if have >= size:
+                yield from flush(block, parts)
+                block, have, parts = block + 1, 0, []
+        if parts:
+            yield from flush(block, parts)
 
     return run
 
 
+def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Map over partitions that hold all rows of their words: each row with its word's sum; ``first`` marks one row a word."""
+    rows = pa.Table.from_batches(batches) if (batches := list(batches)) else None
+    if rows is None or not rows.num_rows:
+        return
+    words = rows.column("word").combine_chunks()
+    encoded = words.dictionary_encode()
+    which = encoded.indices.to_numpy()
+    total = np.bincount(which, weights=rows.column("seen").to_numpy()).astype(np.int64)
+    order = np.argsort(which, kind="stable")
+    which = which[order]
+    first = np.r_[True, which[1:] != which[:-1]]
+    for i in range(0, len(order), 100_000):
+        at = pa.array(order[i : i + 100_000])
+        arrays = [words.take(at), *(rows.column(c).combine_chunks().take(at) for c in ("block", "lid")), pa.array(total[which[i : i + 100_000]]), pa.array(first[i : i + 100_000])]
+        yield pa.RecordBatch.from_arrays(arrays, names=["word", "block", "lid", "count", "first"])
+
+
 class Model:
-    """Parameters: q and r (class vectors as context and as target), c (weights by place), b (biases)."""
+    """Parameters of the model: q (classes as context), c (weights by place), and vectors and biases of the
+    groups (rg, bg) and of the classes within them (r, b).  Class numbers are group * members + place.
 
-    def __init__(self, spec: Spec, counts: np.ndarray):
+    ``counts`` has a count per class, -1 where a number stands for no class.
+    """
+
+    NAMES = ("q", "r", "b", "c", "rg", "bg")
+
+    def __init__(self, spec: Spec, counts: np.ndarray, members: int):
         rng = np.random.default_rng(spec.seed)
-        n = len(counts)
-        self.spec = spec
-        self.noise = (counts + 0.5) / (counts + 0.5).sum()
-        self.q = rng.normal(0, 0.1, (n, spec.width)).astype(np.float32)
-        self.r = np.zeros((n, spec.width), np.float32)
-        self.c = np.ones((spec.context, spec.width), np.float32)
-        self.b = np.log(self.noise).astype(np.float32)
+        self.spec, self.members = spec, members
+        there = (counts >= 0).reshape(-1, members)
+        mass = np.where(there, counts.reshape(-1, members) + 0.5, 0.0)
+        self.group_noise = mass.sum(axis=1) / mass.sum()
+        self.noise = mass / mass.sum(axis=1, keepdims=True)
+        n, groups = len(counts), len(mass)
+        single = np.float32
+        self.q = rng.normal(0, 0.1, (n, spec.width)).astype(single)
+        self.r = np.zeros((n, spec.width), single)
+        self.b = np.where(there, np.log(np.maximum(self.noise, 1e-30)), -1e4).astype(single).ravel()
+        self.c = (np.ones((spec.context, spec.width)) / np.arange(1, spec.context + 1)[:, None]).astype(single)
+        self.rg = np.zeros((groups, spec.width), single)
+        self.bg = np.log(self.group_noise).astype(single)
+        #: Squared gradients so far, by row.
+        self.past = {k: np.full(len(getattr(self, k)), 1e-8, single) for k in self.NAMES}
 
     def state(self) -> dict:
         """All of it as plain values, which a broadcast carries to executors without this module."""
@@ -131,136 +192,222 @@ class Model:
 
     @classmethod
     def of(cls, state: dict) -> Model:
-        """A model of its own: arrays are copied."""
+        """A model of its own: what training changes is copied."""
         m = object.__new__(cls)
+        m.__dict__ |= state
         m.spec = Spec(**state["spec"])
-        m.__dict__ |= {k: v.copy() for k, v in state.items() if k != "spec"}
+        for k in cls.NAMES:
+            setattr(m, k, state[k].copy())
+        m.past = {k: v.copy() for k, v in state["past"].items()}
         return m
 
-    def flat(self) -> np.ndarray:
-        return np.concatenate([x.ravel() for x in (self.q, self.r, self.c, self.b)])
-
-    def load(self, flat: np.ndarray) -> Model:
-        at = 0
-        for name in ("q", "r", "c", "b"):
-            shape = getattr(self, name).shape
-            size = int(np.prod(shape))
-            setattr(self, name, flat[at : at + size].reshape(shape).astype(np.float32))
-            at += size
-        return self
-
     def contexts(self, history: np.ndarray) -> np.ndarray:
         """Vectors of contexts, given as rows of class numbers, the nearest word first."""
         return sum(self.c[i] * self.q[history[:, i]] for i in range(self.spec.context))
 
-    def log_normalisers(self, history: np.ndarray) -> np.ndarray:
-        """Logarithms of the sums over all classes, by batched matrix products."""
-        out = np.empty(len(history), np.float64)
-        for i in range(0, len(history), 1024):
-            scores = self.contexts(history[i : i + 1024]) @ self.r.T + self.b
-            top = scores.max(axis=1)
-            out[i : i + 1024] = top + np.log(np.exp(scores - top[:, None]).sum(axis=1, dtype=np.float64))
-        return out
+    @staticmethod
+    def _log_softmax(scores: np.ndarray, own: np.ndarray) -> np.ndarray:
+        """Logarithm of each row's probability of its own column; works in place."""
+        out = scores[np.arange(len(own)), own]
+        top = scores.max(axis=1)
+        scores -= top[:, None]
+        np.exp(scores, out=scores)
+        return out - top - np.log(scores.sum(axis=1))
 
     def log_probabilities(self, history: np.ndarray, target: np.ndarray) -> np.ndarray:
-        """Natural logarithms of normalised class probabilities; contexts that repeat are normalised once."""
-        out = np.empty(len(target), np.float64)
-        key = history[:, 0].astype(np.int64)
-        for i in range(1, self.spec.context):
-            key = key * len(self.b) + history[:, i]
-        _, first, which = np.unique(key, return_index=True, return_inverse=True)
-        z = self.log_normalisers(history[first])
-        for i in range(0, len(target), 1 << 17):
-            h, t = history[i : i + (1 << 17)], target[i : i + (1 << 17)]
-            out[i : i + (1 << 17)] = np.einsum("ij,ij->i", self.contexts(h), self.r[t]) + self.b[t] - z[which[i : i + (1 << 17)]]
+        """Natural logarithms of normalised class probabilities, by batched matrix products."""
+        out, m = np.empty(len(target), np.float64), self.members
+        for i in range(0, len(target), 1 << 16):
+            h, t = history[i : i + (1 << 16)], target[i : i + (1 << 16)]
+            order = _sorted(t // m)
+            h, t = h[order], t[order]
+            g, v = t // m, self.contexts(h)
+            log_p = self._log_softmax(v @ self.rg.T + self.bg, g)
+            edges = [*np.flatnonzero(np.r_[True, g[1:] != g[:-1]]).tolist(), len(g)]
+            for start, end in zip(edges[:-1], edges[1:], strict=True):
+                at = int(g[start]) * m
+                log_p[start:end] += self._log_softmax(v[start:end] @ self.r[at : at + m].T + self.b[at : at + m], t[start:end] - at)
+            out[i + order] = log_p
         return out
 
+    def _step(self, name: str, rows: np.ndarray | slice, total: np.ndarray, slow: float = 1.0) -> None:
+        """A step against the summed gradient of each row, scaled by the row's history."""
+        past, values = self.past[name], getattr(self, name)
+        past[rows] += total * total if total.ndim == 1 else np.mean(total * total, axis=1)
+        step = (self.spec.rate * slow / np.sqrt(past[rows])).astype(np.float32)
+        values[rows] -= total * (step if total.ndim == 1 else step[:, None])
+
+    def _scatter(self, name: str, at: np.ndarray, grad: np.ndarray, slow: float = 1.0) -> None:
+        order = _sorted(at)
+        at = at[order]
+        start = np.flatnonzero(np.r_[True, at[1:] != at[:-1]])
+        self._step(name, at[start], np.add.reduceat(grad[order], start, axis=0), slow)
+
     def train(self, history: np.ndarray, target: np.ndarray, seed: int) -> None:
-        """Noise-contrastive estimation over all tokens; equal pairs are one row that counts by its number."""
-        spec, rng = self.spec, np.random.default_rng(seed)
-        key = history[:, -1].astype(np.int64)
-        for i in range(spec.context - 2, -1, -1):
-            key = key * len(self.b) + history[:, i]
-        _, first, times = np.unique(key * len(self.b) + target, return_index=True, return_counts=True)
-        mixed = np.concatenate([rng.permutation(len(first)) for _ in range(spec.passes)])
-        share = spec.batch * times.mean()
-        first, times = first[mixed], (times[mixed] / share).astype(np.float32)
-        cdf = np.cumsum(self.noise)
-        log_k = np.log(spec.per_token * self.noise).astype(np.float32)
-        # squared gradients so far, by row; biases start at the unigram and move slowly
-        past = {k: np.full(len(getattr(self, k)), 1e-8, np.float32) for k in ("q", "r", "b", "c")}
-        sigmoid = lambda x: 1 / (1 + np.exp(-np.clip(x, -30, 30)))
-
-        def move(name: str, at: np.ndarray, grad: np.ndarray) -> None:
-            """A step against the summed gradient of each row, scaled by the row's history."""
-            order = np.argsort(at, kind="stable")
-            rows, start = np.unique(at[order], return_index=True)
-            total = np.add.reduceat(grad[order], start, axis=0)
-            size = total * total if total.ndim == 1 else np.mean(total * total, axis=1)
-            past[name][rows] += size
-            step = spec.rate * (spec.slow if name == "b" else 1.0) / np.sqrt(past[name][rows])
-            getattr(self, name)[rows] -= total * (step if total.ndim == 1 else step[:, None])
-
-        for i in range(0, len(first), spec.batch):
-            h, t, w = history[first[i : i + spec.batch]], target[first[i : i + spec.batch]], times[i : i + spec.batch]
-            fake = np.minimum(np.searchsorted(cdf, rng.random(spec.noise) * cdf[-1]), len(self.b) - 1)
-            v, rt, rn = self.contexts(h), self.r[t], self.r[fake]
-            real = (sigmoid(np.einsum("ij,ij->i", v, rt) + self.b[t] - log_k[t]) - 1) * w
-            drawn = sigmoid(v @ rn.T + self.b[fake] - log_k[fake]) * (w * (spec.per_token / spec.noise))[:, None]
-            dv = real[:, None] * rt + drawn @ rn
-            dr, db = np.concatenate([real[:, None] * v, drawn.T @ v]), np.concatenate([real, drawn.sum(axis=0)])
-            both = np.concatenate([t, fake])
-            dc = np.stack([(dv * self.q[h[:, j]]).sum(axis=0) for j in range(spec.context)])
-            for j in range(spec.context):
-                move("q", h[:, j], dv * self.c[j])
-            move("r", both, dr)
-            move("b", both, db)
-            if spec.context > 1:
-                move("c", np.arange(spec.context), dc)
+        """Noise-contrastive estimation over all the given tokens, once, in a random order."""
+        spec, m, rng = self.spec, self.members, np.random.default_rng(seed)
+        single = np.float32
+        mass, log_mass = (spec.per_token * self.group_noise).astype(single), np.log(spec.per_token * self.group_noise).astype(single)
+        log_noise = np.log(spec.per_token * np.maximum(self.noise, 1e-30)).astype(single).ravel()
+        cdf = np.cumsum(self.noise, axis=1)
+        last = m - 1 - np.argmax((self.noise > 0)[:, ::-1], axis=1)
+        weight = single(1 / spec.batch)
+
+        def sigmoid(x: np.ndarray) -> np.ndarray:
+            np.negative(x, out=x)
+            np.exp(x, out=x)
+            x += 1
+            return np.reciprocal(x, out=x)
+
+        mixed = rng.permutation(len(target))
+        with np.errstate(over="ignore"):
+            for i in range(0, len(mixed), spec.batch):
+                at = mixed[i : i + spec.batch]
+                at = at[_sorted(target[at] // m)]
+                h, t = history[at], target[at]
+                g, every = t // m, np.arange(len(t))
+                places = [self.q[h[:, j]] for j in range(spec.context)]
+                v = sum(self.c[j] * places[j] for j in range(spec.context))
+                # groups: the noise's expectation over all of them
+                s = sigmoid(v @ self.rg.T + (self.bg - log_mass))
+                seen = s[every, g]
+                s *= mass
+                s[every, g] += seen - 1
+                s *= weight
+                dv, drg, dbg = s @ self.rg, s.T @ v, s.sum(axis=0)
+                # classes: each group's tokens share draws from its unigram
+                rows, grads, biases = [], [], []
+                edges = [*np.flatnonzero(np.r_[True, g[1:] != g[:-1]]).tolist(), len(g)]
+                for start, end in zip(edges[:-1], edges[1:], strict=True):
+                    k, vs, ts = int(g[start]), v[start:end], t[start:end]
+                    fake = k * m + np.minimum(np.searchsorted(cdf[k], rng.random(spec.noise) * cdf[k, -1], side="right"), last[k])
+                    own, other = self.r[ts], self.r[fake]
+                    real = sigmoid(np.einsum("ij,ij->i", vs, own) + self.b[ts] - log_noise[ts])
+                    real -= 1
+                    real *= weight
+                    drawn = sigmoid(vs @ other.T + (self.b[fake] - log_noise[fake]))
+                    drawn *= single(spec.per_token / spec.noise) * weight
+                    dv[start:end] += real[:, None] * own + drawn @ other
+                    rows += [ts, fake]
+                    grads += [real[:, None] * vs, drawn.T @ vs]
+                    biases += [real, drawn.sum(axis=0)]
+                both = np.concatenate(rows)
+                dc = np.stack([(dv * places[j]).sum(axis=0) for j in range(spec.context)])
+                self._scatter("r", both, np.concatenate(grads))
+                self._scatter("b", both, np.concatenate(biases), spec.slow)
+                self._scatter("q", h.T.ravel(), np.concatenate([dv * self.c[j] for j in range(spec.context)]))
+                self._step("rg", slice(None), drg)
+                self._step("bg", slice(None), dbg, spec.slow)
+                self._step("c", slice(None), dc, 0.1)
+
+    def uses(self, history: np.ndarray, target: np.ndarray) -> dict[str, np.ndarray]:
+        """How often tokens use the rows of each parameter."""
+        n = len(self.q)
+        seen = np.bincount(target, minlength=n).astype(np.float32)
+        told = np.bincount(history.ravel(), minlength=n).astype(np.float32)
+        every = np.float32(len(target))
+        return {"q": told, "r": seen, "b": seen} | {k: np.full(len(getattr(self, k)), every) for k in ("c", "rg", "bg")}
+
+    def weighed(self, uses: dict[str, np.ndarray]) -> np.ndarray:
+        """Parameters and squared gradients times the uses of their rows, and the uses, in one array."""
+        out = []
+        for k in self.NAMES:
+            x, u = getattr(self, k), uses[k]
+            out += [(x * (u if x.ndim == 1 else u[:, None])).ravel(), self.past[k] * u, u]
+        return np.concatenate(out)
+
+    def load(self, flat: np.ndarray) -> None:
+        """From a sum of ``weighed``: means of the rows that were used; others stay."""
+        at = 0
+
+        def take(size: int) -> np.ndarray:
+            nonlocal at
+            at += size
+            return flat[at - size : at]
+
+        for k in self.NAMES:
+            old = getattr(self, k)
+            x, past, u = take(old.size).reshape(old.shape), take(len(old)), take(len(old))
+            used = u > 0
+            old[used] = x[used] / (u[used] if old.ndim == 1 else u[used, None])
+            self.past[k][used] = past[used] / u[used]
 
 
 def _history(tokens: np.ndarray, starts: np.ndarray, end: int, n: int) -> np.ndarray:
     """Rows of the n classes before each token, nearest first; before the first word stands the end."""
-    out = np.full((len(tokens), n), end, np.int64)
+    out = np.full((len(tokens), n), end, np.int32)
     place = np.arange(len(tokens)) - np.repeat(starts, np.diff(np.append(starts, len(tokens))))
     for i in range(n):
-        ok = place > i
-        out[ok, i] = tokens[np.flatnonzero(ok) - i - 1]
+        ok = np.flatnonzero(place > i)
+        out[ok, i] = tokens[ok - i - 1]
     return out
 
 
-def _tokens(docs: pa.Table, kinds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """All tokens of a block's documents mapped through ``kinds``, and where documents start."""
-    lengths = docs.column("n").to_numpy()
-    ids = [unpack(raw, n) for raw, n in zip(docs.column("ids").to_pylist(), lengths.tolist(), strict=True)]
-    return kinds[np.concatenate(ids)] if ids else np.zeros(0, np.int64), np.r_[0, np.cumsum(lengths)[:-1]].astype(np.int64)
+def suffix_code(word, size: int):
+    """Class of a word among ``size`` by its last three bytes."""
+    return F.crc32(F.substring(word, -3, 3)) % size
 
 
-def _class_of(words: pa.Table, other: int) -> np.ndarray:
-    """Class by local id; words that no row names are ``other``."""
-    lid = words.column("lid").to_numpy()
-    out = np.full(int(lid.max()) + 1 if len(lid) else 0, other, np.int64)
-    out[lid] = words.column("class").fill_null(other).to_numpy()
-    return out
+READY_SCHEMA = "id long, held boolean, n int, known long, base double, within double, classes binary"
 
 
-def _trained(model, end: int, other: int, round_: int):
-    def run(key: tuple, docs: pa.Table, words: pa.Table) -> pa.Table:
-        own = Model.of(model.value)
-        n = docs.num_rows
-        flat = np.zeros(0, np.float32)
-        weight = 0.0
-        if n:
-            most = max(int(unpack(r, k).max()) for r, k in zip(docs.column("ids").to_pylist(), docs.column("n").to_pylist(), strict=True))
-            kinds = np.full(most + 1, other, np.int64)
-            named = _class_of(words, other)[: most + 1] if words.num_rows else np.zeros(0, np.int64)
-            kinds[: len(named)] = named
-            tokens, starts = _tokens(docs, kinds)
-            own.train(_history(tokens, starts, end, own.spec.context), tokens, abs(hash((key[0].as_py(), round_))) % 2**32)
-            flat, weight = own.flat() * np.float32(len(tokens)), float(len(tokens))
-        part = 1 << 14
-        slices = [flat[i : i + part].tobytes() for i in range(0, len(flat), part)]
-        return pa.table({"slice": pa.array(range(len(slices)), pa.int32()), "spread": pa.array([key[0].as_py() % 64] * len(slices), pa.int64()), "weight": pa.array([weight] * len(slices), pa.float64()), "sums": pa.array(slices, pa.binary())})
+def _ready(named, total: int, distinct: int):
+    """Cogrouped map over a block: documents as classes, with what doesn't depend on the model.
+
+    ``named`` holds the class of each single word and suffix, and per class whether it is a single word, its
+    count and its known words.  A row's ``kind`` is the place among the single words, or below zero the suffix.
+    """
+
+    def run(docs: pa.Table, words: pa.Table) -> pa.Table:
+        singles, suffixes, single, counts, known = named.value
+        lid, kind, seen = (words.column(c).to_numpy() for c in ("lid", "kind", "count"))
+        size = int(lid.max()) + 1 if len(lid) else 0
+        count, classes = np.zeros(size, np.float64), np.zeros(size, np.int64)
+        count[lid] = seen
+        classes[lid] = np.where(kind >= 0, singles[np.maximum(kind, 0)], suffixes[np.maximum(-kind - 1, 0)])
+        base = np.log10((count + 0.1) / (total + 0.1 * (distinct + 1)))
+        within = np.where(single[classes], 0.0, np.log10((count + 0.1) / (counts[classes] + 0.1 * (known[classes] + 1))))
+        rows = []
+        for raw, n in zip(docs.column("ids").to_pylist(), docs.column("n").to_pylist(), strict=True):
+            ids = unpack(raw, n)
+            rows.append((int((count[ids] > 0).sum()), float(base[ids].sum()), float(within[ids].sum()), pack(classes[ids])))
+        columns = list(zip(*rows, strict=True)) if rows else [()] * 4
+        kinds = (pa.int64(), pa.float64(), pa.float64(), pa.binary())
+        return pa.table([docs.column(c) for c in ("id", "held", "n")] + [pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=["id", "held", "n", "known", "base", "within", "classes"])
+
+    return run
+
+
+def _gathered(key: tuple, rows: pa.Table) -> pa.Table:
+    """A training block as one row, in an order that doesn't depend on how the rows arrived."""
+    docs = sorted(zip(rows.column("id").to_pylist(), rows.column("classes").to_pylist(), rows.column("n").to_pylist(), strict=True))
+    lengths = np.array([d[2] for d in docs], np.int64)
+    tokens = np.concatenate([unpack(d[1], d[2]) for d in docs])
+    return pa.table({"block": pa.array([key[0].as_py()], pa.int64()), "n": pa.array([len(tokens)], pa.int64()), "docs": pa.array([len(docs)], pa.int64()), "lengths": pa.array([pack(lengths)], pa.binary()), "tokens": pa.array([pack(tokens)], pa.binary())})
+
+
+def _trained(model, end: int, round_: int, fan: int):
+    """Map over training blocks: the sum of their weighed parameters after a round, in parts."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark import TaskContext
+
+        spec, total = Spec(**model.value["spec"]), None
+        for batch in batches:
+            for row in batch.to_pylist():
+                own = Model.of(model.value)
+                lengths, tokens = unpack(row["lengths"], row["docs"]), unpack(row["tokens"], row["n"])
+                history = _history(tokens, np.r_[0, np.cumsum(lengths)[:-1]], end, spec.context)
+                share = np.random.default_rng((spec.seed, row["block"])).permutation(len(tokens))
+                share = np.concatenate([share[(round_ + i) % spec.rounds :: spec.rounds] for i in range(spec.passes)])
+                history, tokens = history[share], tokens[share]
+                own.train(history, tokens, (spec.seed, row["block"], round_))
+                flat = own.weighed(own.uses(history, tokens)).astype(np.float64)
+                total = flat if total is None else total + flat
+        if total is not None:
+            parts = [total[i : i + PART].tobytes() for i in range(0, len(total), PART)]
+            spread = np.full(len(parts), TaskContext.get().partitionId() % fan)
+            yield pa.RecordBatch.from_pydict({"part": pa.array(np.arange(len(parts)), pa.int32()), "spread": pa.array(spread, pa.int32()), "sums": pa.array(parts, pa.binary())})
 
     return run
 
@@ -268,45 +415,26 @@ def _trained(model, end: int, other: int, round_: int):
 def _summed(rows: pa.Table) -> pa.Table:
     total = None
     for raw in rows.column("sums"):
-        x = np.frombuffer(raw.as_buffer(), np.float32).astype(np.float64)
-        total = x if total is None else total + x
-    return pa.table({"slice": rows.column("slice")[:1], "weight": pa.array([sum(rows.column("weight").to_pylist())]), "sums": pa.array([total.astype(np.float32).tobytes()], pa.binary())})
+        x = np.frombuffer(raw.as_buffer(), np.float64)
+        total = x.copy() if total is None else total + x
+    return pa.table({"part": rows.column("part")[:1], "sums": pa.array([total.tobytes()], pa.binary())})
 
 
-def _scored(model, z, end: int, other: int, total: int, distinct: int, rest_mass: float):
-    """Cogrouped map over a block: its documents, and count and class of each of its words."""
-
-    def run(docs: pa.Table, words: pa.Table) -> pa.Table:
-        m = Model.of(model.value)
-        lid = words.column("lid").to_numpy()
-        size = int(lid.max()) + 1 if len(lid) else 0
-        count = np.zeros(size, np.float64)
-        count[lid] = words.column("count").to_numpy()
-        kinds = _class_of(words, other)
-        base = np.log10((count + 0.1) / (total + 0.1 * (distinct + 1)))
-        within = np.where(kinds == other, base - np.log10(rest_mass), 0.0)  # the word given its class
-        local, starts = _tokens(docs, np.arange(size))
-        if not len(local):
-            return pa.table({k: pa.array([], t) for k, t in zip(("id", "held_out", "n_tokens", "n_known", "base_score", "score"), (pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.float64(), pa.float64()), strict=True)})
-        tokens = kinds[local]
-        history = _history(tokens, starts, end, m.spec.context)
-        if z is not None:  # one word of context: every normaliser is known
-            h = history[:, 0]
-            log_p = np.empty(len(tokens), np.float64)
-            for i in range(0, len(tokens), 1 << 17):
-                a, t = h[i : i + (1 << 17)], tokens[i : i + (1 << 17)]
-                log_p[i : i + (1 << 17)] = np.einsum("ij,ij->i", m.c[0] * m.q[a], m.r[t]) + m.b[t] - z.value[a]
-        else:
-            log_p = m.log_probabilities(history, tokens)
-        sums = lambda x: np.add.reduceat(x, starts)
-        return pa.table({
-            "id": docs.column("id"),
-            "held_out": docs.column("held"),
-            "n_tokens": pa.array(docs.column("n").to_numpy().astype(np.int64)),
-            "n_known": pa.array(sums((count > 0).astype(np.int64)[local])),
-            "base_score": pa.array(sums(base[local])),
-            "score": pa.array(sums(log_p / np.log(10) + within[local])),
-        })
+def _scored(model, end: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = Model.of(model.value)
+        for batch in slices(batches):
+            if not batch.num_rows:
+                continue
+            n = batch.column("n").to_numpy().astype(np.int64)
+            tokens = np.concatenate([unpack(raw, k) for raw, k in zip(batch.column("classes").to_pylist(), n.tolist(), strict=True)])
+            starts = np.r_[0, np.cumsum(n)[:-1]]
+            log_p = own.log_probabilities(_history(tokens, starts, end, own.spec.context), tokens)
+            score = np.add.reduceat(log_p, starts) / np.log(10) + batch.column("within").to_numpy()
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("id"), batch.column("held"), pa.array(n), batch.column("known"), batch.column("base"), pa.array(score)],
+                names=["id", "held_out", "n_tokens", "n_known", "base_score", "score"],
+            )
 
     return run
 
@@ -316,7 +444,56 @@ def held_out(id_col: str):
     return F.crc32(F.coalesce(F.col(id_col).cast("string"), F.lit("")).cast("binary")) % 10 == 0
 
 
-def score(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", spec: Spec = Spec(), block_bytes: int = BLOCK_BYTES) -> DataFrame:  # noqa: B008
+@dataclass
+class Counts:
+    """Counts over all training documents, and the classes: the single words, the numbers of single words and
+    of suffixes, of each class its number, whether it is a single word, its count and known words."""
+
+    total: int
+    distinct: int
+    words: list[bytes]
+    singles: np.ndarray
+    suffixes: np.ndarray
+    single: np.ndarray
+    counts: np.ndarray
+    known: np.ndarray
+    members: int
+
+    @property
+    def end(self) -> int:
+        return int(self.singles[-1])
+
+
+def count_classes(rows: DataFrame, spec: Spec) -> Counts:
+    """``rows`` has word, count and first.  What reaches the driver grows with the vocabulary's root."""
+    known = rows.where("first and count > 0")
+    total, distinct = known.agg(F.coalesce(F.sum("count"), F.lit(0)), F.count("*")).first()
+    size = max(1, math.ceil(spec.scale * math.sqrt(distinct)))
+    top = [(bytes(r.word), r["count"]) for r in known.where(F.col("word") != F.lit(END)).orderBy(F.desc("count"), "word").limit(size).collect()]
+    ended = known.where(F.col("word") == F.lit(END)).agg(F.coalesce(F.sum("count"), F.lit(0))).first()[0]
+    words = [*(w for w, _ in top), END]
+    named = rows.sparkSession.createDataFrame([(bytearray(w),) for w in words], "word binary")
+    rest = known.join(F.broadcast(named), "word", "left_anti").groupBy(suffix_code(F.col("word"), size).alias("code")).agg(F.sum("count").alias("c"), F.count("*").alias("k")).collect()
+    n, m = len(words), len(words) + size
+    counts, distinct_words = np.zeros(m), np.zeros(m)
+    counts[:n] = [*(c for _, c in top), ended]
+    distinct_words[:n] = 1
+    for r in rest:
+        counts[n + r.code], distinct_words[n + r.code] = r.c, r.k
+    # by frequency in turn over the groups, so that these weigh alike
+    groups = math.ceil(math.sqrt(m))
+    members = -(-m // groups)
+    rank = np.empty(m, np.int64)
+    rank[np.argsort(-counts, kind="stable")] = np.arange(m)
+    number = rank % groups * members + rank // groups
+    full = groups * members
+    single, by_class, known_by_class = np.zeros(full, bool), np.full(full, -1.0), np.zeros(full)
+    single[number[:n]] = True
+    by_class[number], known_by_class[number] = counts, distinct_words
+    return Counts(int(total), int(distinct), words, number[:n], number[n:], single, by_class, known_by_class, members)
+
+
+def score(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", spec: Spec = Spec(), block_bytes: int = BLOCK_BYTES, block_tokens: int = BLOCK_TOKENS) -> DataFrame:  # noqa: B008
     """One row per input row: id, held_out, n_tokens, n_known, train_tokens, base_score, score."""
     spark = df.sparkSession
     small_batches(spark)
@@ -324,36 +501,35 @@ def score(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", spec: S
     blocks = Table(source.mapInArrow(_blocks(block_bytes), BLOCK_SCHEMA), "lm-blocks")
     docs = blocks.df().where("ids is not null").select("block", "id", "held", "n", "ids")
     words = blocks.df().where("word is not null").select("block", "lid", "word", "seen")
-    # a word has at most one row per block, so no partition of this window is hot
-    by_word = Window.partitionBy("word")
-    counted = words.select("block", "lid", "word", F.sum("seen").over(by_word).alias("count"), F.row_number().over(by_word.orderBy("block")).alias("nth"))
-    counts = Table(counted.select("block", "lid", "count", F.when((F.col("nth") == 1) & (F.col("count") > 0), F.col("word")).alias("word")), "lm-counts")
-    known = counts.df().where("word is not null")
-    total, distinct = known.agg(F.coalesce(F.sum("count"), F.lit(0)), F.count("*")).first()
-    top = [(bytes(r.word), r["count"]) for r in known.where(F.col("word") != F.lit(END)).orderBy(F.desc("count"), "word").limit(spec.classes).collect()]
-    ended = known.where(F.col("word") == F.lit(END)).agg(F.coalesce(F.sum("count"), F.lit(0))).first()[0]
-    # classes: the top words, the end, all others
-    end, other = len(top), len(top) + 1
-    rest = max(0, total - ended - sum(c for _, c in top))
-    model = Model(spec, np.array([*(c for _, c in top), ended, rest], np.float64))
-    named = spark.createDataFrame([(bytearray(w), i) for i, w in enumerate([*(w for w, _ in top), END])], "word binary, class long")
-    classes = Table(words.join(F.broadcast(named), "word").select("block", "lid", "class"), "lm-classes")  # spec.classes + 1 rows
-    training = docs.where("not held")
-    for i in range(spec.rounds if total else 0):
-        shared = spark.sparkContext.broadcast(model.state())
-        sums = training.groupBy("block").cogroup(classes.df().groupBy("block")).applyInArrow(_trained(shared, end, other, i), "slice int, spread long, weight double, sums binary")
-        some = sums.groupBy("slice", "spread").applyInArrow(_summed, "slice int, weight double, sums binary")
-        rows = some.groupBy("slice").applyInArrow(_summed, "slice int, weight double, sums binary").collect()  # the model's size
-        rows.sort(key=lambda r: r.slice)
-        model.load(np.concatenate([np.frombuffer(bytes(r.sums), np.float32) / np.float32(r.weight) for r in rows]))
-    z = spark.sparkContext.broadcast(model.log_normalisers(np.arange(other + 1)[:, None])) if spec.context == 1 else None
-    # smoothed mass of the words outside the classes, one unseen word included
-    lacking = 0 if ended else 1
-    rest_mass = (rest + 0.1 * (distinct + 1 + lacking - len(top) - 1)) / (total + 0.1 * (distinct + 1))
-    final = counts.df().select("block", "lid", "count").join(classes.df(), ["block", "lid"], "left")
+    dealt = words.repartition(max(1, -(-words.count() // COUNT_ROWS)), "word")
+    counted = Table(dealt.mapInArrow(_counted, "word binary, block long, lid int, count long, first boolean"), "lm-counts")
+    c = count_classes(counted.df(), spec)
+    model = Model(spec, c.counts, c.members)
+    # the single words, of which there are as many as the vocabulary's root
+    named = spark.createDataFrame([(bytearray(w), i) for i, w in enumerate(c.words)], "word binary, place long")
+    kind = F.coalesce("place", -1 - suffix_code(F.col("word"), len(c.suffixes)))
+    final = counted.df().join(F.broadcast(named), "word", "left").select("block", "lid", "count", kind.alias("kind"))
+    shared = spark.sparkContext.broadcast((c.singles, c.suffixes, c.single, c.counts, c.known))
+    ready = Table(docs.groupBy("block").cogroup(final.groupBy("block")).applyInArrow(_ready(shared, c.total, c.distinct), READY_SCHEMA), "lm-ready")
+    blocks.drop()
+    counted.drop()
+    if c.total:
+        many = max(1, -(-c.total // block_tokens))
+        block = F.pmod(F.xxhash64("id", "classes"), F.lit(many)).alias("block")
+        gathered = ready.df().where("not held").select(block, "id", "n", "classes").groupBy("block").applyInArrow(_gathered, "block long, n long, docs long, lengths binary, tokens binary")
+        training = Table(gathered, "lm-training")
+        fan = math.ceil(math.sqrt(many))
+        for i in range(spec.rounds):
+            shared = spark.sparkContext.broadcast(model.state())
+            parts = training.df().mapInArrow(_trained(shared, c.end, i, fan), "part int, spread int, sums binary")
+            some = parts.groupBy("part", "spread").applyInArrow(_summed, "part int, sums binary")
+            rows = some.groupBy("part").applyInArrow(_summed, "part int, sums binary").collect()  # the model's size
+            rows.sort(key=lambda r: r.part)
+            model.load(np.concatenate([np.frombuffer(bytes(r.sums), np.float64) for r in rows]))
+        training.drop()
     shared = spark.sparkContext.broadcast(model.state())
-    out = docs.groupBy("block").cogroup(final.groupBy("block")).applyInArrow(_scored(shared, z, end, other, total, distinct, rest_mass), "id long, held_out boolean, n_tokens long, n_known long, base_score double, score double")
-    return out.select(real_id("id").alias("id"), "held_out", "n_tokens", "n_known", F.lit(total).cast("long").alias("train_tokens"), "base_score", "score")
+    out = ready.df().mapInArrow(_scored(shared, c.end), "id long, held_out boolean, n_tokens long, n_known long, base_score double, score double")
+    return out.select(real_id("id").alias("id"), "held_out", "n_tokens", "n_known", F.lit(c.total).cast("long").alias("train_tokens"), "base_score", "score")
 
 
 def op3_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
