@@ -4,13 +4,15 @@ Protected entities are the values that the base patterns find (mail addresses, I
 phone numbers).  A term of the same document can reveal it as well: over the corpus, with n documents,
 n(e) that hold the entity, n(t) that hold the term and n(e,t) that hold both, however far apart,
 PMI(e,t) = log2(n(e,t) n / (n(e) n(t))) is the information that the term gives about the entity, and
-IC(e) = log2(n / n(e)) all there is.  From two joint documents up, a term that discloses at least
-``GENERALISE`` of IC(e) is generalised, at least ``REMOVE`` removed, wherever it stands in a document that
-holds the entity.  Documents without an entity are left alone.  Terms are runs of three letters or more,
-lower-cased.
-
-n, n(e), n(t), n(e,t) are counted over all documents.  Null and empty texts hold nothing.  Repeated rows
-count as documents of their own.
+IC(e) = log2(n / n(e)) all there is.  From two witnesses up, a term that discloses at least ``GENERALISE``
+of IC(e) is generalised, at least ``REMOVE`` removed, wherever it stands in a document that holds the entity.
+A copy proves nothing about what a term reveals: joint documents that agree in two MinHash samples of their
+terms, as copies and most near copies do, are one witness.  Documents without an entity are left alone.
+Terms are runs of three letters or more, lower-cased.
+
+n, n(e), n(t), n(e,t) are counted over all documents, repeated rows as documents of their own.  Null and empty
+texts hold nothing, very long ones are worked on whole, an empty table gives an empty result, and only id and
+text are read, whatever other columns are called.  A null id stays null.
 """
 
 from __future__ import annotations
@@ -31,7 +33,7 @@ PHONE = r"\+[0-9][\x20().0-9-]+[0-9]"
 TERM = r"\p{L}{3,}+"
 
 GENERALISE, REMOVE = 0.8, 0.95
-#: Documents in which term and entity must meet.
+#: Documents that must hold an entity, for a term to meet it before two witnesses.
 SUPPORT = 2
 
 
@@ -84,19 +86,26 @@ def terms_of(text: Column) -> Column:
     return F.array_distinct(F.transform(F.regexp_extract_all(text, F.lit(TERM), F.lit(0)), F.lower))
 
 
+def witness(terms: Column) -> Column:
+    """Two MinHash samples of a text's terms as one number, which copies and most near copies share."""
+    low = lambda seed: F.array_min(F.transform(terms, lambda t: F.xxhash64(F.lit(seed), t)))
+    return F.xxhash64(low(1), low(2))
+
+
 def term_counts(df: DataFrame, text_col: str = "text") -> DataFrame:
     """term, n_t: documents that hold each term, over all documents; combined before the shuffle."""
     return df.select(F.explode(terms_of(F.coalesce(F.col(text_col).cast("string"), F.lit("")))).alias("term")).groupBy("term").agg(F.count("*").alias("n_t"))
 
 
 def met(held: Table) -> DataFrame:
-    """rid, entity, term: every term of a document with every entity that it holds."""
-    return held.df().select("rid", "terms", F.explode("entities").alias("entity")).select("rid", "entity", F.explode("terms").alias("term"))
+    """rid, witness, entity, term: every term of a document with every entity that it holds."""
+    return held.df().select("rid", "witness", "terms", F.explode("entities").alias("entity")).select("rid", "witness", "entity", F.explode("terms").alias("term"))
 
 
 def disclosures(held: Table, n: int, n_e: Table, df: DataFrame, text_col: str, generalise: float) -> DataFrame:
-    """entity, term, share: the pairs whose term discloses at least ``generalise`` of the entity."""
-    pairs = Table(met(held).groupBy("entity", "term").agg(F.count("*").alias("n_et")).where(F.col("n_et") >= SUPPORT), "pii-pairs")
+    """entity, term, share: the pairs of two witnesses or more whose term discloses at least ``generalise`` of the entity."""
+    joint = met(held).groupBy("entity", "term").agg(F.count("*").alias("n_et"), F.min("witness").alias("one"), F.max("witness").alias("other"))
+    pairs = Table(joint.where("one <> other").select("entity", "term", "n_et"), "pii-pairs")
     near = Table(pairs.df().select("term").distinct(), "pii-terms")
     n_t = Table(term_counts(df, text_col).join(near.small(), "term", "left_semi"), "pii-counts")
     pmi = F.log2(F.col("n_et") * F.lit(float(n)) / (F.col("n_e") * F.col("n_t")))
@@ -120,7 +129,7 @@ def analyse(df: DataFrame, text_col: str = "text", id_col: str = "doc_id", gener
     every = found.df().select("rid", F.explode("entities").alias("entity"))
     n_e = Table(every.groupBy("entity").agg(F.count("*").alias("n_e")).where((F.col("n_e") >= SUPPORT) & (F.col("n_e") < n)), "pii-entities")
     known = Table(every.join(n_e.small(), "entity").groupBy("rid").agg(F.collect_list("entity").alias("entities")), "pii-known")
-    held = Table(found.df().select("rid", "text").join(known.small(BROADCAST_ROWS // 10), "rid").select("rid", "entities", terms_of(F.col("text")).alias("terms")), "pii-held")
+    held = Table(found.df().select("rid", "text").join(known.small(BROADCAST_ROWS // 10), "rid").select("rid", "entities", terms_of(F.col("text")).alias("terms")).withColumn("witness", witness(F.col("terms"))), "pii-held")
     risky = Table(disclosures(held, n, n_e, df, text_col, generalise), "pii-risky")
     hits = Table(met(held).join(risky.small(), ["entity", "term"]).groupBy("rid", "term").agg(F.max("share").alias("share")), "pii-hits")
     hit = Table(hits.df().select("rid").distinct(), "pii-hit")
