@@ -52,14 +52,59 @@ def best_candidate(scored: DataFrame, key: list[str], order: str = "pos") -> Dat
     return scored.withColumn("__n", F.row_number().over(w)).where("__n = 1").drop("__n")
 
 
-def link_entities(entities: DataFrame, candidates: DataFrame, threshold: float = ENTITY_THRESHOLD, ns: Namespaces = Namespaces()) -> DataFrame:  # noqa: B008
+#: Candidates of an entity, and properties of a predicate, that a search gives at most.
+ENTITY_LIMIT, PROPERTY_LIMIT = 5, 20
+
+CANDIDATES = "entity string, entity_type string, pos int, id string, uri string, label string, description string, match_text string"
+
+
+def looked_up(entities: DataFrame, provider, limit: int = ENTITY_LIMIT, delay: float = 0.0) -> DataFrame:
+    """Candidates by a search service: ``provider`` takes entity, type and limit and gives dicts of the columns behind pos.
+
+    Each distinct entity is asked for once; dates and empty ones aren't.  A task waits ``delay`` seconds after each answer.
+    """
+
+    def run(batches):
+        import time
+
+        import pandas as pd
+
+        names = [c.split(" ")[0] for c in CANDIDATES.split(", ")]
+        for batch in batches:
+            rows = []
+            for entity, kind in zip(batch["entity"], batch["entity_type"], strict=True):
+                rows += [{"entity": entity, "entity_type": kind, "pos": i} | found for i, found in enumerate(list(provider(entity, kind, limit))[:limit])]
+                time.sleep(delay)
+            yield pd.DataFrame(rows, columns=names).astype({"pos": "Int32"})
+
+    asked = entities.select("entity", "entity_type").distinct().where((F.coalesce("entity_type", F.lit("")) != "DATE") & (F.coalesce(F.trim("entity"), F.lit("")) != ""))
+    return asked.mapInPandas(run, CANDIDATES)
+
+
+def unique_entities(entities: DataFrame) -> DataFrame:
+    """entity, entity_type: each once, by type and text."""
+    return entities.select("entity", "entity_type").distinct().orderBy("entity_type", "entity")
+
+
+def unique_predicates(relations: DataFrame) -> DataFrame:
+    """predicate: trimmed, not empty, each once, in order."""
+    return relations.select(F.trim("predicate").alias("predicate")).where("predicate <> ''").distinct().orderBy("predicate")
+
+
+def link_summary(links: DataFrame) -> DataFrame:
+    """One row: rows, matched, share (0 without rows)."""
+    share = F.when(F.count("*") > 0, F.count_if("matched") / F.count("*")).otherwise(F.lit(0.0))
+    return links.agg(F.count("*").alias("rows"), F.count_if("matched").alias("matched"), share.alias("share"))
+
+
+def link_entities(entities: DataFrame, candidates: DataFrame, threshold: float = ENTITY_THRESHOLD, ns: Namespaces = Namespaces(), limit: int = ENTITY_LIMIT) -> DataFrame:  # noqa: B008
     """The entity link table.
 
     ``entities`` has entity, entity_type; ``candidates`` has entity, pos (from 0), id, uri, label,
-    description, match_text.  Dates and empty entities aren't looked up, but keep a row.
+    description, match_text, of which the first ``limit`` of each entity count.  Dates and empty entities aren't looked up, but keep a row.
     """
     wanted = entities.select("entity", "entity_type").distinct()
-    seen = candidates.withColumn("second_label", F.max(F.when(F.col("pos") == 1, F.col("label"))).over(Window.partitionBy("entity")))
+    seen = candidates.where(F.col("pos") < limit).drop("entity_type").withColumn("second_label", F.max(F.when(F.col("pos") == 1, F.col("label"))).over(Window.partitionBy("entity")))
     score, reason = entity_score()
     asked = wanted.where((F.col("entity_type") != "DATE") & (F.coalesce(F.trim("entity"), F.lit("")) != ""))
     best = best_candidate(asked.join(seen, "entity").withColumns({"score": score, "reason": reason}), ["entity", "entity_type"])
@@ -93,17 +138,18 @@ def property_score(predicate: str = "predicate", label: str = "label", descripti
     return _clamp(score), _reasons(F.when(exact, F.lit("exact_label")).when(overlap > 0, F.lit("token_overlap")), F.when(inside, F.lit("search_term_in_label")), F.when(told, F.lit("description_overlap")))
 
 
-def link_predicates(predicates: DataFrame, properties: DataFrame, threshold: float = PROPERTY_THRESHOLD, ns: Namespaces = Namespaces()) -> DataFrame:  # noqa: B008
+def link_predicates(predicates: DataFrame, properties: DataFrame, threshold: float = PROPERTY_THRESHOLD, ns: Namespaces = Namespaces(), limit: int = PROPERTY_LIMIT) -> DataFrame:  # noqa: B008
     """The predicate link table.
 
     ``predicates`` has predicate; ``properties`` has pos, property, label, description.  A predicate's
-    search term must be in a property's label; predicates are few, so the theta join broadcasts the
+    search term must be in a property's label, and the first ``limit`` such properties count; predicates are few, so the theta join broadcasts the
     side that Spark finds small enough.
     """
     wanted = predicates.select(F.trim("predicate").alias("predicate")).where("predicate <> ''").distinct().withColumn("term", search_term("predicate"))
     props = properties.select("pos", "property", "label", "description")
     score, reason = property_score()
     met = wanted.where("term is not null").join(props, F.contains(F.lower("label"), F.col("term")))
+    met = met.withColumn("__n", F.row_number().over(Window.partitionBy("predicate").orderBy("pos"))).where(F.col("__n") <= limit).drop("__n")
     best = best_candidate(met.withColumns({"score": score, "reason": reason}), ["predicate"])
     out = wanted.join(best.select("predicate", "property", "label", "description", "score", "reason"), "predicate", "left")
     matched = F.coalesce(F.col("score") >= threshold, F.lit(False))

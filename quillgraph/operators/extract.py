@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillgraph.functions.text import ALLOWED_TYPES, normalize_entity, predicate_label, valid_entity
+from quillgraph.operators.stage import cut
 
 # Dependency labels and parts of speech.
 SUBJECTS = ("nsubj", "nsubjpass", "csubj")
@@ -44,16 +45,23 @@ def token_entities(tokens: DataFrame, entities: DataFrame) -> DataFrame:
     """doc, sent, i, e_start, e_text, e_label: the entity of each token, its own or its nearest ancestor's.
 
     Own entities come by a range join within the sentence.  Ancestors come by doubling: each round maps a
-    token without an entity to its head's answer, so a sentence of depth d takes log2(d) rounds.
+    token without an entity to its head's answer, so a sentence of depth d takes log2(d) rounds; rounds end
+    when no token's ancestor changes.  Heads that go in a circle are an error.
     """
     spans = entities.select("doc", "sent", F.col("start").alias("e_start"), F.col("end").alias("e_end"), F.col("text").alias("e_text"), F.col("label").alias("e_label"))
     t = tokens.select("doc", "sent", "i", "head")
     inside = (t["doc"] == spans["doc"]) & (t["sent"] == spans["sent"]) & (t["i"] >= spans["e_start"]) & (t["i"] < spans["e_end"])
     own = t.join(spans, inside, "left").select(t["doc"], t["sent"], t["i"], t["head"], F.when(F.col("e_start").isNotNull(), F.struct("e_start", "e_text", "e_label")).alias("e"))
-    current = own
-    for _ in range(6):  # depth 64; parsers' trees are far lower
+    current = cut(own, "tokens")
+    for _ in range(64):
         up = current.select("doc", "sent", F.col("i").alias("head"), F.col("head").alias("above"), F.col("e").alias("above_e"))
-        current = current.join(up, ["doc", "sent", "head"], "left").select("doc", "sent", "i", F.when(F.col("e").isNull(), F.coalesce("above", "head")).otherwise(F.col("head")).alias("head"), F.coalesce("e", "above_e").alias("e"))
+        open_ = F.col("e").isNull() & F.col("above_e").isNull() & (F.coalesce("above", "head") != F.col("head"))
+        current = cut(current.join(up, ["doc", "sent", "head"], "left").select("doc", "sent", "i", F.when(F.col("e").isNull(), F.coalesce("above", "head")).otherwise(F.col("head")).alias("head"), F.coalesce("e", "above_e").alias("e"), open_.alias("open")), "tokens")
+        if current.where("open").isEmpty():
+            break
+        current = current.drop("open")
+    else:
+        raise ValueError("the heads of a sentence go in a circle")
     return current.where("e is not null").select("doc", "sent", "i", "e.*")
 
 
@@ -62,7 +70,7 @@ def dependency_relations(tokens: DataFrame, entities: DataFrame, allowed_only: b
     named = token_entities(tokens, entities)
     if allowed_only:
         named = named.where(F.col("e_label").isin(*ALLOWED_TYPES))
-    verbs = tokens.where(F.col("pos").isin(*VERBS)).select("doc", "sent", F.col("i").alias("verb"), F.col("lemma").alias("verb_lemma"))
+    verbs = tokens.where(F.col("pos").isin(*VERBS)).select("doc", "sent", F.col("i").alias("verb"), F.coalesce(F.nullif(F.trim("lemma"), F.lit("")), F.col("text")).alias("verb_lemma"))
     child = tokens.select("doc", "sent", "i", F.col("head").alias("verb"), "dep", "lemma").where("i <> verb")
     below = child.join(verbs, ["doc", "sent", "verb"])
     subjects = below.where(F.col("dep").isin(*SUBJECTS)).join(named, ["doc", "sent", "i"]).select("doc", "sent", "verb", F.col("e_text").alias("s_text"), F.col("e_label").alias("s_label"))
@@ -97,6 +105,16 @@ def dedupe_relations(relations: DataFrame, source: str = "source_url", order: st
     return relations.withColumn("__n", F.row_number().over(w)).where("__n = 1").drop("__n")
 
 
+def sorted_mentions(entities: DataFrame) -> DataFrame:
+    """By document, type and text."""
+    return entities.orderBy("doc", "entity_type", "entity_normalized")
+
+
+def sorted_relations(relations: DataFrame, source: str = "source_url") -> DataFrame:
+    """By source, subject, predicate and object."""
+    return relations.orderBy(source, "subject", "predicate", "object")
+
+
 def extract_relations(tokens: DataFrame, entities: DataFrame) -> DataFrame:
     """Both methods over every sentence, deduplicated per document."""
     both = dependency_relations(tokens, entities).unionByName(root_relations(tokens, entities))

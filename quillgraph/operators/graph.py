@@ -35,15 +35,17 @@ def drop_histogram(triples: DataFrame, keep_types: bool = True) -> DataFrame:
     return triples.select(drop_reason(keep_types).alias("reason")).where("reason is not null").groupBy("reason").agg(F.count("*").alias("n"))
 
 
-def expand(graph: DataFrame, backing: DataFrame, seeds: DataFrame, depth: int = 2, target: int | None = 50_000, per_node: int | None = 250) -> tuple[DataFrame, DataFrame]:
+def expand(graph: DataFrame, backing: DataFrame, seeds: DataFrame, depth: int = 2, target: int | None = 50_000, per_node: int | None = 250, predicates: str = "", objects: str = "") -> tuple[DataFrame, DataFrame]:
     """Breadth-first expansion from seeds (column node) along a backing table (h, r, t).
 
     Each level joins the frontier with the backing table, keeps at most ``per_node`` triples a node (in the
-    order of r and t), drops those already there, and stops at ``target`` triples in all.  Returns the grown
+    order of r and t), drops those already there, and stops at ``target`` triples in all.  Only backing triples
+    whose predicate and object start with the given prefixes are asked for.  Returns the grown
     graph and one row a level: level, frontier, added, total.  The frontier is broadcast only if it is
     small; levels are cut by written tables.
     """
     spark = graph.sparkSession
+    backing = backing.where(F.startswith("r", F.lit(predicates)) & F.startswith("t", F.lit(objects)))
     total = cut(graph.select(*KEY).distinct(), "expand")
     frontier = cut(seeds.select("node").distinct(), "frontier")
     seen, stats, n = frontier, [], total.count()
@@ -53,7 +55,10 @@ def expand(graph: DataFrame, backing: DataFrame, seeds: DataFrame, depth: int =
             break
         hop = backing.select(*KEY).join(small(frontier), F.col("h") == F.col("node")).select(*KEY)
         if per_node is not None:
-            hop = hop.withColumn("__n", F.row_number().over(Window.partitionBy("h").orderBy("r", "t"))).where(F.col("__n") <= per_node).drop("__n")
+            # a hub's triples are ranked in shares first, so that no task sorts them all
+            share = F.pmod(F.xxhash64("r", "t"), F.lit(64)).alias("__s")
+            for keys in (["h", share], ["h"]):
+                hop = hop.withColumn("__n", F.row_number().over(Window.partitionBy(*keys).orderBy("r", "t"))).where(F.col("__n") <= per_node).drop("__n")
         new = hop.distinct().join(total, KEY, "left_anti")
         if target is not None:
             new = new.orderBy(*KEY).limit(target - n)
@@ -111,6 +116,23 @@ def degrees(triples: DataFrame) -> DataFrame:
     return triples.select(F.explode(F.array("h", "t")).alias("node")).groupBy("node").agg(F.count("*").alias("degree"))
 
 
+def counts(triples: DataFrame) -> DataFrame:
+    """One row: triples, entities, relations."""
+    ends = triples.select(F.explode(F.array("h", "t")).alias("e")).agg(F.countDistinct("e").alias("entities"))
+    return triples.agg(F.count("*").alias("triples"), F.countDistinct("r").alias("relations")).join(ends).select("triples", "entities", "relations")
+
+
+def merge_splits(*parts: DataFrame) -> DataFrame:
+    """h, r, t, split: given splits (the first train, then valid and test) as one, a triple where it comes first."""
+    names = ["train", "valid", "test"]
+    every = None
+    for i, part in enumerate(parts):
+        rows = part.select(*KEY, F.lit(i).alias("i"))
+        every = rows if every is None else every.unionByName(rows)
+    first = every.groupBy(*KEY).agg(F.min("i").alias("i"))
+    return first.select(*KEY, F.element_at(F.array(*map(F.lit, names)), F.col("i") + 1).alias("split"))
+
+
 def seeded_order(seed: int, *columns: str) -> Column:
     """A fixed shuffle: MD5 of seed and columns."""
     return F.md5(F.concat_ws("|", F.lit(str(seed)), *columns))
@@ -130,10 +152,10 @@ def split(triples: DataFrame, train: float = 0.8, valid: float = 0.1, test: floa
     """
     if abs(train + valid + test - 1) > 1e-6:
         raise ValueError("the ratios must sum to 1")
-    rows = triples.select(*KEY).distinct().withColumn("k", seeded_order(seed, *KEY))
+    rows = cut(triples.select(*KEY).distinct().withColumn("k", seeded_order(seed, *KEY)), "split")
     ends = rows.select(F.explode(F.array(F.concat(F.lit("e"), "h"), F.concat(F.lit("e"), "t"), F.concat(F.lit("r"), "r"))).alias("what"), "k")
     anchors = ends.groupBy("what").agg(F.min("k").alias("k")).select("k").distinct().withColumn("anchor", F.lit(True))
-    marked = rows.join(anchors, "k", "left").withColumn("anchor", F.coalesce("anchor", F.lit(False)))
+    marked = cut(rows.join(anchors, "k", "left").withColumn("anchor", F.coalesce("anchor", F.lit(False))), "split")
     bucket = F.substring("k", 1, 3)
     free = marked.where("not anchor").withColumn("bucket", bucket).withColumn("at", F.row_number().over(Window.partitionBy("bucket").orderBy("k")))
     sizes = marked.groupBy(bucket.alias("bucket")).agg(F.count_if(~F.col("anchor")).alias("c"), F.count("*").alias("m"))

@@ -52,7 +52,7 @@ def _list_members(triples: DataFrame) -> DataFrame:
     return rest.join(first, "b").select(F.col("a").alias("list"), "member")
 
 
-def entail(triples: DataFrame, rounds: int = 20) -> DataFrame:
+def entail(triples: DataFrame) -> DataFrame:
     """The triples with what follows from them.
 
     Rules: subclasses and subproperties, domains and ranges, inverse, symmetric and transitive
@@ -74,7 +74,7 @@ def entail(triples: DataFrame, rounds: int = 20) -> DataFrame:
     defined = cut(equal.join(on, "x").join(least.unionByName(some).distinct(), "x").select("cls", "prop", "filler"), "defined")
     iri = lambda s, p, o: [F.col(s).alias("s"), F.when(F.col(s).startswith("_:"), "bnode").otherwise("iri").alias("s_kind"), (F.col(p) if p in ("p", "b") else F.lit(p)).alias("p"), F.col(o).alias("o"), F.when(F.col(o).startswith("_:"), "bnode").otherwise("iri").alias("o_kind"), F.lit(None).cast("string").alias("o_datatype"), F.lit(None).cast("string").alias("o_lang")]
     facts, size = schema, schema.count()
-    for _ in range(rounds):
+    while True:
         plain = facts.where("o_kind <> 'literal'")
         kinds = edges_of(facts, RDF_TYPE).select(F.col("a").alias("s"), F.col("b").alias("class"))
         new = [
@@ -98,9 +98,8 @@ def entail(triples: DataFrame, rounds: int = 20) -> DataFrame:
         facts = cut(grown.distinct(), "facts")
         now = facts.count()
         if now == size:
-            break
+            return facts
         size = now
-    return facts
 
 
 def contradictions(facts: DataFrame) -> DataFrame:
@@ -208,17 +207,16 @@ def apply_rule(triples: DataFrame, rule: Rule) -> DataFrame:
     return out.select(*triple(F.col(f"`{h.subject}`"), h.prop, F.col(f"`{h.value}`"))).distinct()
 
 
-def apply_rules(triples: DataFrame, rules: list[Rule], rounds: int = 20) -> DataFrame:
+def apply_rules(triples: DataFrame, rules: list[Rule]) -> DataFrame:
     """The triples with what the rules add, until nothing is new."""
     facts = cut(triples.select(*COLUMNS).distinct(), "rules")
     size = facts.count()
-    for _ in range(rounds):
+    while True:
         facts = cut(union(facts, *(apply_rule(facts, r) for r in rules)), "rules")
         now = facts.count()
         if now == size:
-            break
+            return facts
         size = now
-    return facts
 
 
 def max_number(triples: DataFrame, prop: str) -> DataFrame:

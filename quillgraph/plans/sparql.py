@@ -1,8 +1,9 @@
 """A subset of SPARQL compiled to DataFrames over a triple table.
 
-Supported: PREFIX and BASE; SELECT [DISTINCT], ASK; basic graph patterns with ``;`` and ``,`` lists and ``a``;
-FILTER, OPTIONAL, UNION, MINUS, VALUES, BIND; GROUP BY with COUNT, SUM, AVG, MIN, MAX, SAMPLE and HAVING;
-ORDER BY, LIMIT, OFFSET.  CONSTRUCT, DESCRIBE, property paths, subqueries and GRAPH raise ``Unsupported``.
+Supported: PREFIX and BASE; SELECT [DISTINCT], ASK, CONSTRUCT, DESCRIBE; basic graph patterns with ``;`` and
+``,`` lists and ``a``; property paths of ``/ | ^ * + ?`` and brackets; subqueries; FILTER, OPTIONAL, UNION,
+MINUS, VALUES, BIND; GROUP BY with COUNT, SUM, AVG, MIN, MAX, SAMPLE, expressions over them, and HAVING;
+ORDER BY, LIMIT, OFFSET.  GRAPH, SERVICE and negated paths raise ``Unsupported``.
 
 Constants and filters reach the scans of their pattern, patterns join on shared variables in an order that
 keeps every step connected, and Catalyst does the rest.  A variable is a struct of value, kind, datatype
@@ -19,6 +20,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quillgraph.functions.terms import RDF_TYPE, XSD
+from quillgraph.operators.rules import closure
+from quillgraph.operators.stage import cut
 
 
 class Unsupported(ValueError):
@@ -34,7 +37,7 @@ TOKEN = re.compile(
     |(?P<number>(?:\d+\.\d*|\.\d+|\d+)(?:[eE][+-]?\d+)?)
     |(?P<name>[A-Za-z_][\w-]*(?:\.[\w-]+)*:(?:[\w%-]|\\.|\.(?=[\w-]))*|:(?:[\w%-]|\.(?=[\w-]))*)
     |(?P<word>[A-Za-z_]\w*)
-    |(?P<mark>\^\^|&&|\|\||!=|<=|>=|[{}().;,=<>!+*/\[\]|^-])""",
+    |(?P<mark>\^\^|&&|\|\||!=|<=|>=|[{}().;,=<>!+*/\[\]|^?-])""",
     re.VERBOSE,
 )
 
@@ -72,6 +75,8 @@ class Query:
     order: list = field(default_factory=list)  # (expression, descending)
     limit: int | None = None
     offset: int = 0
+    template: list = field(default_factory=list)  # of CONSTRUCT
+    described: list = field(default_factory=list)  # terms of DESCRIBE
 
 
 AGGREGATES = ("COUNT", "SUM", "AVG", "MIN", "MAX", "SAMPLE")
@@ -122,10 +127,22 @@ class Parser:
             else:
                 name = self.next()[1]
                 self.prefixes[name[:-1]] = self.next()[1][1:-1]
+        return self.body(q)
+
+    def body(self, q: Query) -> Query:
+        """From the query's form on; a subquery ends at its group's closing bracket."""
         q.form = self.next()[1].upper()
-        if q.form not in ("SELECT", "ASK"):
+        if q.form not in ("SELECT", "ASK", "CONSTRUCT", "DESCRIBE"):
             raise Unsupported(f"{q.form} queries")
-        if q.form == "SELECT":
+        if q.form == "CONSTRUCT":
+            if self.peek()[1] == "{":
+                q.template = self.group().triples
+        elif q.form == "DESCRIBE":
+            while self.peek()[0] in ("var", "iri", "name"):
+                q.described.append(self.term())
+            if self.peek()[0] == "end":
+                return q
+        elif q.form == "SELECT":
             q.distinct = self.accept("DISTINCT") or self.accept("REDUCED")
             if self.accept("*"):
                 q.items = []
@@ -134,20 +151,23 @@ class Parser:
                     q.items.append(self.item())
         self.accept("WHERE")
         q.where = self.group()
-        while self.peek()[0] != "end":
+        if q.form == "CONSTRUCT" and not q.template:
+            q.template = q.where.triples
+        while self.peek()[0] != "end" and self.peek()[1] != "}":
             if self.accept("GROUP"):
                 self.expect("BY")
                 while self.peek()[0] == "var" or self.peek()[1] == "(":
                     q.group.append(self.item())
             elif self.accept("HAVING"):
-                q.having.append(self.bracketed())
+                while self.peek()[1] == "(":
+                    q.having.append(self.bracketed())
             elif self.accept("ORDER"):
                 self.expect("BY")
                 while True:
                     if self.is_word("ASC", "DESC"):
                         down = self.next()[1].upper() == "DESC"
                         q.order.append((self.bracketed(), down))
-                    elif self.peek()[0] == "var" or self.peek()[1] == "(":
+                    elif self.peek()[0] == "var" or self.peek()[1] == "(" or self.is_word(*AGGREGATES, "STR", "LCASE", "UCASE", "STRLEN"):
                         q.order.append((self.primary(), False))
                     else:
                         break
@@ -200,8 +220,10 @@ class Parser:
                 self.expect(")")
             elif self.accept("VALUES"):
                 g.parts.append(("values", *self.values()))
-            elif self.is_word("GRAPH", "SERVICE") or self.is_word("SELECT"):
+            elif self.is_word("GRAPH", "SERVICE"):
                 raise Unsupported(self.peek()[1])
+            elif self.is_word("SELECT"):  # a group that is a subquery
+                g.parts.append(("query", self.body(Query())))
             elif self.peek()[1] == "{":
                 branches = [self.group()]
                 while self.accept("UNION"):
@@ -269,13 +291,7 @@ class Parser:
     def triples(self, g: Group) -> None:
         s = self.term()
         while True:
-            if self.peek() == ("word", "a"):
-                self.next()
-                p = Term(RDF_TYPE)
-            else:
-                p = self.term()
-            if self.peek()[1] in ("/", "|", "*", "+", "^") and self.peek()[0] == "mark":
-                raise Unsupported("property paths")
+            p = self.term() if self.peek()[0] == "var" else self.path()
             while True:
                 g.triples.append((s, p, self.term()))
                 if not self.accept(","):
@@ -287,6 +303,37 @@ class Parser:
             if self.peek()[1] in (".", "}"):
                 return
 
+    def path(self):
+        """A property, or a tuple of an operator and paths."""
+        out = [self.path_sequence()]
+        while self.accept("|"):
+            out.append(self.path_sequence())
+        return out[0] if len(out) == 1 else ("|", *out)
+
+    def path_sequence(self):
+        out = [self.path_element()]
+        while self.accept("/"):
+            out.append(self.path_element())
+        return out[0] if len(out) == 1 else ("/", *out)
+
+    def path_element(self):
+        if self.accept("^"):
+            return ("^", self.path_element())
+        if self.accept("("):
+            out = self.path()
+            self.expect(")")
+        elif self.peek() == ("word", "a"):
+            self.next()
+            out = Term(RDF_TYPE)
+        elif self.peek()[1] == "!":
+            raise Unsupported("negated property paths")
+        else:
+            out = self.term()
+        for mark in ("*", "+", "?"):
+            if self.accept(mark):
+                return (mark, out)
+        return out
+
     def expression(self):
         e = self.conjunction()
         while self.accept("||"):
@@ -375,6 +422,8 @@ def variables(g: Group) -> set[str]:
             out.add(part[2])
         elif part[0] == "values":
             out |= set(part[1])
+        elif part[0] == "query":
+            out |= {n for n, _ in part[1].items} or variables(part[1].where)
     return out
 
 
@@ -504,6 +553,8 @@ class Compiler:
 
     def scan(self, t: tuple) -> DataFrame:
         """One pattern: constants are filters on the table, so that they reach its files."""
+        if isinstance(t[1], tuple):
+            return self.path_scan(t)
         df, names = self.table, {}
         for place, x in zip(("s", "p", "o"), t, strict=True):
             if isinstance(x, Term):
@@ -519,6 +570,42 @@ class Compiler:
         made = {"s": _struct(F.col("s"), F.col("s_kind")), "p": _struct(F.col("p"), "iri"), "o": _struct(F.col("o"), F.col("o_kind"), F.col("o_datatype"), F.col("o_lang"))}
         return df.select(*(made[place].alias(name) for name, place in names.items())) if names else df.select(F.lit(1).alias("__one")).limit(1)
 
+    def path(self, p, ends: list[Term]) -> DataFrame:
+        """a, b: the pairs of terms that a path joins, as JSON texts of their structs; bags but for ``* + ?``."""
+        if isinstance(p, Term):
+            rows = self.table.where(F.col("p") == p.value)
+            return rows.select(F.to_json(_struct(F.col("s"), F.col("s_kind"))).alias("a"), F.to_json(_struct(F.col("o"), F.col("o_kind"), F.col("o_datatype"), F.col("o_lang"))).alias("b"))
+        if isinstance(p, Var):
+            raise Unsupported("a variable within a property path")
+        parts = [self.path(x, ends) for x in p[1:]]
+        if p[0] == "^":
+            return parts[0].select(F.col("b").alias("a"), F.col("a").alias("b"))
+        if p[0] == "|":
+            return reduce(DataFrame.unionByName, parts)
+        if p[0] == "/":
+            step = lambda x, y: x.withColumnRenamed("b", "__m").join(y.withColumnRenamed("a", "__m"), "__m").select("a", "b")
+            return reduce(step, parts)
+        pairs = closure(parts[0].distinct()) if p[0] in ("*", "+") else parts[0]
+        if p[0] == "+":
+            return pairs.distinct()
+        s, o = F.to_json(_struct(F.col("s"), F.col("s_kind"))), F.to_json(_struct(F.col("o"), F.col("o_kind"), F.col("o_datatype"), F.col("o_lang")))
+        nodes = self.table.select(F.explode(F.array(s, o)).alias("a"))
+        for end in ends:  # a constant reaches itself, in the graph or not
+            nodes = nodes.unionByName(self.table.sparkSession.range(1).select(F.to_json(_constant(end)).alias("a")))
+        return pairs.unionByName(nodes.select("a", F.col("a").alias("b"))).distinct()
+
+    def path_scan(self, t: tuple) -> DataFrame:
+        s, p, o = t
+        df = self.path(p, [x for x in (s, o) if isinstance(x, Term)])
+        for place, x in (("a", s), ("b", o)):
+            if isinstance(x, Term):
+                df = df.where(F.col(place) == F.to_json(_constant(x)))
+        if isinstance(s, Var) and s == o:
+            df = df.where("a = b")
+        term = lambda c: F.from_json(c, "v string, k string, d string, l string")
+        names = {x.name: place for place, x in (("a", s), ("b", o)) if isinstance(x, Var)}
+        return df.select(*(term(place).alias(name) for name, place in names.items())) if names else df.select(F.lit(1).alias("__one")).limit(1)
+
     @staticmethod
     def join(a: DataFrame, b: DataFrame, how: str = "inner", sure: set[str] | None = None) -> DataFrame:
         """On shared variables; where one side may leave one unbound, an unbound one fits anything."""
@@ -577,6 +664,10 @@ class Compiler:
                 bound = set.intersection(*(m[1] for m in made))
                 out = both if out.columns == ["__one"] else self.join(out, both, "inner", sure & bound)
                 sure |= bound
+            elif part[0] == "query":
+                inner = self.solutions(part[1])
+                # what a subquery leaves unbound isn't known, so its variables join as ones that may be
+                out = inner if out.columns == ["__one"] else self.join(out, inner, "inner", set())
             elif part[0] == "minus":
                 inner, bound = self.group(part[1])
                 if set(inner.columns) & set(out.columns) - {"__one"}:
@@ -609,51 +700,55 @@ class Compiler:
                 return F.countDistinct(self.text(arg)) if distinct else F.count(self.text(arg))
             number, text = self.number(arg), self.text(arg)
             if name in ("MIN", "MAX"):
-                f = F.min if name == "MIN" else F.max
-                return F.coalesce(f(number).cast("string"), f(text))
+                f, by = (F.min, F.min_by) if name == "MIN" else (F.max, F.max_by)
+                return F.coalesce(by(text, number), f(text))
             if name == "SAMPLE":
                 return F.min(text)
             f = F.sum_distinct if name == "SUM" and distinct else F.sum if name == "SUM" else F.avg
             return f(number)
         raise Unsupported("an expression over aggregates")
 
-    def run(self, q: Query) -> DataFrame:
+    def lifted(self, e, hidden: dict):
+        """The expression with a variable in each aggregate's place; ``hidden`` collects these."""
+        if isinstance(e, tuple):
+            if e[0] == "call" and e[1] in AGGREGATES:
+                return Var(hidden.setdefault(e, f"_h{len(hidden)}"))
+            return tuple(self.lifted(x, hidden) for x in e)
+        return e
+
+    def solutions(self, q: Query) -> DataFrame:
+        """The rows of a SELECT as structs, a column per variable."""
         df, _ = self.group(q.where)
-        if q.form == "ASK":
-            return df.limit(1).agg((F.count("*") > 0).alias("answer"))
         visible = [c for c in df.columns if not c.startswith(("_:", "__"))]
-        agg = [i for i in q.items if isinstance(i[1], tuple) and i[1][0] == "call" and i[1][1] in AGGREGATES]
-        if q.group or agg:
+        hidden: dict = {}
+        items = [(n, self.lifted(e, hidden) if e is not None else None) for n, e in q.items]
+        having = [self.lifted(h, hidden) for h in q.having]
+        by = [(self.lifted(e, hidden), down) for e, down in q.order]
+        if q.group or hidden:
             keys = []
             for name, e in q.group:
                 df = df.withColumn(name, self.value(e)) if e is not None else df
                 keys.append(name)
-            hidden, having = [], []
-            for h in q.having:
-                if not (isinstance(h, tuple) and h[0] in ("=", "!=", "<", ">", "<=", ">=") and isinstance(h[2], Term)):
-                    raise Unsupported("HAVING other than a comparison with a constant")
-                hidden.append((f"_h{len(hidden)}", h[1]))
-                having.append((h[0], Var(hidden[-1][0]), h[2]))
-            out = df.groupBy(*(F.col(f"`{k}`") for k in keys)).agg(*(self.aggregate(e).alias(n) for n, e in [*agg, *hidden])) if agg or hidden else df.select(*(F.col(f"`{k}`") for k in keys)).distinct()
-            df = out.select(*(F.col(f"`{k}`") for k in keys), *(_struct(F.col(f"`{n}`"), "literal", F.lit(XSD + "double")).alias(n) for n, _ in [*agg, *hidden]))
-            for h in having:
-                df = df.where(self.truth(h))
-            names = [n for n, _ in q.items]
-        else:
-            for n, e in q.items:
-                if e is not None:
-                    df = df.withColumn(n, self.value(e))
-            names = [n for n, _ in q.items] or visible
+            key = [F.col(f"`{k}`") for k in keys]
+            kind = lambda e: XSD + ("integer" if e[1] == "COUNT" else "double")
+            out = df.groupBy(*key).agg(*(self.aggregate(e).alias(n) for e, n in hidden.items())) if hidden else df.select(*key).distinct()
+            df = out.select(*key, *(_struct(F.col(n), "literal", F.lit(kind(e))).alias(n) for e, n in hidden.items()))
+            visible = keys
+        for n, e in items:
+            if e is not None:
+                df = df.withColumn(n, self.value(e))
+        for h in having:
+            df = df.where(self.truth(h))
+        names = [n for n, _ in items] or visible
         for n in names:
             if n not in df.columns:
                 df = df.withColumn(n, F.lit(None).cast("struct<v:string,k:string,d:string,l:string>"))
         order = []
-        for e, down in q.order:
+        for e, down in by:
             number, text = self.number(e), self.text(e)
             order += [number.desc_nulls_last(), text.desc_nulls_last()] if down else [number.asc_nulls_first(), text.asc_nulls_first()]
-        flat = [F.col(f"`{n}`")["v"].alias(n) for n in names]
         if q.distinct:
-            if order and not {v for e, _ in q.order for v in used(e)} <= set(names):
+            if order and not {v for e, _ in by for v in used(e)} <= set(names):
                 raise Unsupported("ORDER BY of a variable that SELECT DISTINCT drops")
             df = df.dropDuplicates(names)
         if q.limit is not None or q.offset or order:
@@ -662,7 +757,41 @@ class Compiler:
                 df = df.offset(q.offset)
             if q.limit is not None:
                 df = df.limit(q.limit)
-        return df.select(*flat)
+        return df.select(*(F.col(f"`{n}`") for n in names))
+
+    def constructed(self, q: Query) -> DataFrame:
+        """s, p, o: the template's triples for all solutions, each once; incomplete ones and literal subjects go."""
+        rows = cut(self.solutions(Query(where=q.where, order=q.order, limit=q.limit, offset=q.offset)), "construct")
+        made = []
+        for t in q.template:
+            if any(isinstance(x, tuple) for x in t):
+                raise Unsupported("property paths in a template")
+            some = [x for x in t if not (isinstance(x, Var) and x.name not in rows.columns)]
+            if len(some) < 3:
+                raise Unsupported("blank nodes and unbound variables in a template")
+            s, p, o = (self.value(x) for x in t)
+            made.append(rows.where((s["k"] != "literal") & (p["k"] == "iri") & o["v"].isNotNull()).select(s["v"].alias("s"), p["v"].alias("p"), o["v"].alias("o")))
+        return reduce(DataFrame.unionByName, made).distinct()
+
+    def described(self, q: Query) -> DataFrame:
+        """s, p, o: all triples of the subjects named or found."""
+        out = self.table.where(F.col("s").isin(*(x.value for x in q.described if isinstance(x, Term))))
+        names = [x.name for x in q.described if isinstance(x, Var)]
+        if names:
+            found = self.solutions(Query(where=q.where, items=[(n, None) for n in names], limit=q.limit, offset=q.offset))
+            some = found.select(F.explode(F.array(*(F.col(f"`{n}`")["v"] for n in names))).alias("s")).where("s is not null").distinct()
+            out = out.unionByName(self.table.join(some, "s", "left_semi").select(self.table.columns))
+        return out.select("s", "p", "o").distinct()
+
+    def run(self, q: Query) -> DataFrame:
+        if q.form == "ASK":
+            return self.group(q.where)[0].limit(1).agg((F.count("*") > 0).alias("answer"))
+        if q.form == "CONSTRUCT":
+            return self.constructed(q)
+        if q.form == "DESCRIBE":
+            return self.described(q)
+        df = self.solutions(q)
+        return df.select(*(F.col(f"`{n}`")["v"].alias(n) for n in df.columns))
 
 
 def parse(text: str) -> Query:
@@ -670,7 +799,7 @@ def parse(text: str) -> Query:
 
 
 def compile_query(text: str, triples: DataFrame) -> DataFrame:
-    """The query's rows as strings, a column per variable; ASK gives one boolean row."""
+    """The query's rows as strings, a column per variable; ASK gives one boolean row, CONSTRUCT and DESCRIBE triples."""
     return Compiler(triples).run(parse(text))
 
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import sys
+import logging
 import time
 from collections.abc import Callable, Iterator
 from urllib.parse import urlsplit
@@ -20,6 +21,8 @@ cloudpickle.register_pickle_by_value(sys.modules[__name__])
 MIN_WORDS, DELAY, TIMEOUT = 500, 2.0, 20.0
 USER_AGENT = "quillgraph/1.0 (graph builder)"
 
+LOG = logging.getLogger(__name__)
+
 #: Takes a URL and gives (final URL, status, body), or None where there is no answer.
 Fetch = Callable[[str], tuple[str, int, str] | None]
 
@@ -35,7 +38,8 @@ def http_fetch(url: str) -> tuple[str, int, str] | None:
     try:
         with urllib.request.urlopen(urllib.request.Request(url, headers={"User-Agent": USER_AGENT}), timeout=TIMEOUT) as r:
             return r.url, r.status, r.read().decode(r.headers.get_content_charset() or "utf-8", "replace")
-    except OSError:
+    except (OSError, ValueError) as e:  # no answer, a status of an error, an address that is none
+        LOG.warning("no page from %s: %s", url, e)
         return None
 
 

@@ -353,6 +353,9 @@ def to_rdf_xml(triples: DataFrame) -> str:
     return "\n".join(['<?xml version="1.0"?>', f"<rdf:RDF {head}>", *out, "</rdf:RDF>", ""])
 
 
-def iri_triples(triples: DataFrame) -> DataFrame:
-    """h, r, t: the triples between IRIs, each once."""
-    return triples.where((F.col("s_kind") == "iri") & (F.col("o_kind") == "iri")).select(F.col("s").alias("h"), F.col("p").alias("r"), F.col("o").alias("t")).distinct()
+def iri_triples(triples: DataFrame, required: bool = False) -> DataFrame:
+    """h, r, t: the triples between IRIs, each once, in order; none at all is an error if ``required``."""
+    out = triples.where((F.col("s_kind") == "iri") & (F.col("o_kind") == "iri")).select(F.col("s").alias("h"), F.col("p").alias("r"), F.col("o").alias("t")).distinct().orderBy("h", "r", "t")
+    if required and out.isEmpty():
+        raise ValueError("no triple between IRIs")
+    return out
