@@ -37,8 +37,9 @@ FIELDS = {
     1: ("URL", "IP-address", "Archive-date", "Content-type", "Archive-length"),
     2: ("URL", "IP-address", "Archive-date", "Content-type", "Result-code", "Checksum", "Location", "Offset", "Filename", "Archive-length"),
 }
-#: Records of a WARC file, at most; a file is parsed as a stream, and its gzipped bytes are one row.
-RECORDS_PER_FILE = 50_000
+#: Bytes of records written as one line, and such lines a file, at most: with a longer record a line is that record.
+#: A file is parsed as a stream, and its gzipped bytes are one row.
+LINE_BYTES, LINES_PER_FILE = 1 << 20, 256
 
 END = b"\r\n\r\n"
 
@@ -80,34 +81,29 @@ def _header(line: bytes, version: int) -> list[str] | None:
 
 
 def read_arc(raw: bytes) -> Iterator[ArcRecord]:
-    """The records of an ARC file (gzipped or not), its version block first."""
-    if raw[:2] == b"\x1f\x8b":
-        with gzip.GzipFile(fileobj=io.BytesIO(raw)) as f:  # members follow one another
-            raw = f.read()
+    """The records of an ARC file (gzipped or not), its version block first; read as a stream."""
+    stream = io.BufferedReader(_Unzipped(raw) if raw[:2] == b"\x1f\x8b" else io.BytesIO(raw), 1 << 18)
     at, version = 0, 0
-    while at < len(raw):
-        stop = raw.find(b"\n", at)
-        if stop < 0:
-            break
-        line = raw[at:stop]
+    while (line := stream.readline()).endswith(b"\n"):
+        start, at = at, at + len(line)
+        line = line[:-1]
+        parts = _header(line, version) if version else None
+        layout, told = version, b""
         if not version:
-            shape = [v for v in (2, 1) if (p := _header(line, v)) and p[0].startswith("filedesc:")]
-            body = raw[stop + 1 : stop + 1 + int(line.rsplit(b" ", 1)[-1])] if shape else b""
-            told = body[:1].decode()
-            version = int(told) if told in ("1", "2") else (shape or [1])[0]
-            parts = _header(line, shape[0]) if shape else None
-            layout = shape[0] if shape else version
-        else:
-            parts, layout = _header(line, version), version
+            layout = next((v for v in (2, 1) if (p := _header(line, v)) and p[0].startswith("filedesc:")), 0)
+            parts = _header(line, layout) if layout else None
         if parts is None:
-            at = stop + 1
+            version = version or 1
             continue
-        length, begin = int(parts[-1]), stop + 1
-        body = raw[begin : begin + length]
-        yield ArcRecord(parts[0], parts[1], parts[2], parts[3], body, at, len(body) < length, dict(zip(FIELDS[layout][4:-1], parts[4:-1], strict=True)))
-        at = begin + length
-        if raw[at : at + 1] == b"\n":
-            at += 1
+        length = int(parts[-1])
+        body = stream.read(length)
+        at += len(body)
+        if not version:
+            told = body[:1].decode("latin-1")
+            version = int(told) if told in ("1", "2") else layout
+        yield ArcRecord(parts[0], parts[1], parts[2], parts[3], body, start, len(body) < length, dict(zip(FIELDS[layout][4:-1], parts[4:-1], strict=True)))
+        if stream.peek(1)[:1] == b"\n":
+            at += len(stream.read(1))
 
 
 def iso_date(date: str) -> str:
@@ -240,7 +236,7 @@ def _to_warc(date: str, version: int):
                 head = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {len(payload)}\r\n\r\n".encode()
                 address = re.sub(r"[\x00-\x20\x7f]", lambda m: f"%{ord(m[0]):02X}", url or "unknown:")
                 pages.append((address if re.match(r"[A-Za-z][A-Za-z0-9+.-]*:", address) else f"unknown:{address}", "0.0.0.0", date, "text/html", head + payload))
-            out = []
+            out, lines, size = [], [], 0
             records = read_arc(write_arc("pages.arc", date, pages, version))
             next(records)  # the version block
             for key, first, record in zip(keys, firsts, map(convert, records), strict=True):
@@ -250,8 +246,16 @@ def _to_warc(date: str, version: int):
                     record.headers.append(("X-Refers-To-Key", str(first)))
                 if key != NULL_ID:
                     record.headers.append(("X-Key", str(key)))
-                out.append(record.to_bytes())
-            yield pa.RecordBatch.from_arrays([pa.array(out, pa.large_binary() if sum(map(len, out)) >= 2**31 else pa.binary())], names=["record"])
+                raw = record.to_bytes()
+                if out and size + len(raw) > LINE_BYTES:
+                    lines.append(END.join(out))
+                    out, size = [], 0
+                out.append(raw)
+                size += len(raw) + len(END)
+            if out:
+                lines.append(END.join(out))
+            for line in lines:
+                yield pa.RecordBatch.from_arrays([pa.array([line], pa.binary())], names=["records"])
 
     return run
 
@@ -294,11 +298,11 @@ def write_archives(df: DataFrame, path: str, key_col: str, url_col: str, payload
         "warc-repeated",
     )
     first = F.when(F.octet_length("payload") >= min_bytes, F.col("first"))
-    records = rows.join(repeated.small(), "sha1", "left").select("key", first.alias("first"), "url", "payload").mapInArrow(_to_warc(date, version), "record binary")
+    records = rows.join(repeated.small(), "sha1", "left").select("key", first.alias("first"), "url", "payload").mapInArrow(_to_warc(date, version), "records binary")
     # bytes cast to string are not changed, and the line separator is the end of a WARC record
     (
-        records.select(F.col("record").cast("string").alias("value"))
-        .write.mode("overwrite").option("lineSep", END.decode()).option("compression", "gzip").option("maxRecordsPerFile", RECORDS_PER_FILE).text(path)
+        records.select(F.col("records").cast("string").alias("value"))
+        .write.mode("overwrite").option("lineSep", END.decode()).option("compression", "gzip").option("maxRecordsPerFile", LINES_PER_FILE).text(path)
     )
     repeated.drop()
 

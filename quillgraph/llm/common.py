@@ -9,13 +9,15 @@ from __future__ import annotations
 import sys
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Largest number of rows of a narrow table that may be broadcast; beyond it a shuffle join is used.
-BROADCAST_ROWS = 200_000
+#: Rows, and bytes of its files, up to which a written table may be broadcast; beyond either a shuffle join is used.
+BROADCAST_ROWS, BROADCAST_BYTES = 200_000, 16 << 20
 
 #: Null ids join, group and order as this value, which no table uses: the greatest, so that nulls come last.
 NULL_ID = 2**63 - 1
@@ -37,9 +39,11 @@ def worker_cache() -> dict:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir; only where that is unset, a temporary one of our own."""
+    """The folder in spark.checkpoint.dir; only where that is unset and the master is local, a temporary one of our own."""
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         if not hasattr(shared_dir, "own"):
             shared_dir.own = tempfile.mkdtemp(prefix="quillgraph-")
         root = "file://" + shared_dir.own
@@ -83,12 +87,18 @@ def small_batches(spark: SparkSession) -> None:
 class Table:
     """A table written once to the shared folder: lineage ends here, and lost executors cost nothing."""
 
+    #: Tables of the scopes that are open, the innermost last.
+    scopes: list[list[Table]] = []
+
     def __init__(self, df: DataFrame, name: str):
         self.spark = df.sparkSession
         self.path = new_path(self.spark, name)
         df.write.mode("overwrite").option("compression", "zstd").parquet(self.path)
         self.schema = df.schema
         self._rows: int | None = None
+        self._bytes: int | None = None
+        if self.scopes:
+            self.scopes[-1].append(self)
 
     def df(self) -> DataFrame:
         return self.spark.read.schema(self.schema).parquet(self.path)
@@ -98,14 +108,43 @@ class Table:
             self._rows = self.df().count()
         return self._rows
 
+    def bytes(self) -> int:
+        """Of the table's files."""
+        if self._bytes is None:
+            path = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(self.path)
+            self._bytes = path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).getContentSummary(path).getLength()
+        return self._bytes
+
     def small(self, rows: int = BROADCAST_ROWS) -> DataFrame:
-        """For joins against it: with a broadcast hint only when its counted rows are within the bound."""
-        return F.broadcast(self.df()) if self.rows() <= rows else self.df()
+        """For joins against it: with a broadcast hint only when its counted rows and bytes are within the bounds."""
+        return F.broadcast(self.df()) if self.bytes() <= BROADCAST_BYTES and self.rows() <= rows else self.df()
 
     def drop(self) -> None:
         delete_path(self.spark, self.path)
 
 
+@contextmanager
+def scratch() -> Iterator[Callable[[Table], Table]]:
+    """Drops the tables written inside it, but for those that ``keep`` hands to the scope around it."""
+    mine: list[Table] = []
+    kept: list[Table] = []
+    Table.scopes.append(mine)
+
+    def keep(t: Table) -> Table:
+        kept.append(t)
+        return t
+
+    try:
+        yield keep
+    finally:
+        Table.scopes.pop()
+        for t in mine:
+            if not any(t is k for k in kept):
+                t.drop()
+        if Table.scopes:
+            Table.scopes[-1].extend(kept)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

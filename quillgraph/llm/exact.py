@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillgraph.llm.common import SPACE, Table, by_value, id_key, real_id, slices, small_batches, table, utf8
+from quillgraph.llm.common import SPACE, Table, by_value, id_key, real_id, scratch, slices, small_batches, table, utf8
 
 by_value(__name__)
 
@@ -259,26 +259,27 @@ def deduplicate(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
     """
     small_batches(df.sparkSession)
     source = df.select(id_key(id_col).alias("id"), utf8(text_col).alias("raw"))
-    narrow = Table(source.mapInArrow(_fingerprinted(False), "id long, points long, print long, sha string"), "exact-rows")
-    repeated = Table(repeated_fingerprints(narrow.df(), narrow.rows()), "exact-prints")
-    # byte verification: the key is the text itself; partial aggregation leaves a row per text and partition
-    verified = Table(
-        source.mapInArrow(_fingerprinted(True), "print long, sha string, plain binary")
-        .join(repeated.small(), "print", "left_semi")
-        .groupBy("print", "sha", "plain")
-        .agg(F.count("*").alias("group_size"))
-        .groupBy("print", "sha")
-        .agg(F.sum("group_size").alias("group_size"), F.count("*").alias("texts"))
-        .where((F.col("texts") == 1) | F.raise_error(F.lit("two texts share a SHA-256")).isNull())
-        .where("group_size > 1")
-        .select("print", "sha", "group_size"),
-        "exact-classes",
-    )
-    # who stays: hash aggregations of two longs, first the most code points, then the smallest id
-    members = narrow.df().join(repeated.small(), "print", "left_semi")
-    longest = members.groupBy("sha").agg(F.max("points").alias("points"))
-    keepers = members.groupBy("sha", "points").agg(F.min("id").alias("keep")).join(longest, ["sha", "points"], "left_semi")
-    classes = Table(verified.df().join(keepers.select("sha", "keep"), "sha"), "exact-keepers")
+    with scratch() as keep:
+        narrow = keep(Table(source.mapInArrow(_fingerprinted(False), "id long, points long, print long, sha string"), "exact-rows"))
+        repeated = Table(repeated_fingerprints(narrow.df(), narrow.rows()), "exact-prints")
+        # byte verification: the key is the text itself; partial aggregation leaves a row per text and partition
+        verified = Table(
+            source.mapInArrow(_fingerprinted(True), "print long, sha string, plain binary")
+            .join(repeated.small(), "print", "left_semi")
+            .groupBy("print", "sha", "plain")
+            .agg(F.count("*").alias("group_size"))
+            .groupBy("print", "sha")
+            .agg(F.sum("group_size").alias("group_size"), F.count("*").alias("texts"))
+            .where((F.col("texts") == 1) | F.raise_error(F.lit("two texts share a SHA-256")).isNull())
+            .where("group_size > 1")
+            .select("print", "sha", "group_size"),
+            "exact-classes",
+        )
+        # who stays: hash aggregations of two longs, first the most code points, then the smallest id
+        members = narrow.df().join(repeated.small(), "print", "left_semi")
+        longest = members.groupBy("sha").agg(F.max("points").alias("points"))
+        keepers = members.groupBy("sha", "points").agg(F.min("id").alias("keep")).join(longest, ["sha", "points"], "left_semi")
+        classes = keep(Table(verified.df().join(keepers.select("sha", "keep"), "sha"), "exact-keepers"))
     return (
         narrow.df()
         .join(classes.small().select("sha", "group_size", "keep"), "sha", "left")

@@ -30,7 +30,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillgraph.llm.common import NULL_ID, Table, id_key, table
+from quillgraph.llm.common import NULL_ID, Table, id_key, scratch, table
 from quillgraph.llm.spans import let
 
 EDITS, PER_EDIT = 2, 12
@@ -264,7 +264,8 @@ def near(x: Column, y: Column, edits: int = EDITS, per_edit: int = PER_EDIT) ->
 def near_links(lines: Table, edits: int = EDITS, per_edit: int = PER_EDIT) -> DataFrame:
     """a, b: line numbers of distinct lines within the edits allowed; verified one pair at a time."""
     long_enough = lines.df().where(F.length("line") >= max(per_edit, edits + 1))
-    pairs = Table(near_candidates(long_enough, edits), "line-pairs")
+    with scratch() as keep:
+        pairs = keep(Table(near_candidates(long_enough, edits), "line-pairs"))
     wanted = Table(pairs.df().select(F.explode(F.array("a", "b")).alias("lid")).distinct(), "line-wanted")
     texts = Table(lines.df().select("lid", "line").join(wanted.small(), "lid", "left_semi"), "line-texts").df()
     both = pairs.df().join(texts.select(F.col("lid").alias("a"), F.col("line").alias("x")), "a").join(texts.select(F.col("lid").alias("b"), F.col("line").alias("y")), "b")
@@ -279,14 +280,15 @@ def removals(df: DataFrame, text_col: str = "text", id_col: str = "doc_id", edit
     """
     placed = occurrences(df, text_col, id_col)
     once = placed.groupBy(*line_key()).agg(F.min(F.struct("id", "h", "place")).alias("first"), F.count("*").alias("n"), F.first("line").alias("line"))
-    lines = Table(once.withColumn("lid", F.monotonically_increasing_id()), "lines")  # writing settles the numbers
-    links = Table(near_links(lines, edits, per_edit), "line-links")
-    # a line goes if a linked one first occurs before it
-    place = lines.df().select("lid", "first")
-    a, b = (place.select(F.col("lid").alias(x), F.col("first").alias(f"f{x}")) for x in ("a", "b"))
-    ends = links.df().join(a, "a").join(b, "b")
-    later = ends.select(F.when(F.col("fa") > F.col("fb"), F.col("a")).otherwise(F.col("b")).alias("lid")).distinct()
-    gone = Table(lines.df().select("lid", "k0", "k1", "first", "n").join(later.withColumn("near", F.lit(True)), "lid", "left").where("n > 1 or near").select("k0", "k1", "first", F.coalesce("near", F.lit(False)).alias("near")), "line-gone")
+    with scratch() as keep:
+        lines = Table(once.withColumn("lid", F.monotonically_increasing_id()), "lines")  # writing settles the numbers
+        links = Table(near_links(lines, edits, per_edit), "line-links")
+        # a line goes if a linked one first occurs before it
+        place = lines.df().select("lid", "first")
+        a, b = (place.select(F.col("lid").alias(x), F.col("first").alias(f"f{x}")) for x in ("a", "b"))
+        ends = links.df().join(a, "a").join(b, "b")
+        later = ends.select(F.when(F.col("fa") > F.col("fb"), F.col("a")).otherwise(F.col("b")).alias("lid")).distinct()
+        gone = keep(Table(lines.df().select("lid", "k0", "k1", "first", "n").join(later.withColumn("near", F.lit(True)), "lid", "left").where("n > 1 or near").select("k0", "k1", "first", F.coalesce("near", F.lit(False)).alias("near")), "line-gone"))
     every = placed.select("id", "h", "place", *line_key())
     hit = every.join(gone.small(), ["k0", "k1"]).where(F.col("near") | (F.struct("id", "h", "place") != F.col("first")))
     places = lambda c: F.array_sort(F.collect_list(F.when(c, F.col("place"))))

@@ -99,7 +99,7 @@ def _blocks(size: int):
         offsets = split.offsets.to_numpy() - split.offsets[0].as_py()
         starts = np.r_[0, np.cumsum(real)][offsets]
         encoded = words.filter(pa.array(real)).dictionary_encode()
-        names = [*encoded.dictionary.view(pa.binary()).to_pylist(), END]
+        names = pa.concat_arrays([encoded.dictionary.view(pa.binary()), pa.array([END], pa.binary())])
         n = np.diff(starts) + 1
         ends = np.cumsum(n)
         tokens = np.full(ends[-1], len(names) - 1, np.int64)
@@ -121,7 +121,7 @@ def _blocks(size: int):
         for i in range(0, len(names), 100_000):
             at = order[i : i + 100_000]
             k = len(at)
-            own = [pa.array([names[j] for j in at.tolist()], pa.binary()), pa.array(np.arange(i, i + k), pa.int32()), pa.array(seen[at], pa.int64())]
+            own = [names.take(pa.array(at)), pa.array(np.arange(i, i + k), pa.int32()), pa.array(seen[at], pa.int64())]
             yield pa.RecordBatch.from_arrays([pa.array(np.full(k, block)), *(pa.nulls(k, t) for t in kinds[1:5]), *own], names=columns)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -135,6 +135,7 @@ def _blocks(size: int):
             if have >= size:
                 yield from flush(block, parts)
                 block, have, parts = block + 1, 0, []
+                pa.default_memory_pool().release_unused()
         if parts:
             yield from flush(block, parts)
 
@@ -209,10 +210,14 @@ class Model:
     def _log_softmax(scores: np.ndarray, own: np.ndarray) -> np.ndarray:
         """Logarithm of each row's probability of its own column; works in place."""
         out = scores[np.arange(len(own)), own]
-        top = scores.max(axis=1)
-        scores -= top[:, None]
+        top = float(scores.max())
+        if not -60 < top < 60:  # rows that single precision can't hold as they are
+            top = scores.max(axis=1)
+            scores -= top[:, None]
+            np.exp(scores, out=scores)
+            return out - top - np.log(scores.sum(axis=1))
         np.exp(scores, out=scores)
-        return out - top - np.log(scores.sum(axis=1))
+        return out - np.log(scores.sum(axis=1))
 
     def log_probabilities(self, history: np.ndarray, target: np.ndarray) -> np.ndarray:
         """Natural logarithms of normalised class probabilities, by batched matrix products."""
@@ -251,7 +256,7 @@ class Model:
         log_noise = np.log(spec.per_token * np.maximum(self.noise, 1e-30)).astype(single).ravel()
         cdf = np.cumsum(self.noise, axis=1)
         last = m - 1 - np.argmax((self.noise > 0)[:, ::-1], axis=1)
-        weight = single(1 / spec.batch)
+        # steps are scaled by the gradients' history, so the batch's size needn't divide them
 
         def sigmoid(x: np.ndarray) -> np.ndarray:
             np.negative(x, out=x)
@@ -259,7 +264,7 @@ class Model:
             x += 1
             return np.reciprocal(x, out=x)
 
-        mixed = rng.permutation(len(target))
+        mixed = rng.permutation(len(target)).astype(np.int32)
         with np.errstate(over="ignore"):
             for i in range(0, len(mixed), spec.batch):
                 at = mixed[i : i + spec.batch]
@@ -273,7 +278,6 @@ class Model:
                 seen = s[every, g]
                 s *= mass
                 s[every, g] += seen - 1
-                s *= weight
                 dv, drg, dbg = s @ self.rg, s.T @ v, s.sum(axis=0)
                 # classes: each group's tokens share draws from its unigram
                 rows, grads, biases = [], [], []
@@ -284,9 +288,8 @@ class Model:
                     own, other = self.r[ts], self.r[fake]
                     real = sigmoid(np.einsum("ij,ij->i", vs, own) + self.b[ts] - log_noise[ts])
                     real -= 1
-                    real *= weight
                     drawn = sigmoid(vs @ other.T + (self.b[fake] - log_noise[fake]))
-                    drawn *= single(spec.per_token / spec.noise) * weight
+                    drawn *= single(spec.per_token / spec.noise)
                     dv[start:end] += real[:, None] * own + drawn @ other
                     rows += [ts, fake]
                     grads += [real[:, None] * vs, drawn.T @ vs]
@@ -380,6 +383,7 @@ def _ready(named, total: int, distinct: int):
 
 def _gathered(key: tuple, rows: pa.Table) -> pa.Table:
     """A training block as one row, in an order that doesn't depend on how the rows arrived."""
+    pa.default_memory_pool().release_unused()
     docs = sorted(zip(rows.column("id").to_pylist(), rows.column("classes").to_pylist(), rows.column("n").to_pylist(), strict=True))
     lengths = np.array([d[2] for d in docs], np.int64)
     tokens = np.concatenate([unpack(d[1], d[2]) for d in docs])
@@ -400,7 +404,7 @@ def _trained(model, end: int, round_: int, fan: int):
                 history = _history(tokens, np.r_[0, np.cumsum(lengths)[:-1]], end, spec.context)
                 share = np.random.default_rng((spec.seed, row["block"])).permutation(len(tokens))
                 share = np.concatenate([share[(round_ + i) % spec.rounds :: spec.rounds] for i in range(spec.passes)])
-                history, tokens = history[share], tokens[share]
+                history, tokens = history[share], tokens[share].astype(np.int32)
                 own.train(history, tokens, (spec.seed, row["block"], round_))
                 flat = own.weighed(own.uses(history, tokens)).astype(np.float64)
                 total = flat if total is None else total + flat

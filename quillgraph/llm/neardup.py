@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillgraph.llm.common import Table, by_value, id_key, real_id, slices, small_batches, table, utf8, worker_cache
+from quillgraph.llm.common import Table, by_value, id_key, real_id, scratch, slices, small_batches, table, utf8, worker_cache
 from quillgraph.llm.components import components
 
 by_value(__name__)
@@ -381,9 +381,11 @@ def _classes(df: DataFrame, id_col: str, text_col: str, spec: Spec) -> tuple[Tab
 
 def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", spec: Spec = Spec()) -> DataFrame:  # noqa: B008
     """One row per input row: id, n_shingles, component_id, kept."""
-    rows, named = _classes(df, id_col, text_col, spec)
-    lowest = Table(named.df().groupBy("label").agg(F.min("rep.id").alias("component")), "near-lowest")
-    where = Table(named.df().join(lowest.small(), "label").select("d0", "d1", "component"), "near-where")
+    with scratch() as keep:
+        rows, named = _classes(df, id_col, text_col, spec)
+        lowest = Table(named.df().groupBy("label").agg(F.min("rep.id").alias("component")), "near-lowest")
+        where = keep(Table(named.df().join(lowest.small(), "label").select("d0", "d1", "component"), "near-where"))
+        keep(rows)
     out = rows.df().select("id", "n", "d0", "d1").join(where.small(), ["d0", "d1"], "left")
     component = F.coalesce("component", "id")
     return out.select(real_id("id").alias("id"), F.col("n").alias("n_shingles"), real_id(component).alias("component_id"), (component == F.col("id")).alias("kept"))
@@ -395,13 +397,14 @@ def keep_one(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", spec
     Rows without words stay, however often.  Rows that share an id are told by their texts; of rows equal in
     both, of which at most one stays, any may.  Only components of two rows or more are looked at.
     """
-    rows, named = _classes(df, id_col, text_col, spec)
-    keepers = named.df().groupBy("label").agg(F.min("rep").alias("keep"), F.sum("m").alias("members")).where("members > 1").select("label", "keep")
-    where = Table(named.df().join(Table(keepers, "near-keepers").small(), "label").select("d0", "d1", "keep"), "near-where")
-    key = ["id", "t0", "t1"]
-    inside = Table(rows.df().select(*key, "d0", "d1").join(where.small(), ["d0", "d1"]).groupBy(*key).agg(F.first("keep").alias("keep"), F.count("*").alias("times")), "near-inside")
-    gone = Table(inside.df().where(F.struct(*key) != F.col("keep")).select(*key), "near-gone")
-    twice = Table(inside.df().where((F.struct(*key) == F.col("keep")) & (F.col("times") > 1)).select(*key), "near-twice")
+    with scratch() as keep:
+        rows, named = _classes(df, id_col, text_col, spec)
+        keepers = named.df().groupBy("label").agg(F.min("rep").alias("keep"), F.sum("m").alias("members")).where("members > 1").select("label", "keep")
+        where = Table(named.df().join(Table(keepers, "near-keepers").small(), "label").select("d0", "d1", "keep"), "near-where")
+        key = ["id", "t0", "t1"]
+        inside = Table(rows.df().select(*key, "d0", "d1").join(where.small(), ["d0", "d1"]).groupBy(*key).agg(F.first("keep").alias("keep"), F.count("*").alias("times")), "near-inside")
+        gone = keep(Table(inside.df().where(F.struct(*key) != F.col("keep")).select(*key), "near-gone"))
+        twice = keep(Table(inside.df().where((F.struct(*key) == F.col("keep")) & (F.col("times") > 1)).select(*key), "near-twice"))
     every = df.select(F.struct(*(F.col(f"`{c}`") for c in df.columns)).alias("row"), *document_key(id_col, text_col))
     left = every.join(gone.small(), key, "left_anti")
     if twice.rows():

@@ -20,7 +20,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillgraph.llm.common import BROADCAST_ROWS, Table, table
+from quillgraph.llm.common import BROADCAST_ROWS, Table, scratch, table
 from quillgraph.llm.spans import NO_TAGGED, joined, tagged, with_spans
 
 KINDS = ("email", "ip", "card", "phone")
@@ -121,27 +121,27 @@ def analyse(df: DataFrame, text_col: str = "text", id_col: str = "doc_id", gener
     Spark may split.
     """
     entity = lambda kind: lambda s: _entity(kind, s["value"])
-    found = find(df, text_col, id_col).withColumn("rid", F.monotonically_increasing_id())
-    found = found.withColumn("entities", F.array_distinct(F.concat(*(F.transform(k, entity(k)) for k in KINDS))))
-    text = F.col("text") if keep_text else F.when(F.size("entities") > 0, F.col("text"))
-    found = Table(found.withColumn("text", text), "pii-found")  # writing settles the row numbers
-    n = found.rows()
-    every = found.df().select("rid", F.explode("entities").alias("entity"))
-    n_e = Table(every.groupBy("entity").agg(F.count("*").alias("n_e")).where((F.col("n_e") >= SUPPORT) & (F.col("n_e") < n)), "pii-entities")
-    known = Table(every.join(n_e.small(), "entity").groupBy("rid").agg(F.collect_list("entity").alias("entities")), "pii-known")
-    held = Table(found.df().select("rid", "text").join(known.small(BROADCAST_ROWS // 10), "rid").select("rid", "entities", terms_of(F.col("text")).alias("terms")).withColumn("witness", witness(F.col("terms"))), "pii-held")
-    risky = Table(disclosures(held, n, n_e, df, text_col, generalise), "pii-risky")
-    hits = Table(met(held).join(risky.small(), ["entity", "term"]).groupBy("rid", "term").agg(F.max("share").alias("share")), "pii-hits")
-    hit = Table(hits.df().select("rid").distinct(), "pii-hit")
-    words = with_spans(found.df().select("rid", "text").join(hit.small(), "rid", "left_semi"), "word", "text", TERM, F.lit(True)).select("rid", F.explode("word").alias("w"))
-    places = Table(words.select("rid", F.lower("w.value").alias("term"), "w.start", "w.end").join(hits.small(), ["rid", "term"]).select("rid", "start", "end", "share"), "pii-places")
-    kind = F.when(F.col("share") >= remove, F.lit("removed")).otherwise(F.lit("generalised"))
-    added = Table(
-        places.df().groupBy("rid").agg(F.collect_list(F.struct(F.col("start"), F.lit(len(KINDS)).alias("order"), kind.alias("kind"), F.col("end"))).alias("added")),
-        "pii-added",
-    )
-    few = BROADCAST_ROWS if places.rows() <= BROADCAST_ROWS else 0
-    out = found.df().drop("entities", *([] if keep_text else ["text"])).join(added.small(few), "rid", "left").withColumn("added", F.coalesce("added", F.array().cast(NO_TAGGED)))
+    with scratch() as keep:
+        found = find(df, text_col, id_col).withColumn("rid", F.monotonically_increasing_id())
+        found = found.withColumn("entities", F.array_distinct(F.concat(*(F.transform(k, entity(k)) for k in KINDS))))
+        text = F.col("text") if keep_text else F.when(F.size("entities") > 0, F.col("text"))
+        found = keep(Table(found.withColumn("text", text), "pii-found"))  # writing settles the row numbers
+        n = found.rows()
+        every = found.df().select("rid", F.explode("entities").alias("entity"))
+        n_e = Table(every.groupBy("entity").agg(F.count("*").alias("n_e")).where((F.col("n_e") >= SUPPORT) & (F.col("n_e") < n)), "pii-entities")
+        known = Table(every.join(n_e.small(), "entity").groupBy("rid").agg(F.collect_list("entity").alias("entities")), "pii-known")
+        held = Table(found.df().select("rid", "text").join(known.small(BROADCAST_ROWS // 10), "rid").select("rid", "entities", terms_of(F.col("text")).alias("terms")).withColumn("witness", witness(F.col("terms"))), "pii-held")
+        risky = Table(disclosures(held, n, n_e, df, text_col, generalise), "pii-risky")
+        hits = Table(met(held).join(risky.small(), ["entity", "term"]).groupBy("rid", "term").agg(F.max("share").alias("share")), "pii-hits")
+        hit = Table(hits.df().select("rid").distinct(), "pii-hit")
+        words = with_spans(found.df().select("rid", "text").join(hit.small(), "rid", "left_semi"), "word", "text", TERM, F.lit(True)).select("rid", F.explode("word").alias("w"))
+        places = Table(words.select("rid", F.lower("w.value").alias("term"), "w.start", "w.end").join(hits.small(), ["rid", "term"]).select("rid", "start", "end", "share"), "pii-places")
+        kind = F.when(F.col("share") >= remove, F.lit("removed")).otherwise(F.lit("generalised"))
+        added = keep(Table(
+            places.df().groupBy("rid").agg(F.collect_list(F.struct(F.col("start"), F.lit(len(KINDS)).alias("order"), kind.alias("kind"), F.col("end"))).alias("added")),
+            "pii-added",
+        ))
+    out = found.df().drop("entities", *([] if keep_text else ["text"])).join(added.small(), "rid", "left").withColumn("added", F.coalesce("added", F.array().cast(NO_TAGGED)))
     base = base_spans()
     clear = F.filter("added", lambda a: ~F.exists(base, lambda b: (b["start"] < a["end"]) & (a["start"] < b["end"])))
     return out.withColumn("added", clear)

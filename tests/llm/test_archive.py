@@ -53,3 +53,16 @@ def test_min_bytes_and_url(spark, tmp_path):
     archive.write_archives(df, f"{tmp_path}/w", "k", "u", "h", min_bytes=5, version=2)
     got = {r.key: (r.record_type, r.url) for r in archive.read_archives(spark, f"{tmp_path}/w").collect()}
     assert got == {1: ("response", "http://a/%20b"), 2: ("response", "http://a"), 3: ("response", "http://a"), 4: ("revisit", "unknown:")}
+
+
+def test_long_payloads_and_small_files(spark, tmp_path, monkeypatch):
+    """Lines and files are bounded by bytes; a record longer than a line is a line."""
+    monkeypatch.setattr(archive, "LINE_BYTES", 2000)
+    monkeypatch.setattr(archive, "LINES_PER_FILE", 3)
+    texts = ["x" * (37 * i % 900) for i in range(60)] + ["long \r\n\r\n" * 200_000]
+    df = spark.createDataFrame([(i, f"http://a/{i}", t) for i, t in enumerate(texts)], "k long, u string, h string").repartition(2)
+    archive.write_archives(df, f"{tmp_path}/w", "k", "u", "h")
+    files = list(tmp_path.glob("w/part-*.gz"))
+    assert len(files) >= 5
+    got = {r.key: (r.payload_bytes, r.payload_digest) for r in archive.read_archives(spark, f"{tmp_path}/w").collect()}
+    assert got == {i: (len(t), b32(t.encode())) for i, t in enumerate(texts)}
