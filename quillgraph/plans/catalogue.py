@@ -17,7 +17,7 @@ from quillgraph.operators.stage import cut
 from quillgraph.plans import rag
 from quillgraph.plans.sparql import compile_query
 from quillgraph.plans.views import ENTITIES, RELATIONS, TE, C, E, P, T, class_sql, edge_view, entities, read, relations, slug_sql, triple_view
-from quillgraph.sources import files, rdf
+from quillgraph.sources import crawl, files, rdf
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -70,11 +70,33 @@ def sparql_theta_contains(spark: SparkSession, sf_dir: str) -> DataFrame:
     return compile_query(text_, triple_view(spark, sf_dir))
 
 
-@query(f"WITH {T} SELECT o AS nation, count(*)::DOUBLE::VARCHAR AS n FROM t WHERE p = '{P}locatedIn' AND s LIKE '{E}customer/%' GROUP BY o HAVING count(*) > 2 ORDER BY count(*) DESC, o LIMIT 10")
+@query(f"WITH {T} SELECT o AS nation, count(*)::VARCHAR AS n FROM t WHERE p = '{P}locatedIn' AND s LIKE '{E}customer/%' GROUP BY o HAVING count(*) > 2 ORDER BY count(*) DESC, o LIMIT 10")
 def sparql_group_order(spark: SparkSession, sf_dir: str) -> DataFrame:
     text_ = f"""SELECT ?nation (COUNT(?c) AS ?n) WHERE {{ ?c <{P}locatedIn> ?nation . FILTER(STRSTARTS(STR(?c), "{E}customer/")) }}
     GROUP BY ?nation HAVING (COUNT(?c) > 2) ORDER BY DESC(?n) ?nation LIMIT 10"""
-    return compile_query(text_, triple_view(spark, sf_dir)).withColumn("n", F.format_string("%.1f", F.col("n").cast("double")))
+    return compile_query(text_, triple_view(spark, sf_dir))
+
+
+@query(f"""WITH RECURSIVE {T}, up AS (SELECT s, o FROM t WHERE p IN ('{P}locatedIn', '{P}partOf')), reach AS (SELECT s, o FROM up UNION SELECT reach.s, up.o FROM reach JOIN up ON reach.o = up.s)
+SELECT reach.s AS who, l.o AS name FROM reach JOIN t l ON l.s = reach.o AND l.p = '{LABEL}' WHERE reach.s LIKE '{E}customer/%'""")
+def sparql_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    text_ = f"""PREFIX p: <{P}> PREFIX rdfs: <{RDFS}>
+    SELECT ?who ?name WHERE {{ ?who (p:locatedIn|p:partOf)+/rdfs:label ?name FILTER(STRSTARTS(STR(?who), "{E}customer/")) }}"""
+    return compile_query(text_, triple_view(spark, sf_dir))
+
+
+@query(f"""WITH {T}, c AS (SELECT o AS nation, count(*) AS n FROM t WHERE p = '{P}locatedIn' GROUP BY 1), m AS (SELECT max(n) AS m FROM c)
+SELECT nation, l.o AS name, n::VARCHAR AS n FROM c JOIN t l ON l.s = nation AND l.p = '{LABEL}' WHERE n > 1 AND n * 2 >= (SELECT m FROM m)""")
+def sparql_subquery(spark: SparkSession, sf_dir: str) -> DataFrame:
+    count = f"SELECT ?nation (COUNT(?x) AS ?n) WHERE {{ ?x <{P}locatedIn> ?nation }} GROUP BY ?nation HAVING (COUNT(?x) > 1)"
+    text_ = f"""SELECT ?nation ?name ?n WHERE {{ {{ {count} }} {{ SELECT (MAX(?k) AS ?m) WHERE {{ {{ {count.replace('?nation', '?any').replace('?n)', '?k)')} }} }} }}
+    ?nation <{LABEL}> ?name FILTER(?n * 2 >= ?m) }}"""
+    return compile_query(text_, triple_view(spark, sf_dir))
+
+
+@query(f"WITH {T} SELECT DISTINCT o AS s, '{P}home' AS p, s AS o FROM t WHERE p = '{P}partOf'")
+def sparql_construct(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return compile_query(f"PREFIX p: <{P}> CONSTRUCT {{ ?r p:home ?n }} WHERE {{ ?n p:partOf ?r }}", triple_view(spark, sf_dir))
 
 
 @query(f"""WITH {T}, u AS (SELECT s FROM t WHERE p = '{RDF_TYPE}' AND o = '{C}Supplier' UNION SELECT s FROM t WHERE p = '{RDF_TYPE}' AND o = '{C}Nation')
@@ -92,15 +114,10 @@ def sparql_ask(spark: SparkSession, sf_dir: str) -> DataFrame:
 # pages and texts
 
 
-@query(r"SELECT doc_id, len(regexp_extract_all(text, '[^\s]+'))::BIGINT AS word_count FROM documents WHERE len(regexp_extract_all(text, '[^\s]+')) >= 250")
-def page_word_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return read(spark, sf_dir, "documents").select("doc_id", text.word_count("text").alias("word_count")).where("word_count >= 250")
-
-
-@query(r"SELECT count(*) FILTER (WHERE n >= 250)::BIGINT AS saved, count(*) FILTER (WHERE n < 250)::BIGINT AS skipped FROM (SELECT len(regexp_extract_all(coalesce(text, ''), '[^\s]+')) AS n FROM documents)")
-def page_saved_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    n = text.word_count("text")
-    return read(spark, sf_dir, "documents").agg(F.count_if(n >= 250).alias("saved"), F.count_if(n < 250).alias("skipped"))
+def _pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The page table as fetched pages; odd ones may not be read, so that the rule has something to do."""
+    pages = read(spark, sf_dir, "pages")
+    return pages.select("page_id", "url", F.lit(None).cast("string").alias("final_url"), F.lit(200).alias("status_code"), (F.col("page_id") % 7 != 3).alias("allowed_by_robots"), "html")
 
 
 _PLAIN = r"""regexp_replace(regexp_replace(regexp_replace(regexp_replace(html, '<!--.*?-->', ' ', 'gs'), '<script\b[^>]*>.*?</script\s*>', ' ', 'gis'), '<style\b[^>]*>.*?</style\s*>', ' ', 'gis'), '<[^>]*>', ' ', 'gs')"""
@@ -120,18 +137,55 @@ def page_metadata(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read(spark, sf_dir, "pages").select("page_id", web.title("html").alias("title"), web.language("html").alias("language"), web.hostname("url").alias("hostname"))
 
 
-@query()
+@query(r"SELECT doc_id, len(regexp_extract_all(text, '[^\s]+'))::BIGINT AS word_count FROM documents WHERE len(regexp_extract_all(text, '[^\s]+')) >= 250")
+def page_word_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return read(spark, sf_dir, "documents").select("doc_id", text.word_count("text").alias("word_count")).where("word_count >= 250")
+
+
+def _plain_sql(x: str) -> str:
+    """Text of markup: tags off, entities resolved, white space collapsed."""
+    x = f"regexp_replace({x}, '<[^>]*>', ' ', 'gs')"
+    for name, char in (("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "''"), ("&amp;", "&")):
+        x = f"replace({x}, '{name}', '{char}')"
+    return rf"trim(regexp_replace({x}, '\s+', ' ', 'g'))"
+
+
+_KEPT = "regexp_replace(html, '<!--.*?-->', ' ', 'gs')"
+for _name in web.SKIPPED:
+    _KEPT = rf"regexp_replace({_KEPT}, '<{_name}\b[^>]*>.*?</{_name}\s*>', ' ', 'gis')"
+_BLOCK = "(?:p|h[1-6]|li|blockquote)"
+_MAIN = rf"""parts AS (SELECT *, list_filter(list_transform(regexp_extract_all({_KEPT}, '<{_BLOCK}\b[^>]*>(.*?)</{_BLOCK}\s*>', 1, 'is'), lambda x: {_plain_sql('x')}), lambda x: x <> '') AS p, trim(regexp_replace({_UNESCAPED}, '\s+', ' ', 'g')) AS base FROM pages),
+main AS (SELECT *, nullif(array_to_string(list_filter(p, lambda x, i: list_position(p, x) = i), chr(10)), '') AS body FROM parts),
+docs AS (SELECT page_id, url, coalesce(body, base) AS text, CASE WHEN body IS NOT NULL THEN 'bare_extraction' ELSE 'baseline' END AS extraction_method, len(regexp_extract_all(coalesce(body, base), '[^\s]+'))::BIGINT AS word_count
+  FROM main WHERE body IS NOT NULL OR base <> ''),
+saved AS (SELECT * FROM docs WHERE page_id % 7 <> 3 AND word_count >= 100)"""
+
+
+@query(f"WITH {_MAIN} SELECT page_id, url, text, extraction_method, word_count FROM docs")
 def page_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents of pages by the main extractor, or else the baseline; approximate, so without an oracle."""
+    """Documents of pages by the main extractor, or else the baseline."""
     body, method = web.extracted("html")
     docs = read(spark, sf_dir, "pages").select("page_id", "url", body.alias("text"), method.alias("extraction_method"))
     return docs.withColumn("word_count", text.word_count("text")).where("extraction_method <> 'none'")
 
 
+@query(f"WITH {_MAIN} SELECT url, hostname, text, word_count FROM saved JOIN (SELECT page_id, nullif(regexp_extract(url, '^[a-z]+://([^/?#]+)', 1), '') AS hostname FROM pages) USING (page_id)")
+def page_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages that may be read and have at least 100 words, as the crawl's documents."""
+    return crawl.documents(_pages(spark, sf_dir), 100).select("url", "hostname", "text", "word_count")
+
+
+@query(f"WITH {_MAIN} SELECT count(*) AS saved, (SELECT count(*) FROM pages) - count(*) AS skipped FROM saved")
+def page_saved_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = _pages(spark, sf_dir)
+    return crawl.crawl_counts(pages, crawl.documents(pages, 100))
+
+
 @query(f"""SELECT DISTINCT x AS text, {slug_sql('x')} AS slug, '{E}' || {slug_sql('x')} AS iri FROM (
-SELECT c_name AS x FROM customer UNION ALL SELECT p_name FROM part UNION ALL SELECT substr(text, 1, 40) FROM documents)""")
+SELECT c_name AS x FROM customer UNION ALL SELECT p_name FROM part UNION ALL SELECT unnest(string_split(text, chr(10))) FROM documents)""")
 def entity_slugs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    names = read(spark, sf_dir, "customer").select(F.col("c_name").alias("text")).unionByName(read(spark, sf_dir, "part").select(F.col("p_name").alias("text"))).unionByName(read(spark, sf_dir, "documents").select(F.substring("text", 1, 40).alias("text")))
+    lines = read(spark, sf_dir, "documents").select(F.explode(F.split("text", "\n")).alias("text"))
+    names = read(spark, sf_dir, "customer").select(F.col("c_name").alias("text")).unionByName(read(spark, sf_dir, "part").select(F.col("p_name").alias("text"))).unionByName(lines)
     return names.distinct().select("text", text.slug("text").alias("slug"), Namespaces().entity("text").alias("iri"))
 
 
@@ -166,12 +220,12 @@ def text_normalize(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read(spark, sf_dir, "conversations").select("conv_id", "turn", text.normalize_entity("text").alias("entity"), text.normalize("text").alias("plain"))
 
 
-@query(rf"""WITH w AS (SELECT DISTINCT unnest(string_split(substr(text, 1, 60), ' ')) AS x FROM documents UNION SELECT unnest(['Film', '(tv)', 'x', '...', 'Dunkirk'])),
+@query(rf"""WITH w AS (SELECT DISTINCT unnest(string_split(text, ' ')) AS x FROM documents UNION SELECT unnest(['Film', '(tv)', 'x', '...', 'Dunkirk'])),
 n AS (SELECT x, {_entity('x')} AS n FROM w)
 SELECT x AS text, length(n) > 1 AND lower(n) NOT IN ('film', 'series', 'television', 'movie', 'tv', 'season', 'episode') AS valid FROM n""")
 def valid_entities(spark: SparkSession, sf_dir: str) -> DataFrame:
     extra = spark.createDataFrame([(x,) for x in ("Film", "(tv)", "x", "...", "Dunkirk")], "text string")
-    words = read(spark, sf_dir, "documents").select(F.explode(F.split(F.substring("text", 1, 60), " ")).alias("text")).unionByName(extra).distinct()
+    words = read(spark, sf_dir, "documents").select(F.explode(F.split("text", " ")).alias("text")).unionByName(extra).distinct()
     return words.select("text", text.valid_entity("text").alias("valid"))
 
 
@@ -201,14 +255,64 @@ def mention_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extract.mention_aggregates(extract.regex_entities(read(spark, sf_dir, "documents")))
 
 
-@query("""SELECT user_id, event_id, next_id FROM (SELECT user_id, event_id, event_type, ts, lead(event_id) OVER w AS next_id, lead(event_type) OVER w AS next_type, lead(ts) OVER w AS next_ts FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id))
-WHERE next_type <> event_type AND epoch(next_ts) - epoch(ts) <= 86400""")
+#: A parse by rule, so that SQL can repeat it: the second word is the root verb, the first its subject, the third its
+#: object, the fourth a preposition with the fifth behind it, and each later word hangs on the one before it.
+#: Words of seven letters or more are entities.
+_PARSED = r"""parsed AS (SELECT doc_id AS doc, sent, unnest(w) AS word, generate_subscripts(w, 1) - 1 AS i FROM (
+  SELECT doc_id, generate_subscripts(s, 1) - 1 AS sent, list_filter(string_split_regex(unnest(s), '[^A-Za-z]+'), lambda z: z <> '') AS w FROM (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS s FROM documents))),
+ents AS (SELECT doc, sent, i, word, CASE length(word) % 3 WHEN 0 THEN 'PERSON' WHEN 1 THEN 'ORG' ELSE 'GPE' END AS label FROM parsed WHERE length(word) >= 7),
+-- the entity of a token is its own, or the nearest one's along the words before it: 0 and 2 hang on 1, 3 on 1
+chain AS (SELECT p.*, e.word AS own, e.label FROM parsed p LEFT JOIN ents e USING (doc, sent, i)),
+filled AS (SELECT doc, sent, i, word, coalesce(CASE WHEN own IS NOT NULL THEN struct_pack(w := own, l := label) END,
+  CASE WHEN i IN (0, 2) THEN max(CASE WHEN i = 1 AND own IS NOT NULL THEN struct_pack(w := own, l := label) END) OVER s
+       WHEN i > 2 THEN last_value(CASE WHEN own IS NOT NULL AND i NOT IN (0, 2) THEN struct_pack(w := own, l := label) END IGNORE NULLS) OVER (PARTITION BY doc, sent ORDER BY i) END) AS e
+  FROM chain WINDOW s AS (PARTITION BY doc, sent))"""
+
+
+def _parsed(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Token and entity tables of whole documents, a sentence a line."""
+    docs = read(spark, sf_dir, "documents")
+    lines = docs.select(F.col("doc_id").alias("doc"), F.posexplode(F.split(F.coalesce("text", F.lit("")), "\n")).alias("sent", "line"))
+    words = F.filter(F.split("line", "[^A-Za-z]+"), lambda w: w != "")
+    rows = lines.select("doc", "sent", F.posexplode(words).alias("i", "text"))
+    i = F.col("i")
+    head = F.when(i <= 3, 1).otherwise(i - 1).cast("int")
+    dep = F.when(i == 0, "nsubj").when(i == 1, "ROOT").when(i == 2, "dobj").when(i == 3, "prep").when(i == 4, "pobj").otherwise("dep")
+    tokens = rows.select("doc", "sent", "i", "text", F.lower("text").alias("lemma"), F.when(i == 1, "VERB").otherwise("NOUN").alias("pos"), dep.alias("dep"), head.alias("head"))
+    # a lone first word is its own root
+    alone = rows.groupBy("doc", "sent").agg(F.max("i").alias("last"))
+    tokens = tokens.join(alone, ["doc", "sent"]).withColumn("head", F.when(F.col("last") == 0, 0).otherwise(F.col("head"))).drop("last")
+    label = F.when(F.length("text") % 3 == 0, "PERSON").when(F.length("text") % 3 == 1, "ORG").otherwise("GPE")
+    ents = rows.where(F.length("text") >= 7).select("doc", "sent", F.col("i").alias("start"), (F.col("i") + 1).alias("end"), "text", label.alias("label"))
+    return tokens, ents
+
+
+@query(f"WITH {_PARSED} SELECT e.l AS label, count(*) AS tokens, count(*) FILTER (WHERE e.w = word) AS own FROM filled WHERE e IS NOT NULL GROUP BY 1")
+def token_entities(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tokens by the type of their entity, their own or their nearest ancestor's."""
+    tokens, ents = _parsed(spark, sf_dir)
+    found = extract.token_entities(tokens, ents).join(tokens, ["doc", "sent", "i"])
+    return found.groupBy(F.col("e_label").alias("label")).agg(F.count("*").alias("tokens"), F.count_if(F.col("e_text") == F.col("text")).alias("own"))
+
+
+@query(f"""WITH {_PARSED}, verb AS (SELECT doc, sent, lower(word) AS lemma FROM parsed WHERE i = 1), subj AS (SELECT doc, sent, e.w AS s, e.l AS st FROM filled WHERE i = 0 AND e IS NOT NULL),
+obj AS (SELECT doc, sent, NULL AS prep, e.w AS o, e.l AS ot FROM filled WHERE i = 2 AND e IS NOT NULL
+  UNION ALL SELECT f.doc, f.sent, lower(p.word), e.w, e.l FROM filled f JOIN parsed p ON p.doc = f.doc AND p.sent = f.sent AND p.i = 3 WHERE f.i = 4 AND e IS NOT NULL)
+SELECT doc, sent, s AS subject, st AS subject_type, concat_ws('_', lemma, prep) AS predicate, o AS object, ot AS object_type, 0.85::DOUBLE AS confidence, 'dependency' AS method
+FROM verb JOIN subj USING (doc, sent) JOIN obj USING (doc, sent) WHERE s <> o AND lower(s) NOT IN ('television', 'episode') AND lower(o) NOT IN ('television', 'episode')""")
+def dependency_relations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract.dependency_relations(*_parsed(spark, sf_dir))
+
+
+_ROOTED = f"""{_PARSED}, near AS (SELECT doc, sent, word AS s, label AS st, i + 1 AS stop, lead(i) OVER w AS next, lead(word) OVER w AS o, lead(label) OVER w AS ot
+  FROM ents WHERE lower(word) NOT IN ('television', 'episode') WINDOW w AS (PARTITION BY doc, sent ORDER BY i))"""
+
+
+@query(f"""WITH {_ROOTED} SELECT near.doc, near.sent, s AS subject, st AS subject_type, lower(word) AS predicate, o AS object, ot AS object_type, 0.45::DOUBLE AS confidence, 'same_sentence_root' AS method
+FROM near JOIN parsed v ON v.doc = near.doc AND v.sent = near.sent AND v.i = 1 WHERE o IS NOT NULL AND abs(next - stop) <= 15 AND s <> o""")
 def adjacent_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    w = Window.partitionBy("user_id").orderBy("ts", "event_id")
-    nxt = lambda c: F.lead(c).over(w)
-    rows = read(spark, sf_dir, "events").select("user_id", "event_id", "event_type", "ts", nxt("event_id").alias("next_id"), nxt("event_type").alias("next_type"), nxt("ts").alias("next_ts"))
-    gap = F.unix_micros(F.col("next_ts").cast("timestamp")) - F.unix_micros(F.col("ts").cast("timestamp"))
-    return rows.where((F.col("next_type") != F.col("event_type")) & (gap <= 86_400_000_000)).select("user_id", "event_id", "next_id")
+    """Neighbouring entities of a sentence, related by its root."""
+    return extract.root_relations(*_parsed(spark, sf_dir))
 
 
 @query("""SELECT source_url, subject, predicate, object, confidence FROM (
@@ -305,7 +409,7 @@ def _set(x: str) -> str:
 
 _LINKS = f"""cand AS (SELECT n.n_name AS entity, row_number() OVER (PARTITION BY n.n_nationkey ORDER BY m.n_nationkey) - 1 AS pos, m.n_nationkey AS k, m.n_name AS label,
   CASE WHEN m.n_nationkey % 2 = 0 THEN 'country in ' ELSE 'land in ' END || r_name AS description, CASE WHEN m.n_nationkey % 3 <> 0 THEN m.n_name END AS match
-  FROM nation n JOIN nation m ON n.n_regionkey = m.n_regionkey JOIN region ON m.n_regionkey = r_regionkey),
+  FROM nation n JOIN nation m ON n.n_regionkey = m.n_regionkey JOIN region ON m.n_regionkey = r_regionkey QUALIFY row_number() OVER (PARTITION BY n.n_nationkey ORDER BY m.n_nationkey) <= 5),
 cn AS (SELECT *, max(CASE WHEN pos = 1 THEN label END) OVER (PARTITION BY entity) AS second, {_norm('entity')} AS e, {_norm('label')} AS l, {_norm('description')} AS d, {_norm('match')} AS m FROM cand),
 ch AS (SELECT *, len(list_intersect({_set('e')}, {_set('l')})) AS ov, greatest(len({_set('e')}), 1) AS own,
   list_filter(['city', 'country', 'state', 'location', 'place'], lambda h: contains(d, h))[1] AS hint FROM cn),
@@ -335,7 +439,7 @@ preds AS (SELECT DISTINCT predicate FROM (SELECT event_type AS predicate FROM ev
 pw AS (SELECT predicate, list_filter({words_sql('lower(predicate)')}, lambda z: z <> '') AS w FROM preds),
 pt AS (SELECT predicate, w, list_filter(w, lambda z: NOT list_contains({_STOP}, z)) AS k FROM pw),
 term AS (SELECT predicate, array_to_string(w, ' ') AS plain, list_distinct(w) AS own, list_filter(k, lambda z: length(z) = list_max(list_transform(k, lambda q: length(q))))[1] AS term FROM pt),
-met AS (SELECT *, {_norm('label')} AS l, {_norm('description')} AS d FROM term JOIN props ON contains(lower(label), term)),
+met AS (SELECT *, {_norm('label')} AS l, {_norm('description')} AS d FROM term JOIN props ON contains(lower(label), term) QUALIFY row_number() OVER (PARTITION BY predicate ORDER BY pos) <= 20),
 ps AS (SELECT *, least(greatest(0.05::DOUBLE + CASE WHEN l = plain AND plain <> '' THEN 0.70::DOUBLE ELSE 0.35::DOUBLE * (len(list_intersect(own, {_set('l')}))::DOUBLE / greatest(len(own), 1)) END
   + CASE WHEN contains(l, term) THEN 0.15::DOUBLE ELSE 0::DOUBLE END + CASE WHEN len(list_filter(own, lambda z: contains(d, z))) > 0 THEN 0.10::DOUBLE ELSE 0::DOUBLE END, 0), 0.99::DOUBLE) AS score FROM met),
 best AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY predicate ORDER BY score DESC, pos) AS n FROM ps) WHERE n = 1),
@@ -354,6 +458,11 @@ def alignment_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
     return align.alignment_graph(align.link_entities(*_candidates(spark, sf_dir)), align.link_predicates(*_properties(spark, sf_dir))).select("s", "p", "o")
 
 
+@query(f"WITH {_LINKS} SELECT count(*) AS rows, count(*) FILTER (WHERE matched) AS matched, round(count(*) FILTER (WHERE matched)::DOUBLE / count(*), 6) AS share FROM links")
+def link_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return align.link_summary(align.link_entities(*_candidates(spark, sf_dir))).withColumn("share", F.round("share", 6))
+
+
 @query(f"WITH {_LINKS} SELECT id AS qid FROM links WHERE matched AND confidence >= 0.8 GROUP BY id")
 def seed_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return files.seed_ids(align.link_entities(*_candidates(spark, sf_dir)), 0.8).select("qid")
@@ -362,13 +471,41 @@ def seed_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
 # the graph
 
 
-@query(f"""WITH {TE}, seeds AS (SELECT '{E}supplier/' || s_suppkey AS node FROM supplier WHERE s_suppkey % 10 = 1),
-one AS (SELECT e.* FROM e JOIN seeds ON h = node), two AS (SELECT e.* FROM e WHERE h IN (SELECT t FROM one) AND h NOT IN (SELECT node FROM seeds))
+def _suppliers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return read(spark, sf_dir, "supplier").select(F.concat(F.lit(E + "supplier/"), F.col("s_suppkey").cast("string")).alias("node"))
+
+
+_SEEDS = f"{TE}, seeds AS (SELECT '{E}supplier/' || s_suppkey AS node FROM supplier)"
+
+
+@query(f"""WITH {_SEEDS}, one AS (SELECT e.* FROM e JOIN seeds ON h = node), two AS (SELECT e.* FROM e WHERE h IN (SELECT t FROM one) AND h NOT IN (SELECT node FROM seeds))
 SELECT * FROM one UNION SELECT * FROM two""")
 def expand_two_hops(spark: SparkSession, sf_dir: str) -> DataFrame:
-    seeds = read(spark, sf_dir, "supplier").where("s_suppkey % 10 = 1").select(F.concat(F.lit(E + "supplier/"), F.col("s_suppkey").cast("string")).alias("node"))
     edges = edge_view(spark, sf_dir)
-    return graph.expand(edges.limit(0), edges, seeds, depth=2, target=None, per_node=None)[0]
+    return graph.expand(edges.limit(0), edges, _suppliers(spark, sf_dir), depth=2, target=None, per_node=None)[0]
+
+
+#: The operator's own limits at work: 3 triples a node, 2,000 in all, and only properties and objects with a prefix.
+_CAPPED = f"""{_SEEDS}, asked AS (SELECT * FROM e WHERE starts_with(r, '{P}') AND starts_with(t, '{E}')),
+one AS (SELECT h, r, t FROM (SELECT *, row_number() OVER (PARTITION BY h ORDER BY r, t) AS n FROM asked WHERE h IN (FROM seeds)) WHERE n <= 3 ORDER BY h, r, t LIMIT 2000),
+two AS (SELECT h, r, t FROM (SELECT *, row_number() OVER (PARTITION BY h ORDER BY r, t) AS n FROM asked WHERE h IN (SELECT t FROM one) AND h NOT IN (FROM seeds)) WHERE n <= 3 ORDER BY h, r, t LIMIT greatest(0, 2000 - (SELECT count(*) FROM one)))"""
+
+
+def _capped(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    edges = edge_view(spark, sf_dir)
+    return graph.expand(edges.limit(0), edges, _suppliers(spark, sf_dir), depth=2, target=2000, per_node=3, predicates=P, objects=E)
+
+
+@query(f"WITH {_CAPPED} SELECT * FROM one UNION ALL SELECT * FROM two")
+def expand_capped(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _capped(spark, sf_dir)[0]
+
+
+@query(f"""WITH {_CAPPED}, a AS (SELECT 1 AS level, (SELECT count(*) FROM seeds) AS frontier, (SELECT count(*) FROM one) AS added, (SELECT count(*) FROM one) AS total),
+b AS (SELECT 2 AS level, (SELECT count(DISTINCT t) FROM one WHERE t NOT IN (FROM seeds)) AS frontier, (SELECT count(*) FROM two) AS added, (SELECT count(*) FROM one) + (SELECT count(*) FROM two) AS total)
+SELECT * FROM a UNION ALL SELECT * FROM b WHERE (SELECT count(*) FROM one) < 2000 AND frontier > 0""")
+def expand_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _capped(spark, sf_dir)[1]
 
 
 def _mixed(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -400,30 +537,68 @@ def clean_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
     return graph.clean(_mixed(spark, sf_dir), keep_types=False)
 
 
-def _sparse(spark: SparkSession, sf_dir: str) -> DataFrame:
-    line = read(spark, sf_dir, "lineitem").where("l_quantity >= 49 and l_discount >= 0.095")
-    return line.select((F.col("l_suppkey") * 2).alias("a"), (F.col("l_partkey") * 2 + 1).alias("b"))
-
+def _links(edges: DataFrame) -> DataFrame:
+    return edges.select(F.col("h").alias("a"), F.col("t").alias("b"))
 
-_COMPONENTS = """WITH RECURSIVE ed AS (SELECT DISTINCT l_suppkey * 2 AS a, l_partkey * 2 + 1 AS b FROM lineitem WHERE l_quantity >= 49 AND l_discount >= 0.095),
-ways AS (SELECT a, b FROM ed UNION SELECT b, a FROM ed), reach AS (SELECT a AS node, a AS other FROM ways UNION SELECT reach.node, ways.b FROM reach JOIN ways ON reach.other = ways.a),
-labels AS (SELECT node, min(other) AS component FROM reach GROUP BY 1)"""
 
-
-@query(f"{_COMPONENTS} SELECT node, component FROM labels")
+@query()
 def component_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return graph.components(_sparse(spark, sf_dir))
+    """Of the whole edge view; too slow as SQL, so tests compare it with union-find."""
+    return graph.components(_links(edge_view(spark, sf_dir)))
 
 
-@query(f"{_COMPONENTS}, big AS (SELECT component, count(*) AS n FROM labels GROUP BY 1 ORDER BY n DESC, component LIMIT 1) SELECT node FROM labels JOIN big USING (component)")
+@query()
 def largest_component(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return graph.largest_component(graph.components(_sparse(spark, sf_dir)))
+    """Nodes of the whole edge view's largest component."""
+    return graph.largest_component(graph.components(_links(edge_view(spark, sf_dir))))
 
 
-@query(f"{_COMPONENTS}, big AS (SELECT component, count(*) AS n FROM labels GROUP BY 1 ORDER BY n DESC, component LIMIT 1), nodes AS (SELECT node FROM labels JOIN big USING (component)) SELECT a AS h, 'linked' AS r, b AS t FROM ed WHERE a IN (FROM nodes) AND b IN (FROM nodes)")
+@query()
 def component_subgraph(spark: SparkSession, sf_dir: str) -> DataFrame:
-    edges = _sparse(spark, sf_dir).distinct()
-    return graph.keep_component(edges.select(F.col("a").alias("h"), F.lit("linked").alias("r"), F.col("b").alias("t")), graph.largest_component(graph.components(edges)))
+    """Triples of the whole edge view within its largest component."""
+    edges = edge_view(spark, sf_dir)
+    return graph.keep_component(edges, graph.largest_component(graph.components(_links(edges))))
+
+
+_PLACES = f"""places AS (SELECT '{E}nation/' || n_nationkey AS h, '{P}partOf' AS r, '{E}region/' || n_regionkey AS t, n_regionkey AS k FROM nation
+UNION ALL SELECT '{E}customer/' || c_custkey, '{P}locatedIn', '{E}nation/' || c_nationkey, n_regionkey FROM customer JOIN nation ON c_nationkey = n_nationkey
+UNION ALL SELECT '{E}supplier/' || s_suppkey, '{P}locatedIn', '{E}nation/' || s_nationkey, n_regionkey FROM supplier JOIN nation ON s_nationkey = n_nationkey),
+ends AS (SELECT h AS node, k FROM places UNION SELECT t, k FROM places),
+labels AS (SELECT node, min(node) OVER (PARTITION BY k) AS component FROM ends),
+big AS (SELECT component, count(*) AS n FROM labels GROUP BY 1 ORDER BY n DESC, component LIMIT 1),
+inside AS (SELECT node FROM labels JOIN big USING (component))"""
+
+
+def _places(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Where customers, suppliers and nations are: all rows of four tables, a component a region."""
+    nation, customer, supplier = (read(spark, sf_dir, t) for t in ("nation", "customer", "supplier"))
+    iri = lambda folder, key: F.concat(F.lit(f"{E}{folder}/"), F.col(key).cast("string"))
+    row = lambda df, s, p, o: df.select(iri(*s).alias("h"), F.lit(P + p).alias("r"), iri(*o).alias("t"))
+    inside = row(nation, ("nation", "n_nationkey"), "partOf", ("region", "n_regionkey"))
+    people = row(customer, ("customer", "c_custkey"), "locatedIn", ("nation", "c_nationkey"))
+    return inside.unionByName(people).unionByName(row(supplier, ("supplier", "s_suppkey"), "locatedIn", ("nation", "s_nationkey")))
+
+
+@query(f"WITH {_PLACES} SELECT node, component FROM labels")
+def place_components(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return graph.components(_links(_places(spark, sf_dir)))
+
+
+@query(f"WITH {_PLACES} SELECT node FROM inside")
+def largest_place_component(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return graph.largest_component(graph.components(_links(_places(spark, sf_dir))))
+
+
+@query(f"WITH {_PLACES} SELECT h, r, t FROM places WHERE h IN (FROM inside) AND t IN (FROM inside)")
+def place_subgraph(spark: SparkSession, sf_dir: str) -> DataFrame:
+    edges = _places(spark, sf_dir)
+    return graph.keep_component(edges, graph.largest_component(graph.components(_links(edges))))
+
+
+@query("SELECT range AS node, 0 AS component FROM range(0, 20001)")
+def chain_components(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A chain of 20,000 links in order, the shape that takes most rounds."""
+    return graph.components(spark.range(20_000).selectExpr("id as a", "id + 1 as b"))
 
 
 @query(f"WITH {TE} SELECT node, count(*) AS degree FROM (SELECT h AS node FROM e UNION ALL SELECT t FROM e) GROUP BY 1 ORDER BY degree DESC, node LIMIT 10")
@@ -558,11 +733,7 @@ _COS = "list_cosine_similarity({0}.embedding::DOUBLE[], {1}.embedding::DOUBLE[])
 row_number() OVER (PARTITION BY q.vec_id ORDER BY round({_COS.format('x', 'q')}, 6) DESC, x.vec_id) AS n FROM embeddings q JOIN embeddings x ON x.vec_id <> q.vec_id WHERE q.vec_id % 50 = 0) WHERE n <= 10""")
 def cosine_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     emb = _emb(spark, sf_dir)
-    q = emb.where("id % 50 = 0").select(F.col("id").alias("query"), F.col("v").alias("qv"))
-    # a fiftieth of the rows against all: Spark broadcasts the smaller side if it may
-    sims = emb.join(q, F.col("id") != F.col("query")).select("query", "id", F.round(text.cosine("v", "qv"), 6).alias("similarity"))
-    w = Window.partitionBy("query").orderBy(F.desc("similarity"), "id")
-    return sims.withColumn("rank", F.row_number().over(w)).where("rank <= 10")
+    return embed.neighbours(emb.select("id", "v"), emb.where("id % 50 = 0").select("id", "v"), 10, digits=6)
 
 
 def _ranked(spark: SparkSession, sf_dir: str) -> DataFrame:
