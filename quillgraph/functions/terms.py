@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from quillgraph.functions.text import camel_case, col, slug
 
+# Vocabulary IRIs.
 RDF_TYPE = "http://www.w3.org/1999/02/22-rdf-syntax-ns#type"
 RDFS = "http://www.w3.org/2000/01/rdf-schema#"
 LABEL = RDFS + "label"

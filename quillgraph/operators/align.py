@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from quillgraph.functions.terms import OWL, Namespaces, triple, union
 from quillgraph.functions.text import normalize, search_term, token_set, tokens
 
-# Words of a description that speak for a type.
+# Words of a description that speak for a type; the reason codes below are required output.
 TYPE_HINTS = {
     "PERSON": ("actor", "director", "writer", "producer", "television", "film", "person", "screenwriter"),
     "ORG": ("organization", "company", "studio", "network", "award", "academy"),
