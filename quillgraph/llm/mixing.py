@@ -7,8 +7,9 @@ that boundary bucket are summed again by their next 12 bits, and so on, until th
 document (or one hash).  It is taken if that comes nearer to the budget.  Several budgets of a source
 give nested thresholds, and so nested samples.  All documents are then filtered in one pass.
 
-Sizes are words; null and empty texts have none.  A null source is a source of its own, last in order.
-Documents that agree in id and text share a hash, so they are taken together.
+Sizes are words; null and empty texts have none, very long ones count whole.  A null source is a source of
+its own, last in order.  Documents that agree in id and text, repeated rows or ties, share a hash, so they are
+taken together.  An empty table gives an empty result, and extra columns are carried whatever their names.
 """
 
 from __future__ import annotations
@@ -41,27 +42,37 @@ def measured(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", sour
     return df.select(F.col(id_col).cast("long").alias("id"), source_key(F.col(source_col)).alias("skey"), word_count(text).alias("size"), document_hash(F.col(id_col), text).alias("h"))
 
 
+def _placed(by_source: DataFrame) -> Table:
+    """skey, source_size, place (from 0 in order of skey): places within ranges, after the ranges before; no task sorts all."""
+    ranged = by_source.repartitionByRange("skey").sortWithinPartitions("skey")
+    parts = Table(ranged.select("skey", "source_size", F.spark_partition_id().alias("part"), (F.monotonically_increasing_id() % (1 << 33)).alias("at")), "mix-ranges")
+    sizes = parts.df().groupBy("part").agg(F.count("*").alias("n"))  # a row per range
+    before = Table(sizes.select("part", (F.sum("n").over(Window.orderBy("part")) - F.col("n")).alias("before")), "mix-before")
+    return Table(parts.df().join(before.small(), "part").select("skey", "source_size", (F.col("before") + F.col("at")).alias("place")), "mix-placed")
+
+
 def targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOST) -> DataFrame:
     """skey, source_size, target: shares by weight of all words, none above ``most`` times its source.
 
-    What is above is reshared by weight until nothing is.  With sources in order of size per weight that
-    ends in one pass: a source is capped if the share left over by those before it reaches its cap.
-    The windows run over one row per source.
+    What is above is reshared by weight until nothing is: each round sums the caps and weights of the sources
+    that the share of a weight reaches, which only grow, and ends when they are the same as before.  Sources
+    may be many (hosts): every step is a sum combined before the shuffle.
     """
-    total = Window.partitionBy()
-    wide = "decimal(38,0)"
-    by_source = sizes.groupBy("skey").agg(F.sum("size").alias("source_size"))
-    ranked = by_source.withColumn("place", F.row_number().over(Window.orderBy("skey")) - 1)
-    weighed = ranked.withColumn("w", F.element_at(F.array(*map(F.lit, weights)), (F.col("place") % len(weights) + 1).cast("int")).cast("long")).withColumn("cap", F.col("source_size") * most)
-    before = Window.orderBy(F.col("cap") / F.col("w"), "skey").rowsBetween(Window.unboundedPreceding, -1)
-    left = F.sum("source_size").over(total) - F.coalesce(F.sum("cap").over(before), F.lit(0))
-    rest = F.sum("w").over(total) - F.coalesce(F.sum("w").over(before), F.lit(0))
-    filled = weighed.withColumns({"left": left, "rest": rest}).withColumn("capped", F.col("left").cast(wide) * F.col("w") >= F.col("cap").cast(wide) * F.col("rest"))
-    share = F.sum("source_size").over(total) - F.coalesce(F.sum(F.when(F.col("capped"), F.col("cap"))).over(total), F.lit(0))
-    parts = F.sum(F.when(~F.col("capped"), F.col("w"))).over(total)
-    return filled.withColumn("share", share).withColumn("parts", parts).select(
-        "skey", "source_size", F.when(F.col("capped"), F.col("cap").cast("double")).otherwise((F.col("share") * F.col("w")).cast("double") / F.col("parts").cast("double")).alias("target")
-    )
+    placed = _placed(sizes.groupBy("skey").agg(F.sum("size").alias("source_size")))
+    weight = F.element_at(F.array(*map(F.lit, weights)), (F.col("place") % len(weights) + 1).cast("int")).cast("long")
+    weighed = Table(placed.df().select("skey", "source_size", weight.alias("w"), (F.col("source_size") * most).alias("cap")), "mix-weighed")
+    words, parts = (int(x or 0) for x in weighed.df().agg(F.sum("source_size"), F.sum("w")).first())
+    all_words, all_parts = words, parts
+    wide = lambda c: c.cast("decimal(38,0)")
+    while True:
+        capped = wide(F.lit(words)) * F.col("w") >= wide(F.col("cap")) * F.lit(parts)
+        row = weighed.df().where(capped).agg(F.sum("cap"), F.sum("w")).first()
+        left = all_words - int(row[0] or 0), all_parts - int(row[1] or 0)
+        if left == (words, parts):
+            break
+        words, parts = left
+    share = (F.lit(words) * F.col("w")).cast("double") / F.lit(float(parts or 1))
+    return weighed.df().select("skey", "source_size", F.when(capped, F.col("cap").cast("double")).otherwise(share).alias("target"))
 
 
 def thresholds(sizes: DataFrame, budgets: DataFrame) -> DataFrame:

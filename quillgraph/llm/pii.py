@@ -105,12 +105,18 @@ def met(held: Table) -> DataFrame:
 def disclosures(held: Table, n: int, n_e: Table, df: DataFrame, text_col: str, generalise: float) -> DataFrame:
     """entity, term, share: the pairs of two witnesses or more whose term discloses at least ``generalise`` of the entity."""
     joint = met(held).groupBy("entity", "term").agg(F.count("*").alias("n_et"), F.min("witness").alias("one"), F.max("witness").alias("other"))
-    pairs = Table(joint.where("one <> other").select("entity", "term", "n_et"), "pii-pairs")
+    witnessed = Table(joint.where("one <> other").select("entity", "term", "n_et"), "pii-witnessed")
+    # a share is only reached up to some n_t, and the documents that hold entities alone may exceed it: such pairs
+    # go before their terms are counted over the corpus (the slack is for rounding)
+    among = held.df().select(F.explode("terms").alias("term")).groupBy("term").agg(F.count("*").alias("n_held"))
+    most = F.col("n_et") * F.pow(F.lit(float(n)) / F.col("n_e"), F.lit(1 - generalise)) * (1 + 1e-9)
+    pairs = Table(witnessed.df().join(n_e.small(), "entity").join(among, "term").where(F.col("n_held") <= most).select("entity", "term", "n_et", "n_e"), "pii-pairs")
     near = Table(pairs.df().select("term").distinct(), "pii-terms")
-    n_t = Table(term_counts(df, text_col).join(near.small(), "term", "left_semi"), "pii-counts")
+    # an inner join: a semi join would go before the sum and meet every document's terms one by one
+    n_t = Table(term_counts(df, text_col).join(near.small(), "term"), "pii-counts")
     pmi = F.log2(F.col("n_et") * F.lit(float(n)) / (F.col("n_e") * F.col("n_t")))
     ic = F.log2(F.lit(float(n)) / F.col("n_e"))
-    return pairs.df().join(n_t.small(), "term").join(n_e.small(), "entity").select("entity", "term", (pmi / ic).alias("share")).where(F.col("share") >= generalise)
+    return pairs.df().join(n_t.small(), "term").select("entity", "term", (pmi / ic).alias("share")).where(F.col("share") >= generalise)
 
 
 def analyse(df: DataFrame, text_col: str = "text", id_col: str = "doc_id", generalise: float = GENERALISE, remove: float = REMOVE, keep_text: bool = False) -> DataFrame:
