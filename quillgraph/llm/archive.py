@@ -9,7 +9,9 @@ date, place and digest), ISO timestamps, record types (from the scheme and the H
 SHA-1 digests of block and payload.
 
 Rows: null URLs become ``unknown:``, null payloads empty ones, a null key sorts after every other key.
-Rows that tie in payload and key are all of type response.
+Rows that tie in payload and key, repeated rows too, are all of type response.  Payloads of any length are
+whole records; an empty table gives an empty archive; only the three columns named are read, whatever others
+are called.
 """
 
 from __future__ import annotations

@@ -7,7 +7,9 @@ once.  A candidate t is right exactly if (last[i - len(t)], t) is a compatible p
 tokens' bytes together yields these two tokens again.  Following the back-pointers from n gives the ids.
 Time is linear in n times the matches at a place, so a pre-token of any length is safe.
 
-Nulls encode as the empty text.  Repeated rows encode alike; extra columns are left alone.
+Nulls encode as the empty text.  Repeated rows encode alike; very long texts are encoded whole; an empty table
+gives an empty result.  Columns that are kept stand beside the operator's own; of two with one name the
+operator's own stands.
 """
 
 from __future__ import annotations
@@ -217,6 +219,7 @@ def encode_table(df: DataFrame, text_col: str = "text", keep: tuple[str, ...] =
 
     small_batches(df.sparkSession)
     spec = df.sparkSession.sparkContext.broadcast(tokenizer_spec(spec_path))  # one file of fixed size
+    keep = tuple(c for c in keep if c not in ("n_tokens", "ids_sha256", "decoded_sha256", *["token_ids"] * keep_ids, *["decoded"] * keep_text))
     fields = [df.schema[c] for c in keep]
     out = [*fields, T.StructField("n_tokens", T.LongType()), T.StructField("ids_sha256", T.StringType()), T.StructField("decoded_sha256", T.StringType())]
     if keep_ids:

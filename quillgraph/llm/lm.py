@@ -48,6 +48,8 @@ END = b" "
 BLOCK_BYTES, COUNT_ROWS, BLOCK_TOKENS = 16 << 20, 500_000, 1 << 21
 #: Floats of a row in which parameters are summed.
 PART = 1 << 14
+#: Rows of scores that are worked on at once.
+PIECE = 2048
 
 
 @dataclass(frozen=True)
@@ -227,7 +229,7 @@ class Model:
             order = _sorted(t // m)
             h, t = h[order], t[order]
             g, v = t // m, self.contexts(h)
-            log_p = self._log_softmax(v @ self.rg.T + self.bg, g)
+            log_p = np.concatenate([self._log_softmax(v[k : k + PIECE] @ self.rg.T + self.bg, g[k : k + PIECE]) for k in range(0, len(t), PIECE)])
             edges = [*np.flatnonzero(np.r_[True, g[1:] != g[:-1]]).tolist(), len(g)]
             for start, end in zip(edges[:-1], edges[1:], strict=True):
                 at = int(g[start]) * m
@@ -273,12 +275,20 @@ class Model:
                 g, every = t // m, np.arange(len(t))
                 places = [self.q[h[:, j]] for j in range(spec.context)]
                 v = sum(self.c[j] * places[j] for j in range(spec.context))
-                # groups: the noise's expectation over all of them
-                s = sigmoid(v @ self.rg.T + (self.bg - log_mass))
-                seen = s[every, g]
-                s *= mass
-                s[every, g] += seen - 1
-                dv, drg, dbg = s @ self.rg, s.T @ v, s.sum(axis=0)
+                # groups: the noise's expectation over all of them, in pieces that stay in the cache
+                dv, drg, dbg = np.empty_like(v), np.zeros_like(self.rg), np.zeros_like(self.bg)
+                shift = self.bg - log_mass
+                for k in range(0, len(t), PIECE):
+                    vs, gs, rows = v[k : k + PIECE], g[k : k + PIECE], every[: len(t) - k][:PIECE]
+                    s = vs @ self.rg.T
+                    s += shift
+                    sigmoid(s)
+                    seen = s[rows, gs]
+                    s *= mass
+                    s[rows, gs] += seen - 1
+                    np.matmul(s, self.rg, out=dv[k : k + PIECE])
+                    drg += s.T @ vs
+                    dbg += s.sum(axis=0)
                 # classes: each group's tokens share draws from its unigram
                 rows, grads, biases = [], [], []
                 edges = [*np.flatnonzero(np.r_[True, g[1:] != g[:-1]]).tolist(), len(g)]

@@ -5,7 +5,9 @@ says that rule i failed.  A policy is a named, versioned mask over these bits; a
 never reads a text again.  Ablations come from the histogram of failure masks, which has at most two to
 the number of rules rows, by bitwise tests alone.
 
-Null and empty texts have no words, so they fail ``few_words``.  Repeated rows are judged alike.
+Null and empty texts have no words, so they fail ``few_words``.  Repeated rows are judged alike, very long texts
+whole; a null id stays null, an empty table gives an empty result, and extra columns are carried whatever
+their names.
 """
 
 from __future__ import annotations

@@ -12,7 +12,9 @@ Distances are from the earlier part to the later one's start; of the earlier one
 
 The interval join is a running maximum: in a document, per role and in order of start, the furthest reach of
 the parts that start up to a candidate's scope.  No pairs are made however many parts a document holds.
-Null and empty texts hold nothing; repeated rows are scanned each.
+Null and empty texts hold nothing; repeated rows are scanned each; a null id stays null.  Very long texts are
+scanned whole, ties in place are ordered by kind, an empty table gives an empty result, and only id and text
+are read, whatever other columns are called.
 """
 
 from __future__ import annotations

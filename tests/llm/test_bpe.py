@@ -45,3 +45,9 @@ def test_kept_columns_and_empty(spark, empty_docs, odd_docs):
     assert bpe.encode_table(empty_docs, keep=("source",)).count() == 0
     got = bpe.encode_table(odd_docs, keep=("id", "raw")).where("decoded = 'a b'").collect()
     assert got[0].id == "clash" and np.frombuffer(got[0].token_ids, "<u4").tolist() == LIBRARY.encode("a b").ids
+
+
+def test_kept_columns_of_the_operators_names(spark):
+    df = spark.createDataFrame([(1, "a b", 7, "x")], "doc_id long, text string, n_tokens long, decoded string")
+    out = bpe.encode_table(df, "text", ("doc_id", "n_tokens", "decoded"))
+    assert out.columns.count("n_tokens") == 1 and out.first().n_tokens == 2 and out.first().decoded == "a b"
