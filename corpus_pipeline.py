@@ -2,6 +2,13 @@
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame, which is written as Parquet and reread as
 the next stage's documents.  All but the last return the columns of ``documents``.
+
+Null and empty texts, and those of fewer than ten words, fail the quality rules and go there; a null id, language
+or source stays null throughout, and a null source is one of the mix's sources.  Rows equal in id and text are
+one document to the line stage and one row after the near-duplicate stage; of equal lines and of near
+duplicates the first by id stays (null last).  The mix repeats rows that it takes more than once.  Texts of
+any length are worked on whole, an empty table passes every stage, and columns beyond those of ``documents``
+are left behind by the first one.
 """
 
 from __future__ import annotations
