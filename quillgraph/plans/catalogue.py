@@ -741,10 +741,7 @@ def _ranked(spark: SparkSession, sf_dir: str) -> DataFrame:
     emb = _emb(spark, sf_dir)
     links = emb.select(F.col("id").alias("h"), F.lit(0).alias("r"), F.lead("id").over(Window.partitionBy("label").orderBy("id")).alias("t")).where("t is not null")
     tests = links.where("h % 50 = 0").select(F.col("h").alias("case"), "h", "r", "t")
-    pairs = embed.corrupted(tests, emb.select("id"), links, lambda h, r, t: F.struct(h.alias("h"), t.alias("t")))
-    a, b = emb.select(F.col("id").alias("__h"), F.col("v").alias("va")), emb.select(F.col("id").alias("__t"), F.col("v").alias("vb"))
-    scored = pairs.join(a, F.col("value.h") == F.col("__h")).join(b, F.col("value.t") == F.col("__t"))
-    return embed.ranks(scored.select("case", "side", "truth", "cand", F.round(text.cosine("va", "vb"), 6).alias("value")))
+    return embed.vector_ranks(tests, emb.select("id", "v"), links, lambda h, t: F.round(text.cosine(h, t), 6))
 
 
 _RANKS = f"""links AS (SELECT * FROM (SELECT vec_id AS h, lead(vec_id) OVER (PARTITION BY label ORDER BY vec_id) AS t FROM embeddings) WHERE t IS NOT NULL),
