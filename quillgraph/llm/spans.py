@@ -19,9 +19,13 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
-def prefix_sums(lens: Column) -> Column:
-    """Sums of the elements before each one.  Blocks of 256 keep the work near linear on long arrays."""
-    block = 256
+def prefix_sums(lens: Column, levels: int = 3) -> Column:
+    """Sums of the elements before each one.
+
+    An element's sum is that of the blocks of 16 before its own, found likewise level by level, plus that of
+    its block's earlier elements, so the work is linear in arrays of any length that a text can give.
+    """
+    block = 16
     none = F.array().cast("array<bigint>")
     total = lambda part: F.aggregate(part, F.lit(0).cast("long"), lambda a, x: a + x)
 
@@ -30,9 +34,11 @@ def prefix_sums(lens: Column) -> Column:
 
     def long(lens: Column) -> Column:
         blocks = F.transform(F.sequence(F.lit(0), F.floor((F.size(lens) - 1) / block).cast("int")), lambda k: total(F.slice(lens, k * block + 1, block)))
-        starts = let(blocks, lambda b: F.transform(b, lambda _, k: total(F.slice(b, 1, k))))
-        return let(starts, lambda s: F.transform(lens, lambda _, i: F.get(s, F.floor(i / block).cast("int")) + total(F.slice(lens, (i - i % block) + 1, i % block))))
+        within = lambda s: F.transform(lens, lambda _, i: F.get(s, F.floor(i / block).cast("int")) + total(F.slice(lens, (i - i % block) + 1, i % block)))
+        return let(prefix_sums(blocks, levels - 1), within)
 
+    if not levels:
+        return let(lens, lambda x: F.when(F.size(x) == 0, none).otherwise(short(x)))
     return let(lens, lambda x: F.when(F.size(x) == 0, none).when(F.size(x) <= block, short(x)).otherwise(long(x)))
 
 

@@ -69,7 +69,7 @@ def test_odd_and_empty(spark, save, odd_docs, empty_docs, query):
 
 
 def test_prefix_sums(spark):
-    for n in (0, 1, 255, 256, 257, 1000):
+    for n in (0, 1, 15, 16, 17, 255, 256, 257, 1000, 5000):
         values = [random.Random(n).randint(0, 9) for _ in range(n)]
         got = spark.createDataFrame([(values,)], "a array<bigint>").select(prefix_sums(F.col("a")).alias("s")).collect()[0].s
         assert got == [sum(values[:i]) for i in range(n)]
