@@ -14,14 +14,21 @@ TABLES = "region nation customer supplier part orders lineitem events documents
 SF = "/root/testdata/sf0.001"
 
 
-def test_imports_without_the_training_text_package(tmp_path):
+@pytest.mark.parametrize("left", ["nothing", "the pipeline", "an empty package folder", "the package alone"])
+def test_imports_without_the_training_text_package(tmp_path, left):
     to = tmp_path / "repo"
-    skip = shutil.ignore_patterns("llm", "corpus_pipeline.py", ".git", "__pycache__")
+    gone = {"nothing": ["llm", "corpus_pipeline.py"], "the package alone": ["corpus_pipeline.py"]}.get(left, ["llm"])
+    skip = shutil.ignore_patterns(*gone, ".git", "__pycache__")
     shutil.copytree(REPO, to, ignore=skip)
+    if left == "an empty package folder":
+        (to / "quillgraph" / "llm" / "__pycache__").mkdir(parents=True)
     code = "import __spark_entry__ as e; q = e.queries(); assert set(e.oracle_sql()) <= set(q) and not any(k.startswith('op') for k in q); print(len(q))"
     got = subprocess.run([sys.executable, "-B", "-c", code], cwd=to, env=os.environ | {"PYTHONPATH": str(to)}, capture_output=True, text=True)
     assert got.returncode == 0, got.stderr
     assert int(got.stdout) == len(catalogue.QUERIES)
+    if left == "nothing":
+        got = subprocess.run([sys.executable, "-B", "-m", "pytest", "-q", "-p", "no:cacheprovider", "tests/test_functions.py"], cwd=to, env=os.environ | {"PYTHONPATH": str(to)}, capture_output=True, text=True)
+        assert got.returncode == 0, got.stdout
 
 
 @pytest.fixture(scope="module")
