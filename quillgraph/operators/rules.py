@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from quillgraph.functions.terms import COLUMNS, OWL, RDF_TYPE, RDFS, triple, union
 from quillgraph.functions.text import local_name
-from quillgraph.operators.stage import cut
+from quillgraph.operators.stage import cut, small
 
 SUBCLASS, SUBPROPERTY, DOMAIN, RANGE = (RDFS + x for x in ("subClassOf", "subPropertyOf", "domain", "range"))
 
@@ -57,8 +57,8 @@ def entail(triples: DataFrame) -> DataFrame:
 
     Rules: subclasses and subproperties, domains and ranges, inverse, symmetric and transitive
     properties, and equivalences of a named class with ``someValuesFrom`` or ``minCardinality`` 1
-    restrictions.  Each round applies every rule to the whole table; schema joins are small, the
-    transitive rule is a closure per property.  Ends when a round adds nothing.
+    restrictions.  Each round applies every rule to the whole table and ends when a round adds nothing; schema
+    joins are small, and a transitive property's paths double in length with each round.
     """
     schema = cut(triples.select(*COLUMNS).distinct(), "schema")
     sub_c, sub_p = closure(edges_of(schema, SUBCLASS)), closure(edges_of(schema, SUBPROPERTY))
@@ -66,7 +66,7 @@ def entail(triples: DataFrame) -> DataFrame:
     inverse = edges_of(schema, OWL + "inverseOf")
     inverse = inverse.unionByName(inverse.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct()
     of_type = lambda name: edges_of(schema, RDF_TYPE).where(F.col("b") == OWL + name).select("a")
-    symmetric, transitive = of_type("SymmetricProperty"), [r.a for r in of_type("TransitiveProperty").collect()]  # one row per such property of the ontology
+    symmetric, transitive = of_type("SymmetricProperty"), of_type("TransitiveProperty")
     on = edges_of(schema, OWL + "onProperty").select(F.col("a").alias("x"), F.col("b").alias("prop"))
     some = edges_of(schema, OWL + "someValuesFrom").select(F.col("a").alias("x"), F.col("b").alias("filler"))
     least = schema.where(F.col("p").isin(OWL + "minCardinality", OWL + "someValuesFrom") & ((F.col("o_kind") != "literal") | (F.expr("try_cast(o AS int)") == 1))).select(F.col("s").alias("x"), F.when(F.col("o_kind") == "literal", F.lit(OWL + "Thing")).otherwise(F.col("o")).alias("filler"))
@@ -86,12 +86,12 @@ def entail(triples: DataFrame) -> DataFrame:
             plain.join(symmetric, F.col("p") == F.col("a")).select(F.col("o").alias("s"), "p", F.col("s").alias("o")).select(*iri("s", "p", "o")),
         ]
         held = kinds.select(F.col("s").alias("o"), "class")
-        met = facts.join(F.broadcast(defined), F.col("p") == F.col("prop"))  # one row per defined class of the ontology
+        met = facts.join(small(defined), F.col("p") == F.col("prop"))
         new.append(met.where(F.col("filler") == OWL + "Thing").select("s", F.col("cls").alias("b")).select(*iri("s", RDF_TYPE, "b")))
         new.append(met.where(F.col("filler") != OWL + "Thing").join(held, "o").where(F.col("class") == F.col("filler")).select("s", F.col("cls").alias("b")).select(*iri("s", RDF_TYPE, "b")))
-        for p in transitive:
-            reach = closure(plain.where(F.col("p") == p).select(F.col("s").alias("a"), F.col("o").alias("b")))
-            new.append(reach.select(F.col("a").alias("s"), F.lit(p).alias("p"), F.col("b").alias("o")).select(*iri("s", "p", "o")))
+        steps = plain.join(transitive, F.col("p") == F.col("a"), "left_semi")
+        on_ = steps.select(F.col("s").alias("via"), F.col("p").alias("same"), F.col("o").alias("end"))
+        new.append(steps.join(on_, (F.col("o") == F.col("via")) & (F.col("p") == F.col("same"))).select("s", "p", F.col("end").alias("o")).select(*iri("s", "p", "o")))
         grown = facts
         for part in new:
             grown = grown.unionByName(part)
