@@ -796,7 +796,23 @@ def transe_run(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embed.metrics(embed.model_ranks(p, cut(test, "run-test"), graph.encode(parts, ids, rel)))
 
 
-@query()
+_QUESTIONS = ("What is Customer#000000001?", "Who is nation?", "Tell me about region 1", "Who is Nobody At All?")
+
+
+def _query_sql(before: str, middle: str, after: str) -> str:
+    quote = lambda x: "'" + x.replace("'", "''") + "'"
+    return f"{quote(before)} || {middle} || {quote(after)}"
+
+
+@query(f"""WITH {T}, q AS (SELECT unnest({list(_QUESTIONS)}) AS question),
+ph AS (SELECT question, trim(rtrim(regexp_replace(trim(question), '^(who is|what is|tell me about) ', '', 'i'), '?')) AS phrase FROM q),
+re AS (SELECT *, array_to_string(list_filter(string_split_regex(phrase, '[^A-Za-z0-9]+'), lambda z: z <> ''), '|') AS regex FROM ph),
+lab AS (SELECT question, a.s || ' | ' || b.p || ' | ' || b.o AS line, row_number() OVER (PARTITION BY question ORDER BY a.s, b.p, b.o) AS n FROM re JOIN t a ON a.p = '{LABEL}' AND contains(lower(a.o), lower(phrase)) JOIN t b ON b.s = a.s),
+iri AS (SELECT question, s || ' | ' || p || ' | ' || o AS line, row_number() OVER (PARTITION BY question ORDER BY s, p, o) AS n FROM re JOIN t ON regexp_matches(s, regex, 'i')),
+by_label AS (SELECT question, least(count(*), 30) AS k, min(CASE WHEN n = 1 THEN line END) AS line FROM lab GROUP BY 1), by_iri AS (SELECT question, least(count(*), 30) AS k, min(CASE WHEN n = 1 THEN line END) AS line FROM iri GROUP BY 1)
+SELECT re.question, '' AS baseline, CASE WHEN l.k > 0 THEN {_query_sql(rag.label_query("@").split("@")[0], "lower(phrase)", rag.label_query("@").split("@")[1])} ELSE {_query_sql(rag.iri_query("@").split("@")[0], "regex", rag.iri_query("@").split("@")[1])} END AS rag_query,
+true AS rag_repaired, NULL::VARCHAR AS rag_error, coalesce(l.k, i.k, 0)::BIGINT AS rag_result_count, coalesce(l.line, i.line) AS rag_first_row
+FROM re LEFT JOIN by_label l ON l.question = re.question LEFT JOIN by_iri i ON i.question = re.question""")
 def rag_answer(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Questions without a model: the fallback queries answer."""
-    return rag.evaluate(triple_view(spark, sf_dir), ["What is Customer#000000001?", "Who is nation?", "Tell me about region 1"])
+    return rag.evaluate(triple_view(spark, sf_dir), list(_QUESTIONS))
