@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -35,17 +37,44 @@ def drop_histogram(triples: DataFrame, keep_types: bool = True) -> DataFrame:
     return triples.select(drop_reason(keep_types).alias("reason")).where("reason is not null").groupBy("reason").agg(F.count("*").alias("n"))
 
 
-def expand(graph: DataFrame, backing: DataFrame, seeds: DataFrame, depth: int = 2, target: int | None = 50_000, per_node: int | None = 250, predicates: str = "", objects: str = "") -> tuple[DataFrame, DataFrame]:
-    """Breadth-first expansion from seeds (column node) along a backing table (h, r, t).
+#: Nodes that a query service is asked about at once.
+BATCH = 50
+
+
+def by_provider(provider: Callable[[list[str], int], list[tuple[str, str, str]]], per_node: int = 250, batch: int = BATCH, delay: float = 0.0) -> Callable[[DataFrame], DataFrame]:
+    """A backing for ``expand`` by a query service: ``provider`` takes nodes and a limit for each and gives triples.
+
+    Nodes are asked about in batches of ``batch``; a task waits ``delay`` seconds after each answer.
+    """
+
+    def hop(frontier: DataFrame) -> DataFrame:
+        def run(batches: Iterator) -> Iterator:
+            import time
+
+            import pandas as pd
+
+            for rows in batches:
+                nodes = rows["node"].tolist()
+                for i in range(0, len(nodes), batch):
+                    yield pd.DataFrame(provider(nodes[i : i + batch], per_node), columns=KEY)
+                    time.sleep(delay)
+
+        return frontier.mapInPandas(run, "h string, r string, t string").join(frontier.select(F.col("node").alias("h")), "h", "left_semi").select(*KEY)
+
+    return hop
+
+
+def expand(graph: DataFrame, backing: DataFrame | Callable[[DataFrame], DataFrame], seeds: DataFrame, depth: int = 2, target: int | None = 50_000, per_node: int | None = 250, predicates: str = "", objects: str = "") -> tuple[DataFrame, DataFrame]:
+    """Breadth-first expansion from seeds (column node) along a backing table (h, r, t), or what ``by_provider`` makes.
 
-    Each level joins the frontier with the backing table, keeps at most ``per_node`` triples a node (in the
+    Each level joins the frontier with the backing table, or asks for its triples, keeps at most ``per_node`` triples a node (in the
     order of r and t), drops those already there, and stops at ``target`` triples in all.  Only backing triples
     whose predicate and object start with the given prefixes are asked for.  Returns the grown
     graph and one row a level: level, frontier, added, total.  The frontier is broadcast only if it is
     small; levels are cut by written tables.
     """
     spark = graph.sparkSession
-    backing = backing.where(F.startswith("r", F.lit(predicates)) & F.startswith("t", F.lit(objects)))
+    wanted = F.startswith("r", F.lit(predicates)) & F.startswith("t", F.lit(objects))
     total = cut(graph.select(*KEY).distinct(), "expand")
     frontier = cut(seeds.select("node").distinct(), "frontier")
     seen, stats, n = frontier, [], total.count()
@@ -53,7 +82,7 @@ def expand(graph: DataFrame, backing: DataFrame, seeds: DataFrame, depth: int =
         asked = frontier.count()
         if not asked or target is not None and n >= target:
             break
-        hop = backing.select(*KEY).join(small(frontier), F.col("h") == F.col("node")).select(*KEY)
+        hop = cut(backing(frontier).where(wanted), "asked") if callable(backing) else backing.select(*KEY).where(wanted).join(small(frontier), F.col("h") == F.col("node")).select(*KEY)
         if per_node is not None:
             # a hub's triples are ranked in shares first, so that no task sorts them all
             share = F.pmod(F.xxhash64("r", "t"), F.lit(64)).alias("__s")

@@ -110,6 +110,18 @@ def test_expansion_stops_at_its_target(spark):
     assert part.count() == 12
 
 
+def test_expansion_by_a_provider(spark):
+    world = {f"n{i}": [(f"n{i}", f"wdt:P{j}", f"wd:n{(i * 2 + j) % 40}") for j in range(5)] + [(f"n{i}", "label", "x")] for i in range(40)}
+
+    def provider(nodes, limit):
+        assert len(nodes) <= 3
+        return [t for n in nodes for t in world.get(n.removeprefix("wd:"), [])[:limit]]
+
+    seeds = spark.createDataFrame([(f"n{i}",) for i in range(7)], "node string")
+    grown, stats = graph.expand(spark.createDataFrame([], "h string, r string, t string"), graph.by_provider(provider, batch=3), seeds, depth=1, target=None, per_node=4, predicates="wdt:", objects="wd:")
+    assert grown.count() == 28 and tuple(stats.first()) == (1, 7, 28, 28)
+
+
 def family(spark):
     ex = "http://f#"
     schema = {"Male": "Person", "Female": "Person", "Parent": "Person", "Father": "Parent", "Grandfather": "Male"}
