@@ -9,7 +9,8 @@ classes of their own, so is the end of text, and as many classes again take the
 three bytes; within these the smoothed unigram decides, one unseen word included.  So the classes grow with
 the corpus, words that were never seen have one too, and the probabilities of all words sum to one.
 
-Classes are dealt into groups of about as many classes as there are groups.  A context of n words has the
+Classes are dealt into groups, half as many as their number's root: every token meets all groups, in training
+too, but only its own group's classes.  A context of n words has the
 vector sum of c_i * q(w_i); a group and a class within its group each have a vector and a bias, and the score
 is the scalar product plus bias.  P(class) is P(group) times P(class within the group), both normalised over
 all their outcomes by batched matrix products, so scores are exact logarithms of normalised probabilities.
@@ -258,6 +259,7 @@ class Model:
         log_noise = np.log(spec.per_token * np.maximum(self.noise, 1e-30)).astype(single).ravel()
         cdf = np.cumsum(self.noise, axis=1)
         last = m - 1 - np.argmax((self.noise > 0)[:, ::-1], axis=1)
+        ones = np.ones(spec.batch, single)
         # steps are scaled by the gradients' history, so the batch's size needn't divide them
 
         def sigmoid(x: np.ndarray) -> np.ndarray:
@@ -267,11 +269,12 @@ class Model:
             return np.reciprocal(x, out=x)
 
         mixed = rng.permutation(len(target)).astype(np.int32)
+        history, target = history[mixed], target[mixed]  # once, so that a batch lies together
         with np.errstate(over="ignore"):
-            for i in range(0, len(mixed), spec.batch):
-                at = mixed[i : i + spec.batch]
-                at = at[_sorted(target[at] // m)]
-                h, t = history[at], target[at]
+            for i in range(0, len(target), spec.batch):
+                h, t = history[i : i + spec.batch], target[i : i + spec.batch]
+                order = _sorted(t // m)
+                h, t = h[order], t[order]
                 g, every = t // m, np.arange(len(t))
                 places = [self.q[h[:, j]] for j in range(spec.context)]
                 v = sum(self.c[j] * places[j] for j in range(spec.context))
@@ -288,7 +291,7 @@ class Model:
                     s[rows, gs] += seen - 1
                     np.matmul(s, self.rg, out=dv[k : k + PIECE])
                     drg += s.T @ vs
-                    dbg += s.sum(axis=0)
+                    dbg += ones[: len(s)] @ s
                 # classes: each group's tokens share draws from its unigram
                 rows, grads, biases = [], [], []
                 edges = [*np.flatnonzero(np.r_[True, g[1:] != g[:-1]]).tolist(), len(g)]
@@ -303,9 +306,9 @@ class Model:
                     dv[start:end] += real[:, None] * own + drawn @ other
                     rows += [ts, fake]
                     grads += [real[:, None] * vs, drawn.T @ vs]
-                    biases += [real, drawn.sum(axis=0)]
+                    biases += [real, ones[: len(drawn)] @ drawn]
                 both = np.concatenate(rows)
-                dc = np.stack([(dv * places[j]).sum(axis=0) for j in range(spec.context)])
+                dc = np.stack([np.einsum("ij,ij->j", dv, places[j]) for j in range(spec.context)])
                 self._scatter("r", both, np.concatenate(grads))
                 self._scatter("b", both, np.concatenate(biases), spec.slow)
                 self._scatter("q", h.T.ravel(), np.concatenate([dv * self.c[j] for j in range(spec.context)]))
@@ -413,7 +416,7 @@ def _trained(model, end: int, round_: int, fan: int):
                 lengths, tokens = unpack(row["lengths"], row["docs"]), unpack(row["tokens"], row["n"])
                 history = _history(tokens, np.r_[0, np.cumsum(lengths)[:-1]], end, spec.context)
                 share = np.random.default_rng((spec.seed, row["block"])).permutation(len(tokens))
-                share = np.concatenate([share[(round_ + i) % spec.rounds :: spec.rounds] for i in range(spec.passes)])
+                share = np.sort(np.concatenate([share[(round_ + i) % spec.rounds :: spec.rounds] for i in range(spec.passes)]))
                 history, tokens = history[share], tokens[share].astype(np.int32)
                 own.train(history, tokens, (spec.seed, row["block"], round_))
                 flat = own.weighed(own.uses(history, tokens)).astype(np.float64)
@@ -495,7 +498,7 @@ def count_classes(rows: DataFrame, spec: Spec) -> Counts:
     for r in rest:
         counts[n + r.code], distinct_words[n + r.code] = r.c, r.k
     # by frequency in turn over the groups, so that these weigh alike
-    groups = math.ceil(math.sqrt(m))
+    groups = math.ceil(math.sqrt(m) / 2)
     members = -(-m // groups)
     rank = np.empty(m, np.int64)
     rank[np.argsort(-counts, kind="stable")] = np.arange(m)
