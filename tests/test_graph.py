@@ -331,3 +331,20 @@ def test_mention_stream(spark, tmp_path):
     mentions.mention_stream(mentions.landing(spark, str(src)), str(tmp_path / "out"), str(tmp_path / "ck")).awaitTermination()
     got = {(r.entity_normalized, r.mention_count) for r in spark.read.parquet(str(tmp_path / "out")).collect()}
     assert ("Ann Lee", 2) in got and ("Bob Ray", 1) in got
+
+
+def test_sentences_are_answered_within_their_rows(spark, sf001, monkeypatch):
+    from quillgraph.plans import catalogue
+
+    # places with gaps, a head that isn't there, a head behind its token
+    tokens = spark.createDataFrame([(1, 0, i, h) for i, h in ((2, 9), (5, 2), (9, 9), (12, 99), (13, 5))], "doc int, sent int, i int, head int")
+    entities = spark.createDataFrame([(1, 0, 9, 10, "Ann", "PERSON")], "doc int, sent int, start int, end int, text string, label string")
+    assert sorted(r.i for r in extract.token_entities(tokens, entities).collect()) == [2, 5, 9, 13]
+    pair = spark.createDataFrame([(1, 0, 0, 1), (1, 0, 1, 0)], "doc int, sent int, i int, head int")
+    with pytest.raises(ValueError, match="circle"):
+        extract.token_entities(pair, entities.limit(0))
+    # the queries' sentences come as rows: nothing is written, and relations need no exchange
+    monkeypatch.setattr(extract, "cut", lambda *_: pytest.fail("a table was written"))
+    assert catalogue.token_entities(spark, sf001).count() == 3
+    for name in ("dependency_relations", "adjacent_pairs"):
+        assert "Exchange" not in catalogue.QUERIES[name](spark, sf001)._jdf.queryExecution().executedPlan().toString()
