@@ -348,3 +348,28 @@ def test_sentences_are_answered_within_their_rows(spark, sf001, monkeypatch):
     assert catalogue.token_entities(spark, sf001).count() == 3
     for name in ("dependency_relations", "adjacent_pairs"):
         assert "Exchange" not in catalogue.QUERIES[name](spark, sf001)._jdf.queryExecution().executedPlan().toString()
+
+
+def test_neighbours_and_ranks_by_matrices(spark, monkeypatch):
+    import numpy as np
+    from pyspark.sql import Window
+
+    from quillgraph.functions.text import cosine
+
+    monkeypatch.setattr(embed, "HELD", 200)
+    rng = np.random.default_rng(5)
+    rows = [(i, rng.integers(-2, 3, 6).astype(float).tolist(), i % 3) for i in range(300)]  # ties and copies
+    rows += [(300, [0.0] * 6, 0), (301, [float("nan")] + [1.0] * 5, 1), (302, None, 2)]
+    emb = spark.createDataFrame(rows, "id long, v array<double>, label int").repartition(3)
+    queries = emb.where("id % 10 = 0 or id > 299").select("id", "v")
+    pairs = queries.select(F.col("id").alias("query"), F.col("v").alias("qv")).join(emb, F.col("id") != F.col("query")).withColumn("similarity", F.round(cosine("v", "qv"), 6))
+    want = pairs.withColumn("rank", F.row_number().over(Window.partitionBy("query").orderBy(F.desc("similarity"), "id"))).where("rank <= 4")
+    key = lambda df: {(r["query"], r["rank"]): (r.id, str(r.similarity)) for r in df.collect()}
+    assert key(embed.neighbours(emb.select("id", "v"), queries, 4, digits=6)) == key(want)
+    links = emb.where("v is not null").select(F.col("id").alias("h"), F.lit(0).alias("r"), ((F.col("id") * 7) % 300).alias("t"))
+    tests = links.where("h % 20 = 0 or h > 299").select(F.col("h").alias("case"), "h", "r", "t")
+    scored = embed.corrupted(tests, emb.where("v is not null").select("id"), links, lambda h, r, t: F.struct(h, t))
+    vec = lambda c: emb.select(F.col("id").alias(c), F.col("v").alias(c + "v"))
+    scored = scored.select("*", F.col("value.*")).toDF("case", "side", "truth", "cand", "value", "h", "t").join(vec("h"), "h").join(vec("t"), "t").withColumn("value", F.round(cosine("hv", "tv"), 6))
+    got = embed.vector_ranks(tests, emb.where("v is not null").select("id", "v"), links)
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, embed.ranks(scored).select(got.columns).collect()))
