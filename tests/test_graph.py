@@ -373,3 +373,16 @@ def test_neighbours_and_ranks_by_matrices(spark, monkeypatch):
     scored = scored.select("*", F.col("value.*")).toDF("case", "side", "truth", "cand", "value", "h", "t").join(vec("h"), "h").join(vec("t"), "t").withColumn("value", F.round(cosine("hv", "tv"), 6))
     got = embed.vector_ranks(tests, emb.where("v is not null").select("id", "v"), links)
     assert sorted(map(tuple, got.collect())) == sorted(map(tuple, embed.ranks(scored).select(got.columns).collect()))
+
+
+def test_parts_grow_with_the_input(spark, sf001, monkeypatch):
+    from quillgraph.operators import stage
+    from quillgraph.plans import catalogue
+
+    plain = {name: sorted(map(tuple, catalogue.QUERIES[name](spark, sf001).collect())) for name in ("clean_graph", "entity_ids", "ontology_domain_range")}
+    monkeypatch.setattr(stage, "PLAIN_BYTES", 0)
+    monkeypatch.setattr(stage, "PART_BYTES", 20_000)
+    view = catalogue.edge_view(spark, sf001)
+    assert stage.part_count(view) > 4 and stage.dealt(view, "h").rdd.getNumPartitions() == stage.part_count(view)
+    for name, rows in plain.items():
+        assert sorted(map(tuple, catalogue.QUERIES[name](spark, sf001).collect())) == rows
