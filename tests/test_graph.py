@@ -101,6 +101,32 @@ def test_components_and_split(spark):
     assert {x.node for x in graph.largest_component(labels).collect()} == {"a", "b", "c"}
 
 
+@pytest.mark.parametrize("look", [0.3, 1.75, 9])
+def test_split_places_by_the_seeded_order(spark, monkeypatch, look):
+    import hashlib
+
+    r = random.Random(5)
+    rows = sorted({(f"e{r.randrange(60)}", f"r{r.randrange(4)}", f"e{r.randrange(200)}") for _ in range(900)})
+    monkeypatch.setattr(graph, "FIRST_LOOK", look)
+    read = []
+    monkeypatch.setattr(graph, "_anchors", lambda df, plain=graph._anchors: read.append(df.count()) or plain(df))
+    for valid, test in ((0.1, 0.1), (0.45, 0.3), (0, 0.2), (0.2, 0), (0, 0)):
+        keys = {x: hashlib.md5("|".join(("7", *x)).encode()).hexdigest() for x in rows}
+        first = {}
+        for x in sorted(rows, key=keys.get):
+            for what in (("e", x[0]), ("e", x[2]), ("r", x[1])):
+                first.setdefault(what, x)
+        free = sorted(set(rows) - set(first.values()), key=keys.get)
+        a, b = int(len(rows) * valid), int(len(rows) * test)
+        want = {x: "train" for x in rows} | {x: "valid" for x in free[:a]} | {x: "test" for x in free[a : a + b]}
+        parts = graph.split(spark.createDataFrame(rows, "h string, r string, t string"), 1 - valid - test, valid, test, seed=7, each_once=True)
+        assert {(x.h, x.r, x.t): x.split for x in parts.collect()} == want and parts.count() == len(rows)
+        stats = {x.split: (x.triples, x.entities, x.relations) for x in graph.split_stats(parts).collect()}
+        mine = {k: [x for x, v in want.items() if v == k] for k in set(want.values())}
+        assert stats == {k: (len(v), len({e for x in v for e in (x[0], x[2])}), len({x[1] for x in v})) for k, v in mine.items()}
+    assert look != 1.75 or read[0] < 0.5 * len(rows)  # of a tenth each, anchors are sought among the first triples alone
+
+
 def test_expansion_stops_at_its_target(spark):
     backing = spark.createDataFrame([(f"n{i}", "r", f"n{j}") for i in range(6) for j in range(6) if i != j], "h string, r string, t string")
     seeds = spark.createDataFrame([("n0",)], "node string")
