@@ -355,6 +355,41 @@ def test_a_model_that_no_task_holds_trains_in_buckets(spark, sf001, monkeypatch,
         assert catalogue.train_transe(spark, sf001).count() == 20
 
 
+@pytest.mark.parametrize("shape", ["hubs", "islands", "chain"])
+def test_components_of_a_sample_first(spark, monkeypatch, shape):
+    r = random.Random(9)
+    if shape == "hubs":  # one large component and lone pairs, loops and a null
+        rows = [(f"n{i}", f"hub{r.randrange(5)}") for i in range(2000) for _ in range(3)] + [(f"a{i}", f"b{i}") for i in range(100)] + [("z", "z"), ("y", None)]
+    elif shape == "islands":
+        rows = [(f"n{i}", f"n{i - i % 7}") for i in range(2000)]
+    else:
+        rows = [(f"n{i}", f"n{i + 1}") for i in range(1000)]
+    up = {}
+
+    def root(x):
+        while up.setdefault(x, x) != x:
+            x = up[x]
+        return x
+
+    for a, b in rows:
+        if a is not None and b is not None:
+            a, b = sorted((root(a), root(b)))
+            up[b] = a
+    want = {x: root(x) for row in rows for x in row if x is not None}
+    monkeypatch.setattr(graph, "SAMPLED_ROWS", 10)
+    met = []
+    monkeypatch.setattr(graph, "_touching", lambda *x, f=graph._touching: met.append(f(*x)) or met[-1])
+    edges = spark.createDataFrame(rows, "a string, b string")
+    got = graph.components(edges).collect()
+    assert {x.node: x.component for x in got} == want and len(got) == len(want)
+    if shape == "hubs":  # most edges lie within the sample's component and aren't relabelled
+        assert met[0].count() < 0.6 * len(rows)
+    triples = edges.select(F.col("a").alias("h"), F.lit("r").alias("r"), F.col("b").alias("t"))
+    members = list(want.values())
+    best = min(set(members), key=lambda c: (-members.count(c), c))
+    assert sorted((x.h, x.t) for x in graph.within_largest(triples).collect()) == sorted(x for x in rows if None not in x and want[x[0]] == best)
+
+
 def test_a_chain_in_order_takes_few_rounds(spark, monkeypatch):
     cuts = []
     monkeypatch.setattr(graph, "cut", lambda df, name, f=graph.cut: cuts.append(name) or f(df, name))
