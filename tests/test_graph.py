@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from quillgraph.functions.terms import OWL, RDF_TYPE, RDFS, TRIPLES
-from quillgraph.operators import embed, extract, graph, rules
+from quillgraph.operators import embed, extract, graph, rules, stage
 from quillgraph.plans import rag
 from quillgraph.plans.sparql import Unsupported, compile_query, parse
 from quillgraph.sources import crawl, files, rdf
@@ -136,6 +136,18 @@ def test_expansion_stops_at_its_target(spark):
     assert part.count() == 12
 
 
+def test_expansion_ranks_in_parts_of_bounded_size(spark, monkeypatch, tmp_path):
+    r = random.Random(2)
+    rows = sorted({(f"n{r.randrange(30)}", "p", f"n{r.randrange(300)}") for _ in range(3000)})
+    spark.createDataFrame(rows, "h string, r string, t string").write.parquet(str(tmp_path / "g"))
+    g = spark.read.parquet(str(tmp_path / "g"))
+    dealt = []
+    monkeypatch.setattr(graph, "dealt", lambda df, *keys, f=graph.dealt: dealt.append(keys) or f(df, *keys))
+    monkeypatch.setattr(stage, "PLAIN_BYTES", 0)
+    grown, _ = graph.expand(g.limit(0), g, spark.createDataFrame([("n1",)], "node string"), depth=1, target=None, per_node=20)
+    assert sorted(map(tuple, grown.collect())) == [x for x in rows if x[0] == "n1"][:20] and ("h", "__s") in dealt
+
+
 def test_expansion_by_a_provider(spark):
     world = {f"n{i}": [(f"n{i}", f"wdt:P{j}", f"wd:n{(i * 2 + j) % 40}") for j in range(5)] + [(f"n{i}", "label", "x")] for i in range(40)}
 
