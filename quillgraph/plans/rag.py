@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from quillgraph.functions.terms import LABEL, RDF_TYPE
 from quillgraph.functions.text import extract_query, looks_like_query, question_phrase, token_regex
+from quillgraph.operators.stage import BROADCAST_ROWS, cut
 from quillgraph.plans.sparql import compile_query, literal
 
 #: Takes a prompt and gives a text, or None where there is no model.
@@ -64,6 +65,15 @@ def iri_query(regex: str, limit: int = 30) -> str:
     return f'SELECT ?s ?p ?o WHERE {{ ?s ?p ?o . FILTER(REGEX(STR(?s), {literal(regex)}, "i")) }} LIMIT {limit}'
 
 
+def labelled(triples: DataFrame, phrase: str) -> DataFrame | None:
+    """The triples that ``label_query`` needs, those of the subjects it finds; all where these are many, None if there is none."""
+    found = cut(triples.where((F.col("p") == LABEL) & F.contains(F.lower("o"), F.lit(phrase.lower()))).select("s").distinct(), "labelled")
+    n = found.count()
+    if n > BROADCAST_ROWS:
+        return triples
+    return triples.join(F.broadcast(found), "s", "left_semi").select(triples.columns) if n else None
+
+
 def answer(triples: DataFrame, question: str, model: Model = no_model, summary: str = "", whole_tokens: bool = False, limit: int = 30) -> Answer:
     """The first query that has rows wins; a query tried before is skipped, and errors are kept.
 
@@ -90,7 +100,10 @@ def answer(triples: DataFrame, question: str, model: Model = no_model, summary:
             continue
         seen.add(query)
         try:
-            df = compile_query(query, triples)
+            part = labelled(triples, phrase) if query == label_query(phrase, limit) else triples
+            if part is None:
+                continue
+            df = compile_query(query, part)
             rows = [tuple(map(str, r)) for r in df.collect()] if repaired else [tuple(map(str, r)) for r in df.limit(limit).collect()]
         except Exception as e:
             out.error = str(e)

@@ -297,6 +297,17 @@ def test_answers(spark):
     assert "Predicates" in rag.summary_text(rag.schema_summary(g))
 
 
+def test_label_queries_read_what_their_subjects_have(spark, monkeypatch):
+    label = "http://www.w3.org/2000/01/rdf-schema#label"
+    g = triples(spark, [(f"http://x/{i}", label, f"Thing {i}", "literal") for i in range(50)] + [(f"http://x/{i}", "http://x/p", f"http://x/{i + 1}", None) for i in range(50)])
+    read = []
+    monkeypatch.setattr(rag, "compile_query", lambda q, t, f=rag.compile_query: read.append(t.count()) or f(q, t))
+    a = rag.answer(g, "What is THING 49?")
+    assert read == [2] and a.rows == [("http://x/49", label, "Thing 49"), ("http://x/49", "http://x/p", "http://x/50")] and a.query == rag.label_query("THING 49")
+    read.clear()
+    assert not rag.answer(g, "What is Nothing Here?").rows and read == [100]  # the query on IRIs alone
+
+
 def test_ranks_and_metrics(spark):
     rows = [(0, "tail", 1, c, v) for c, v in ((1, 5.0), (2, 7.0), (3, 5.0), (4, 3.0))]
     scored = spark.createDataFrame(rows, "`case` int, side string, truth int, cand int, value double")
