@@ -136,6 +136,16 @@ def test_expansion_stops_at_its_target(spark):
     assert part.count() == 12
 
 
+def test_encoding_makes_the_view_once(spark, sf001, monkeypatch):
+    from quillgraph.plans import catalogue
+
+    written = []
+    monkeypatch.setattr(catalogue, "cut", lambda df, name, f=catalogue.cut: written.append(name) or f(df, name))
+    got = catalogue.encoded_triples(spark, sf001)
+    assert written == ["edges"] and not any("lineitem" in x for x in got.inputFiles())
+    assert got.count() == catalogue.edge_view(spark, sf001).count()
+
+
 def test_expansion_ranks_in_parts_of_bounded_size(spark, monkeypatch, tmp_path):
     r = random.Random(2)
     rows = sorted({(f"n{r.randrange(30)}", "p", f"n{r.randrange(300)}") for _ in range(3000)})
