@@ -7,6 +7,10 @@ from pyspark.sql import functions as F
 
 from quillgraph.functions.terms import LABEL, OWL, RDF_TYPE, RDFS, TRIPLES, XSD, Namespaces, triple, union
 from quillgraph.functions.text import CLASS_PARENTS, class_of, strip
+from quillgraph.operators.stage import cut, dealt
+
+#: Shares in which the rows of one text are counted first, so that no task reads all of a hub's.
+SHARES = 16
 
 
 def most_common(rows: DataFrame, keys: list[str], value: str, pos: str) -> DataFrame:
@@ -20,12 +24,36 @@ def confident(c: str, threshold: float) -> Column:
     return F.coalesce(F.nanvl(c, F.lit(0.0)), F.lit(0.0)) >= threshold
 
 
+def numbered(rows: DataFrame) -> DataFrame:
+    """With ``pos``, the order of rows."""
+    return rows if "pos" in rows.columns else rows.withColumn("pos", F.monotonically_increasing_id())
+
+
+def combine(relations: DataFrame, min_confidence: float = 0.5) -> DataFrame:
+    """pos, times and the five texts of relations, and ``sure``: rows of equal texts that are sure or not alike are one.
+
+    ``pos`` is the first one's.  The table is written, so its readers share one pass over the relations; a combined
+    table stays as it is.
+    """
+    if "times" in relations.columns:
+        return relations
+    texts = ["subject", "subject_type", "predicate", "object", "object_type"]
+    rows = numbered(relations).select("pos", *texts, confident("confidence", min_confidence).alias("sure"))
+    groups = dealt(rows, "subject", "predicate", "object").groupBy(*texts, "sure")
+    return cut(groups.agg(F.min("pos").alias("pos"), F.count("*").alias("times")), "relations")
+
+
 def clean_relations(relations: DataFrame, min_confidence: float = 0.5) -> DataFrame:
-    """pos, s, s_type, p, o, o_type and ``kept``: enough confidence and no empty part."""
+    """pos, times, s, s_type, p, o, o_type and ``kept``: enough confidence and no empty part.
+
+    A row of a combined table is as sure as it was when combined.
+    """
     part = lambda c: F.coalesce(strip(c), F.lit(""))
-    rows = relations.withColumn("pos", F.monotonically_increasing_id()) if "pos" not in relations.columns else relations
-    parts = rows.select("pos", part("subject").alias("s"), part("subject_type").alias("s_type"), part("predicate").alias("p"), part("object").alias("o"), part("object_type").alias("o_type"), "confidence")
-    return parts.withColumn("kept", confident("confidence", min_confidence) & (F.col("s") != "") & (F.col("p") != "") & (F.col("o") != ""))
+    rows = numbered(relations)
+    if "times" not in rows.columns:
+        rows = rows.withColumns({"times": F.lit(1).cast("long"), "sure": confident("confidence", min_confidence)})
+    parts = rows.select("pos", "times", part("subject").alias("s"), part("subject_type").alias("s_type"), part("predicate").alias("p"), part("object").alias("o"), part("object_type").alias("o_type"), "sure")
+    return parts.withColumn("kept", F.col("sure") & (F.col("s") != "") & (F.col("p") != "") & (F.col("o") != "")).drop("sure")
 
 
 def entity_meta(entities: DataFrame, relations: DataFrame) -> DataFrame:
@@ -37,16 +65,18 @@ def entity_meta(entities: DataFrame, relations: DataFrame) -> DataFrame:
     classes of all its types, ``Thing`` only where no row names a type or a type has no class of its own.
     """
     clean = lambda c: F.coalesce(strip(c), F.lit(""))
-    rows = entities.withColumn("pos", F.monotonically_increasing_id()) if "pos" not in entities.columns else entities
+    rows = numbered(entities)
     plain = clean("entity_text") if "entity_text" in entities.columns else F.lit("")
-    named = rows.select(F.coalesce(F.nullif(clean("entity_normalized"), F.lit("")), plain).alias("text"), plain.alias("plain"), clean("entity_type").alias("type"), F.col("mention_count").cast("long").alias("n"), F.lit(0).alias("table"), "pos")
-    named = named.select("text", F.coalesce(F.nullif("plain", F.lit("")), "text").alias("label"), "type", F.coalesce(F.nullif("n", F.lit(0)), F.lit(1)).alias("n"), F.struct("table", "pos", F.lit(0).alias("side")).alias("at"))
-
-    def side(name: str, i: int) -> DataFrame:
-        return relations.select(F.col(name).alias("text"), F.col(name).alias("label"), F.col(f"{name}_type").alias("type"), F.lit(0).cast("long").alias("n"), F.struct(F.lit(1).alias("table"), "pos", F.lit(i).alias("side")).alias("at"))
-
-    every = named.unionByName(side("s", 0)).unionByName(side("o", 1)).where("text <> ''")
-    by_label = every.groupBy("text", "label").agg(F.count("*").alias("times"), F.min("at").alias("at"), F.sum("n").alias("n"), F.collect_set(F.when(F.col("type") != "", class_of("type"))).alias("classes"))
+    one = F.lit(1).cast("long").alias("times")
+    named = rows.select(F.coalesce(F.nullif(clean("entity_normalized"), F.lit("")), plain).alias("text"), plain.alias("plain"), clean("entity_type").alias("type"), F.col("mention_count").cast("long").alias("n"), "pos")
+    named = named.select("text", F.coalesce(F.nullif("plain", F.lit("")), "text").alias("label"), "type", F.coalesce(F.nullif("n", F.lit(0)), F.lit(1)).alias("n"), one, F.lit(0).alias("table"), "pos", F.lit(0).alias("side"))
+    ends = F.array(*(F.struct(F.col(c).alias("text"), F.col(f"{c}_type").alias("type"), F.lit(i).alias("side")) for i, c in enumerate(("s", "o"))))
+    ends = relations.select("pos", "times", F.explode(ends).alias("end"))
+    ends = ends.select(F.col("end.text").alias("text"), F.col("end.text").alias("label"), F.col("end.type").alias("type"), F.lit(0).cast("long").alias("n"), "times", F.lit(1).alias("table"), "pos", F.col("end.side").alias("side"))
+    every = named.unionByName(ends).where("text <> ''").withColumn("__s", F.pmod(F.xxhash64("pos"), F.lit(SHARES)))
+    # plain sums and minima first, which take a fixed room per group
+    facts = dealt(every, "text", "__s").groupBy("text", "label", "type", "table", "side", "__s").agg(F.sum("times").alias("times"), F.min("pos").alias("pos"), F.sum("n").alias("n"))
+    by_label = dealt(facts, "text").groupBy("text", "label").agg(F.sum("times").alias("times"), F.min(F.struct("table", "pos", "side")).alias("at"), F.sum("n").alias("n"), F.collect_set(F.when(F.col("type") != "", class_of("type"))).alias("classes"))
     order = F.struct("times", (-F.col("at.table")).alias("t"), (-F.col("at.pos")).alias("p"), (-F.col("at.side")).alias("s"))
     meta = by_label.groupBy("text").agg(F.max_by("label", order).alias("label"), F.sum("n").alias("mentions"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("classes")))).alias("classes"))
     return meta.withColumn("classes", F.when(F.size("classes") == 0, F.array(F.lit("Thing"))).otherwise(F.col("classes")))
@@ -54,15 +84,14 @@ def entity_meta(entities: DataFrame, relations: DataFrame) -> DataFrame:
 
 def kb_triples(entities: DataFrame, relations: DataFrame, ns: Namespaces = Namespaces(), min_confidence: float = 0.5) -> DataFrame:  # noqa: B008
     """The graph: label, mention count, individual and classes of every entity, and confident relations."""
-    rel = clean_relations(relations, min_confidence)
+    rel = clean_relations(combine(relations, min_confidence), min_confidence)
     meta = entity_meta(entities, rel)
-    s = ns.entity("text")
     kept = rel.where("kept")
+    named = meta.select(ns.entity("text").alias("s"), "label", "mentions", "classes")
+    fact = lambda *x: F.struct(*triple(F.col("s"), *x))
+    own = F.array(fact(LABEL, F.col("label"), "literal"), fact(ns.base + "ontology/mentionCount", F.col("mentions"), "literal", XSD + "integer"), fact(RDF_TYPE, F.lit(OWL + "NamedIndividual")))
     return union(
-        meta.select(*triple(s, LABEL, F.col("label"), "literal")),
-        meta.select(*triple(s, ns.base + "ontology/mentionCount", F.col("mentions"), "literal", XSD + "integer")),
-        meta.select(*triple(s, RDF_TYPE, F.lit(OWL + "NamedIndividual"))),
-        meta.select(F.explode("classes").alias("class"), "text").select(*triple(s, RDF_TYPE, ns.cls("class"))),
+        named.select(F.explode(F.concat(own, F.transform("classes", lambda c: fact(RDF_TYPE, ns.cls(c))))).alias("t")).select("t.*"),
         kept.select(*triple(ns.entity("s"), ns.prop("p"), ns.entity("o"))),
     )
 
@@ -106,5 +135,5 @@ def ontology(relations: DataFrame, ns: Namespaces = Namespaces()) -> DataFrame:
 def kb_stats(graph: DataFrame, meta: DataFrame, relations: DataFrame) -> DataFrame:
     """One row: triples, entities, distinct properties of kept relations, kept relations, filtered ones."""
     text_key = relations.where("kept").select("s", "p", "o").distinct().agg(F.count("*").alias("relations_kept"), F.countDistinct(Namespaces().prop("p")).alias("relations"))
-    dropped = relations.agg(F.count_if(~F.col("kept")).alias("relations_filtered"))
+    dropped = relations.agg(F.coalesce(F.sum(F.when(~F.col("kept"), F.col("times"))), F.lit(0).cast("long")).alias("relations_filtered"))
     return graph.agg(F.count("*").alias("triples")).join(meta.agg(F.count("*").alias("entities"))).join(text_key).join(dropped)

@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from quillgraph.functions.terms import OWL, RDF_TYPE, RDFS, TRIPLES
-from quillgraph.operators import embed, extract, graph, rules, stage
+from quillgraph.operators import build, embed, extract, graph, rules, stage
 from quillgraph.plans import rag
 from quillgraph.plans.sparql import Unsupported, compile_query, parse
 from quillgraph.sources import crawl, files, rdf
@@ -500,3 +500,26 @@ def test_parts_grow_with_the_input(spark, sf001, monkeypatch):
     assert stage.part_count(view) > 4 and stage.dealt(view, "h").rdd.getNumPartitions() == stage.part_count(view)
     for name, rows in plain.items():
         assert sorted(map(tuple, catalogue.QUERIES[name](spark, sf001).collect())) == rows
+
+
+def test_a_graph_is_built_from_combined_relations_in_parts_of_bounded_size(spark, sf001, monkeypatch, tmp_path):
+    from quillgraph.plans import catalogue
+
+    plain = {name: sorted(map(tuple, catalogue.QUERIES[name](spark, sf001).collect())) for name in ("kb_build_triples", "kb_stats")}
+    monkeypatch.setattr(stage, "PLAIN_BYTES", 0)
+    keys = []
+    monkeypatch.setattr(build, "dealt", lambda df, *by, f=build.dealt: keys.append(by) or f(df, *by))
+    for name, rows in plain.items():
+        assert sorted(map(tuple, catalogue.QUERIES[name](spark, sf001).collect())) == rows
+    assert set(keys) == {("subject", "predicate", "object"), ("text", "__s"), ("text",)}
+
+    # 40 rows of three relations: sure, unsure (two kinds of it) and of another type
+    rel = [(i, "a ", "ORG" if i < 30 else "GPE", "know", "b", "", (0.9, 0.1, None, float("nan"))[i % 4]) for i in range(40)]
+    spark.createDataFrame(rel, "pos long, subject string, subject_type string, predicate string, object string, object_type string, confidence double").write.parquet(str(tmp_path / "r"))
+    combined = build.combine(spark.read.parquet(str(tmp_path / "r")))
+    assert sorted(tuple(r) for r in combined.select("subject_type", "sure", "pos", "times").collect()) == [("GPE", False, 30, 8), ("GPE", True, 32, 2), ("ORG", False, 1, 22), ("ORG", True, 0, 8)]
+    assert build.combine(combined) is combined
+    # the label of the entity rows comes first, but 39 times against 40
+    ents = spark.createDataFrame([(i, "A", "a", "ORG", 2) for i in range(39)], "pos long, entity_text string, entity_normalized string, entity_type string, mention_count long")
+    meta = {r.text: (r.label, r.mentions, r.classes) for r in build.entity_meta(ents, build.clean_relations(combined)).collect()}
+    assert meta == {"a": ("a", 78, ["Organization", "Place"]), "b": ("b", 0, ["Thing"])}
