@@ -523,3 +523,14 @@ def test_a_graph_is_built_from_combined_relations_in_parts_of_bounded_size(spark
     ents = spark.createDataFrame([(i, "A", "a", "ORG", 2) for i in range(39)], "pos long, entity_text string, entity_normalized string, entity_type string, mention_count long")
     meta = {r.text: (r.label, r.mentions, r.classes) for r in build.entity_meta(ents, build.clean_relations(combined)).collect()}
     assert meta == {"a": ("a", 78, ["Organization", "Place"]), "b": ("b", 0, ["Thing"])}
+
+
+def test_pairs_meet_parts_where_they_are_dealt(spark, sf001, monkeypatch):
+    from quillgraph.plans import views
+
+    plain = sorted(map(str, views.relations(spark, sf001).collect()))
+    monkeypatch.setattr(stage, "PLAIN_BYTES", 0)
+    big = views.relations(spark, sf001)
+    plan = big._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("ShuffledHashJoin") == 1 and plan.count("REPARTITION_BY_NUM") == 1
+    assert sorted(map(str, big.collect())) == plain
